@@ -45,23 +45,32 @@ def range_sorted(df: DataFrame, order_by: list, partitions: int | None = None) -
     return df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
 
 
-def with_position(df: DataFrame, name: str = "pos", order_by: list | None = None, base: int = 1) -> DataFrame:
-    """Add a contiguous position (1-based by default) in the current row order.
-
-    With `order_by`, rows are first sorted globally (range-partitioned sort); ties keep
-    no particular order, so pass a unique key last.  Without it the current partition
-    order is used (e.g. a single text file read in splits).  The sort's exchange is
-    shared by both uses of the frame (exchange reuse), so the partition counts and the
-    rows come from one shuffle.
+def with_position(
+    df: DataFrame, name: str = "pos", order_by: list | None = None, base: int = 1, partition_by: list | None = None
+) -> DataFrame:
+    """Add a contiguous position (1-based by default) in `order_by` order, optionally per group.
+
+    With `order_by`, rows are first range-partitioned and sorted (ties keep no particular
+    order, so pass a unique key last).  Without it the current partition order is used
+    (e.g. a single text file read in splits).  With `partition_by`, numbering restarts per
+    group; a group may span many range partitions, so a hot group is still spread over
+    many tasks.  The offset table has one row per (partition, group) pair present; it is
+    joined back without a hint, so Spark broadcasts it only when its measured size allows.
     """
-    src = range_sorted(df, order_by) if order_by else df
+    keys = list(partition_by or [])
+    order = [F.col(k).asc() for k in keys] + list(order_by or [])
+    src = range_sorted(df, order) if order else df
     tagged = _split_id(src, "_mid")
-    parts = tagged.groupBy("_mid_part").agg(F.count(F.lit(1)).alias("_n"))
-    parts = _offsets(parts, ["_mid_part"], "_n").select("_mid_part", "_offset")
-    out = tagged.join(F.broadcast(parts), "_mid_part").withColumn(
-        name, (F.col("_offset") + F.col("_mid_local") + F.lit(base)).cast("bigint")
+    parts = tagged.groupBy("_mid_part", *keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_mid_local").alias("_first")
+    )
+    parts = _offsets(parts, ["_mid_part"], "_n", by=keys or None).select("_mid_part", *keys, "_offset", "_first")
+    if not keys:
+        parts = F.broadcast(parts)  # one row per partition: bounded by parallelism
+    out = tagged.join(parts, ["_mid_part", *keys]).withColumn(
+        name, (F.col("_offset") + F.col("_mid_local") - F.col("_first") + F.lit(base)).cast("bigint")
     )
-    return out.drop("_mid", "_mid_part", "_mid_local", "_offset")
+    return out.drop("_mid", "_mid_part", "_mid_local", "_offset", "_first")
 
 
 def line_number(df: DataFrame, name: str = "line_no") -> DataFrame:
