@@ -74,3 +74,243 @@ SELECT line_id, ced,
 FROM v_score""", ["v_score"])
 def q_ced_to_tag(spark, d):
     return C.ced_to_tag(T.v_score(spark, d), pos="formal", neg="informal").select("line_id", "ced", "src_tag", "tgt_tag")
+
+
+# ---------------------------------------------------------------- scalar text functions
+
+from ..functions import rules as R  # noqa: E402
+from ..functions import text as X  # noqa: E402
+from ..operators import filters as FL  # noqa: E402
+from ..operators import joins as J  # noqa: E402
+from ..operators import lepod as L  # noqa: E402
+from ..operators import mix as M  # noqa: E402
+from ..operators import sequence as S  # noqa: E402
+from .oracle_views import nt, toks  # noqa: E402
+
+
+def _en(spark, d):
+    return T.english_lines(spark, d)
+
+
+@register("tag_prefix", "SELECT pair_id, '<2formal> ' || src AS src, '<2informal> ' || tgt AS tgt FROM v_bitext",
+          ["v_bitext"])
+def q_tag_prefix(spark, d):
+    b = T.v_bitext(spark, d)
+    return b.select("pair_id", X.tag_prefix("src", "formal").alias("src"), X.tag_prefix("tgt", "informal").alias("tgt"))
+
+
+@register("factor_stream", "SELECT pair_id, regexp_replace(src, '[^ ]+', '<2informal>', 'g') AS factor FROM v_bitext",
+          ["v_bitext"])
+def q_factor_stream(spark, d):
+    return T.v_bitext(spark, d).select("pair_id", X.factor_stream("src", "informal").alias("factor"))
+
+
+@register("strip_tags", """SELECT line_id, regexp_replace('<2formal> ' || text || ' <2unk> end', '<2[a-z]+> ', '', 'g') AS text
+FROM v_en""", ["v_en"])
+def q_strip_tags(spark, d):
+    e = _en(spark, d)
+    tagged = F.concat(F.lit("<2formal> "), F.col("text"), F.lit(" <2unk> end"))
+    return e.select("line_id", X.strip_tags(tagged).alias("text"))
+
+
+@register("undo_subword", """SELECT line_id, regexp_replace(regexp_replace(text, 'e', 'e@@ ', 'g'), '(@@ )|(@@ ?$)', '', 'g') AS text
+FROM v_en""", ["v_en"])
+def q_undo_subword(spark, d):
+    e = _en(spark, d)
+    return e.select("line_id", X.undo_subword(F.regexp_replace("text", "e", "e@@ ")).alias("text"))
+
+
+@register("normalize_all_caps", """SELECT line_id, CASE WHEN upper(t) = t AND lower(t) <> t
+  THEN upper(substr(lower(t), 1, 1)) || substr(lower(t), 2) ELSE t END AS text
+FROM (SELECT line_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM v_en)""", ["v_en"])
+def q_normalize_all_caps(spark, d):
+    return _en(spark, d).select("line_id", X.normalize_all_caps("text").alias("text"))
+
+
+@register("tokens_lower", f"SELECT line_id, lower(text) AS lower_text, {nt('text')} AS n_tokens FROM v_en", ["v_en"])
+def q_tokens_lower(spark, d):
+    return _en(spark, d).select("line_id", X.lowercase("text").alias("lower_text"), X.n_tokens("text").alias("n_tokens"))
+
+
+@register("strip_nonprinting", "SELECT line_id, regexp_replace(text, '\\p{C}', ' ', 'g') AS text FROM v_lines",
+          ["v_lines"])
+def q_strip_nonprinting(spark, d):
+    return T.v_lines(spark, d).select("line_id", X.strip_nonprinting("text").alias("text"))
+
+
+@register("normalize_punctuation",
+          "SELECT line_id, " + R.duckdb_chain("text", R.PUNCT_RULES_COMMON + R.PUNCT_RULES_EN) + " AS text FROM v_en",
+          ["v_en"])
+def q_normalize_punctuation(spark, d):
+    return _en(spark, d).select("line_id", X.normalize_punctuation("text", "en").alias("text"))
+
+
+@register("tokenize", "SELECT line_id, " + R.duckdb_chain("text", R.TOKENIZE_RULES) + " AS text FROM v_en", ["v_en"])
+def q_tokenize(spark, d):
+    return _en(spark, d).select("line_id", X.tokenize("text").alias("text"))
+
+
+@register("detokenize",
+          "SELECT line_id, " + R.duckdb_chain(R.duckdb_chain("text", R.TOKENIZE_RULES), R.DETOKENIZE_RULES) + " AS text FROM v_en",
+          ["v_en"])
+def q_detokenize(spark, d):
+    return _en(spark, d).select("line_id", X.detokenize(X.tokenize("text")).alias("text"))
+
+
+@register("detruecase", "SELECT line_id, upper(substr(text, 1, 1)) || substr(text, 2) AS text FROM v_en", ["v_en"])
+def q_detruecase(spark, d):
+    return _en(spark, d).select("line_id", X.detruecase("text").alias("text"))
+
+
+def _post_sql(x: str, detrue: bool) -> str:
+    s = f"regexp_replace(regexp_replace({x}, '<2[a-z]+> ', '', 'g'), '(@@ )|(@@ ?$)', '', 'g')"
+    if detrue:
+        s = f"upper(substr({s}, 1, 1)) || substr({s}, 2)"
+    return R.duckdb_chain(s, R.DETOKENIZE_RULES)
+
+
+@register("postprocess_outputs", f"""SELECT seg_id,
+  {_post_sql("'<2formal> ' || regexp_replace(hyp, 'a', 'a@@ ', 'g')", True)} AS formal_out,
+  {_post_sql("'<2informal> ' || regexp_replace(hyp, 'a', 'a@@ ', 'g')", False)} AS informal_out
+FROM v_hyps""", ["v_hyps"])
+def q_postprocess_outputs(spark, d):
+    h, _ = T.v_hyps_refs(spark, d)
+    raw = F.regexp_replace("hyp", "a", "a@@ ")
+    return h.select(
+        "seg_id",
+        X.postprocess(F.concat(F.lit("<2formal> "), raw), "formal", True).alias("formal_out"),
+        X.postprocess(F.concat(F.lit("<2informal> "), raw), "informal", True).alias("informal_out"),
+    )
+
+
+@register("tag_sources", """SELECT seg_id, '<2formal> ' || hyp AS src, regexp_replace(hyp, '[^ ]+', '<2formal>', 'g') AS factor,
+  hyp AS unk_src FROM v_hyps""", ["v_hyps"])
+def q_tag_sources(spark, d):
+    h, _ = T.v_hyps_refs(spark, d)
+    a = FL.tag_sources(h.select("seg_id", F.col("hyp").alias("src")), "tag-src", "formal")
+    b = FL.tag_sources(h.select("seg_id", F.col("hyp").alias("src")), "factor-concat", "formal")
+    c = FL.tag_sources(h.select("seg_id", F.col("hyp").alias("unk_src")), "tag", "unk", col="unk_src")
+    return a.join(b.select("seg_id", "factor"), "seg_id").join(c, "seg_id")
+
+
+# ---------------------------------------------------------------- sources and filters
+
+@register("markup_lines", """SELECT page_id, line_no, text FROM (
+  SELECT page_id, unnest(string_split(regexp_replace(html, '<[^>]*>', '', 'g'), chr(10))) AS text,
+         CAST(unnest(range(1, len(string_split(regexp_replace(html, '<[^>]*>', '', 'g'), chr(10))) + 1)) AS INTEGER) AS line_no
+  FROM pages) WHERE text <> ''""")
+def q_markup_lines(spark, d):
+    from ..sources import io as IO
+
+    return IO.markup_lines(T.table(spark, d, "pages"), "html", key="page_id")
+
+
+@register("project_fields", "SELECT pair_id, tgt FROM v_bitext", ["v_bitext"])
+def q_project_fields(spark, d):
+    return FL.project_fields(T.v_bitext(spark, d), ["pair_id", "tgt"])
+
+
+@register("drop_matching", "SELECT pair_id, src, tgt FROM v_bitext WHERE NOT (regexp_matches(src, '[?]') OR regexp_matches(tgt, '[?]'))",
+          ["v_bitext"])
+def q_drop_matching(spark, d):
+    return FL.drop_matching(T.v_bitext(spark, d), ["src", "tgt"], "[?]")
+
+
+@register("drop_empty", "SELECT line_id, text FROM v_lines WHERE text <> ''", ["v_lines"])
+def q_drop_empty(spark, d):
+    return FL.drop_empty(T.v_lines(spark, d).select("line_id", "text"))
+
+
+@register("max_length_filter", f"SELECT pair_id, src, tgt FROM v_bitext WHERE {nt('src')} <= 51 AND {nt('tgt')} <= 50",
+          ["v_bitext"])
+def q_max_length_filter(spark, d):
+    return FL.max_length_filter(T.v_bitext(spark, d), "tag-src", 50)
+
+
+@register("ratio_clean", f"""SELECT pair_id, src, tgt FROM (SELECT *, {nt('src')} AS n1, {nt('tgt')} AS n2 FROM v_bitext)
+WHERE n1 BETWEEN 1 AND 1000 AND n2 BETWEEN 1 AND 1000 AND n1 <= 3 * n2 AND n2 <= 3 * n1""", ["v_bitext"])
+def q_ratio_clean(spark, d):
+    return FL.ratio_clean(T.v_bitext(spark, d), 3, 1, 1000)
+
+
+def _wordset_sql(x: str) -> str:
+    return f"list_distinct(list_filter({toks('lower(' + x + ')')}, lambda w: NOT regexp_full_match(w, '[\\p{{P}}\\p{{S}}]+')))"
+
+
+@register("near_identical_filter", f"""SELECT pair_id, src, tgt FROM (
+  SELECT *, {_wordset_sql('src')} AS a, {_wordset_sql('tgt')} AS b FROM v_bitext)
+WHERE least(len(a), len(b)) = 0 OR len(list_intersect(a, b)) / least(len(a), len(b)) < 0.5""", ["v_bitext"])
+def q_near_identical_filter(spark, d):
+    return FL.near_identical_filter(T.v_bitext(spark, d), 0.5)
+
+
+@register("bitext_clean", f"""SELECT DISTINCT src, tgt FROM (SELECT *, {nt('src')} AS n1, {nt('tgt')} AS n2 FROM v_bitext)
+WHERE n1 > 0 AND n2 > 0 AND greatest(n1, n2) <= 2.0 * least(n1, n2)""", ["v_bitext"])
+def q_bitext_clean(spark, d):
+    return FL.bitext_clean(T.v_bitext(spark, d).select("src", "tgt"), 2.0, unique=True)
+
+
+@register("distinct_rows", "SELECT DISTINCT lang, text FROM v_lines", ["v_lines"])
+def q_distinct_rows(spark, d):
+    return M.distinct_rows(T.v_lines(spark, d), ["lang", "text"])
+
+
+# ---------------------------------------------------------------- mixtures
+
+@register("concat_corpora", """SELECT line_id, text, 1 AS part FROM v_pos UNION ALL SELECT line_id, text, 2 AS part FROM v_neg
+UNION ALL SELECT line_id, text, 3 AS part FROM v_pool""", ["v_pos", "v_neg", "v_pool"])
+def q_concat_corpora(spark, d):
+    parts = [f(spark, d).select("line_id", "text") for f in (T.v_pos, T.v_neg, T.v_pool)]
+    return M.concat_corpora(parts)
+
+
+@register("replicate", "SELECT pair_id, src, tgt, CAST(c AS INTEGER) AS copy FROM v_bitext, range(1, 11) r(c)", ["v_bitext"])
+def q_replicate(spark, d):
+    return M.replicate(T.v_bitext(spark, d), 10)
+
+
+_BIDI_SQL = """SELECT 1 AS part, pair_id, '<2informal> ' || src AS src, '<2formal> ' || tgt AS tgt FROM v_bitext
+UNION ALL SELECT 2 AS part, pair_id, '<2formal> ' || tgt AS src, '<2informal> ' || src AS tgt FROM v_bitext"""
+
+
+@register("bidirectional", _BIDI_SQL, ["v_bitext"])
+def q_bidirectional(spark, d):
+    return M.bidirectional(T.v_bitext(spark, d), "formal", "informal", "tag", a="src", b="tgt", key="pair_id")
+
+
+@register("bidirectional_factor", """SELECT 1 AS part, pair_id, src, tgt, regexp_replace(src, '[^ ]+', '<2informal>', 'g') AS factor
+FROM v_bitext UNION ALL
+SELECT 2 AS part, pair_id, tgt AS src, src AS tgt, regexp_replace(tgt, '[^ ]+', '<2formal>', 'g') AS factor FROM v_bitext""",
+          ["v_bitext"])
+def q_bidirectional_factor(spark, d):
+    return M.bidirectional(T.v_bitext(spark, d), "formal", "informal", "factor-concat", a="src", b="tgt", key="pair_id")
+
+
+@register("identity_pairs", """SELECT 1 AS part, pair_id, src, src AS tgt FROM v_bitext
+UNION ALL SELECT 2 AS part, pair_id, tgt AS src, tgt FROM v_bitext""", ["v_bitext"])
+def q_identity_pairs(spark, d):
+    return M.identity_pairs(T.v_bitext(spark, d), a="src", b="tgt", key="pair_id")
+
+
+@register("multitask_mix", """SELECT part, CAST(c AS INTEGER) AS copy, pair_id, src, tgt FROM (""" + _BIDI_SQL + """) x, range(1, 4) r(c)
+UNION ALL SELECT 3 AS part, 1 AS copy, line_id AS pair_id, '<2unk> ' || text AS src, '<2unk> ' || text AS tgt FROM v_pool""",
+          ["v_bitext", "v_pool"])
+def q_multitask_mix(spark, d):
+    pool = T.v_pool(spark, d).select(F.col("line_id").alias("pair_id"), F.col("text").alias("src"), F.col("text").alias("tgt"))
+    return M.multitask_mix(T.v_bitext(spark, d), pool, 3, "formal", "informal", a="src", b="tgt", key="pair_id")
+
+
+@register("style_mix", """SELECT 1 AS part, pair_id, '<2informal> ' || src AS src, tgt FROM v_bitext
+UNION ALL SELECT 2 AS part, pair_id, '<2formal> ' || tgt AS src, src AS tgt FROM v_bitext
+UNION ALL SELECT 3 AS part, line_id AS pair_id, '<2formal> ' || text AS src, text AS tgt FROM v_pos""", ["v_bitext", "v_pos"])
+def q_style_mix(spark, d):
+    ad = T.v_pos(spark, d).select(F.col("line_id").alias("pair_id"), F.col("text").alias("src"), F.col("text").alias("tgt"))
+    return M.style_mix(T.v_bitext(spark, d), ad, "formal", "informal", ad_tag="formal", a="src", b="tgt", key="pair_id")
+
+
+@register("combine_domains", """SELECT line_id, lang, source,
+  row_number() OVER (PARTITION BY lang ORDER BY source, line_id) AS combined_no FROM v_lines""", ["v_lines"])
+def q_combine_domains(spark, d):
+    ln = T.v_lines(spark, d).select("line_id", "lang", "source")
+    numbered = S.with_position(ln, "pos", order_by=[F.col("line_id").asc()], partition_by=["lang", "source"])
+    return M.combine_domains(numbered, ["lang"], domain="source", key="pos").select("line_id", "lang", "source", "combined_no")

@@ -127,3 +127,8 @@ def v_score(spark, sf_dir) -> DataFrame:
     ln = _english_lines_with_ntok(spark, sf_dir).filter(F.col("nt") > 0)
     ced = F.round(F.length("text") / F.col("nt") - F.lit(6.0), 6)
     return ln.select("line_id", ced.alias("ced"), "text")
+
+
+def english_lines(spark, sf_dir) -> DataFrame:
+    """v_en(line_id, doc_id, line_no, source, text): lines of English documents."""
+    return lines(_english_docs(spark, sf_dir)).select("line_id", "doc_id", "line_no", "source", "text")
