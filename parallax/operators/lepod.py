@@ -49,28 +49,54 @@ def _idx(n: Column) -> Column:
     return F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), 1, n)
 
 
-def span_links(t1: Column, t2: Column, spans: Column, punct: str = "", side: int = 1):
-    """Per token of `side`: (align, exact) arrays.
+_COVER = "struct<s:int,o:int,ident:boolean>"
 
-    align[i] = aligned position on the other side for the head token of a span, -1 for a
-    token inside a phrase, null when unaligned (or a head that is in the punctuation set);
-    exact[i] = the whole span equals the other side's span.  A later span overwrites an
-    earlier one, as the reference does.
+
+def materialize(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Evaluate `cols` once per row and expose them as plain columns.
+
+    Spark inlines a projected expression into every later reference, and a reference
+    inside a lambda (`transform`, `filter`, `aggregate`) is evaluated once per array
+    element.  A one-element `inline` is a Generate node that projections are not merged
+    through, so array work above it reads the stored value instead of recomputing it.
     """
-    mine, other = (t1, t2) if side == 1 else (t2, t1)
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+
+
+def enriched_spans(mine: Column, other: Column, spans: Column, side: int = 1) -> Column:
+    """Spans seen from `side`: (s = own start, l = own length, o = other start, ident)."""
     s_me, l_me, s_ot, l_ot = ("start1", "len1", "start2", "len2") if side == 1 else ("start2", "len2", "start1", "len1")
-    enriched = F.transform(
+    return F.transform(
         spans,
         lambda s: F.struct(
             s[s_me].alias("s"), s[l_me].alias("l"), s[s_ot].alias("o"),
             (F.slice(mine, s[s_me] + 1, s[l_me]) == F.slice(other, s[s_ot] + 1, s[l_ot])).alias("ident"),
         ),
     )
-    n = F.size(mine)
-    cover = F.transform(
-        _idx(n),
-        lambda i: F.try_element_at(F.filter(enriched, lambda s: (i >= s["s"]) & (i < s["s"] + s["l"])), F.lit(-1)),
-    )
+
+
+def span_cover(n: Column, enriched: Column) -> Column:
+    """Per position of a side, the span covering it (s, o, ident) or null.
+
+    One pass over the spans, each writing its positions; a later span overwrites an
+    earlier one, as the reference does.  `enriched` must be a stored column.
+    """
+    init = F.array_repeat(F.lit(None).cast(_COVER), n)
+
+    def put(acc, sp):
+        val = F.struct(sp["s"].alias("s"), sp["o"].alias("o"), sp["ident"].alias("ident"))
+        return F.transform(acc, lambda x, i: F.when((i >= sp["s"]) & (i < sp["s"] + sp["l"]), val).otherwise(x))
+
+    return F.aggregate(enriched, init, put)
+
+
+def span_links(mine: Column, cover: Column, punct: str = ""):
+    """(align, exact) arrays of one side from its cover.
+
+    align[i] = aligned position on the other side for the head token of a span, -1 for a
+    token inside a phrase, null when unaligned (or a head that is in the punctuation set);
+    exact[i] = the whole span equals the other side's span.
+    """
     punct_arr = F.array(*[F.lit(c) for c in sorted(set(punct))]) if punct else None
 
     def head_align(c, i):
@@ -163,18 +189,24 @@ def lepod(
     it the exact alignment (J6) is built.  Output: key, led, pod, valid, skipped (+ the
     detail columns of C7 when `detail`).  Invalid pairs (unequal aligned lengths, a head
     pointing at a non-head) get null scores and valid = false; a pair with an empty side
-    is skipped (null scores), as SURVEY §7.2 decides.
+    is skipped (null scores), as SURVEY §7.2 decides.  Each stage is stored once per row
+    (`materialize`), so the array work is linear in the sentence and span counts.
     """
     p = prepare_pairs(pairs, text1, text2, lower)
     spans = alignments if alignments is not None else exact_align(p, key)
-    p = attach_alignment(p, spans, key)
-    a1, e1 = span_links(F.col("t1"), F.col("t2"), F.col("spans"), punct, 1)
-    a2, e2 = span_links(F.col("t1"), F.col("t2"), F.col("spans"), punct, 2)
-    p = p.withColumns({"a1": a1, "e1": e1, "a2": a2, "e2": e2})
-    d = distortion(F.col("a1"), F.col("a2"))
-    p = p.withColumn("dist", d)
+    p = attach_alignment(p.select(key, "t1", "t2"), spans, key)
+    t1, t2 = F.col("t1"), F.col("t2")
+    p = materialize(p, {"en1": enriched_spans(t1, t2, F.col("spans"), 1), "en2": enriched_spans(t2, t1, F.col("spans"), 2)})
+    p = materialize(p, {"cov1": span_cover(F.size(t1), F.col("en1")), "cov2": span_cover(F.size(t2), F.col("en2"))})
+    a1, e1 = span_links(t1, F.col("cov1"), punct)
+    a2, e2 = span_links(t2, F.col("cov2"), punct)
+    p = materialize(p, {"a1": a1, "e1": e1, "a2": a2, "e2": e2})
+    p = materialize(p, {"h1": heads(F.col("a1")), "h2": heads(F.col("a2"))})
+    p = materialize(p, {"m2": _dense_index(F.col("h2"))})
+    p = materialize(p, {"dist": F.transform(
+        F.col("h1"), lambda q, c: (F.try_element_at(F.col("m2"), F.try_element_at(F.col("a1"), q + 1)) - c).cast("int"))})
     skipped = (F.size("t1") == 0) | (F.size("t2") == 0)
-    valid = (F.size(heads(F.col("a1"))) == F.size(heads(F.col("a2")))) & ~F.exists("dist", lambda x: x.isNull())
+    valid = (F.size("h1") == F.size("h2")) & ~F.exists("dist", lambda x: x.isNull())
     led = F.when(~skipped & valid, led_score(F.col("e1"), F.col("e2")))
     pod = F.when(~skipped & valid, pod_score(F.col("dist")))
     out = p.withColumns({"led": led, "pod": pod, "valid": valid & ~skipped, "skipped": skipped})

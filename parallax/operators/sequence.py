@@ -35,42 +35,89 @@ def _offsets(parts: DataFrame, order: list, size_col: str, by: list | None = Non
 
 
 def range_sorted(df: DataFrame, order_by: list, partitions: int | None = None) -> DataFrame:
-    """Global order as range partitions, each sorted.
-
-    A fixed partition count (`repartitionByRange(n, ...)`) is never coalesced by AQE, so
-    every consumer of this frame sees the same partitions - the positional helpers below
-    rely on that when they read it twice (partition sizes, then rows).
-    """
+    """Global order as range partitions, each sorted (a fixed count: AQE does not coalesce it)."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
 
 
+SAMPLE_PER_BUCKET = 20  # keys sampled per bucket to place the bucket bounds (as Spark's range partitioner)
+
+
+def _sort_key(order_by: list) -> Column:
+    """A struct whose natural ascending order is the requested order.
+
+    Items are column names (ascending), `-name` (descending; the column must be numeric and
+    is negated) or Columns (ascending).
+    """
+    fields = []
+    for i, o in enumerate(order_by):
+        if isinstance(o, str) and o.startswith("-"):
+            c = -F.col(o[1:])
+        else:
+            c = F.col(o) if isinstance(o, str) else o
+        fields.append(c.alias(f"k{i}"))
+    return F.struct(*fields)
+
+
+def _bucket_bounds(df: DataFrame, key: Column, buckets: int, seed: int = 17) -> list:
+    """`buckets - 1` bounds from a uniform random sample of the keys (one bounded TakeOrdered job)."""
+    sample = df.select(key.alias("_k")).orderBy(F.rand(seed)).limit(SAMPLE_PER_BUCKET * buckets).collect()
+    keys = sorted(tuple(r["_k"]) for r in sample if r["_k"] is not None)
+    if len(keys) < 2:
+        return []
+    step = len(keys) / buckets
+    bounds = sorted({keys[min(len(keys) - 1, int(step * i))] for i in range(1, buckets)})
+    return bounds
+
+
+def _bucket_of(key: Column, bounds: list) -> Column:
+    """Number of bounds strictly below the key: buckets are contiguous, disjoint key ranges."""
+    if not bounds:
+        return F.lit(0)
+    lits = F.array(*[F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(b)]) for b in bounds])
+    return F.size(F.filter(lits, lambda b: b < key))
+
+
+def _bucketed(df: DataFrame, order_by: list, buckets: int | None):
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = _sort_key(order_by)
+    keyed = df.withColumn("_key", key)
+    bounds = _bucket_bounds(keyed, F.col("_key"), n)
+    return keyed.withColumn("_bkt", _bucket_of(F.col("_key"), bounds))
+
+
 def with_position(
-    df: DataFrame, name: str = "pos", order_by: list | None = None, base: int = 1, partition_by: list | None = None
+    df: DataFrame, name: str = "pos", order_by: list | None = None, base: int = 1, partition_by: list | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add a contiguous position (1-based by default) in `order_by` order, optionally per group.
 
-    With `order_by`, rows are first range-partitioned and sorted (ties keep no particular
-    order, so pass a unique key last).  Without it the current partition order is used
-    (e.g. a single text file read in splits).  With `partition_by`, numbering restarts per
-    group; a group may span many range partitions, so a hot group is still spread over
-    many tasks.  The offset table has one row per (partition, group) pair present; it is
-    joined back without a hint, so Spark broadcasts it only when its measured size allows.
+    Without `order_by` the current partition order is used (a file read in splits): the
+    partition of each row and its index inside it come from `monotonically_increasing_id`,
+    partition sizes from one small aggregate.  With `order_by` the key space is cut into
+    value ranges ("buckets") placed by a bounded random sample of the keys; one aggregate
+    counts rows per (group, bucket), a window over that small table gives offsets, and
+    `row_number` runs inside each bucket, so every task holds one bucket.  All of it is
+    defined by values, not partition ids, so a re-executed or differently planned branch
+    gives the same numbers.  Pass a unique key last: ties keep no particular order.
     """
     keys = list(partition_by or [])
-    order = [F.col(k).asc() for k in keys] + list(order_by or [])
-    src = range_sorted(df, order) if order else df
-    tagged = _split_id(src, "_mid")
-    parts = tagged.groupBy("_mid_part", *keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_mid_local").alias("_first")
-    )
-    parts = _offsets(parts, ["_mid_part"], "_n", by=keys or None).select("_mid_part", *keys, "_offset", "_first")
-    if not keys:
-        parts = F.broadcast(parts)  # one row per partition: bounded by parallelism
-    out = tagged.join(parts, ["_mid_part", *keys]).withColumn(
-        name, (F.col("_offset") + F.col("_mid_local") - F.col("_first") + F.lit(base)).cast("bigint")
+    if not order_by:
+        tagged = _split_id(df, "_mid")
+        parts = tagged.groupBy("_mid_part").agg(F.count(F.lit(1)).alias("_n"))
+        parts = _offsets(parts, ["_mid_part"], "_n").select("_mid_part", "_offset")
+        out = tagged.join(F.broadcast(parts), "_mid_part").withColumn(  # one row per partition
+            name, (F.col("_offset") + F.col("_mid_local") + F.lit(base)).cast("bigint")
+        )
+        return out.drop("_mid", "_mid_part", "_mid_local", "_offset")
+    b = _bucketed(df, list(order_by), buckets)
+    sizes = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = _offsets(sizes, ["_bkt"], "_n", by=keys or None).select(*keys, "_bkt", "_offset")
+    w = Window.partitionBy("_bkt", *keys).orderBy("_key")
+    out = b.join(sizes, [*keys, "_bkt"]).withColumn(
+        name, (F.col("_offset") + F.row_number().over(w) - F.lit(1) + F.lit(base)).cast("bigint")
     )
-    return out.drop("_mid", "_mid_part", "_mid_local", "_offset", "_first")
+    return out.drop("_key", "_bkt", "_offset")
 
 
 def line_number(df: DataFrame, name: str = "line_no") -> DataFrame:
@@ -80,27 +127,26 @@ def line_number(df: DataFrame, name: str = "line_no") -> DataFrame:
 
 def rank_by_score(df: DataFrame, score: str = "ced", tie: str = "line_no", name: str = "rank") -> DataFrame:
     """Position of each row in ascending score order (ties by `tie`)."""
-    return with_position(df, name, order_by=[F.col(score).asc(), F.col(tie).asc()])
+    return with_position(df, name, order_by=[score, tie])
 
 
-def running_sum(df: DataFrame, value: Column | str, order_by: list, name: str = "cum", inclusive: bool = True) -> DataFrame:
+def running_sum(df: DataFrame, value: Column | str, order_by: list, name: str = "cum", inclusive: bool = True,
+                buckets: int | None = None) -> DataFrame:
     """Global running sum of `value` in `order_by` order, without a single-task window.
 
-    Rows are range-partitioned and sorted; inside a partition the running sum is a window
-    partitioned by the range partition id (so each partition is still one task of its
-    own size); the partition totals give exclusive offsets.
+    Same value-range buckets as `with_position`: bucket totals (a small table) give
+    exclusive offsets; inside a bucket a window sums in order.
     """
     v = F.col(value) if isinstance(value, str) else value
-    src = range_sorted(df.withColumn("_v", v), order_by)
-    tagged = _split_id(src, "_mid")
-    parts = tagged.groupBy("_mid_part").agg(F.sum("_v").alias("_s"))
-    parts = _offsets(parts, ["_mid_part"], "_s").select("_mid_part", "_offset")
+    b = _bucketed(df.withColumn("_v", v), list(order_by), buckets)
+    sums = b.groupBy("_bkt").agg(F.sum("_v").alias("_s"))
+    sums = _offsets(sums, ["_bkt"], "_s").select("_bkt", "_offset")
     frame_end = Window.currentRow if inclusive else -1
-    w = Window.partitionBy("_mid_part").orderBy("_mid_local").rowsBetween(Window.unboundedPreceding, frame_end)
-    out = tagged.join(F.broadcast(parts), "_mid_part").withColumn(
+    w = Window.partitionBy("_bkt").orderBy("_key").rowsBetween(Window.unboundedPreceding, frame_end)
+    out = b.join(F.broadcast(sums), "_bkt").withColumn(  # one row per bucket
         name, F.col("_offset") + F.coalesce(F.sum("_v").over(w), F.lit(0))
     )
-    return out.drop("_v", "_mid", "_mid_part", "_mid_local", "_offset")
+    return out.drop("_v", "_key", "_bkt", "_offset")
 
 
 def balanced_chunks(df: DataFrame, n: int, text: str = "text", key: str = "line_no", name: str = "chunk") -> DataFrame:
@@ -110,7 +156,7 @@ def balanced_chunks(df: DataFrame, n: int, text: str = "text", key: str = "line_
     newline) goes to chunk `least(n-1, floor(start * n / total))`.
     """
     nbytes = (F.octet_length(F.col(text)) + F.lit(1)).cast("bigint")
-    cum = running_sum(df, nbytes, [F.col(key).asc()], name="_start", inclusive=False)
+    cum = running_sum(df, nbytes, [key], name="_start", inclusive=False)
     total = df.agg(F.sum(nbytes)).scalar()
     chunk = F.least(F.lit(n - 1), F.floor(F.col("_start") * F.lit(n) / total)).cast("int")
     return cum.withColumn(name, chunk).drop("_start")
@@ -118,7 +164,7 @@ def balanced_chunks(df: DataFrame, n: int, text: str = "text", key: str = "line_
 
 def ordered_concat(chunks: DataFrame, chunk: str = "chunk", key: str = "line_no", name: str = "out_line_no") -> DataFrame:
     """Put chunk outputs back in chunk order and renumber them contiguously."""
-    return with_position(chunks, name, order_by=[F.col(chunk).asc(), F.col(key).asc()])
+    return with_position(chunks, name, order_by=[chunk, key])
 
 
 def row_parity(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -159,9 +205,10 @@ TAKE_ORDERED_MAX = 100_000  # rows a TakeOrdered may hold per task; larger n goe
 
 
 def _select_first(df: DataFrame, n: int, score: str, tie: str, ascending: bool) -> DataFrame:
-    order = [F.col(score).asc(), F.col(tie).asc()] if ascending else [F.col(score).desc(), F.col(tie).desc()]
     if n <= TAKE_ORDERED_MAX:
+        order = [F.col(score).asc(), F.col(tie).asc()] if ascending else [F.col(score).desc(), F.col(tie).desc()]
         return df.orderBy(*order).limit(n)
+    order = [score, tie] if ascending else ["-" + score, "-" + tie]
     return with_position(df, "_sel", order_by=order).filter(F.col("_sel") <= F.lit(n)).drop("_sel")
 
 

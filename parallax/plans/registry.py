@@ -312,5 +312,249 @@ def q_style_mix(spark, d):
   row_number() OVER (PARTITION BY lang ORDER BY source, line_id) AS combined_no FROM v_lines""", ["v_lines"])
 def q_combine_domains(spark, d):
     ln = T.v_lines(spark, d).select("line_id", "lang", "source")
-    numbered = S.with_position(ln, "pos", order_by=[F.col("line_id").asc()], partition_by=["lang", "source"])
+    numbered = S.with_position(ln, "pos", order_by=["line_id"], partition_by=["lang", "source"])
     return M.combine_domains(numbered, ["lang"], domain="source", key="pos").select("line_id", "lang", "source", "combined_no")
+
+
+# ---------------------------------------------------------------- joins
+
+def _zip_inputs(spark, d):
+    b = T.v_bitext(spark, d)
+    a = b.select("pair_id", "src")
+    long_t = b.filter(X.n_tokens("tgt") > 20).select("pair_id", "tgt")
+    return a, long_t
+
+
+_ZIP_B = f"(SELECT pair_id, tgt FROM v_bitext WHERE {nt('tgt')} > 20)"
+
+
+@register("zip_lines_pad", f"""SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.src, '') AS src, coalesce(b.tgt, '') AS tgt
+FROM (SELECT pair_id, src FROM v_bitext) a FULL OUTER JOIN {_ZIP_B} b ON a.pair_id = b.pair_id""", ["v_bitext"])
+def q_zip_lines_pad(spark, d):
+    a, b = _zip_inputs(spark, d)
+    return J.zip_lines(a, b, "pad", key="pair_id")
+
+
+@register("zip_lines_truncate", f"""SELECT a.pair_id, a.src, b.tgt
+FROM (SELECT pair_id, src FROM v_bitext) a JOIN {_ZIP_B} b ON a.pair_id = b.pair_id""", ["v_bitext"])
+def q_zip_lines_truncate(spark, d):
+    a, b = _zip_inputs(spark, d)
+    return J.zip_lines(a, b, "truncate", key="pair_id")
+
+
+@register("zip_lines_strict", "SELECT pair_id, src, tgt FROM v_bitext", ["v_bitext"])
+def q_zip_lines_strict(spark, d):
+    b = T.v_bitext(spark, d)
+    return J.zip_lines(b.select("pair_id", "src"), b.select("pair_id", "tgt"), "strict", key="pair_id")
+
+
+@register("attach_references", """SELECT h.system, h.seg_id, h.hyp,
+  array_to_string(list(r.ref ORDER BY r.ref_no), ' ||| ') AS refs
+FROM v_hyps h JOIN v_refs r ON r.system = h.system AND r.seg_id = h.seg_id GROUP BY h.system, h.seg_id, h.hyp""",
+          ["v_hyps", "v_refs"])
+def q_attach_references(spark, d):
+    h, r = T.v_hyps_refs(spark, d)
+    j = J.attach_references(h, r, ["system", "seg_id"])
+    return j.select("system", "seg_id", "hyp", F.array_join("refs", " ||| ").alias("refs"))
+
+
+@register("pair_outputs", """SELECT pair_id, src AS text1, tgt AS text2 FROM v_bitext""", ["v_bitext"])
+def q_pair_outputs(spark, d):
+    b = T.v_bitext(spark, d)
+    outputs = b.select("pair_id", F.lit("formal").alias("style"), F.col("src").alias("text")).unionByName(
+        b.select("pair_id", F.lit("informal").alias("style"), F.col("tgt").alias("text"))
+    )
+    return J.pair_outputs(outputs, ["pair_id"])
+
+
+@register("overlay_merge", """SELECT coalesce(l.doc_id, d.doc_id) AS doc_id,
+  CASE WHEN l.doc_id IS NOT NULL THEN NULL ELSE d.n_chars END AS n_chars,
+  CASE WHEN l.doc_id IS NOT NULL THEN l.quality ELSE NULL END AS quality,
+  l.doc_id IS NOT NULL AS from_new
+FROM documents d FULL OUTER JOIN labels l ON l.doc_id = d.doc_id""")
+def q_overlay_merge(spark, d):
+    old = T.table(spark, d, "documents").select("doc_id", "n_chars")
+    new = T.table(spark, d, "labels").select("doc_id", "quality")
+    return J.overlay_merge(old, new, "doc_id")
+
+
+@register("rekey_vectors", """SELECT d.doc_id, e.label, CAST(len(e.embedding) AS INTEGER) AS n_dims, e.vec_id IS NULL AS is_new
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
+def q_rekey_vectors(spark, d):
+    docs = T.table(spark, d, "documents").select("doc_id")
+    vec = T.table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    j = J.rekey_vectors(docs, vec, "doc_id")
+    return j.select("doc_id", "label", F.size("embedding").cast("int").alias("n_dims"), "is_new").withColumn(
+        "n_dims", F.when(F.col("is_new"), F.lit(None).cast("int")).otherwise(F.col("n_dims")))
+
+
+@register("pair_with_references", """SELECT h.seg_id, h.hyp AS src, r.ref_no, r.ref AS tgt
+FROM v_hyps h JOIN v_refs r ON r.seg_id = h.seg_id""", ["v_hyps", "v_refs"])
+def q_pair_with_references(spark, d):
+    h, r = T.v_hyps_refs(spark, d)
+    return J.pair_with_references(h.select("seg_id", F.col("hyp").alias("src")),
+                                  r.select("seg_id", "ref_no", F.col("ref").alias("tgt")), key="seg_id")
+
+
+@register("interleave_references", """SELECT r.seg_id, r.ref_no, r.ref,
+  (n.line_no - 1) * 4 + r.ref_no + 1 AS interleaved_no
+FROM v_refs r JOIN (SELECT seg_id, row_number() OVER (ORDER BY seg_id) AS line_no FROM v_hyps) n ON n.seg_id = r.seg_id""",
+          ["v_hyps", "v_refs"])
+def q_interleave_references(spark, d):
+    h, r = T.v_hyps_refs(spark, d)
+    n = S.with_position(h.select("seg_id"), "line_no", order_by=["seg_id"])
+    return J.interleave_references(r.join(n, "seg_id"), 4).select("seg_id", "ref_no", "ref", "interleaved_no")
+
+
+# ---------------------------------------------------------------- positions, sorts, selection
+
+@register("line_number", "SELECT line_id, row_number() OVER (ORDER BY line_id) AS line_no FROM v_en", ["v_en"])
+def q_line_number(spark, d):
+    return S.with_position(_en(spark, d).select("line_id"), "line_no", order_by=["line_id"])
+
+
+@register("rank_by_score", "SELECT line_id, ced, row_number() OVER (ORDER BY ced, line_id) AS rank FROM v_score",
+          ["v_score"])
+def q_rank_by_score(spark, d):
+    return S.rank_by_score(T.v_score(spark, d).select("line_id", "ced"), "ced", "line_id")
+
+
+@register("sort_by_score", "SELECT line_id, ced FROM v_score", ["v_score"])
+def q_sort_by_score(spark, d):
+    return S.sort_by_score(T.v_score(spark, d).select("line_id", "ced"), "ced", "line_id")
+
+
+@register("balanced_chunks", """SELECT line_id, CAST(least(7, floor(coalesce(sum(b) OVER (ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 8
+  / (SELECT sum(strlen(text) + 1) FROM v_en))) AS INTEGER) AS chunk
+FROM (SELECT line_id, strlen(text) + 1 AS b FROM v_en)""", ["v_en"])
+def q_balanced_chunks(spark, d):
+    return S.balanced_chunks(_en(spark, d).select("line_id", "text"), 8, key="line_id").select("line_id", "chunk")
+
+
+@register("ordered_concat", "SELECT line_id, row_number() OVER (ORDER BY line_id) AS out_line_no FROM v_en", ["v_en"])
+def q_ordered_concat(spark, d):
+    ch = S.balanced_chunks(_en(spark, d).select("line_id", "text"), 8, key="line_id")
+    return S.ordered_concat(ch, key="line_id").select("line_id", "out_line_no")
+
+
+@register("select_lowest", "SELECT line_id, ced FROM v_score ORDER BY ced, line_id LIMIT 100", ["v_score"])
+def q_select_lowest(spark, d):
+    return S.select_lowest(T.v_score(spark, d).select("line_id", "ced"), 100, "ced", "line_id")
+
+
+@register("select_highest", "SELECT line_id, ced FROM v_score ORDER BY ced DESC, line_id DESC LIMIT 100", ["v_score"])
+def q_select_highest(spark, d):
+    return S.select_highest(T.v_score(spark, d).select("line_id", "ced"), 100, "ced", "line_id")
+
+
+@register("select_lowest_large", "SELECT line_id, ced FROM v_score ORDER BY ced, line_id LIMIT 2000", ["v_score"])
+def q_select_lowest_large(spark, d):
+    S_MAX = S.TAKE_ORDERED_MAX
+    try:
+        S.TAKE_ORDERED_MAX = 1000  # force the numbered-sort path
+        return S.select_lowest(T.v_score(spark, d).select("line_id", "ced"), 2000, "ced", "line_id")
+    finally:
+        S.TAKE_ORDERED_MAX = S_MAX
+
+
+@register("head_n", "SELECT line_id, text FROM (SELECT line_id, text, row_number() OVER (ORDER BY line_id) AS p FROM v_pool) WHERE p <= 500",
+          ["v_pool"])
+def q_head_n(spark, d):
+    pool = S.with_position(T.v_pool(spark, d).select("line_id", "text"), "p", order_by=["line_id"])
+    return S.head_n(pool, 500, key="p").select("line_id", "text")
+
+
+@register("seeded_shuffle", """SELECT line_id, row_number() OVER (ORDER BY md5('7|' || CAST(line_id AS VARCHAR)), line_id) AS shuffled_no
+FROM v_en""", ["v_en"])
+def q_seeded_shuffle(spark, d):
+    return S.seeded_shuffle(_en(spark, d).select("line_id"), 7, key="line_id")
+
+
+@register("row_parity", """SELECT (SELECT count(*) FROM v_pos) AS n_a, (SELECT count(*) FROM v_neg) AS n_b,
+  (SELECT count(*) FROM v_pos) = (SELECT count(*) FROM v_neg) AS same""", ["v_pos", "v_neg"])
+def q_row_parity(spark, d):
+    return S.row_parity(T.v_pos(spark, d), T.v_neg(spark, d))
+
+
+@register("selection_budget", "SELECT CAST(count(*) * 12 AS BIGINT) AS budget FROM v_neg", ["v_neg"])
+def q_selection_budget(spark, d):
+    return C.selection_budget(T.v_neg(spark, d), 12)
+
+
+@register("plain_select", """SELECT line_id, text FROM (SELECT line_id, text, row_number() OVER (ORDER BY line_id) AS p FROM v_pool)
+WHERE p <= (SELECT 2 * 2 * count(*) FROM v_neg)""", ["v_pool", "v_neg"])
+def q_plain_select(spark, d):
+    pool = S.with_position(T.v_pool(spark, d).select("line_id", "text"), "p", order_by=["line_id"])
+    return C.plain_select(pool, T.v_neg(spark, d), 2, key="p").select("line_id", "text")
+
+
+# ---------------------------------------------------------------- LePoD
+
+_LEPOD_SQL = f"""p AS (SELECT pair_id, {toks('text1')} AS t1, {toks('text2')} AS t2 FROM v_pairs),
+a AS (SELECT pair_id, pos1, tok, row_number() OVER (PARTITION BY pair_id, tok ORDER BY pos1) AS occ
+      FROM (SELECT pair_id, unnest(t1) AS tok, unnest(range(len(t1))) AS pos1 FROM p)),
+b AS (SELECT pair_id, pos2, tok, row_number() OVER (PARTITION BY pair_id, tok ORDER BY pos2) AS occ
+      FROM (SELECT pair_id, unnest(t2) AS tok, unnest(range(len(t2))) AS pos2 FROM p)),
+l AS (SELECT a.pair_id, a.pos1, b.pos2 FROM a JOIN b ON a.pair_id = b.pair_id AND a.tok = b.tok AND a.occ = b.occ),
+lr AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY pos1) - 1 AS c,
+              row_number() OVER (PARTITION BY pair_id ORDER BY pos2) - 1 AS r2 FROM l),
+cs AS (SELECT pair_id, c, r2 - c AS d, sum(r2 - c) OVER (PARTITION BY pair_id ORDER BY c ROWS UNBOUNDED PRECEDING) AS cum FROM lr),
+sg AS (SELECT *, coalesce(sum(CASE WHEN cum = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id ORDER BY c
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM cs),
+segs AS (SELECT pair_id, seg, max(abs(d)) AS mx, bool_or(cum = 0) AS closed FROM sg GROUP BY pair_id, seg),
+pod AS (SELECT pair_id, sum(CASE WHEN closed THEN mx ELSE 0 END) AS tot FROM segs GROUP BY pair_id),
+nl AS (SELECT pair_id, count(*) AS n FROM l GROUP BY pair_id),
+scored AS (SELECT p.pair_id,
+  ((len(t1) - coalesce(n, 0)) / len(t1) + (len(t2) - coalesce(n, 0)) / len(t2)) / 2.0 AS led,
+  CASE WHEN coalesce(n, 0) > 0 THEN tot / n ELSE 0.0 END AS pod, true AS valid, false AS skipped
+  FROM p LEFT JOIN nl ON nl.pair_id = p.pair_id LEFT JOIN pod ON pod.pair_id = p.pair_id)
+"""
+
+
+@register("lepod", "WITH " + _LEPOD_SQL + "SELECT pair_id, round(led, 6) AS led, round(pod, 6) AS pod, valid, skipped FROM scored",
+          ["v_pairs"])
+def q_lepod(spark, d):
+    s = L.lepod(T.v_pairs(spark, d))
+    return s.withColumns({"led": r6("led"), "pod": r6("pod")})
+
+
+@register("lepod_report", "WITH " + _LEPOD_SQL + """SELECT count(*) AS n_pairs, 0 AS n_skipped, 0 AS n_invalid,
+  round(avg(led), 6) AS led_mean, round(min(led), 6) AS led_min, round(max(led), 6) AS led_max,
+  round(avg(pod), 6) AS pod_mean, round(min(pod), 6) AS pod_min, round(max(pod), 6) AS pod_max,
+  count_if(led > 0) AS n_nonzero_led, count_if(pod > 0) AS n_nonzero_pod, count_if(led = 0 AND pod = 0) AS n_all_zero,
+  round(count_if(led > 0) * 100.0 / count(*), 2) AS pct_nonzero_led, round(count_if(pod > 0) * 100.0 / count(*), 2) AS pct_nonzero_pod,
+  round(count_if(led = 0 AND pod = 0) * 100.0 / count(*), 2) AS pct_all_zero FROM scored""", ["v_pairs"])
+def q_lepod_report(spark, d):
+    r = L.lepod_report(L.lepod(T.v_pairs(spark, d)))
+    return r.withColumns({c: r6(c) for c in ["led_mean", "led_min", "led_max", "pod_mean", "pod_min", "pod_max"]})
+
+
+@register("lepod_score_summary", "WITH " + _LEPOD_SQL + """SELECT round(avg(led), 6) AS led_mean, round(min(led), 6) AS led_min,
+  round(max(led), 6) AS led_max, round(avg(pod), 6) AS pod_mean, round(min(pod), 6) AS pod_min, round(max(pod), 6) AS pod_max
+FROM scored""", ["v_pairs"])
+def q_lepod_score_summary(spark, d):
+    r = L.score_summary(L.lepod(T.v_pairs(spark, d)))
+    return r.select(*[r6(c).alias(c) for c in r.columns])
+
+
+@register("lepod_nonzero_summary", "WITH " + _LEPOD_SQL + """SELECT count(*) AS n_pairs,
+  count_if(led > 0) AS n_nonzero_led, count_if(pod > 0) AS n_nonzero_pod, count_if(led = 0 AND pod = 0) AS n_all_zero,
+  round(count_if(led > 0) * 100.0 / count(*), 2) AS pct_nonzero_led, round(count_if(pod > 0) * 100.0 / count(*), 2) AS pct_nonzero_pod,
+  round(count_if(led = 0 AND pod = 0) * 100.0 / count(*), 2) AS pct_all_zero FROM scored""", ["v_pairs"])
+def q_lepod_nonzero_summary(spark, d):
+    return L.nonzero_summary(L.lepod(T.v_pairs(spark, d)))
+
+
+@register("exact_align", """SELECT a.pair_id, CAST(a.pos1 AS INTEGER) AS start1, 1 AS len1, CAST(b.pos2 AS INTEGER) AS start2, 1 AS len2
+FROM (SELECT pair_id, pos1, tok, row_number() OVER (PARTITION BY pair_id, tok ORDER BY pos1) AS occ
+      FROM (SELECT pair_id, unnest(t1) AS tok, unnest(range(len(t1))) AS pos1 FROM (SELECT pair_id, """ + toks("text1") + """ AS t1 FROM v_pairs))) a
+JOIN (SELECT pair_id, pos2, tok, row_number() OVER (PARTITION BY pair_id, tok ORDER BY pos2) AS occ
+      FROM (SELECT pair_id, unnest(t2) AS tok, unnest(range(len(t2))) AS pos2 FROM (SELECT pair_id, """ + toks("text2") + """ AS t2 FROM v_pairs))) b
+ON a.pair_id = b.pair_id AND a.tok = b.tok AND a.occ = b.occ""", ["v_pairs"])
+def q_exact_align(spark, d):
+    return L.exact_align(L.prepare_pairs(T.v_pairs(spark, d)))
+
+
+@register("lepod_detail")
+def q_lepod_detail(spark, d):
+    return L.lepod_detail(T.v_pairs(spark, d))
