@@ -558,3 +558,102 @@ def q_exact_align(spark, d):
 @register("lepod_detail")
 def q_lepod_detail(spark, d):
     return L.lepod_detail(T.v_pairs(spark, d))
+
+
+# ---------------------------------------------------------------- language model, cross-entropy, CED
+
+from ..operators import lm as LM  # noqa: E402
+
+
+def _kn2_sql(src: str, p: str) -> str:
+    """Order-2 interpolated modified Kneser-Ney in DuckDB: CTEs prefixed `p` over view `src`."""
+    disc = """CASE WHEN {a} = 1 THEN d.d1 WHEN {a} = 2 THEN d.d2 ELSE d.d3 END"""
+    def dsc(t):
+        return f"""{p}cc{t} AS (SELECT count_if(a = 1)::DOUBLE n1, count_if(a = 2)::DOUBLE n2, count_if(a = 3)::DOUBLE n3,
+       count_if(a = 4)::DOUBLE n4 FROM {p}a{t}),
+{p}dr{t} AS (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 AND n3 > 0 AND n4 > 0 THEN n1 / (n1 + 2 * n2) END AS y FROM {p}cc{t}),
+{p}dd{t} AS (SELECT 1 - 2 * y * n2 / n1 AS e1, 2 - 3 * y * n3 / n2 AS e2, 3 - 4 * y * n4 / n3 AS e3 FROM {p}dr{t}),
+{p}d{t} AS (SELECT CASE WHEN coalesce(e1 BETWEEN 0 AND 1 AND e2 BETWEEN 0 AND 2 AND e3 BETWEEN 0 AND 3, false)
+              THEN e1 ELSE 0.5 END AS d1,
+            CASE WHEN coalesce(e1 BETWEEN 0 AND 1 AND e2 BETWEEN 0 AND 2 AND e3 BETWEEN 0 AND 3, false)
+              THEN e2 ELSE 1.0 END AS d2,
+            CASE WHEN coalesce(e1 BETWEEN 0 AND 1 AND e2 BETWEEN 0 AND 2 AND e3 BETWEEN 0 AND 3, false)
+              THEN e3 ELSE 1.5 END AS d3 FROM {p}dd{t})"""
+    return f"""{p}seg AS (SELECT list_concat(['<s>'], {toks('text')}, ['</s>']) AS p FROM {src}),
+{p}u AS (SELECT g AS ngram, count(*) AS c FROM (SELECT unnest(p) AS g FROM {p}seg) GROUP BY g),
+{p}bi AS (SELECT g AS ngram, count(*) AS c FROM (SELECT unnest(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) AS g
+       FROM {p}seg) GROUP BY g),
+{p}ext AS (SELECT split_part(ngram, ' ', 2) AS ngram, count(*) AS ext FROM {p}bi GROUP BY 1),
+{p}a1 AS (SELECT u.ngram, coalesce(e.ext, 0) AS a FROM {p}u u LEFT JOIN {p}ext e ON e.ngram = u.ngram WHERE u.ngram <> '<s>'),
+{p}a2 AS (SELECT ngram, c AS a FROM {p}bi),
+{dsc(1)},
+{dsc(2)},
+{p}g1 AS (SELECT a.ngram, a.a, {disc.format(a='a.a')} AS disc FROM {p}a1 a, {p}d1 d),
+{p}c1 AS (SELECT sum(a) AS S, sum(disc) AS D, sum(disc) / sum(a) AS b, (SELECT count(*) + 1 FROM {p}a1)::DOUBLE AS V FROM {p}g1),
+{p}p1 AS (SELECT g.ngram, greatest(g.a - g.disc, 0) / c.S + c.b / c.V AS p FROM {p}g1 g, {p}c1 c
+        UNION ALL SELECT '<unk>' AS ngram, c.b / c.V AS p FROM {p}c1 c),
+{p}g2 AS (SELECT a.ngram, split_part(a.ngram, ' ', 1) AS h, split_part(a.ngram, ' ', 2) AS tail, a.a,
+        {disc.format(a='a.a')} AS disc FROM {p}a2 a, {p}d2 d),
+{p}c2 AS (SELECT h, sum(a) AS S, sum(disc) / sum(a) AS b FROM {p}g2 GROUP BY h),
+{p}p2 AS (SELECT g.ngram, greatest(g.a - g.disc, 0) / c.S + c.b * l.p AS p FROM {p}g2 g JOIN {p}c2 c ON c.h = g.h
+        JOIN {p}p1 l ON l.ngram = g.tail),
+{p}pt AS (SELECT ngram, log10(p) AS log_p FROM {p}p1 UNION ALL SELECT ngram, log10(p) AS log_p FROM {p}p2),
+{p}m AS (SELECT coalesce(pt.ngram, c.h) AS ngram, CAST(len(string_split(coalesce(pt.ngram, c.h), ' ')) AS INTEGER) AS n,
+        pt.log_p, log10(c.b) AS log_b FROM {p}pt pt FULL OUTER JOIN {p}c2 c ON c.h = pt.ngram)"""
+
+
+@register("train_ngram_lm", "WITH " + _kn2_sql("v_pos", "x") + """
+SELECT ngram, n, round(log_p, 6) AS log_p, round(log_b, 6) AS log_b FROM xm""", ["v_pos"])
+def q_train_ngram_lm(spark, d):
+    m = LM.train_ngram_lm(T.v_pos(spark, d), "text", 2)
+    return m.withColumns({"log_p": r6("log_p"), "log_b": r6("log_b")})
+
+
+def _score2_sql(src: str, p: str, key: str = "line_id") -> str:
+    """Order-2 scoring of `src` with model CTE `{p}m` -> `{p}s(key, logprob, n_words, n_oov)`."""
+    return f"""{p}tk AS (SELECT {key}, list_concat(['<s>'], {toks('text')}, ['</s>']) AS raw FROM {src}),
+{p}tx AS (SELECT {key}, unnest(raw) AS w, unnest(range(1, len(raw) + 1)) AS i, len(raw) AS L FROM {p}tk),
+{p}tu AS (SELECT t.{key}, t.i, t.L, t.w, CASE WHEN t.w IN ('<s>') OR m.ngram IS NOT NULL THEN t.w ELSE '<unk>' END AS u,
+        m.ngram IS NULL AND t.w NOT IN ('<s>', '</s>') AS oov
+        FROM {p}tx t LEFT JOIN (SELECT ngram FROM {p}m WHERE n = 1 AND log_p IS NOT NULL) m ON m.ngram = t.w),
+{p}pr AS (SELECT a.{key}, a.i, b.u AS prev, a.u AS w FROM {p}tu a JOIN {p}tu b ON b.{key} = a.{key} AND b.i = a.i - 1),
+{p}sc AS (SELECT r.{key}, r.i, CASE WHEN bg.log_p IS NOT NULL THEN bg.log_p
+          ELSE ug.log_p + coalesce(cx.log_b, 0) END AS lp
+        FROM {p}pr r LEFT JOIN {p}m bg ON bg.ngram = r.prev || ' ' || r.w
+        LEFT JOIN {p}m ug ON ug.ngram = r.w LEFT JOIN {p}m cx ON cx.ngram = r.prev AND cx.log_b IS NOT NULL),
+{p}s AS (SELECT k.{key}, coalesce((SELECT sum(lp) FROM {p}sc s WHERE s.{key} = k.{key}), 0) AS logprob,
+        CAST(len(k.raw) - 2 AS INTEGER) AS n_words,
+        CAST((SELECT count_if(oov) FROM {p}tu t WHERE t.{key} = k.{key}) AS INTEGER) AS n_oov FROM {p}tk k)"""
+
+
+@register("lm_score", "WITH " + _kn2_sql("v_pos", "x") + ",\n" + _score2_sql("v_pool", "x") + """
+SELECT line_id, round(logprob, 6) AS logprob, n_words, n_oov FROM xs""", ["v_pos", "v_pool"])
+def q_lm_score(spark, d):
+    m = LM.train_ngram_lm(T.v_pos(spark, d), "text", 2)
+    s = LM.lm_score(T.v_pool(spark, d), m, "text", "line_id", 2)
+    return s.withColumn("logprob", r6("logprob"))
+
+
+@register("cross_entropy", "WITH " + _kn2_sql("v_pos", "x") + ",\n" + _score2_sql("v_pool", "x") + """
+SELECT line_id, round(CASE WHEN n_words > 0 THEN -logprob / n_words END, 6) AS xent, n_words, n_oov FROM xs""",
+          ["v_pos", "v_pool"])
+def q_cross_entropy(spark, d):
+    m = LM.train_ngram_lm(T.v_pos(spark, d), "text", 2)
+    return LM.cross_entropy(T.v_pool(spark, d), m, "text", "line_id", 2).withColumn("xent", r6("xent"))
+
+
+_CED_SQL = ("WITH " + _kn2_sql("v_pos", "x") + ",\n" + _score2_sql("v_pool", "x") + ",\n" + _kn2_sql("v_neg", "y") + ",\n"
+            + _score2_sql("v_pool", "y") + """,
+xp AS (SELECT line_id, -logprob / n_words AS xent, n_words FROM xs WHERE n_words > 0),
+yp AS (SELECT line_id, -logprob / n_words AS xent, n_words FROM ys WHERE n_words > 0),
+cd AS (SELECT xp.line_id, xp.xent - yp.xent AS ced0, xp.n_words FROM xp JOIN yp ON yp.line_id = xp.line_id AND yp.n_words = xp.n_words),
+ced AS (SELECT line_id, CASE WHEN abs(ced0) < 1e-4 THEN 0.0 ELSE ced0 END AS ced, n_words FROM cd)
+""")
+
+
+@register("ced", _CED_SQL + "SELECT line_id, round(ced, 6) AS ced, n_words FROM ced", ["v_pos", "v_neg", "v_pool"])
+def q_ced(spark, d):
+    pos = LM.train_ngram_lm(T.v_pos(spark, d), "text", 2)
+    neg = LM.train_ngram_lm(T.v_neg(spark, d), "text", 2)
+    c = LM.ced(T.v_pool(spark, d), pos, neg, "text", "line_id", 2)
+    return c.withColumn("ced", r6("ced"))
