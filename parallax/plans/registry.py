@@ -657,3 +657,109 @@ def q_ced(spark, d):
     neg = LM.train_ngram_lm(T.v_neg(spark, d), "text", 2)
     c = LM.ced(T.v_pool(spark, d), pos, neg, "text", "line_id", 2)
     return c.withColumn("ced", r6("ced"))
+
+
+# ---------------------------------------------------------------- vocabulary, truecasing
+
+from ..operators import vocab as V  # noqa: E402
+
+
+def _tok_sql(src: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT unnest({toks(c)}) AS token FROM {src}" for c in cols)
+
+
+@register("build_vocab", f"""SELECT token, count, CAST(row_number() OVER (ORDER BY count DESC, token) AS INTEGER) AS rank FROM (
+  SELECT token, count(*) AS count FROM ({_tok_sql('v_bitext', ['src', 'tgt'])}) GROUP BY token
+  ORDER BY count DESC, token LIMIT 500)""", ["v_bitext"])
+def q_build_vocab(spark, d):
+    return V.build_vocab(T.v_bitext(spark, d), ["src", "tgt"], 500).withColumn("rank", F.col("rank").cast("int"))
+
+
+@register("oov_count", f"""WITH voc AS (SELECT token FROM ({_tok_sql('v_pos', ['text'])}) GROUP BY token ORDER BY count(*) DESC, token LIMIT 2000),
+occ AS (SELECT line_id, unnest({toks('text')}) AS w FROM v_pool)
+SELECT p.line_id, CAST(count(o.w) AS BIGINT) AS n_tokens, CAST(count(o.w) - count(v.token) AS BIGINT) AS n_oov
+FROM v_pool p LEFT JOIN occ o ON o.line_id = p.line_id LEFT JOIN voc v ON v.token = o.w GROUP BY p.line_id""",
+          ["v_pos", "v_pool"])
+def q_oov_count(spark, d):
+    voc = V.build_vocab(T.v_pos(spark, d), ["text"], 2000)
+    return V.oov_count(T.v_pool(spark, d), voc, "text", "line_id")
+
+
+_TC_TRAIN = f"""forms AS (SELECT form, count(*) AS n FROM (
+    SELECT unnest(t) AS form, unnest(range(len(t))) AS i FROM (SELECT {toks('text')} AS t FROM v_pos)) WHERE i > 0 GROUP BY form),
+tc AS (SELECT lower(form) AS lower, arg_min(form, (-n, form)) AS best, sum(n) AS count FROM forms GROUP BY lower(form))
+"""
+
+
+@register("train_truecaser", "WITH " + _TC_TRAIN + "SELECT lower, best, CAST(count AS BIGINT) AS count FROM tc", ["v_pos"])
+def q_train_truecaser(spark, d):
+    return V.train_truecaser(T.v_pos(spark, d), "text")
+
+
+@register("truecase_apply", "WITH " + _TC_TRAIN + f""",
+occ AS (SELECT line_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM (SELECT line_id, {toks('text')} AS t FROM v_pool)),
+cased AS (SELECT o.line_id, string_agg(coalesce(tc.best, o.w), ' ' ORDER BY o.i) AS text FROM occ o
+          LEFT JOIN tc ON tc.lower = lower(o.w) GROUP BY o.line_id)
+SELECT p.line_id, coalesce(c.text, '') AS text FROM v_pool p LEFT JOIN cased c ON c.line_id = p.line_id""", ["v_pos", "v_pool"])
+def q_truecase_apply(spark, d):
+    tc = V.train_truecaser(T.v_pos(spark, d), "text")
+    return V.truecase_apply(T.v_pool(spark, d).select("line_id", "text"), tc, "text", "line_id")
+
+
+# ---------------------------------------------------------------- BLEU (A6, A7, A17), C9
+
+from ..operators import bleu as B  # noqa: E402
+
+
+def _ng_sql(src: str, keys: str, tcol: str) -> str:
+    parts = []
+    for n in range(1, 5):
+        parts.append(f"""SELECT {keys}, {n} AS n, unnest(list_transform(range(1, len({tcol}) - {n - 1} + 1),
+            lambda i: array_to_string({tcol}[i:i + {n - 1}], ' '))) AS g FROM {src}""")
+    return " UNION ALL ".join(parts)
+
+
+def _bleu_sql(lower: bool) -> str:
+    lo = (lambda x: f"lower({x})") if lower else (lambda x: x)
+    return f"""WITH h AS (SELECT system, seg_id, {toks(lo('hyp'))} AS t FROM v_hyps),
+r AS (SELECT system, seg_id, ref_no, {toks(lo('ref'))} AS t FROM v_refs),
+hg AS (SELECT system, seg_id, n, g, count(*) AS ch FROM ({_ng_sql('h', 'system, seg_id', 't')}) GROUP BY ALL),
+rg0 AS (SELECT system, seg_id, ref_no, n, g, count(*) AS cr FROM ({_ng_sql('r', 'system, seg_id, ref_no', 't')}) GROUP BY ALL),
+rg AS (SELECT system, seg_id, n, g, max(cr) AS cr FROM rg0 GROUP BY ALL),
+cl AS (SELECT hg.system, hg.n, hg.ch, least(hg.ch, coalesce(rg.cr, 0)) AS m FROM hg LEFT JOIN rg
+       ON rg.system = hg.system AND rg.seg_id = hg.seg_id AND rg.n = hg.n AND rg.g = hg.g),
+pr AS (SELECT system,
+  sum(CASE WHEN n = 1 THEN m ELSE 0 END) AS num1, sum(CASE WHEN n = 1 THEN ch ELSE 0 END) AS den1,
+  sum(CASE WHEN n = 2 THEN m ELSE 0 END) AS num2, sum(CASE WHEN n = 2 THEN ch ELSE 0 END) AS den2,
+  sum(CASE WHEN n = 3 THEN m ELSE 0 END) AS num3, sum(CASE WHEN n = 3 THEN ch ELSE 0 END) AS den3,
+  sum(CASE WHEN n = 4 THEN m ELSE 0 END) AS num4, sum(CASE WHEN n = 4 THEN ch ELSE 0 END) AS den4 FROM cl GROUP BY system),
+bl AS (SELECT h.system, h.seg_id, len(h.t) AS hl, min({{'d': abs(len(r.t) - len(h.t)), 'rl': len(r.t)}}).rl AS rb
+       FROM h JOIN r ON r.system = h.system AND r.seg_id = h.seg_id GROUP BY h.system, h.seg_id, len(h.t)),
+ln AS (SELECT system, sum(hl) AS c, sum(rb) AS r FROM bl GROUP BY system),
+j AS (SELECT ln.system, ln.c, ln.r, pr.num1, pr.den1, pr.num2, pr.den2, pr.num3, pr.den3, pr.num4, pr.den4,
+  CASE WHEN ln.c >= ln.r THEN 1.0 WHEN ln.c > 0 THEN exp(1 - ln.r / ln.c) ELSE 0.0 END AS bp
+  FROM ln LEFT JOIN pr ON pr.system = ln.system)
+SELECT system, CAST(c AS BIGINT) AS c, CAST(r AS BIGINT) AS r,
+  CAST(num1 AS BIGINT) AS num1, CAST(den1 AS BIGINT) AS den1, CAST(num2 AS BIGINT) AS num2, CAST(den2 AS BIGINT) AS den2,
+  CAST(num3 AS BIGINT) AS num3, CAST(den3 AS BIGINT) AS den3, CAST(num4 AS BIGINT) AS num4, CAST(den4 AS BIGINT) AS den4,
+  round(bp, 6) AS bp,
+  round(CASE WHEN least(num1, num2, num3, num4) = 0 THEN 0.0
+       ELSE 100 * bp * exp((ln(num1 / den1) + ln(num2 / den2) + ln(num3 / den3) + ln(num4 / den4)) / 4) END, 6) AS bleu
+FROM j"""
+
+
+def _bleu_q(spark, d, lower):
+    h, r = T.v_hyps_refs(spark, d)
+    b = B.corpus_bleu(h, r, ["system"], lower=lower)
+    return b.select("system", "c", "r", *[f"{p}{n}" for n in range(1, 5) for p in ("num", "den")],
+                    r6("bp").alias("bp"), r6("bleu_raw").alias("bleu"))
+
+
+@register("corpus_bleu", _bleu_sql(False), ["v_hyps", "v_refs"])
+def q_corpus_bleu(spark, d):
+    return _bleu_q(spark, d, False)
+
+
+@register("corpus_bleu_lc", _bleu_sql(True), ["v_hyps", "v_refs"])
+def q_corpus_bleu_lc(spark, d):
+    return _bleu_q(spark, d, True)
