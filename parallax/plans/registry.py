@@ -719,33 +719,39 @@ def _ng_sql(src: str, keys: str, tcol: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-def _bleu_sql(lower: bool) -> str:
+def _bleu_sql(lower: bool, hyps: str = "v_hyps", refs: str = "v_refs", grid: str = "", head: str = "WITH ") -> str:
     lo = (lambda x: f"lower({x})") if lower else (lambda x: x)
-    return f"""WITH h AS (SELECT system, seg_id, {toks(lo('hyp'))} AS t FROM v_hyps),
-r AS (SELECT system, seg_id, ref_no, {toks(lo('ref'))} AS t FROM v_refs),
-hg AS (SELECT system, seg_id, n, g, count(*) AS ch FROM ({_ng_sql('h', 'system, seg_id', 't')}) GROUP BY ALL),
-rg0 AS (SELECT system, seg_id, ref_no, n, g, count(*) AS cr FROM ({_ng_sql('r', 'system, seg_id, ref_no', 't')}) GROUP BY ALL),
-rg AS (SELECT system, seg_id, n, g, max(cr) AS cr FROM rg0 GROUP BY ALL),
-cl AS (SELECT hg.system, hg.n, hg.ch, least(hg.ch, coalesce(rg.cr, 0)) AS m FROM hg LEFT JOIN rg
-       ON rg.system = hg.system AND rg.seg_id = hg.seg_id AND rg.n = hg.n AND rg.g = hg.g),
-pr AS (SELECT system,
+    body = f"""h AS (SELECT system{grid}, seg_id, {toks(lo('hyp'))} AS t FROM {hyps}),
+r AS (SELECT system{grid}, seg_id, ref_no, {toks(lo('ref'))} AS t FROM {refs}),
+hg AS (SELECT system{grid}, seg_id, n, g, count(*) AS ch FROM ({_ng_sql('h', 'system' + grid + ', seg_id', 't')}) GROUP BY ALL),
+rg0 AS (SELECT system{grid}, seg_id, ref_no, n, g, count(*) AS cr FROM ({_ng_sql('r', 'system' + grid + ', seg_id, ref_no', 't')}) GROUP BY ALL),
+rg AS (SELECT system{grid}, seg_id, n, g, max(cr) AS cr FROM rg0 GROUP BY ALL),
+cl AS (SELECT hg.system{grid.replace(', ', ', hg.')}, hg.n, hg.ch, least(hg.ch, coalesce(rg.cr, 0)) AS m FROM hg LEFT JOIN rg
+       ON rg.system = hg.system AND rg.seg_id = hg.seg_id AND rg.n = hg.n AND rg.g = hg.g{_gj('rg', 'hg', grid)}),
+pr AS (SELECT system{grid},
   sum(CASE WHEN n = 1 THEN m ELSE 0 END) AS num1, sum(CASE WHEN n = 1 THEN ch ELSE 0 END) AS den1,
   sum(CASE WHEN n = 2 THEN m ELSE 0 END) AS num2, sum(CASE WHEN n = 2 THEN ch ELSE 0 END) AS den2,
   sum(CASE WHEN n = 3 THEN m ELSE 0 END) AS num3, sum(CASE WHEN n = 3 THEN ch ELSE 0 END) AS den3,
-  sum(CASE WHEN n = 4 THEN m ELSE 0 END) AS num4, sum(CASE WHEN n = 4 THEN ch ELSE 0 END) AS den4 FROM cl GROUP BY system),
-bl AS (SELECT h.system, h.seg_id, len(h.t) AS hl, min({{'d': abs(len(r.t) - len(h.t)), 'rl': len(r.t)}}).rl AS rb
-       FROM h JOIN r ON r.system = h.system AND r.seg_id = h.seg_id GROUP BY h.system, h.seg_id, len(h.t)),
-ln AS (SELECT system, sum(hl) AS c, sum(rb) AS r FROM bl GROUP BY system),
-j AS (SELECT ln.system, ln.c, ln.r, pr.num1, pr.den1, pr.num2, pr.den2, pr.num3, pr.den3, pr.num4, pr.den4,
+  sum(CASE WHEN n = 4 THEN m ELSE 0 END) AS num4, sum(CASE WHEN n = 4 THEN ch ELSE 0 END) AS den4 FROM cl GROUP BY ALL),
+bl AS (SELECT h.system{grid.replace(', ', ', h.')}, h.seg_id, len(h.t) AS hl, min({{'d': abs(len(r.t) - len(h.t)), 'rl': len(r.t)}}).rl AS rb
+       FROM h JOIN r ON r.system = h.system AND r.seg_id = h.seg_id{_gj('r', 'h', grid)} GROUP BY ALL),
+ln AS (SELECT system{grid}, sum(hl) AS c, sum(rb) AS r FROM bl GROUP BY ALL),
+j AS (SELECT ln.system{grid.replace(', ', ', ln.')}, ln.c, ln.r, pr.num1, pr.den1, pr.num2, pr.den2, pr.num3, pr.den3, pr.num4, pr.den4,
   CASE WHEN ln.c >= ln.r THEN 1.0 WHEN ln.c > 0 THEN exp(1 - ln.r / ln.c) ELSE 0.0 END AS bp
-  FROM ln LEFT JOIN pr ON pr.system = ln.system)
-SELECT system, CAST(c AS BIGINT) AS c, CAST(r AS BIGINT) AS r,
+  FROM ln LEFT JOIN pr ON pr.system = ln.system{_gj('pr', 'ln', grid)}),
+bleu AS (SELECT system{grid}, CAST(c AS BIGINT) AS c, CAST(r AS BIGINT) AS r,
   CAST(num1 AS BIGINT) AS num1, CAST(den1 AS BIGINT) AS den1, CAST(num2 AS BIGINT) AS num2, CAST(den2 AS BIGINT) AS den2,
   CAST(num3 AS BIGINT) AS num3, CAST(den3 AS BIGINT) AS den3, CAST(num4 AS BIGINT) AS num4, CAST(den4 AS BIGINT) AS den4,
   round(bp, 6) AS bp,
   round(CASE WHEN least(num1, num2, num3, num4) = 0 THEN 0.0
        ELSE 100 * bp * exp((ln(num1 / den1) + ln(num2 / den2) + ln(num3 / den3) + ln(num4 / den4)) / 4) END, 6) AS bleu
-FROM j"""
+FROM j)
+"""
+    return head + body if head == "WITH " and not hyps.startswith("(") else head + body
+
+
+def _gj(a: str, b: str, grid: str) -> str:
+    return "".join(f" AND {a}.{g} = {b}.{g}" for g in grid.split(", ") if g)
 
 
 def _bleu_q(spark, d, lower):
@@ -755,11 +761,44 @@ def _bleu_q(spark, d, lower):
                     r6("bp").alias("bp"), r6("bleu_raw").alias("bleu"))
 
 
-@register("corpus_bleu", _bleu_sql(False), ["v_hyps", "v_refs"])
+@register("corpus_bleu", _bleu_sql(False) + "SELECT * FROM bleu", ["v_hyps", "v_refs"])
 def q_corpus_bleu(spark, d):
     return _bleu_q(spark, d, False)
 
 
-@register("corpus_bleu_lc", _bleu_sql(True), ["v_hyps", "v_refs"])
+@register("corpus_bleu_lc", _bleu_sql(True) + "SELECT * FROM bleu", ["v_hyps", "v_refs"])
 def q_corpus_bleu_lc(spark, d):
     return _bleu_q(spark, d, True)
+
+
+# grid: every system x {4 references, first reference only}; one job (A17), then run statistics
+_GRID_CTE = """gh AS (SELECT system, t.test_id, seg_id, hyp FROM v_hyps, (VALUES ('ref4'), ('ref1')) t(test_id)),
+gr AS (SELECT system, 'ref4' AS test_id, seg_id, ref_no, ref FROM v_refs
+       UNION ALL SELECT system, 'ref1' AS test_id, seg_id, ref_no, ref FROM v_refs WHERE ref_no = 0),
+"""
+
+
+def _grid_inputs(spark, d):
+    h, r = T.v_hyps_refs(spark, d)
+    gh = h.withColumn("test_id", F.explode(F.array(F.lit("ref4"), F.lit("ref1"))))  # both test variants
+    gr = r.withColumn("test_id", F.lit("ref4")).unionByName(r.filter(F.col("ref_no") == 0).withColumn("test_id", F.lit("ref1")))
+    return gh, gr
+
+
+@register("evaluation_grid", "WITH " + _GRID_CTE + _bleu_sql(False, "gh", "gr", ", test_id", head="") + "SELECT * FROM bleu",
+          ["v_hyps", "v_refs"])
+def q_evaluation_grid(spark, d):
+    gh, gr = _grid_inputs(spark, d)
+    b = B.evaluation_grid(gh, gr, ["system", "test_id"])
+    return b.select("system", "test_id", "c", "r", *[f"{p}{n}" for n in range(1, 5) for p in ("num", "den")],
+                    r6("bp").alias("bp"), r6("bleu_raw").alias("bleu"))
+
+
+@register("run_statistics", "WITH " + _GRID_CTE + _bleu_sql(False, "gh", "gr", ", test_id", head="") + """
+SELECT test_id, round(avg(round(bleu, 2)), 6) AS mean, round(stddev_samp(round(bleu, 2)), 6) AS std,
+  round(min(round(bleu, 2)), 6) AS min, round(max(round(bleu, 2)), 6) AS max, count(*) AS runs FROM bleu GROUP BY test_id""",
+          ["v_hyps", "v_refs"])
+def q_run_statistics(spark, d):
+    gh, gr = _grid_inputs(spark, d)
+    st = B.run_statistics(B.evaluation_grid(gh, gr, ["system", "test_id"]), ["test_id"], "bleu")
+    return st.select("test_id", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")], "runs")
