@@ -802,3 +802,87 @@ def q_run_statistics(spark, d):
     gh, gr = _grid_inputs(spark, d)
     st = B.run_statistics(B.evaluation_grid(gh, gr, ["system", "test_id"]), ["test_id"], "bleu")
     return st.select("test_id", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")], "runs")
+
+
+# ---------------------------------------------------------------- subwords (A11, J9), guarded join (J2), composites
+
+from ..operators import subword as SW  # noqa: E402
+from . import pipelines as PL  # noqa: E402
+
+
+@register("learn_subwords")
+def q_learn_subwords(spark, d):
+    return SW.learn_subwords(T.v_bitext(spark, d), ["src", "tgt"], 40)
+
+
+@register("subword_apply")
+def q_subword_apply(spark, d):
+    merges = SW.learn_subwords(T.v_pos(spark, d), ["text"], 40)
+    return SW.subword_apply(T.v_pool(spark, d).select("line_id", "text"), merges, "text", "line_id")
+
+
+@register("guarded_join", _CED_SQL.replace("ced AS (SELECT line_id", "ced_unused AS (SELECT line_id") + """,
+gj AS (SELECT xp.line_id, xp.n_words, xp.xent AS xent_pos, yp.xent AS xent_neg FROM xp JOIN yp
+       ON yp.line_id = xp.line_id AND yp.n_words = xp.n_words)
+SELECT line_id, n_words, round(xent_pos, 6) AS xent_pos, round(xent_neg, 6) AS xent_neg FROM gj""", ["v_pos", "v_neg", "v_pool"])
+def q_guarded_join(spark, d):
+    pool = T.v_pool(spark, d)
+    xp = LM.cross_entropy(pool, LM.train_ngram_lm(T.v_pos(spark, d), "text", 2), "text", "line_id", 2)
+    xn = LM.cross_entropy(pool, LM.train_ngram_lm(T.v_neg(spark, d), "text", 2), "text", "line_id", 2)
+    xp, xn = xp.filter(F.col("xent").isNotNull()), xn.filter(F.col("xent").isNotNull())
+    return J.guarded_join(xp, xn, "line_id", "n_words").select(
+        "line_id", "n_words", r6("xent_pos").alias("xent_pos"), r6("xent_neg").alias("xent_neg"))
+
+
+def _ced_sel(spark, d, low: bool):
+    lo, hi = PL.ced_selection(T.v_pool(spark, d).select("line_id", "text"), T.v_pos(spark, d), T.v_neg(spark, d), 50, 2,
+                              "text", "line_id")
+    return (lo if low else hi).select("line_id", r6("ced").alias("ced"))
+
+
+@register("ced_select_low", _CED_SQL + "SELECT line_id, round(ced, 6) AS ced FROM ced ORDER BY ced, line_id LIMIT 50",
+          ["v_pos", "v_neg", "v_pool"])
+def q_ced_select_low(spark, d):
+    return _ced_sel(spark, d, True)
+
+
+@register("ced_select_high", _CED_SQL + "SELECT line_id, round(ced, 6) AS ced FROM ced ORDER BY ced DESC, line_id DESC LIMIT 50",
+          ["v_pos", "v_neg", "v_pool"])
+def q_ced_select_high(spark, d):
+    return _ced_sel(spark, d, False)
+
+
+def _clean_sql(x: str) -> str:
+    s = f"regexp_replace({x}, '\\p{{C}}', ' ', 'g')"
+    s = R.duckdb_chain(s, R.PUNCT_RULES_COMMON + R.PUNCT_RULES_EN)
+    return R.duckdb_chain(s, R.TOKENIZE_RULES)
+
+
+@register("prepare_bitext", f"""WITH c AS (SELECT DISTINCT {_clean_sql('src')} AS src, {_clean_sql('tgt')} AS tgt FROM v_bitext),
+k AS (SELECT src, tgt, md5(src || chr(9) || tgt) AS k FROM c),
+s AS (SELECT src, tgt, row_number() OVER (ORDER BY md5('0|' || k), k) AS shuffled_no FROM k),
+w AS (SELECT *, {_wordset_sql('src')} AS a, {_wordset_sql('tgt')} AS b, {nt('src')} AS n1, {nt('tgt')} AS n2 FROM s)
+SELECT src, tgt, shuffled_no FROM w
+WHERE (least(len(a), len(b)) = 0 OR len(list_intersect(a, b)) / least(len(a), len(b)) < 0.5)
+  AND n1 > 0 AND n2 > 0 AND greatest(n1, n2) <= 2.0 * least(n1, n2)""", ["v_bitext"])
+def q_prepare_bitext(spark, d):
+    return PL.prepare_bitext(T.v_bitext(spark, d)).select("src", "tgt", "shuffled_no")
+
+
+_EVAL_HYPS = f"""ph AS (SELECT system, seg_id, {_post_sql('hyp', True)} AS hyp FROM v_hyps),
+"""
+
+
+@register("evaluate_outputs", "WITH " + _EVAL_HYPS + _bleu_sql(True, "ph", "v_refs", "", head="") + """
+SELECT count(*) AS runs, round(avg(round(bleu, 2)), 6) AS mean, round(stddev_samp(round(bleu, 2)), 6) AS std,
+  round(min(round(bleu, 2)), 6) AS min, round(max(round(bleu, 2)), 6) AS max FROM bleu""", ["v_hyps", "v_refs"])
+def q_evaluate_outputs(spark, d):
+    h, r = T.v_hyps_refs(spark, d)
+    _, stats = PL.evaluate_outputs(h, r, ["system"], "formal", False, stat_keys=[])
+    return stats.select("runs", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@register("prepare_training")
+def q_prepare_training(spark, d):
+    b = T.v_bitext(spark, d)
+    return PL.prepare_training(b, T.v_pos(spark, d), 30, "formal", "informal", "tag", a="src", b="tgt", key="pair_id")
