@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import materialize, tokens
 
 MAX_N = 4
 
@@ -41,8 +41,9 @@ def corpus_bleu(hyps: DataFrame, refs: DataFrame, keys: list[str], seg: str = "s
     hcol, rcol = F.col(hyp), F.col(ref)
     if lower:
         hcol, rcol = F.lower(hcol), F.lower(rcol)
-    h = hyps.select(*keys, seg, tokens(hcol).alias("_t"))
-    r = refs.select(*keys, seg, ref_no, tokens(rcol).alias("_t"))
+    # token arrays are stored once per row: the n-gram lambdas below read them per index
+    h = materialize(hyps.select(*keys, seg, hcol.alias("_x")), {"_t": tokens(F.col("_x"))}).drop("_x")
+    r = materialize(refs.select(*keys, seg, ref_no, rcol.alias("_x")), {"_t": tokens(F.col("_x"))}).drop("_x")
     sk = [*keys, seg]
     # hypothesis n-gram counts and lengths
     hc = h.select(*sk, F.explode(_ngrams(F.col("_t"))).alias("_g")).groupBy(*sk, "_g").agg(F.count(F.lit(1)).alias("ch"))

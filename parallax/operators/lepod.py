@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import materialize, tokens
 from .joins import attach_alignment
 
 SPAN_TYPE = "array<struct<start1:int,len1:int,start2:int,len2:int>>"
@@ -52,17 +52,6 @@ def _idx(n: Column) -> Column:
 _COVER = "struct<s:int,o:int,ident:boolean>"
 
 
-def materialize(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
-    """Evaluate `cols` once per row and expose them as plain columns.
-
-    Spark inlines a projected expression into every later reference, and a reference
-    inside a lambda (`transform`, `filter`, `aggregate`) is evaluated once per array
-    element.  A one-element `inline` is a Generate node that projections are not merged
-    through, so array work above it reads the stored value instead of recomputing it.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
-
-
 def enriched_spans(mine: Column, other: Column, spans: Column, side: int = 1) -> Column:
     """Spans seen from `side`: (s = own start, l = own length, o = other start, ident)."""
     s_me, l_me, s_ot, l_ot = ("start1", "len1", "start2", "len2") if side == 1 else ("start2", "len2", "start1", "len1")
@@ -176,7 +165,7 @@ def prepare_pairs(pairs: DataFrame, text1: str = "text1", text2: str = "text2",
     a, b = F.col(text1), F.col(text2)
     if lower:
         a, b = F.lower(a), F.lower(b)
-    return pairs.withColumns({"t1": tokens(a), "t2": tokens(b)})
+    return materialize(pairs, {"t1": tokens(a), "t2": tokens(b)})  # read per span / index below
 
 
 def lepod(

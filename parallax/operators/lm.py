@@ -22,10 +22,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import materialize, tokens
 
 BOS, EOS, UNK = "<s>", "</s>", "<unk>"
 SEP = " "
@@ -45,7 +46,7 @@ def _windows(arr: Column, k: int) -> Column:
 
 def ngram_counts(corpus: DataFrame, col: str, order: int) -> list[DataFrame]:
     """Raw counts per order: [df_1, ..., df_order] each (ngram, c)."""
-    seg = corpus.select(padded(col).alias("_p"))
+    seg = materialize(corpus.select(col), {"_p": padded(col)})  # windows read it per index
     return [
         seg.select(F.explode(_windows(F.col("_p"), k)).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("c"))
         for k in range(1, order + 1)
@@ -115,7 +116,9 @@ def train_ngram_lm(corpus: DataFrame, col: str = "text", order: int = 5) -> Data
 
     Includes `<unk>` (n = 1) and `<s>` (n = 1, context only: log_p null).
     """
-    adj = adjusted_counts(ngram_counts(corpus, col, order))
+    # each order's table is read by its discount, context and interpolation steps and by
+    # the next order: keep them (recomputed from lineage if an executor is lost)
+    adj = [a.persist(StorageLevel.MEMORY_AND_DISK) for a in adjusted_counts(ngram_counts(corpus, col, order))]
     probs: list[DataFrame] = []
     ctx_tables: list[DataFrame] = []
     for k in range(1, order + 1):
@@ -138,7 +141,7 @@ def train_ngram_lm(corpus: DataFrame, col: str = "text", order: int = 5) -> Data
             lower = probs[-1].select(F.col("ngram").alias("tail"), F.col("p").alias("p_low"))
             g = g.withColumn("tail", _drop_first(F.col("ngram")))
             p = g.join(lower, "tail").select("ngram", (own + F.col("b") * F.col("p_low")).alias("p"))
-        probs.append(p)
+        probs.append(p.persist(StorageLevel.MEMORY_AND_DISK))
         if k >= 2:
             ctx_tables.append(ctx.select(F.col("h").alias("ngram"), F.log10("b").alias("log_b")))
     ptab = reduce(lambda x, y: x.unionByName(y), [

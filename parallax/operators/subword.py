@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import materialize, tokens
 
 EOW = "</w>"
 SEP = "\u0001"  # symbol separator inside the word table (never part of a token)
@@ -42,7 +42,8 @@ def word_table(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _pair_counts(wt: DataFrame) -> DataFrame:
-    arr = F.split(F.col("syms"), SEP)
+    wt = materialize(wt.select("cnt", "syms"), {"_a": F.split(F.col("syms"), SEP)})
+    arr = F.col("_a")
     idx = F.slice(F.sequence(F.lit(1), F.greatest(F.size(arr) - 1, F.lit(1))), 1, F.greatest(F.size(arr) - 1, F.lit(0)))
     pairs = wt.select("cnt", F.explode(F.transform(idx, lambda i: F.struct(F.element_at(arr, i).alias("l"),
                                                                           F.element_at(arr, i + 1).alias("r")))).alias("p"))

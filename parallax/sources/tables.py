@@ -16,7 +16,20 @@ LINE_ID_STRIDE = 100000  # line_id = doc_id * stride + line_no (max lines per do
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than the session has cores one round-robin shuffle.
+
+    A table stored as one parquet row group is read by one task, and the per-row text work
+    after it (line splitting, tokens, n-grams) would run there too.  Large inputs have far
+    more splits than cores and are left as they are (planning only, no job is run).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def lines(docs: DataFrame) -> DataFrame:
