@@ -37,21 +37,29 @@ def _ngrams(arr: Column) -> Column:
 
 def corpus_bleu(hyps: DataFrame, refs: DataFrame, keys: list[str], seg: str = "seg_id", hyp: str = "hyp",
                 ref: str = "ref", ref_no: str = "ref_no", lower: bool = False) -> DataFrame:
-    """One row per group `keys`: bleu (2 decimals), p1..p4 counts, c, r, bp."""
+    """One row per group `keys`: c, r, num1..4, den1..4, bp, bleu (2 decimals), bleu_raw.
+
+    Hypothesis rows (ref_no = -1) and reference rows are put in one frame and hash
+    partitioned by segment once; the n-gram explode and both count aggregations then run
+    inside those partitions (an aggregate keyed by a superset of the partitioning keys
+    needs no new shuffle), so only segment rows cross the network, never n-grams.
+    """
     hcol, rcol = F.col(hyp), F.col(ref)
     if lower:
         hcol, rcol = F.lower(hcol), F.lower(rcol)
-    # token arrays are stored once per row: the n-gram lambdas below read them per index
-    h = materialize(hyps.select(*keys, seg, hcol.alias("_x")), {"_t": tokens(F.col("_x"))}).drop("_x")
-    r = materialize(refs.select(*keys, seg, ref_no, rcol.alias("_x")), {"_t": tokens(F.col("_x"))}).drop("_x")
     sk = [*keys, seg]
-    # hypothesis n-gram counts and lengths
-    hc = h.select(*sk, F.explode(_ngrams(F.col("_t"))).alias("_g")).groupBy(*sk, "_g").agg(F.count(F.lit(1)).alias("ch"))
-    rc = r.select(*sk, ref_no, F.explode(_ngrams(F.col("_t"))).alias("_g")).groupBy(*sk, ref_no, "_g").agg(
-        F.count(F.lit(1)).alias("cr")).groupBy(*sk, "_g").agg(F.max("cr").alias("cr"))
-    clip = hc.join(rc, [*sk, "_g"], "left").select(
-        *keys, F.col("_g.n").alias("n"), F.col("ch"), F.least("ch", F.coalesce("cr", F.lit(0))).alias("m")
-    )
+    rows = hyps.select(*sk, F.lit(-1).alias("_r"), hcol.alias("_x")).unionByName(
+        refs.select(*sk, F.col(ref_no).cast("int").alias("_r"), rcol.alias("_x")))
+    rows = rows.repartition(*sk)
+    # token arrays are stored once per row: the n-gram lambdas below read them per index
+    rows = materialize(rows, {"_t": tokens(F.col("_x"))}).drop("_x")
+    grams = rows.select(*sk, "_r", F.explode(_ngrams(F.col("_t"))).alias("_g"))
+    per_side = grams.groupBy(*sk, "_g", "_r").agg(F.count(F.lit(1)).alias("_c"))
+    per_gram = per_side.groupBy(*sk, "_g").agg(
+        F.sum(F.when(F.col("_r") < 0, F.col("_c"))).alias("ch"),
+        F.max(F.when(F.col("_r") >= 0, F.col("_c"))).alias("cr"),
+    ).filter(F.col("ch").isNotNull())
+    clip = per_gram.select(*keys, F.col("_g.n").alias("n"), "ch", F.least("ch", F.coalesce("cr", F.lit(0))).alias("m"))
     prec = clip.groupBy(*keys).agg(*[
         x for n in range(1, MAX_N + 1) for x in (
             F.sum(F.when(F.col("n") == n, F.col("m")).otherwise(0)).cast("bigint").alias(f"num{n}"),
@@ -59,12 +67,18 @@ def corpus_bleu(hyps: DataFrame, refs: DataFrame, keys: list[str], seg: str = "s
         )
     ])
     # closest reference length per segment (ties -> shorter), summed per group
-    hl = h.select(*sk, F.size("_t").alias("hl"))
-    rl = r.select(*sk, F.size("_t").alias("rl"))
-    best = hl.join(rl, sk).groupBy(*sk, "hl").agg(
-        F.min(F.struct(F.abs(F.col("rl") - F.col("hl")).alias("d"), F.col("rl").alias("rl")))["rl"].alias("rbest")
-    )
-    lens = best.groupBy(*keys).agg(F.sum("hl").cast("bigint").alias("c"), F.sum("rbest").cast("bigint").alias("r"))
+    seg_len = rows.groupBy(*sk).agg(
+        F.max(F.when(F.col("_r") < 0, F.size("_t"))).alias("hl"),
+        F.collect_list(F.when(F.col("_r") >= 0, F.size("_t"))).alias("_rls"),
+    ).filter(F.col("hl").isNotNull() & (F.size("_rls") > 0))
+    closest = F.aggregate(
+        "_rls", F.struct(F.lit(1 << 30).alias("d"), F.lit(0).alias("rl")),
+        lambda acc, x: F.when(
+            (F.abs(x - F.col("hl")) < acc["d"]) | ((F.abs(x - F.col("hl")) == acc["d"]) & (x < acc["rl"])),
+            F.struct(F.abs(x - F.col("hl")).alias("d"), x.alias("rl")),
+        ).otherwise(acc),
+    )["rl"]
+    lens = seg_len.groupBy(*keys).agg(F.sum("hl").cast("bigint").alias("c"), F.sum(closest).cast("bigint").alias("r"))
     out = lens.join(prec, keys, "left")
     c, rr = F.col("c"), F.col("r")
     bp = F.when(c >= rr, F.lit(1.0)).when(c > 0, F.exp(F.lit(1.0) - F.try_divide(rr, c))).otherwise(F.lit(0.0))
