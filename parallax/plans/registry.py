@@ -210,10 +210,10 @@ def q_project_fields(spark, d):
     return FL.project_fields(T.v_bitext(spark, d), ["pair_id", "tgt"])
 
 
-@register("drop_matching", "SELECT pair_id, src, tgt FROM v_bitext WHERE NOT (regexp_matches(src, '[?]') OR regexp_matches(tgt, '[?]'))",
+@register("drop_matching", "SELECT pair_id, src, tgt FROM v_bitext WHERE NOT (regexp_matches(src, 'q') OR regexp_matches(tgt, 'q'))",
           ["v_bitext"])
 def q_drop_matching(spark, d):
-    return FL.drop_matching(T.v_bitext(spark, d), ["src", "tgt"], "[?]")
+    return FL.drop_matching(T.v_bitext(spark, d), ["src", "tgt"], "q")
 
 
 @register("drop_empty", "SELECT line_id, text FROM v_lines WHERE text <> ''", ["v_lines"])
