@@ -36,9 +36,12 @@ def _ngrams(arr: Column) -> Column:
 
 
 def corpus_bleu(hyps: DataFrame, refs: DataFrame, keys: list[str], seg: str = "seg_id", hyp: str = "hyp",
-                ref: str = "ref", ref_no: str = "ref_no", lower: bool = False) -> DataFrame:
+                ref: str = "ref", ref_no: str = "ref_no", lower: bool = False, max_refs: int | None = 4) -> DataFrame:
     """One row per group `keys`: c, r, num1..4, den1..4, bp, bleu (2 decimals), bleu_raw.
 
+    `max_refs` bounds `ref_no` (0-based) so one aggregation per n-gram suffices; pass None
+    for reference sets with arbitrary numbering.
+
     Hypothesis rows (ref_no = -1) and reference rows are put in one frame and hash
     partitioned by segment once; the n-gram explode and both count aggregations then run
     inside those partitions (an aggregate keyed by a superset of the partitioning keys
@@ -54,11 +57,18 @@ def corpus_bleu(hyps: DataFrame, refs: DataFrame, keys: list[str], seg: str = "s
     # token arrays are stored once per row: the n-gram lambdas below read them per index
     rows = materialize(rows, {"_t": tokens(F.col("_x"))}).drop("_x")
     grams = rows.select(*sk, "_r", F.explode(_ngrams(F.col("_t"))).alias("_g"))
-    per_side = grams.groupBy(*sk, "_g", "_r").agg(F.count(F.lit(1)).alias("_c"))
-    per_gram = per_side.groupBy(*sk, "_g").agg(
-        F.sum(F.when(F.col("_r") < 0, F.col("_c"))).alias("ch"),
-        F.max(F.when(F.col("_r") >= 0, F.col("_c"))).alias("cr"),
-    ).filter(F.col("ch").isNotNull())
+    if max_refs:
+        # ref_no in 0..max_refs-1 (the reference uses 1 or 4): one aggregation per n-gram
+        per_gram = grams.groupBy(*sk, "_g").agg(
+            F.count_if(F.col("_r") < 0).alias("ch"),
+            F.greatest(*[F.count_if(F.col("_r") == j) for j in range(max_refs)], F.lit(0)).alias("cr"),
+        ).filter(F.col("ch") > 0)
+    else:
+        per_side = grams.groupBy(*sk, "_g", "_r").agg(F.count(F.lit(1)).alias("_c"))
+        per_gram = per_side.groupBy(*sk, "_g").agg(
+            F.sum(F.when(F.col("_r") < 0, F.col("_c"))).alias("ch"),
+            F.max(F.when(F.col("_r") >= 0, F.col("_c"))).alias("cr"),
+        ).filter(F.col("ch").isNotNull())
     clip = per_gram.select(*keys, F.col("_g.n").alias("n"), "ch", F.least("ch", F.coalesce("cr", F.lit(0))).alias("m"))
     prec = clip.groupBy(*keys).agg(*[
         x for n in range(1, MAX_N + 1) for x in (

@@ -159,22 +159,14 @@ def lm_score(df: DataFrame, model: DataFrame, col: str = "text", key: str = "lin
     `</s>` is scored, `<s>` is not; unknown words are scored as `<unk>`.  For the token w
     with history h: m = longest n-gram ending at w that the model has; log p =
     log p(that n-gram) + sum of log b(c) over the contexts c before w of length >= m that
-    the model has as contexts.
+    the model has as contexts.  No model n-gram or context contains `<unk>` or an unknown
+    word, so lookups run on the raw tokens and only the unigram falls back to `<unk>`.
     """
     if order is None:
         order = model.agg(F.max("n")).first()[0]
-    vocab = model.filter((F.col("n") == 1) & F.col("log_p").isNotNull()).select(F.col("ngram").alias("_w"))
-    seg = df.select(key, tokens(col).alias("_t"))
-    # map unknown words to <unk>: one join on distinct (line, word) rows would be large;
-    # the word -> known flag join runs on the exploded tokens with the vocabulary side.
-    tok = seg.select(key, F.posexplode(F.concat(F.array(F.lit(BOS)), "_t", F.array(F.lit(EOS)))).alias("_i", "_w"))
-    known = tok.join(vocab.withColumn("_known", F.lit(True)), "_w", "left")
-    known = known.withColumn("_u", F.when(F.col("_known") | (F.col("_w") == BOS), F.col("_w")).otherwise(F.lit(UNK)))
-    arr = known.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_i", "_u"))).alias("_s"),
-        F.count_if(F.col("_known").isNull() & (F.col("_w") != BOS) & (F.col("_w") != EOS)).alias("n_oov"),
-    ).select(key, F.transform("_s", lambda s: s["_u"]).alias("_p"), "n_oov")
-    # one row per (segment, scored position, lookup key)
+    unk_lp = model.filter(F.col("ngram") == UNK).select("log_p").scalar()
+    seg = materialize(df.select(key, col), {"_p": padded(col)}).select(key, "_p")
+
     def keys_at(i):
         # n-grams ending at i (length j) and contexts before i (length j), j = 1..order
         lk = []
@@ -187,22 +179,24 @@ def lm_score(df: DataFrame, model: DataFrame, col: str = "text", key: str = "lin
                                                              F.array_join(F.slice("_p", F.greatest(cstart, F.lit(1)), j), SEP).alias("k"))))
         return F.filter(F.array(*lk), lambda x: x.isNotNull())
 
-    pos = arr.select(key, "n_oov", F.explode(F.sequence(F.lit(2), F.size("_p"))).alias("_i"), "_p")
-    look = pos.select(key, "_i", F.explode(keys_at(F.col("_i"))).alias("_l")).select(key, "_i", "_l.*")
+    pos = seg.select(key, (F.size("_p") - F.lit(2)).alias("_nw"), F.explode(F.sequence(F.lit(2), F.size("_p"))).alias("_i"), "_p")
+    look = pos.select(key, "_nw", "_i", F.explode(keys_at(F.col("_i"))).alias("_l")).select(key, "_nw", "_i", "_l.*")
     m = model.select(F.col("ngram").alias("k"), "log_p", "log_b")
     joined = look.join(m, "k", "left")
     per_tok = joined.groupBy(key, "_i").agg(
+        F.max("_nw").alias("_nw"),
         F.max(F.when((F.col("kind") == "g") & F.col("log_p").isNotNull(), F.col("j"))).alias("_m"),
-        F.collect_list(F.when(F.col("kind") == "g", F.struct("j", "log_p"))).alias("_gs"),
+        F.collect_list(F.when((F.col("kind") == "g") & F.col("log_p").isNotNull(), F.struct("j", "log_p"))).alias("_gs"),
         F.collect_list(F.when((F.col("kind") == "c") & F.col("log_b").isNotNull(), F.struct("j", "log_b"))).alias("_cs"),
     )
-    lp = F.aggregate(F.filter("_gs", lambda x: x["j"] == F.col("_m")), F.lit(0.0), lambda acc, x: acc + x["log_p"])
-    lb = F.aggregate(F.filter("_cs", lambda x: x["j"] >= F.col("_m")), F.lit(0.0), lambda acc, x: acc + x["log_b"])
-    per_tok = per_tok.select(key, (lp + lb).alias("_lp"))
-    per_seg = per_tok.groupBy(key).agg(F.sum("_lp").alias("logprob"))
-    return arr.join(per_seg, key, "left").select(
-        key, F.coalesce("logprob", F.lit(0.0)).alias("logprob"),
-        (F.size("_p") - F.lit(2)).cast("int").alias("n_words"), F.col("n_oov").cast("int").alias("n_oov"),
+    mm = F.coalesce(F.col("_m"), F.lit(0))
+    lp = F.aggregate(F.filter("_gs", lambda x: x["j"] == mm), F.lit(0.0), lambda acc, x: acc + x["log_p"])
+    lp = F.when(F.col("_m").isNull(), unk_lp).otherwise(lp)
+    lb = F.aggregate(F.filter("_cs", lambda x: x["j"] >= mm), F.lit(0.0), lambda acc, x: acc + x["log_b"])
+    per_tok = per_tok.select(key, "_nw", (lp + lb).alias("_lp"), F.col("_m").isNull().alias("_oov"))
+    return per_tok.groupBy(key).agg(
+        F.sum("_lp").alias("logprob"), F.max("_nw").cast("int").alias("n_words"),
+        F.count_if("_oov").cast("int").alias("n_oov"),
     )
 
 
