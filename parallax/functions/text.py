@@ -22,6 +22,25 @@ def materialize(df, cols: dict):
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
 
 
+def explode_ngrams(df, arr: str, ns, keep: list, name: str = "_g"):
+    """One row per n-gram (n in `ns`) of the token array column `arr`: `name` =
+    struct(n, g) with g the space-joined tokens.
+
+    Positions come from `posexplode` and each n-gram is a plain `slice` per row, so the
+    work stays in generated code (a `transform` lambda per n-gram would be interpreted).
+    """
+    p = df.select(*keep, arr, F.posexplode(arr).alias("_gi", "_gw"))
+
+    def gram(n):
+        return F.when(
+            F.col("_gi") + n <= F.size(arr),
+            F.struct(F.lit(n).alias("n"), F.array_join(F.slice(arr, F.col("_gi") + 1, n), " ").alias("g")),
+        )
+
+    g = p.select(*keep, F.explode(F.array(*[gram(n) for n in ns])).alias(name))
+    return g.filter(F.col(name).isNotNull())
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 

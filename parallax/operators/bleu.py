@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import materialize, tokens
+from ..functions.text import explode_ngrams, materialize, tokens
 
 MAX_N = 4
 
@@ -56,7 +56,7 @@ def corpus_bleu(hyps: DataFrame, refs: DataFrame, keys: list[str], seg: str = "s
     rows = rows.repartition(*sk)
     # token arrays are stored once per row: the n-gram lambdas below read them per index
     rows = materialize(rows, {"_t": tokens(F.col("_x"))}).drop("_x")
-    grams = rows.select(*sk, "_r", F.explode(_ngrams(F.col("_t"))).alias("_g"))
+    grams = explode_ngrams(rows, "_t", range(1, MAX_N + 1), [*sk, "_r"])
     if max_refs:
         # ref_no in 0..max_refs-1 (the reference uses 1 or 4): one aggregation per n-gram
         per_gram = grams.groupBy(*sk, "_g").agg(

@@ -26,7 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import materialize, tokens
+from ..functions.text import explode_ngrams, materialize, tokens
 
 BOS, EOS, UNK = "<s>", "</s>", "<unk>"
 SEP = " "
@@ -46,9 +46,10 @@ def _windows(arr: Column, k: int) -> Column:
 
 def ngram_counts(corpus: DataFrame, col: str, order: int) -> list[DataFrame]:
     """Raw counts per order: [df_1, ..., df_order] each (ngram, c)."""
-    seg = materialize(corpus.select(col), {"_p": padded(col)})  # windows read it per index
+    seg = materialize(corpus.select(col), {"_p": padded(col)}).select("_p")
     return [
-        seg.select(F.explode(_windows(F.col("_p"), k)).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("c"))
+        explode_ngrams(seg, "_p", [k], []).select(F.col("_g.g").alias("ngram")).groupBy("ngram").agg(
+            F.count(F.lit(1)).alias("c"))
         for k in range(1, order + 1)
     ]
 
