@@ -184,17 +184,23 @@ def lm_score(df: DataFrame, model: DataFrame, col: str = "text", key: str = "lin
     look = pos.select(key, "_nw", "_i", F.explode(keys_at(F.col("_i"))).alias("_l")).select(key, "_nw", "_i", "_l.*")
     m = model.select(F.col("ngram").alias("k"), "log_p", "log_b")
     joined = look.join(m, "k", "left")
-    per_tok = joined.groupBy(key, "_i").agg(
-        F.max("_nw").alias("_nw"),
-        F.max(F.when((F.col("kind") == "g") & F.col("log_p").isNotNull(), F.col("j"))).alias("_m"),
-        F.collect_list(F.when((F.col("kind") == "g") & F.col("log_p").isNotNull(), F.struct("j", "log_p"))).alias("_gs"),
-        F.collect_list(F.when((F.col("kind") == "c") & F.col("log_b").isNotNull(), F.struct("j", "log_b"))).alias("_cs"),
-    )
-    mm = F.coalesce(F.col("_m"), F.lit(0))
-    lp = F.aggregate(F.filter("_gs", lambda x: x["j"] == mm), F.lit(0.0), lambda acc, x: acc + x["log_p"])
-    lp = F.when(F.col("_m").isNull(), unk_lp).otherwise(lp)
-    lb = F.aggregate(F.filter("_cs", lambda x: x["j"] >= mm), F.lit(0.0), lambda acc, x: acc + x["log_b"])
-    per_tok = per_tok.select(key, "_nw", (lp + lb).alias("_lp"), F.col("_m").isNull().alias("_oov"))
+    # order is small and fixed: one conditional max per (kind, length) keeps this a plain
+    # hash aggregate (no collected lists)
+    g_at = {j: F.max(F.when((F.col("kind") == "g") & (F.col("j") == j), F.col("log_p"))).alias(f"_g{j}")
+            for j in range(1, order + 1)}
+    c_at = {j: F.max(F.when((F.col("kind") == "c") & (F.col("j") == j), F.col("log_b"))).alias(f"_c{j}")
+            for j in range(1, order)}
+    per_tok = joined.groupBy(key, "_i").agg(F.max("_nw").alias("_nw"), *g_at.values(), *c_at.values())
+    mm = F.lit(0)
+    lp = unk_lp
+    for j in range(1, order + 1):  # longest matching n-gram wins
+        hit = F.col(f"_g{j}").isNotNull()
+        mm = F.when(hit, F.lit(j)).otherwise(mm)
+        lp = F.when(hit, F.col(f"_g{j}")).otherwise(lp)
+    lb = F.lit(0.0)
+    for j in range(1, order):
+        lb = lb + F.when(F.lit(j) >= mm, F.coalesce(F.col(f"_c{j}"), F.lit(0.0))).otherwise(F.lit(0.0))
+    per_tok = per_tok.select(key, "_nw", (lp + lb).alias("_lp"), (mm == 0).alias("_oov"))
     return per_tok.groupBy(key).agg(
         F.sum("_lp").alias("logprob"), F.max("_nw").cast("int").alias("n_words"),
         F.count_if("_oov").cast("int").alias("n_oov"),
