@@ -186,26 +186,26 @@ def sort_by_score(df: DataFrame, score: str = "ced", tie: str = "line_no") -> Da
     return df.orderBy(F.col(score).asc(), F.col(tie).asc())
 
 
-def select_lowest(df: DataFrame, n: int, score: str = "ced", tie: str = "line_no") -> DataFrame:
+def select_lowest(df: DataFrame, n: int, score: str = "ced", tie: str = "line_no", max_take: int | None = None) -> DataFrame:
     """O2: the first `n` rows of the ascending order.
 
     Small `n` is a TakeOrdered (per-task top-n, then a merge of n rows per task); large
     `n` numbers the range-partitioned sort and filters on the number, so no task holds
     the selection.
     """
-    return _select_first(df, n, score, tie, ascending=True)
+    return _select_first(df, n, score, tie, ascending=True, max_take=max_take)
 
 
-def select_highest(df: DataFrame, n: int, score: str = "ced", tie: str = "line_no") -> DataFrame:
+def select_highest(df: DataFrame, n: int, score: str = "ced", tie: str = "line_no", max_take: int | None = None) -> DataFrame:
     """O3: the first `n` rows read from the other end (descending on both keys)."""
-    return _select_first(df, n, score, tie, ascending=False)
+    return _select_first(df, n, score, tie, ascending=False, max_take=max_take)
 
 
 TAKE_ORDERED_MAX = 100_000  # rows a TakeOrdered may hold per task; larger n goes by threshold
 
 
-def _select_first(df: DataFrame, n: int, score: str, tie: str, ascending: bool) -> DataFrame:
-    if n <= TAKE_ORDERED_MAX:
+def _select_first(df: DataFrame, n: int, score: str, tie: str, ascending: bool, max_take: int | None = None) -> DataFrame:
+    if n <= (TAKE_ORDERED_MAX if max_take is None else max_take):
         order = [F.col(score).asc(), F.col(tie).asc()] if ascending else [F.col(score).desc(), F.col(tie).desc()]
         return df.orderBy(*order).limit(n)
     order = [score, tie] if ascending else ["-" + score, "-" + tie]

@@ -449,12 +449,8 @@ def q_select_highest(spark, d):
 
 @register("select_lowest_large", "SELECT line_id, ced FROM v_score ORDER BY ced, line_id LIMIT 2000", ["v_score"])
 def q_select_lowest_large(spark, d):
-    S_MAX = S.TAKE_ORDERED_MAX
-    try:
-        S.TAKE_ORDERED_MAX = 1000  # force the numbered-sort path
-        return S.select_lowest(T.v_score(spark, d).select("line_id", "ced"), 2000, "ced", "line_id")
-    finally:
-        S.TAKE_ORDERED_MAX = S_MAX
+    # max_take below n: the numbered range-sorted path used for large selections
+    return S.select_lowest(T.v_score(spark, d).select("line_id", "ced"), 2000, "ced", "line_id", max_take=1000)
 
 
 @register("head_n", "SELECT line_id, text FROM (SELECT line_id, text, row_number() OVER (ORDER BY line_id) AS p FROM v_pool) WHERE p <= 500",
