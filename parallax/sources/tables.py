@@ -26,10 +26,12 @@ def spread(df: DataFrame) -> DataFrame:
     after it (line splitting, tokens, n-grams) would run there too.  Large inputs have far
     more splits than cores and are left as they are (planning only, no job is run).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Connect session without RDD access: leave the scan as is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def lines(docs: DataFrame) -> DataFrame:
