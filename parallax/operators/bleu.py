@@ -77,10 +77,19 @@ def corpus_bleu(hyps: DataFrame, refs: DataFrame, keys: list[str], seg: str = "s
         )
     ])
     # closest reference length per segment (ties -> shorter), summed per group
-    seg_len = rows.groupBy(*sk).agg(
-        F.max(F.when(F.col("_r") < 0, F.size("_t"))).alias("hl"),
-        F.collect_list(F.when(F.col("_r") >= 0, F.size("_t"))).alias("_rls"),
-    ).filter(F.col("hl").isNotNull() & (F.size("_rls") > 0))
+    if max_refs:
+        # one plain aggregate per segment: hypothesis length and each reference length
+        seg_len = rows.groupBy(*sk).agg(
+            F.max(F.when(F.col("_r") < 0, F.size("_t"))).alias("hl"),
+            *[F.max(F.when(F.col("_r") == j, F.size("_t"))).alias(f"_rl{j}") for j in range(max_refs)],
+        ).filter(F.col("hl").isNotNull())
+        rls = F.filter(F.array(*[F.col(f"_rl{j}") for j in range(max_refs)]), lambda x: x.isNotNull())
+        seg_len = seg_len.select(*sk, "hl", rls.alias("_rls")).filter(F.size("_rls") > 0)
+    else:
+        seg_len = rows.groupBy(*sk).agg(
+            F.max(F.when(F.col("_r") < 0, F.size("_t"))).alias("hl"),
+            F.collect_list(F.when(F.col("_r") >= 0, F.size("_t"))).alias("_rls"),
+        ).filter(F.col("hl").isNotNull() & (F.size("_rls") > 0))
     closest = F.aggregate(
         "_rls", F.struct(F.lit(1 << 30).alias("d"), F.lit(0).alias("rl")),
         lambda acc, x: F.when(
