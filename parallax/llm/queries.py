@@ -8,8 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_cnn import fold, score_quality, train_quality
 from .decontaminate import decontaminate
+from .html_crf import extract_text
+from .jaccard_join import jaccard_join
+from .license_scan import license_scan
+from .maxent_lm import lm_scores
+from .mix_sources import mix_sources
 from .prefix_tokens import token_counts
+from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 
 QUERIES: dict = {}
@@ -34,6 +41,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+OP1_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_SPACED}) AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[s + 1 : s + 5], ' ') AS x
+       FROM d, unnest(range(greatest(len(w) - 4, 1))) AS t(s) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.other = link.a)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query("op1_jaccard_join", OP1_SQL)
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 OP2_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, {_ALNUM}) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWERED}, {_ALNUM}) AS w FROM benchmark),
@@ -60,6 +85,61 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP3_SQL = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_SPACED}))::BIGINT AS size,
+           ('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, 'null'))[1:13])::BIGINT::DOUBLE / 4503599627370496 AS u FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs,
+               [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source),
+filled AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER before, 0)) / sum(weight) OVER after AS level
+           FROM per WINDOW before AS (ORDER BY source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                           after AS (ORDER BY source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+goal AS (SELECT source, source_size, least(65536, greatest(1, docs // 64)) AS bins,
+                least(2.0 * source_size, weight * (SELECT coalesce(max(level), 0) FROM filled))::DOUBLE AS target FROM per),
+part AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM goal),
+r AS (SELECT d.*, source_size, target, whole, round(target - whole * source_size)::BIGINT AS need, floor(u * bins)::BIGINT AS bin
+      FROM d JOIN part ON d.source IS NOT DISTINCT FROM part.source),
+b AS (SELECT source, bin, need, sum(sum(size)) OVER (PARTITION BY source ORDER BY bin)::BIGINT AS upto, sum(size)::BIGINT AS words FROM r GROUP BY source, bin, need),
+edge AS (SELECT r.source, r.doc_id, r.size, need - upto + words AS rest,
+                row_number() OVER (PARTITION BY r.source ORDER BY r.size DESC, r.u, r.doc_id) AS k
+         FROM (SELECT source, bin, upto, words, need FROM b WHERE upto > need AND need - upto + words > 0) e
+         JOIN (SELECT source, bin, doc_id, u, size FROM r) r ON r.source IS NOT DISTINCT FROM e.source AND r.bin = e.bin WHERE size > 0),
+pick(source, k, rest, doc_id, taken) AS (
+    SELECT source, 0::BIGINT, any_value(rest), NULL::BIGINT, false FROM edge GROUP BY source
+    UNION ALL
+    SELECT e.source, e.k, CASE WHEN e.size <= p.rest THEN p.rest - e.size ELSE p.rest END, e.doc_id, e.size <= p.rest
+    FROM pick p JOIN edge e ON e.source IS NOT DISTINCT FROM p.source AND e.k = p.k + 1)
+SELECT r.doc_id, size, source_size, target,
+       size * (whole + (upto <= b.need OR coalesce(pick.taken, false))::INT)::BIGINT AS taken
+FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source AND r.bin = b.bin
+LEFT JOIN pick ON pick.doc_id = r.doc_id AND k > 0
+"""
+
+
+@query("op3_mix_sources", OP3_SQL)
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op4_maxent_lm")
+def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op5_byte_cnn")
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op6_license_scan")
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """The place of a public tokenizer's file; it is installed on every machine."""
     import public_tokenizers
@@ -90,3 +170,21 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup(table(spark, sf_dir, "documents"), k=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_html_crf")
+def op9_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
