@@ -58,7 +58,7 @@ PUNCT_RULES_OTHER = [
 ]
 
 # --- fixed values: tokenisation, applied in this order --------------------------
-TOKENIZE_RULES = [
+_BEFORE_APOSTROPHE = [
     (r"\s+", " "),
     (r"^ | $", ""),
     # every character that is not a letter, digit, space, period, apostrophe, backtick, comma or hyphen
@@ -71,10 +71,19 @@ TOKENIZE_RULES = [
     (r",([^\p{N}])", " , $1"),
     (r"^,", " , "),
     (r",$", " , "),
-    # English contractions: split before the apostrophe between letters
+]
+_APOSTROPHE_EN = [  # contractions: split before the apostrophe between letters
     (r"([\p{L}])'([\p{L}])", "$1 '$2"),
     (r"([^\p{L}])'", "$1 ' "),
     (r"^'", " ' "),
+]
+_APOSTROPHE_FR = [  # elisions: split behind the apostrophe between letters
+    (r"([\p{L}])'([\p{L}])", "$1' $2"),
+    (r"([^\p{L}])'", "$1 ' "),
+    (r"^'", " ' "),
+]
+_APOSTROPHE_OTHER = [(r"'", " ' ")]  # no contractions: the apostrophe stands alone
+_BEHIND_APOSTROPHE = [
     # runs of periods, and a final period
     (r"\.\.+", " ... "),
     (r"([^.])\.\s*$", "$1 ."),
@@ -82,6 +91,15 @@ TOKENIZE_RULES = [
     (r"^ | $", ""),
 ]
 
+
+def tokenize_rules(lang: str = "en"):
+    """The tokenisation rules of a language."""
+    own = {"en": _APOSTROPHE_EN, "fr": _APOSTROPHE_FR, "it": _APOSTROPHE_FR}.get(lang, _APOSTROPHE_OTHER)
+    return _BEFORE_APOSTROPHE + own + _BEHIND_APOSTROPHE
+
+
+TOKENIZE_RULES = tokenize_rules("en")
+
 DETOKENIZE_RULES = [
     (" @-@ ", "-"),
     (r" ([.,!?:;%)\]}])", "$1"),

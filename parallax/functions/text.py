@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import PUNCT_RULES_COMMON, PUNCT_RULES_EN, PUNCT_RULES_OTHER, TOKENIZE_RULES, DETOKENIZE_RULES
+from .rules import PUNCT_RULES_COMMON, PUNCT_RULES_EN, PUNCT_RULES_OTHER, DETOKENIZE_RULES, tokenize_rules
 
 
 def materialize(df, cols: dict):
@@ -115,9 +115,10 @@ def normalize_punctuation(col, lang: str = "en") -> Column:
     return _apply_rules(col, rules)
 
 
-def tokenize(col) -> Column:
-    """Separate punctuation from words, split hyphens as ` @-@ `, no escaping."""
-    return _apply_rules(col, TOKENIZE_RULES)
+def tokenize(col, lang: str = "en") -> Column:
+    """Separate punctuation from words, split hyphens as ` @-@ `, no escaping; apostrophes by the
+    rules of the language."""
+    return _apply_rules(col, tokenize_rules(lang))
 
 
 def detokenize(col) -> Column:

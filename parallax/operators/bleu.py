@@ -12,7 +12,7 @@ The grid loops of the reference become group keys: one job scores every
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import explode_ngrams, materialize, tokens
@@ -20,76 +20,54 @@ from ..functions.text import explode_ngrams, materialize, tokens
 MAX_N = 4
 
 
-def _gram_at(arr: Column, n: int):
-    # a one-argument lambda: F.transform reads a second parameter as the element index
-    return lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(arr, i, n), " ").alias("g"))
-
-
-def _ngrams(arr: Column) -> Column:
-    """All 1..4-grams of a token array as (n, g) structs."""
-    parts = []
-    for n in range(1, MAX_N + 1):
-        cnt = F.size(arr) - F.lit(n - 1)
-        idx = F.slice(F.sequence(F.lit(1), F.greatest(cnt, F.lit(1))), 1, F.greatest(cnt, F.lit(0)))
-        parts.append(F.transform(idx, _gram_at(arr, n)))
-    return F.flatten(F.array(*parts))
-
-
 def corpus_bleu(hyps: DataFrame, refs: DataFrame, keys: list[str], seg: str = "seg_id", hyp: str = "hyp",
-                ref: str = "ref", ref_no: str = "ref_no", lower: bool = False, max_refs: int | None = 4) -> DataFrame:
-    """One row per group `keys`: c, r, num1..4, den1..4, bp, bleu (2 decimals), bleu_raw.
-
-    `max_refs` bounds `ref_no` (0-based) so one aggregation per n-gram suffices; pass None
-    for reference sets with arbitrary numbering.
-
-    Hypothesis rows (ref_no = -1) and reference rows are put in one frame and hash
-    partitioned by segment once; the n-gram explode and both count aggregations then run
-    inside those partitions (an aggregate keyed by a superset of the partitioning keys
-    needs no new shuffle), so only segment rows cross the network, never n-grams.
+                ref: str = "ref", ref_no: str = "ref_no", lower: bool = False) -> DataFrame:
+    """One row per group `keys`: c, r, num1..4, den1..4, bp, bleu (2 decimals), bleu_raw, and
+    n_unscored (hypotheses without a reference).
+
+    Every reference counts, whatever its number (`ref_no` only tells references apart; a null is a
+    number of its own).  A hypothesis without a reference, and a null hypothesis, is left out of
+    lengths and n-grams alike and counted in `n_unscored`; a group of such hypotheses keeps its
+    row, with c = 0 and bleu = 0.
+
+    Hypothesis and reference rows are put in one frame and hash partitioned by segment once; the
+    n-gram explode and all aggregates up to the segment then run inside those partitions (an
+    aggregate keyed by a superset of the partitioning keys needs no new shuffle), so only segment
+    rows cross the network, never n-grams.
     """
     hcol, rcol = F.col(hyp), F.col(ref)
     if lower:
         hcol, rcol = F.lower(hcol), F.lower(rcol)
     sk = [*keys, seg]
-    rows = hyps.select(*sk, F.lit(-1).alias("_r"), hcol.alias("_x")).unionByName(
-        refs.select(*sk, F.col(ref_no).cast("int").alias("_r"), rcol.alias("_x")))
+    rows = hyps.select(*sk, F.lit(True).alias("_h"), F.lit(None).cast("string").alias("_r"), hcol.alias("_x")).unionByName(
+        refs.select(*sk, F.lit(False).alias("_h"), F.col(ref_no).cast("string").alias("_r"), rcol.alias("_x")).filter(F.col("_x").isNotNull()))
     rows = rows.repartition(*sk)
-    # token arrays are stored once per row: the n-gram lambdas below read them per index
+    # token arrays are stored once per row: the n-gram slices below read them per position
     rows = materialize(rows, {"_t": tokens(F.col("_x"))}).drop("_x")
-    grams = explode_ngrams(rows, "_t", range(1, MAX_N + 1), [*sk, "_r"])
-    if max_refs:
-        # ref_no in 0..max_refs-1 (the reference uses 1 or 4): one aggregation per n-gram
-        per_gram = grams.groupBy(*sk, "_g").agg(
-            F.count_if(F.col("_r") < 0).alias("ch"),
-            F.greatest(*[F.count_if(F.col("_r") == j) for j in range(max_refs)], F.lit(0)).alias("cr"),
-        ).filter(F.col("ch") > 0)
-    else:
-        per_side = grams.groupBy(*sk, "_g", "_r").agg(F.count(F.lit(1)).alias("_c"))
-        per_gram = per_side.groupBy(*sk, "_g").agg(
-            F.sum(F.when(F.col("_r") < 0, F.col("_c"))).alias("ch"),
-            F.max(F.when(F.col("_r") >= 0, F.col("_c"))).alias("cr"),
-        ).filter(F.col("ch").isNotNull())
-    clip = per_gram.select(*keys, F.col("_g.n").alias("n"), "ch", F.least("ch", F.coalesce("cr", F.lit(0))).alias("m"))
-    prec = clip.groupBy(*keys).agg(*[
+    is_hyp = F.col("_h")
+    # lengths of a segment: the hypothesis and its references (one entry for each reference)
+    seg_len = rows.groupBy(*sk).agg(
+        F.count_if(is_hyp).alias("_nh"), F.max(F.when(is_hyp, F.size("_t"))).alias("hl"),
+        F.collect_list(F.when(~is_hyp, F.size("_t"))).alias("_rls"),
+    ).filter(F.col("_nh") > 0)
+    scored = (F.size("_rls") > 0) & F.col("hl").isNotNull()
+    grams = explode_ngrams(rows, "_t", range(1, MAX_N + 1), [*sk, "_h", "_r"])
+    per_side = grams.groupBy(*sk, "_g", "_h", "_r").agg(F.count(F.lit(1)).alias("_c"))
+    per_gram = per_side.groupBy(*sk, "_g").agg(
+        F.sum(F.when(is_hyp, F.col("_c"))).alias("ch"), F.max(F.when(~is_hyp, F.col("_c"))).alias("cr"),
+    ).filter(F.col("ch").isNotNull())
+    clip = per_gram.select(*sk, F.col("_g.n").alias("n"), "ch", F.least("ch", F.coalesce("cr", F.lit(0))).alias("m"))
+    prec = clip.groupBy(*sk).agg(*[
         x for n in range(1, MAX_N + 1) for x in (
-            F.sum(F.when(F.col("n") == n, F.col("m")).otherwise(0)).cast("bigint").alias(f"num{n}"),
-            F.sum(F.when(F.col("n") == n, F.col("ch")).otherwise(0)).cast("bigint").alias(f"den{n}"),
+            F.sum(F.when(F.col("n") == n, F.col("m")).otherwise(0)).alias(f"_num{n}"),
+            F.sum(F.when(F.col("n") == n, F.col("ch")).otherwise(0)).alias(f"_den{n}"),
         )
     ])
-    # closest reference length per segment (ties -> shorter), summed per group
-    if max_refs:
-        # one plain aggregate per segment: hypothesis length and each reference length
-        seg_len = rows.groupBy(*sk).agg(
-            F.max(F.when(F.col("_r") < 0, F.size("_t"))).alias("hl"),
-            *[F.max(F.when(F.col("_r") == j, F.size("_t"))).alias(f"_rl{j}") for j in range(max_refs)],
-        ).filter(F.col("hl").isNotNull())
-        rls = F.filter(F.array(*[F.col(f"_rl{j}") for j in range(max_refs)]), lambda x: x.isNotNull())
-        seg_len = seg_len.select(*sk, "hl", rls.alias("_rls")).filter(F.size("_rls") > 0)
-    else:
-        seg_len = rows.groupBy(*sk).agg(
-            F.max(F.when(F.col("_r") < 0, F.size("_t"))).alias("hl"),
-            F.collect_list(F.when(F.col("_r") >= 0, F.size("_t"))).alias("_rls"),
-        ).filter(F.col("hl").isNotNull() & (F.size("_rls") > 0))
+    for k in sk:  # null keys are segments too
+        prec = prec.withColumnRenamed(k, f"_k_{k}")
+    same = F.lit(True)
+    for k in sk:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     closest = F.aggregate(
         "_rls", F.struct(F.lit(1 << 30).alias("d"), F.lit(0).alias("rl")),
         lambda acc, x: F.when(
@@ -97,14 +75,17 @@ def corpus_bleu(hyps: DataFrame, refs: DataFrame, keys: list[str], seg: str = "s
             F.struct(F.abs(x - F.col("hl")).alias("d"), x.alias("rl")),
         ).otherwise(acc),
     )["rl"]
-    lens = seg_len.groupBy(*keys).agg(F.sum("hl").cast("bigint").alias("c"), F.sum(closest).cast("bigint").alias("r"))
-    out = lens.join(prec, keys, "left")
+    out = seg_len.join(prec, same, "left").groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(scored, F.col("hl"))), F.lit(0)).cast("bigint").alias("c"),
+        F.coalesce(F.sum(F.when(scored, closest)), F.lit(0)).cast("bigint").alias("r"),
+        F.count_if(~scored).alias("n_unscored"),
+        *[F.coalesce(F.sum(F.when(scored, F.col(f"_{x}{n}"))), F.lit(0)).cast("bigint").alias(f"{x}{n}")
+          for n in range(1, MAX_N + 1) for x in ("num", "den")],
+    )
     c, rr = F.col("c"), F.col("r")
     bp = F.when(c >= rr, F.lit(1.0)).when(c > 0, F.exp(F.lit(1.0) - F.try_divide(rr, c))).otherwise(F.lit(0.0))
     logs = [F.log(F.try_divide(F.col(f"num{n}"), F.col(f"den{n}"))) for n in range(1, MAX_N + 1)]
-    any_zero = F.lit(False)
-    for n in range(1, MAX_N + 1):
-        any_zero = any_zero | (F.coalesce(F.col(f"num{n}"), F.lit(0)) == 0)
+    any_zero = F.least(*[F.col(f"num{n}") for n in range(1, MAX_N + 1)]) == 0
     score = F.when(any_zero, F.lit(0.0)).otherwise(F.lit(100.0) * bp * F.exp((logs[0] + logs[1] + logs[2] + logs[3]) / 4))
     return out.withColumns({"bp": bp, "bleu": F.round(score, 2), "bleu_raw": score})
 

@@ -14,23 +14,26 @@ from pyspark.sql import functions as F
 def zip_lines(a: DataFrame, b: DataFrame, mode: str = "strict", key: str = "line_no") -> DataFrame:
     """Positional join on `key`.
 
-    `pad` (as `paste`): full outer join, a missing side becomes ''; `truncate` (as `zip`):
-    inner join on the common positions; `strict`: inner join that fails at run time when
-    the row counts differ (a lazy assertion, no extra action).
+    `pad` (as `paste`): full outer join; where a side has no such line its string columns are ''
+    and its other columns null (a null of a line that is there stays null); `truncate` (as
+    `zip`): inner join on the common positions; `strict`: the same keys must be on both sides,
+    else the job fails at run time (a lazy assertion, no extra action).
     """
-    if mode == "pad":
-        j = a.join(b, key, "full_outer")
-        other = [c for c in j.columns if c != key]
-        return j.select(key, *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in other])
-    j = a.join(b, key, "inner")
     if mode == "truncate":
-        return j
-    if mode != "strict":
+        return a.join(b, key, "inner")
+    if mode not in ("pad", "strict"):
         raise ValueError(f"unknown zip mode {mode!r}")
-    na = a.agg(F.count(F.lit(1))).scalar()
-    nb = b.agg(F.count(F.lit(1))).scalar()
-    chk = F.assert_true(na == nb, F.lit("zip_lines: row counts differ"))
-    return j.filter(chk.isNull())
+    j = a.withColumn("_in_a", F.lit(True)).join(b.withColumn("_in_b", F.lit(True)), key, "full_outer")
+    if mode == "strict":
+        both = F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull()
+        chk = F.assert_true(both, F.lit("zip_lines: a line is missing on one side"))
+        return j.filter(chk.isNull()).drop("_in_a", "_in_b")
+
+    def padded(c: str, flag: str, kind: str):
+        return F.when(F.col(flag).isNull(), F.lit("")).otherwise(F.col(c)).alias(c) if kind == "string" else F.col(c)
+
+    cols = [padded(c, flag, kind) for side, flag in ((a, "_in_a"), (b, "_in_b")) for c, kind in side.dtypes if c != key]
+    return j.select(key, *cols)
 
 
 def guarded_join(pos: DataFrame, neg: DataFrame, key: str = "line_no", guard: str = "n_words") -> DataFrame:

@@ -11,7 +11,7 @@ Alignment spans are 0-based, `start1:len1` on side 1 and `start2:len2` on side 2
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import materialize, tokens
@@ -25,20 +25,19 @@ SPAN_TYPE = "array<struct<start1:int,len1:int,start2:int,len2:int>>"
 def exact_align(pairs: DataFrame, key: str = "pair_id", t1: str = "t1", t2: str = "t2") -> DataFrame:
     """J6 [H]: link the n-th occurrence of a token on side 1 to its n-th occurrence on side 2.
 
-    Long form (pair, token, occurrence) on both sides and one equi-join; windows are
-    partitioned by (pair, token), i.e. bounded by a sentence.  Output: one span row
-    (key, start1, len1=1, start2, len2=1) per link.
+    Both sides are exploded once and grouped by (pair, token) inside the partitions of the pair
+    key: the two sorted position lists of a token are zipped.  One shuffle (of pair rows, by the
+    key).  Output: one span row (key, start1, len1=1, start2, len2=1) per link.
     """
-    def side(col, p):
-        x = pairs.select(key, F.posexplode(col).alias(p, "_tok"))
-        w = Window.partitionBy(key, "_tok").orderBy(p)
-        return x.withColumn("_occ", F.row_number().over(w))
-
-    a = side(t1, "start1")
-    b = side(t2, "start2")
-    return a.join(b, [key, "_tok", "_occ"]).select(
-        key, F.col("start1").cast("int").alias("start1"), F.lit(1).alias("len1"),
-        F.col("start2").cast("int").alias("start2"), F.lit(1).alias("len2"),
+    sides = F.array(F.struct(F.lit(1).alias("side"), F.col(t1).alias("t")), F.struct(F.lit(2).alias("side"), F.col(t2).alias("t")))
+    rows = pairs.repartition(key).select(key, F.explode(sides).alias("_x"))
+    rows = rows.select(key, F.col("_x.side").alias("_side"), F.posexplode("_x.t").alias("_pos", "_tok"))
+    at = lambda s: F.sort_array(F.collect_list(F.when(F.col("_side") == s, F.col("_pos"))))
+    per = rows.groupBy(key, "_tok").agg(at(1).alias("_p1"), at(2).alias("_p2"))
+    links = per.select(key, F.explode(F.arrays_zip("_p1", "_p2")).alias("_z")).filter("_z._p1 IS NOT NULL AND _z._p2 IS NOT NULL")
+    return links.select(
+        key, F.col("_z._p1").cast("int").alias("start1"), F.lit(1).alias("len1"),
+        F.col("_z._p2").cast("int").alias("start2"), F.lit(1).alias("len2"),
     )
 
 
@@ -49,7 +48,25 @@ def _idx(n: Column) -> Column:
     return F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), 1, n)
 
 
-_COVER = "struct<s:int,o:int,ident:boolean>"
+def by_position(df: DataFrame, entries: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Arrays by position: for each name -> (length n, entries (pos, k)) the array whose element at
+    pos is the largest k of its entries, null without one.
+
+    Entries and one empty entry for each position are sorted by position and the last of each
+    position is kept: n log n work in the row, with lookups by index only.
+    """
+    order = lambda n, e: F.array_sort(F.concat(
+        F.transform(_idx(n), lambda i: F.struct(i.alias("pos"), F.lit(-1).alias("k"))),
+        F.filter(e, lambda x: (x["pos"] >= 0) & (x["pos"] < n))))
+    df = materialize(df, {f"_{c}": order(n, e) for c, (n, e) in entries.items()})
+
+    def last_of(c):
+        a = F.col(f"_{c}")
+        kept = F.filter(a, lambda x, i: (i == F.size(a) - 1) | (F.try_element_at(a, i + 2)["pos"] != x["pos"]))
+        return F.transform(kept, lambda x: F.when(x["k"] >= 0, x["k"]))
+
+    df = materialize(df, {c: last_of(c) for c in entries})
+    return df.drop(*[f"_{c}" for c in entries])
 
 
 def enriched_spans(mine: Column, other: Column, spans: Column, side: int = 1) -> Column:
@@ -64,23 +81,15 @@ def enriched_spans(mine: Column, other: Column, spans: Column, side: int = 1) ->
     )
 
 
-def span_cover(n: Column, enriched: Column) -> Column:
-    """Per position of a side, the span covering it (s, o, ident) or null.
-
-    One pass over the spans, each writing its positions; a later span overwrites an
-    earlier one, as the reference does.  `enriched` must be a stored column.
-    """
-    init = F.array_repeat(F.lit(None).cast(_COVER), n)
-
-    def put(acc, sp):
-        val = F.struct(sp["s"].alias("s"), sp["o"].alias("o"), sp["ident"].alias("ident"))
-        return F.transform(acc, lambda x, i: F.when((i >= sp["s"]) & (i < sp["s"] + sp["l"]), val).otherwise(x))
-
-    return F.aggregate(enriched, init, put)
+def span_positions(spans: Column, side: int = 1) -> Column:
+    """(pos, k): the positions of a side that span k covers; a later span goes over an earlier one."""
+    s, n = ("start1", "len1") if side == 1 else ("start2", "len2")
+    return F.flatten(F.transform(spans, lambda x, k: F.transform(_idx(x[n]), lambda j: F.struct((x[s] + j).cast("int").alias("pos"), k.alias("k")))))
 
 
-def span_links(mine: Column, cover: Column, punct: str = ""):
-    """(align, exact) arrays of one side from its cover.
+def span_links(mine: Column, cover: Column, enriched: Column, punct: str = ""):
+    """(align, exact) arrays of one side from its cover (the number of the covering span by
+    position) and its enriched spans.
 
     align[i] = aligned position on the other side for the head token of a span, -1 for a
     token inside a phrase, null when unaligned (or a head that is in the punctuation set);
@@ -88,14 +97,15 @@ def span_links(mine: Column, cover: Column, punct: str = ""):
     """
     punct_arr = F.array(*[F.lit(c) for c in sorted(set(punct))]) if punct else None
 
-    def head_align(c, i):
+    def head_align(k, i):
+        c = F.try_element_at(enriched, k + 1)
         is_p = F.array_contains(punct_arr, F.try_element_at(mine, i + 1)) if punct_arr is not None else F.lit(False)
-        return F.when(c.isNull(), F.lit(None).cast("int")).when(
+        return F.when(k.isNull(), F.lit(None).cast("int")).when(
             i == c["s"], F.when(is_p, F.lit(None).cast("int")).otherwise(c["o"])
         ).otherwise(F.lit(-1))
 
     align = F.transform(cover, head_align)
-    exact = F.transform(cover, lambda c: F.coalesce(c["ident"], F.lit(False)))
+    exact = F.transform(cover, lambda k: F.coalesce(F.try_element_at(enriched, k + 1)["ident"], F.lit(False)))
     return align, exact
 
 
@@ -117,26 +127,21 @@ def heads(align: Column) -> Column:
     return F.filter(_idx(F.size(align)), lambda i: F.try_element_at(align, i + 1) >= 0)
 
 
-def _dense_index(h: Column) -> Column:
-    """map position -> rank among the heads (O(1) lookups instead of array scans)."""
-    return F.map_from_arrays(h, _idx(F.size(h)))
-
+def reindex_aligned(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """For each new column -> align array: the dense 0-based index over aligned head tokens by
+    position (null for the others)."""
+    df = materialize(df, {f"_h_{c}": heads(F.col(a)) for c, a in columns.items()})
+    entries = {c: (F.size(F.col(a)), F.transform(f"_h_{c}", lambda p, r: F.struct(p.cast("int").alias("pos"), r.alias("k")))) for c, a in columns.items()}
+    return by_position(df, entries).drop(*[f"_h_{c}" for c in columns])
 
-def reindex_aligned(align: Column) -> Column:
-    """Dense 0-based index over aligned head tokens (null for the others)."""
-    m = _dense_index(heads(align))
-    return F.transform(_idx(F.size(align)), lambda i: F.try_element_at(m, i))
 
-
-def distortion(align1: Column, align2: Column) -> Column:
-    """index2 - index1 for each aligned head of side 1, in side-1 order.
+def distortion(align1: Column, index1: Column, index2: Column) -> Column:
+    """index2 - index1 for each aligned head of side 1, in side-1 order (the arrays of W2).
 
     A head whose target is not a head on side 2 yields null (the pair is invalid).
     """
-    m2 = _dense_index(heads(align2))
-    return F.transform(
-        heads(align1), lambda p, c: (F.try_element_at(m2, F.try_element_at(align1, p + 1)) - c).cast("int")
-    )
+    own = F.filter(F.transform(index1, lambda r, p: F.struct(r.alias("r"), F.try_element_at(align1, p + 1).alias("to"))), lambda x: x["r"].isNotNull())
+    return F.transform(own, lambda x: (F.try_element_at(index2, x["to"] + 1) - x["r"]).cast("int"))
 
 
 def pod_score(dist: Column) -> Column:
@@ -168,6 +173,25 @@ def prepare_pairs(pairs: DataFrame, text1: str = "text1", text2: str = "text2",
     return materialize(pairs, {"t1": tokens(a), "t2": tokens(b)})  # read per span / index below
 
 
+def align_tokens(
+    pairs: DataFrame, alignments: DataFrame | None = None, key: str = "pair_id", text1: str = "text1",
+    text2: str = "text2", punct: str = "", lower: bool = False,
+) -> DataFrame:
+    """(key, t1, t2, a1, e1, a2, e2, x1, x2, dist): tokens, alignment and exactness by position (J5),
+    dense index over aligned heads (W2) and distortion (W3) of each pair."""
+    p = prepare_pairs(pairs, text1, text2, lower)
+    spans = alignments if alignments is not None else exact_align(p, key)
+    p = attach_alignment(p.select(key, "t1", "t2").repartition(key), spans, key)
+    t1, t2 = F.col("t1"), F.col("t2")
+    p = materialize(p, {"en1": enriched_spans(t1, t2, F.col("spans"), 1), "en2": enriched_spans(t2, t1, F.col("spans"), 2)})
+    p = by_position(p, {"cov1": (F.size(t1), span_positions(F.col("spans"), 1)), "cov2": (F.size(t2), span_positions(F.col("spans"), 2))})
+    a1, e1 = span_links(t1, F.col("cov1"), F.col("en1"), punct)
+    a2, e2 = span_links(t2, F.col("cov2"), F.col("en2"), punct)
+    p = materialize(p, {"a1": a1, "e1": e1, "a2": a2, "e2": e2}).select(key, "t1", "t2", "a1", "e1", "a2", "e2")
+    p = reindex_aligned(p, {"x1": "a1", "x2": "a2"})
+    return materialize(p, {"dist": distortion(F.col("a1"), F.col("x1"), F.col("x2"))})
+
+
 def lepod(
     pairs: DataFrame, alignments: DataFrame | None = None, key: str = "pair_id", text1: str = "text1",
     text2: str = "text2", punct: str = "", lower: bool = False, detail: bool = False,
@@ -179,23 +203,12 @@ def lepod(
     detail columns of C7 when `detail`).  Invalid pairs (unequal aligned lengths, a head
     pointing at a non-head) get null scores and valid = false; a pair with an empty side
     is skipped (null scores), as SURVEY §7.2 decides.  Each stage is stored once per row
-    (`materialize`), so the array work is linear in the sentence and span counts.
+    (`materialize`), so the array work is n log n in the token and span counts.
     """
-    p = prepare_pairs(pairs, text1, text2, lower)
-    spans = alignments if alignments is not None else exact_align(p, key)
-    p = attach_alignment(p.select(key, "t1", "t2"), spans, key)
-    t1, t2 = F.col("t1"), F.col("t2")
-    p = materialize(p, {"en1": enriched_spans(t1, t2, F.col("spans"), 1), "en2": enriched_spans(t2, t1, F.col("spans"), 2)})
-    p = materialize(p, {"cov1": span_cover(F.size(t1), F.col("en1")), "cov2": span_cover(F.size(t2), F.col("en2"))})
-    a1, e1 = span_links(t1, F.col("cov1"), punct)
-    a2, e2 = span_links(t2, F.col("cov2"), punct)
-    p = materialize(p, {"a1": a1, "e1": e1, "a2": a2, "e2": e2})
-    p = materialize(p, {"h1": heads(F.col("a1")), "h2": heads(F.col("a2"))})
-    p = materialize(p, {"m2": _dense_index(F.col("h2"))})
-    p = materialize(p, {"dist": F.transform(
-        F.col("h1"), lambda q, c: (F.try_element_at(F.col("m2"), F.try_element_at(F.col("a1"), q + 1)) - c).cast("int"))})
+    p = align_tokens(pairs, alignments, key, text1, text2, punct, lower)
     skipped = (F.size("t1") == 0) | (F.size("t2") == 0)
-    valid = (F.size("h1") == F.size("h2")) & ~F.exists("dist", lambda x: x.isNull())
+    n_heads = lambda c: F.size(F.filter(c, lambda r: r.isNotNull()))
+    valid = (n_heads("x1") == n_heads("x2")) & ~F.exists("dist", lambda x: x.isNull())
     led = F.when(~skipped & valid, led_score(F.col("e1"), F.col("e2")))
     pod = F.when(~skipped & valid, pod_score(F.col("dist")))
     out = p.withColumns({"led": led, "pod": pod, "valid": valid & ~skipped, "skipped": skipped})
@@ -271,7 +284,7 @@ def lepod_report(scored: DataFrame) -> DataFrame:
 
 
 def expand_spans(scored_pairs: DataFrame, key: str = "pair_id") -> DataFrame:
-    """J5 long form: one row per token (key, side, pos, token, align, exact) for inspection."""
+    """J5 long form of `align_tokens`: one row per token (key, side, pos, token, align, exact)."""
     one = scored_pairs.select(key, F.lit(1).alias("side"),
                               F.posexplode(F.arrays_zip(F.col("t1").alias("token"), F.col("a1").alias("align"),
                                                         F.col("e1").alias("exact"))).alias("pos", "z"))

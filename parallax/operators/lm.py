@@ -12,20 +12,23 @@ Model: interpolated modified Kneser-Ney (Chen & Goodman 1998), the estimate KenL
 * Interpolation: order k joins the probabilities of order k-1 on the n-gram's tail.
 
 The model is one table `(ngram STRING, n INT, log_p DOUBLE, log_b DOUBLE)` over all orders
-(log10; `log_b` set for n-grams seen as a context).  Scoring explodes, per token, the keys
-it may need (the n-grams ending at it and the contexts before it), joins them with the
-model once, and sums per segment.  Frequent keys (`</s>`, `<s>`) are hot in that join;
-AQE's skew-join split handles them, and the model side is broadcast only when Spark's
-size estimate allows.
+(log10; `log_b` set for n-grams seen as a context).  Scoring explodes, per token, the n-grams that
+end at it; their model rows give the token's probabilities and, one token later, the back-off
+weights of its contexts.  Several models are looked up in one join.  Single words are hot keys of
+that join (`<s>`, `</s>`, function words): their few model rows are copied SALTS times and their
+occurrences spread over the copies by segment.
+
+`<s>`, `</s>` and `<unk>` are reserved: a token of a text that looks like one of them is marked,
+so it is an ordinary (normally unknown) word.
 """
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..caches import keep
 from ..functions.text import explode_ngrams, materialize, tokens
 
 BOS, EOS, UNK = "<s>", "</s>", "<unk>"
@@ -33,15 +36,13 @@ SEP = " "
 FALLBACK_D = (0.5, 1.0, 1.5)  # discounts when the count-of-counts give no valid estimate
 
 
-def padded(col) -> Column:
-    return F.concat(F.array(F.lit(BOS)), tokens(col), F.array(F.lit(EOS)))
+SALTS = 16  # copies of a single word's model row
+MARK = "\u2060"  # stands before a token that looks like a reserved one
 
 
-def _windows(arr: Column, k: int) -> Column:
-    """All contiguous windows of length k of an array, as space-joined strings."""
-    n = F.size(arr) - F.lit(k - 1)
-    idx = F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), 1, F.greatest(n, F.lit(0)))
-    return F.transform(idx, lambda i: F.array_join(F.slice(arr, i, k), SEP))
+def padded(col) -> Column:
+    own = F.transform(tokens(col), lambda t: F.when(t.isin(BOS, EOS, UNK), F.concat(F.lit(MARK), t)).otherwise(t))
+    return F.concat(F.array(F.lit(BOS)), own, F.array(F.lit(EOS)))
 
 
 def ngram_counts(corpus: DataFrame, col: str, order: int) -> list[DataFrame]:
@@ -118,8 +119,8 @@ def train_ngram_lm(corpus: DataFrame, col: str = "text", order: int = 5) -> Data
     Includes `<unk>` (n = 1) and `<s>` (n = 1, context only: log_p null).
     """
     # each order's table is read by its discount, context and interpolation steps and by
-    # the next order: keep them (recomputed from lineage if an executor is lost)
-    adj = [a.persist(StorageLevel.MEMORY_AND_DISK) for a in adjusted_counts(ngram_counts(corpus, col, order))]
+    # the next order: keep them (computed again from lineage if an executor is lost)
+    adj = [keep(a) for a in adjusted_counts(ngram_counts(corpus, col, order))]
     probs: list[DataFrame] = []
     ctx_tables: list[DataFrame] = []
     for k in range(1, order + 1):
@@ -127,24 +128,22 @@ def train_ngram_lm(corpus: DataFrame, col: str = "text", order: int = 5) -> Data
         d1, d2, d3 = discounts(a_k)
         a = F.col("a")
         disc = F.when(a == 1, d1).when(a == 2, d2).otherwise(d3)
-        g = a_k.withColumns({"h": _drop_last(F.col("ngram")), "disc": disc})
-        ctx = g.groupBy("h").agg(F.sum("a").alias("S"), F.sum("disc").alias("D"))
-        ctx = ctx.withColumn("b", F.col("D") / F.col("S"))
-        g = g.join(ctx.select("h", "S", "b"), "h")
-        own = F.greatest(a - F.col("disc"), F.lit(0.0)) / F.col("S")
         if k == 1:
-            v = a_k.agg((F.count(F.lit(1)) + F.lit(1)).cast("double")).scalar()  # unigrams + <unk>
-            p = g.select("ngram", (own + F.col("b") / v).alias("p"))
-            b0 = ctx.select("b").scalar()
-            unk = corpus.sparkSession.range(1).select(F.lit(UNK).alias("ngram"), (b0 / v).alias("p"))
-            p = p.unionByName(unk)
+            # the empty context: its sums are scalars, not a key that every word is joined on
+            one = a_k.agg(F.sum("a").cast("double").alias("S"), F.sum(disc).alias("D"), (F.count(F.lit(1)) + 1).cast("double").alias("V"))
+            one = one.select(F.struct("S", (F.col("D") / F.col("S") / F.col("V")).alias("u")).alias("x")).scalar()
+            p = a_k.select("ngram", (F.greatest(a - disc, F.lit(0.0)) / one["S"] + one["u"]).alias("p"))
+            p = p.unionByName(corpus.sparkSession.range(1).select(F.lit(UNK).alias("ngram"), one["u"].alias("p")))
         else:
+            g = a_k.withColumns({"h": _drop_last(F.col("ngram")), "disc": disc})
+            ctx = g.groupBy("h").agg(F.sum("a").alias("S"), F.sum("disc").alias("D"))
+            ctx = keep(ctx.withColumn("b", F.col("D") / F.col("S")))
+            own = F.greatest(a - F.col("disc"), F.lit(0.0)) / F.col("S")
             lower = probs[-1].select(F.col("ngram").alias("tail"), F.col("p").alias("p_low"))
-            g = g.withColumn("tail", _drop_first(F.col("ngram")))
+            g = g.join(ctx.select("h", "S", "b"), "h").withColumn("tail", _drop_first(F.col("ngram")))
             p = g.join(lower, "tail").select("ngram", (own + F.col("b") * F.col("p_low")).alias("p"))
-        probs.append(p.persist(StorageLevel.MEMORY_AND_DISK))
-        if k >= 2:
             ctx_tables.append(ctx.select(F.col("h").alias("ngram"), F.log10("b").alias("log_b")))
+        probs.append(keep(p))
     ptab = reduce(lambda x, y: x.unionByName(y), [
         p.select("ngram", F.log10("p").alias("log_p")) for p in probs
     ])
@@ -154,77 +153,79 @@ def train_ngram_lm(corpus: DataFrame, col: str = "text", order: int = 5) -> Data
     return model.select("ngram", n.alias("n"), "log_p", "log_b")
 
 
-def lm_score(df: DataFrame, model: DataFrame, col: str = "text", key: str = "line_no", order: int | None = None) -> DataFrame:
+def _model_table(models: list[DataFrame]) -> DataFrame:
+    """(k, lp0, lb0, lp1, ...): all models by n-gram."""
+    parts = [m.select("ngram", *[F.col(c).alias(f"{x}{i}") if i == j else F.lit(None).cast("double").alias(f"{x}{j}")
+                                 for j in range(len(models)) for x, c in (("lp", "log_p"), ("lb", "log_b"))]) for i, m in enumerate(models)]
+    if len(parts) == 1:
+        return parts[0].withColumnRenamed("ngram", "k")
+    rows = reduce(lambda x, y: x.unionByName(y), parts)
+    return rows.groupBy(F.col("ngram").alias("k")).agg(*[F.max(c).alias(c) for c in rows.columns if c != "ngram"])
+
+
+def score_segments(df: DataFrame, models: list[DataFrame], col: str = "text", key: str = "line_no", order: int = 5) -> DataFrame:
+    """(key, n_words, logprob0, n_oov0, logprob1, ...) under several models, with one lookup join."""
+    table = _model_table(models)
+    copies = F.when(F.instr("k", SEP) == 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    table = table.withColumn("_salt", F.explode(copies))
+    seg = materialize(df.select(key, col), {"_p": padded(col)}).select(key, "_p")
+    pos = seg.select(key, "_p", F.posexplode("_p").alias("_i", "_w"))
+    grams = F.array(*[F.when(F.col("_i") + 1 >= j, F.struct(F.lit(j).alias("j"), F.array_join(F.slice("_p", F.col("_i") + 2 - j, j), SEP).alias("k")))
+                      for j in range(1, order + 1)])
+    look = pos.select(key, "_i", F.explode(grams).alias("_l")).filter("_l IS NOT NULL").select(key, "_i", "_l.j", "_l.k")
+    salt = F.when(F.col("j") == 1, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(SALTS)).cast("int")).otherwise(0)
+    found = look.withColumn("_salt", salt).join(table, ["k", "_salt"], "left")
+    # from here on everything is grouped by segment: one shuffle
+    found = found.repartition(key)
+    at = lambda c, j: F.max(F.when(F.col("j") == j, F.col(c))).alias(f"{c}_{j}")
+    cols = [(f"lp{i}", j) for i in range(len(models)) for j in range(1, order + 1)] + [(f"lb{i}", j) for i in range(len(models)) for j in range(1, order)]
+    per = found.groupBy(key, "_i").agg(*[at(c, j) for c, j in cols])
+    w = Window.partitionBy(key).orderBy("_i")  # the tokens of one segment
+    before = [F.lag(f"lb{i}_{j}").over(w).alias(f"b{i}_{j}") for i in range(len(models)) for j in range(1, order)]
+    per = per.select("*", *before).filter(F.col("_i") > 0)
+    out = []
+    for i, m in enumerate(models):
+        unk = m.filter(F.col("ngram") == UNK).select("log_p").scalar()
+        longest, lp = F.lit(0), unk
+        for j in range(1, order + 1):  # the longest n-gram that the model has
+            hit = F.col(f"lp{i}_{j}").isNotNull()
+            longest, lp = F.when(hit, F.lit(j)).otherwise(longest), F.when(hit, F.col(f"lp{i}_{j}")).otherwise(lp)
+        for j in range(1, order):  # contexts of that length or more that the model has
+            lp = lp + F.when((F.lit(j) >= longest), F.coalesce(F.col(f"b{i}_{j}"), F.lit(0.0))).otherwise(0.0)
+        out += [F.sum(lp).alias(f"logprob{i}"), F.count_if(longest == 0).cast("int").alias(f"n_oov{i}")]
+    return per.groupBy(key).agg((F.max("_i") - 1).cast("int").alias("n_words"), *out)
+
+
+def lm_score(df: DataFrame, model: DataFrame, col: str = "text", key: str = "line_no", order: int = 5) -> DataFrame:
     """Per segment (key, logprob, n_words, n_oov) in log10, as `query -v sentence`.
 
-    `</s>` is scored, `<s>` is not; unknown words are scored as `<unk>`.  For the token w
-    with history h: m = longest n-gram ending at w that the model has; log p =
-    log p(that n-gram) + sum of log b(c) over the contexts c before w of length >= m that
-    the model has as contexts.  No model n-gram or context contains `<unk>` or an unknown
+    `order` is the model's order or more.  `</s>` is scored, `<s>` is not; unknown words are scored
+    as `<unk>`.  For the token w with history h: m = longest n-gram ending at w that the model
+    has; log p = log p(that n-gram) + sum of log b(c) over the contexts c before w of length >= m
+    that the model has as contexts.  No model n-gram or context contains `<unk>` or an unknown
     word, so lookups run on the raw tokens and only the unigram falls back to `<unk>`.
     """
-    if order is None:
-        order = model.agg(F.max("n")).first()[0]
-    unk_lp = model.filter(F.col("ngram") == UNK).select("log_p").scalar()
-    seg = materialize(df.select(key, col), {"_p": padded(col)}).select(key, "_p")
-
-    def keys_at(i):
-        # n-grams ending at i (length j) and contexts before i (length j), j = 1..order
-        lk = []
-        for j in range(1, order + 1):
-            start = i - j + 1
-            lk.append(F.when(start >= 1, F.struct(F.lit(j).alias("j"), F.lit("g").alias("kind"),
-                                                 F.array_join(F.slice("_p", F.greatest(start, F.lit(1)), j), SEP).alias("k"))))
-            cstart = i - j
-            lk.append(F.when((cstart >= 1) & (j < order), F.struct(F.lit(j).alias("j"), F.lit("c").alias("kind"),
-                                                             F.array_join(F.slice("_p", F.greatest(cstart, F.lit(1)), j), SEP).alias("k"))))
-        return F.filter(F.array(*lk), lambda x: x.isNotNull())
-
-    pos = seg.select(key, (F.size("_p") - F.lit(2)).alias("_nw"), F.explode(F.sequence(F.lit(2), F.size("_p"))).alias("_i"), "_p")
-    look = pos.select(key, "_nw", "_i", F.explode(keys_at(F.col("_i"))).alias("_l")).select(key, "_nw", "_i", "_l.*")
-    m = model.select(F.col("ngram").alias("k"), "log_p", "log_b")
-    joined = look.join(m, "k", "left")
-    # order is small and fixed: one conditional max per (kind, length) keeps this a plain
-    # hash aggregate (no collected lists)
-    g_at = {j: F.max(F.when((F.col("kind") == "g") & (F.col("j") == j), F.col("log_p"))).alias(f"_g{j}")
-            for j in range(1, order + 1)}
-    c_at = {j: F.max(F.when((F.col("kind") == "c") & (F.col("j") == j), F.col("log_b"))).alias(f"_c{j}")
-            for j in range(1, order)}
-    per_tok = joined.groupBy(key, "_i").agg(F.max("_nw").alias("_nw"), *g_at.values(), *c_at.values())
-    mm = F.lit(0)
-    lp = unk_lp
-    for j in range(1, order + 1):  # longest matching n-gram wins
-        hit = F.col(f"_g{j}").isNotNull()
-        mm = F.when(hit, F.lit(j)).otherwise(mm)
-        lp = F.when(hit, F.col(f"_g{j}")).otherwise(lp)
-    lb = F.lit(0.0)
-    for j in range(1, order):
-        lb = lb + F.when(F.lit(j) >= mm, F.coalesce(F.col(f"_c{j}"), F.lit(0.0))).otherwise(F.lit(0.0))
-    per_tok = per_tok.select(key, "_nw", (lp + lb).alias("_lp"), (mm == 0).alias("_oov"))
-    return per_tok.groupBy(key).agg(
-        F.sum("_lp").alias("logprob"), F.max("_nw").cast("int").alias("n_words"),
-        F.count_if("_oov").cast("int").alias("n_oov"),
-    )
+    return score_segments(df, [model], col, key, order).select(
+        key, F.col("logprob0").alias("logprob"), "n_words", F.col("n_oov0").alias("n_oov"))
 
 
-def cross_entropy(df: DataFrame, model: DataFrame, col: str = "text", key: str = "line_no", order: int | None = None) -> DataFrame:
+def cross_entropy(df: DataFrame, model: DataFrame, col: str = "text", key: str = "line_no", order: int = 5) -> DataFrame:
     """(key, xent, n_words, n_oov) with xent = -log10 P / n_words (null for an empty segment)."""
     s = lm_score(df, model, col, key, order)
-    xent = F.when(F.col("n_words") > 0, -F.col("logprob") / F.col("n_words"))
-    return s.select(key, xent.alias("xent"), "n_words", "n_oov")
+    return s.select(key, _per_word("logprob").alias("xent"), "n_words", "n_oov")
+
+
+def _per_word(logprob: str) -> Column:
+    return F.when(F.col("n_words") > 0, -F.col(logprob) / F.col("n_words"))
 
 
 ROUND_DOWN = 1e-4  # |ced| below this becomes 0 (the reference's "round down scientific notation")
 
 
 def ced(pool: DataFrame, pos_model: DataFrame, neg_model: DataFrame, col: str = "text", key: str = "line_no",
-        order: int | None = None) -> DataFrame:
-    """ced = xent(pos) - xent(neg) per segment, joined on id and word count (J2);
-    tiny values become 0."""
-    from .joins import guarded_join
-
-    xp = cross_entropy(pool, pos_model, col, key, order)
-    xn = cross_entropy(pool, neg_model, col, key, order)
-    j = guarded_join(xp, xn, key, "n_words")
-    d = F.col("xent_pos") - F.col("xent_neg")
-    return j.select(key, F.when(F.abs(d) < ROUND_DOWN, F.lit(0.0)).otherwise(d).alias("ced"), "n_words")
+        order: int = 5) -> DataFrame:
+    """ced = xent(pos) - xent(neg) per segment; tiny values become 0, an empty segment has a null
+    ced.  Both models are looked up in one pass, so id and word count (J2) agree by construction."""
+    s = score_segments(pool, [pos_model, neg_model], col, key, order)
+    d = _per_word("logprob0") - _per_word("logprob1")
+    return s.select(key, F.when(F.abs(d) < ROUND_DOWN, F.lit(0.0)).otherwise(d).alias("ced"), "n_words")

@@ -1,18 +1,21 @@
 """Positional operators: line numbers, ranks, chunks, ordered concatenation.
 
-Spark rows have no position, and a `Window` without `partitionBy` runs in one task.
-Every global position here is therefore computed the way `zipWithIndex` does it, but
-JVM-side: `monotonically_increasing_id()` gives (partition, index inside the partition);
-one small aggregate gives the row count of each partition; a window over that small table
-(one row per partition) gives exclusive offsets; a broadcast join adds them back.  The
-partition table has as many rows as there are partitions, so its broadcast is bounded by
-the job's parallelism, not by the data.
+Spark rows have no position, and a `Window` without `partitionBy` runs in one task.  A global
+position is built from Spark's own range partitioning: `repartitionByRange` + a sort inside the
+partitions is evaluated once and kept (`caches.keep`); `monotonically_increasing_id()` then holds
+(partition, index in the partition); one aggregate counts rows by partition; a window over that
+small table (one row per partition) gives offsets, which a broadcast join adds back.  The offset
+table has as many rows as there are partitions, so its broadcast is bounded by the job's
+parallelism, not by the data.  No job runs while a plan is built, the input is evaluated once,
+and the work per row does not depend on the number of partitions.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..caches import keep
+
 _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id = partition << 33 | index
 
 
@@ -26,64 +29,28 @@ def _split_id(df: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def _offsets(parts: DataFrame, order: list, size_col: str, by: list | None = None) -> DataFrame:
-    """Exclusive running sum of `size_col` over a small table (one row per partition/block)."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    if by:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("_offset", F.coalesce(F.sum(size_col).over(w), F.lit(0)).cast("bigint"))
-
-
-def range_sorted(df: DataFrame, order_by: list, partitions: int | None = None) -> DataFrame:
-    """Global order as range partitions, each sorted (a fixed count: AQE does not coalesce it)."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
-
-
-SAMPLE_PER_BUCKET = 20  # keys sampled per bucket to place the bucket bounds (as Spark's range partitioner)
-
-
-def _sort_key(order_by: list) -> Column:
-    """A struct whose natural ascending order is the requested order.
-
-    Items are column names (ascending), `-name` (descending; the column must be numeric and
-    is negated) or Columns (ascending).
-    """
-    fields = []
-    for i, o in enumerate(order_by):
-        if isinstance(o, str) and o.startswith("-"):
-            c = -F.col(o[1:])
+def _sort_order(order_by: list) -> list[Column]:
+    """Sort columns: names (ascending, nulls first), `-name` (descending, nulls last) or Columns."""
+    out = []
+    for o in order_by:
+        if isinstance(o, str):
+            out.append(F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc())
         else:
-            c = F.col(o) if isinstance(o, str) else o
-        fields.append(c.alias(f"k{i}"))
-    return F.struct(*fields)
-
+            out.append(o)
+    return out
 
-def _bucket_bounds(df: DataFrame, key: Column, buckets: int, seed: int = 17) -> list:
-    """`buckets - 1` bounds from a uniform random sample of the keys (one bounded TakeOrdered job)."""
-    sample = df.select(key.alias("_k")).orderBy(F.rand(seed)).limit(SAMPLE_PER_BUCKET * buckets).collect()
-    keys = sorted(tuple(r["_k"]) for r in sample if r["_k"] is not None)
-    if len(keys) < 2:
-        return []
-    step = len(keys) / buckets
-    bounds = sorted({keys[min(len(keys) - 1, int(step * i))] for i in range(1, buckets)})
-    return bounds
 
-
-def _bucket_of(key: Column, bounds: list) -> Column:
-    """Number of bounds strictly below the key: buckets are contiguous, disjoint key ranges."""
-    if not bounds:
-        return F.lit(0)
-    lits = F.array(*[F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(b)]) for b in bounds])
-    return F.size(F.filter(lits, lambda b: b < key))
+def range_sorted(df: DataFrame, order_by: list, partitions: int | None = None) -> DataFrame:
+    """Global order as range partitions, each sorted (equal keys share a partition)."""
+    order = _sort_order(order_by)
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order)
 
 
-def _bucketed(df: DataFrame, order_by: list, buckets: int | None):
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = _sort_key(order_by)
-    keyed = df.withColumn("_key", key)
-    bounds = _bucket_bounds(keyed, F.col("_key"), n)
-    return keyed.withColumn("_bkt", _bucket_of(F.col("_key"), bounds))
+def _offsets(parts: DataFrame, size_col: str) -> DataFrame:
+    """Exclusive running sum of `size_col` over the table of partitions."""
+    w = Window.orderBy("_mid_part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("_offset", F.coalesce(F.sum(size_col).over(w), F.lit(0)))
 
 
 def with_position(
@@ -92,36 +59,35 @@ def with_position(
 ) -> DataFrame:
     """Add a contiguous position (1-based by default) in `order_by` order, optionally per group.
 
-    Without `order_by` the current partition order is used (a file read in splits): the
-    partition of each row and its index inside it come from `monotonically_increasing_id`,
-    partition sizes from one small aggregate.  With `order_by` the key space is cut into
-    value ranges ("buckets") placed by a bounded random sample of the keys; one aggregate
-    counts rows per (group, bucket), a window over that small table gives offsets, and
-    `row_number` runs inside each bucket, so every task holds one bucket.  All of it is
-    defined by values, not partition ids, so a re-executed or differently planned branch
-    gives the same numbers.  Pass a unique key last: ties keep no particular order.
+    Without `order_by` the rows are numbered in the order in which `df` delivers them (a file
+    read, or a sorted frame); it is evaluated once.  Pass a unique key last: rows with equal keys
+    keep no particular order.  Null keys come first (last for `-name`).  `buckets` is the number
+    of range partitions (default: the session's shuffle partitions).
     """
     keys = list(partition_by or [])
-    if not order_by:
-        tagged = _split_id(df, "_mid")
-        parts = tagged.groupBy("_mid_part").agg(F.count(F.lit(1)).alias("_n"))
-        parts = _offsets(parts, ["_mid_part"], "_n").select("_mid_part", "_offset")
-        out = tagged.join(F.broadcast(parts), "_mid_part").withColumn(  # one row per partition
-            name, (F.col("_offset") + F.col("_mid_local") + F.lit(base)).cast("bigint")
-        )
-        return out.drop("_mid", "_mid_part", "_mid_local", "_offset")
-    b = _bucketed(df, list(order_by), buckets)
-    sizes = b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = _offsets(sizes, ["_bkt"], "_n", by=keys or None).select(*keys, "_bkt", "_offset")
-    w = Window.partitionBy("_bkt", *keys).orderBy("_key")
-    out = b.join(sizes, [*keys, "_bkt"]).withColumn(
-        name, (F.col("_offset") + F.row_number().over(w) - F.lit(1) + F.lit(base)).cast("bigint")
-    )
-    return out.drop("_key", "_bkt", "_offset")
+    rows = range_sorted(df, [*keys, *order_by], buckets) if order_by else df
+    tagged = keep(_split_id(rows, "_mid"))
+    parts = tagged.groupBy("_mid_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = _offsets(parts, "_n").select("_mid_part", "_offset")
+    out = tagged.join(F.broadcast(parts), "_mid_part")  # one row per partition
+    place = F.col("_offset") + F.col("_mid_local")
+    if keys:
+        # a group is a run of the global order: its first place is subtracted
+        first = tagged.groupBy(*keys, "_mid_part").agg(F.min("_mid_local").alias("_mid_local"))
+        first = first.join(F.broadcast(parts), "_mid_part").groupBy(*keys).agg(F.min(place).alias("_first"))
+        same = [F.col(f"_f_{k}").eqNullSafe(F.col(k)) for k in keys]
+        first = first.withColumnsRenamed({k: f"_f_{k}" for k in keys})
+        cond = same[0]
+        for c in same[1:]:
+            cond = cond & c
+        out = out.join(first, cond).drop(*[f"_f_{k}" for k in keys])
+        place = place - F.col("_first")
+    out = out.withColumn(name, (place + F.lit(base)).cast("bigint"))
+    return out.drop("_mid", "_mid_part", "_mid_local", "_offset", "_first")
 
 
 def line_number(df: DataFrame, name: str = "line_no") -> DataFrame:
-    """Contiguous 1-based position in the current order of `df`."""
+    """Contiguous 1-based position in the order in which `df` delivers its rows."""
     return with_position(df, name)
 
 
@@ -134,19 +100,19 @@ def running_sum(df: DataFrame, value: Column | str, order_by: list, name: str =
                 buckets: int | None = None) -> DataFrame:
     """Global running sum of `value` in `order_by` order, without a single-task window.
 
-    Same value-range buckets as `with_position`: bucket totals (a small table) give
-    exclusive offsets; inside a bucket a window sums in order.
+    Partition totals of the kept range order (a small table) give exclusive offsets; inside a
+    partition a window sums in order.
     """
     v = F.col(value) if isinstance(value, str) else value
-    b = _bucketed(df.withColumn("_v", v), list(order_by), buckets)
-    sums = b.groupBy("_bkt").agg(F.sum("_v").alias("_s"))
-    sums = _offsets(sums, ["_bkt"], "_s").select("_bkt", "_offset")
+    tagged = keep(_split_id(range_sorted(df.withColumn("_v", v), list(order_by), buckets), "_mid"))
+    sums = tagged.groupBy("_mid_part").agg(F.sum("_v").alias("_s"))
+    sums = _offsets(sums, "_s").select("_mid_part", "_offset")
     frame_end = Window.currentRow if inclusive else -1
-    w = Window.partitionBy("_bkt").orderBy("_key").rowsBetween(Window.unboundedPreceding, frame_end)
-    out = b.join(F.broadcast(sums), "_bkt").withColumn(  # one row per bucket
+    w = Window.partitionBy("_mid_part").orderBy("_mid_local").rowsBetween(Window.unboundedPreceding, frame_end)
+    out = tagged.join(F.broadcast(sums), "_mid_part").withColumn(  # one row per partition
         name, F.col("_offset") + F.coalesce(F.sum("_v").over(w), F.lit(0))
     )
-    return out.drop("_v", "_key", "_bkt", "_offset")
+    return out.drop("_v", "_mid", "_mid_part", "_mid_local", "_offset")
 
 
 def balanced_chunks(df: DataFrame, n: int, text: str = "text", key: str = "line_no", name: str = "chunk") -> DataFrame:
@@ -187,29 +153,28 @@ def sort_by_score(df: DataFrame, score: str = "ced", tie: str = "line_no") -> Da
 
 
 def select_lowest(df: DataFrame, n: int, score: str = "ced", tie: str = "line_no", max_take: int | None = None) -> DataFrame:
-    """O2: the first `n` rows of the ascending order.
+    """O2: the first `n` rows of the ascending order; rows without a score are never selected.
 
-    Small `n` is a TakeOrdered (per-task top-n, then a merge of n rows per task); large
-    `n` numbers the range-partitioned sort and filters on the number, so no task holds
-    the selection.
+    Small `n` is a TakeOrdered (per-task top-n, then a merge of n rows per task); a large `n`
+    numbers the range-partitioned sort and filters on the number, so no task holds the
+    selection.  Both give the same rows in the same order.
     """
-    return _select_first(df, n, score, tie, ascending=True, max_take=max_take)
+    return _select_first(df, n, [score, tie], score, max_take)
 
 
 def select_highest(df: DataFrame, n: int, score: str = "ced", tie: str = "line_no", max_take: int | None = None) -> DataFrame:
     """O3: the first `n` rows read from the other end (descending on both keys)."""
-    return _select_first(df, n, score, tie, ascending=False, max_take=max_take)
+    return _select_first(df, n, ["-" + score, "-" + tie], score, max_take)
 
 
-TAKE_ORDERED_MAX = 100_000  # rows a TakeOrdered may hold per task; larger n goes by threshold
+TAKE_ORDERED_MAX = 100_000  # rows a TakeOrdered may hold per task; a larger selection is numbered
 
 
-def _select_first(df: DataFrame, n: int, score: str, tie: str, ascending: bool, max_take: int | None = None) -> DataFrame:
+def _select_first(df: DataFrame, n: int, order: list[str], score: str, max_take: int | None) -> DataFrame:
+    df = df.filter(F.col(score).isNotNull())
     if n <= (TAKE_ORDERED_MAX if max_take is None else max_take):
-        order = [F.col(score).asc(), F.col(tie).asc()] if ascending else [F.col(score).desc(), F.col(tie).desc()]
-        return df.orderBy(*order).limit(n)
-    order = [score, tie] if ascending else ["-" + score, "-" + tie]
-    return with_position(df, "_sel", order_by=order).filter(F.col("_sel") <= F.lit(n)).drop("_sel")
+        return df.orderBy(*_sort_order(order)).limit(n)
+    return with_position(df, "_sel", order_by=order).filter(F.col("_sel") <= F.lit(n)).orderBy("_sel").drop("_sel")
 
 
 def head_n(df: DataFrame, n: int, key: str = "line_no") -> DataFrame:

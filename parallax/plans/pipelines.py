@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..caches import keep
 from ..functions import text as X
 from ..operators import bleu as B
 from ..operators import filters as FL
-from ..operators import joins as J
 from ..operators import lm as LM
 from ..operators import mix as M
 from ..operators import sequence as S
@@ -20,41 +20,66 @@ from ..operators import subword as SW
 from ..operators import vocab as V
 
 
+def truecased(df: DataFrame, casing: DataFrame, col: str = "text", key: str = "line_no") -> DataFrame:
+    """J7 on one column of a corpus."""
+    return V.truecase_apply(df, casing, col, key)
+
+
 def ced_selection(pool: DataFrame, pos: DataFrame, neg: DataFrame, n: int, order: int = 5, col: str = "text",
-                  key: str = "line_no") -> tuple[DataFrame, DataFrame]:
-    """C4: train both LMs, score the pool once, return the n most pos-like and n most neg-like rows."""
-    scored = LM.ced(pool, LM.train_ngram_lm(pos, col, order), LM.train_ngram_lm(neg, col, order), col, key, order)
-    scored = scored.join(pool, key)
+                  key: str = "line_no", truecase: bool = True) -> tuple[DataFrame, DataFrame]:
+    """C4: truecase all three corpora (model from both in-domain corpora), train both LMs, score the
+    pool once, return the n most pos-like and n most neg-like rows of the pool as given."""
+    p, q, r = (x.select(key, col) for x in (pos, neg, pool))
+    if truecase:
+        casing = V.train_truecaser(p.unionByName(q), col)
+        p, q, r = (truecased(x, casing, col, key) for x in (p, q, r))
+    scored = LM.ced(r, LM.train_ngram_lm(p, col, order), LM.train_ngram_lm(q, col, order), col, key, order)
+    scored = keep(scored.join(pool, key))  # read by both selections
     return S.select_lowest(scored, n, "ced", key), S.select_highest(scored, n, "ced", key)
 
 
+def first_clean(bitext: DataFrame, pattern: str = "_x", seed: int = 0, src: str = "src", tgt: str = "tgt") -> DataFrame:
+    """First cleaning pass of a corpus: unique pairs -> seeded shuffle order -> drop lines that match
+    `pattern` -> drop pairs with an empty side (no ratio test).  Output (src, tgt, shuffled_no)."""
+    t = _shuffled(M.distinct_rows(bitext.select(src, tgt)), seed, src, tgt)
+    t = FL.drop_matching(t, [src, tgt], pattern)
+    return FL.bitext_clean(t, None, unique=False, src=src, tgt=tgt)
+
+
+def _shuffled(t: DataFrame, seed: int, src: str, tgt: str) -> DataFrame:
+    t = t.withColumn("_k", F.md5(F.concat_ws("\t", src, tgt)))
+    return S.with_position(t, "shuffled_no", order_by=[S.shuffle_key(seed, "_k"), "_k"]).drop("_k")
+
+
 def prepare_bitext(bitext: DataFrame, seed: int = 0, lang: str = "en", src: str = "src", tgt: str = "tgt",
-                   near_identical: float = 0.5, ratio: float | None = 2.0) -> DataFrame:
-    """Strip non-printing -> normalise punctuation -> tokenize (both sides) -> unique
-    pairs -> seeded shuffle order -> drop near-identical pairs -> ratio/unique cleaning.
+                   near_identical: float = 0.5, ratio: float | None = 2.0, tgt_lang: str | None = None) -> DataFrame:
+    """Strip non-printing -> normalise punctuation -> tokenize (each side by the rules of its
+    language: `lang`, `tgt_lang`) -> unique pairs -> seeded shuffle order -> drop near-identical
+    pairs -> ratio/unique cleaning.
 
     Output (src, tgt, shuffled_no): the shuffle position is a column, assigned before the
     last two filters (as the reference shuffles before them)."""
-    def clean(c):
-        return X.tokenize(X.normalize_punctuation(X.strip_nonprinting(c), lang))
+    def clean(c, code):
+        return X.tokenize(X.normalize_punctuation(X.strip_nonprinting(c), code), code)
 
-    t = bitext.select(clean(src).alias(src), clean(tgt).alias(tgt))
-    t = M.distinct_rows(t)
-    t = t.withColumn("_k", F.md5(F.concat_ws("\t", src, tgt)))
-    t = S.with_position(t, "shuffled_no", order_by=[S.shuffle_key(seed, "_k"), "_k"]).drop("_k")
+    t = bitext.select(clean(src, lang).alias(src), clean(tgt, tgt_lang or lang).alias(tgt))
+    t = _shuffled(M.distinct_rows(t), seed, src, tgt)
     t = FL.near_identical_filter(t, near_identical, src, tgt)
     return FL.bitext_clean(t, ratio, unique=False, src=src, tgt=tgt)
 
 
 def evaluate_outputs(hyps: DataFrame, refs: DataFrame, keys: list[str], tag: str, is_transfer: bool,
-                     stat_keys: list[str] | None = None, hyp: str = "hyp", lower: bool | None = None):
-    """Post-process outputs (P20) -> BLEU per grid group (A17) -> statistics over runs.
+                     stat_keys: list[str] | None = None, hyp: str = "hyp", lower: bool | None = None,
+                     ref: str = "ref", lang: str = "en"):
+    """Post-process outputs (P20), tokenize outputs and references (P17) -> BLEU per grid group
+    (A17) -> statistics over runs (A6).
 
     BLEU is lower-cased for translation and cased for transfer, as in the reference.
     Returns (bleu per group, statistics)."""
-    post = hyps.withColumn(hyp, X.postprocess(hyp, tag, is_transfer))
+    post = hyps.withColumn(hyp, X.tokenize(X.postprocess(hyp, tag, is_transfer), lang))
+    split = refs.withColumn(ref, X.tokenize(ref, lang))
     lc = (not is_transfer) if lower is None else lower
-    scores = B.evaluation_grid(post, refs, keys, hyp=hyp, lower=lc)
+    scores = B.evaluation_grid(post, split, keys, hyp=hyp, ref=ref, lower=lc)
     stats = B.run_statistics(scores, stat_keys or [], "bleu") if stat_keys is not None else None
     return scores, stats
 
@@ -70,8 +95,3 @@ def prepare_training(bitext: DataFrame, casing_corpus: DataFrame, n_merges: int,
     t = SW.subword_apply(t, merges, a, key)
     t = SW.subword_apply(t, merges, b, key)
     return M.bidirectional(t, tag1, tag2, mode, a, b, key)
-
-
-def references_for(hyps: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
-    """J3 convenience used by evaluation reports."""
-    return J.attach_references(hyps, refs, keys)

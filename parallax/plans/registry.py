@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..caches import keep
 from ..operators import ced as C
 from ..sources import tables as T
 from .oracle_views import with_views
@@ -88,8 +89,8 @@ from ..operators import sequence as S  # noqa: E402
 from .oracle_views import nt, toks  # noqa: E402
 
 
-def _en(spark, d):
-    return T.english_lines(spark, d)
+def _text(spark, d):
+    return T.v_text(spark, d)
 
 
 @register("tag_prefix", "SELECT pair_id, '<2formal> ' || src AS src, '<2informal> ' || tgt AS tgt FROM v_bitext",
@@ -106,30 +107,30 @@ def q_factor_stream(spark, d):
 
 
 @register("strip_tags", """SELECT line_id, regexp_replace('<2formal> ' || text || ' <2unk> end', '<2[a-z]+> ', '', 'g') AS text
-FROM v_en""", ["v_en"])
+FROM v_text""", ["v_text"])
 def q_strip_tags(spark, d):
-    e = _en(spark, d)
+    e = _text(spark, d)
     tagged = F.concat(F.lit("<2formal> "), F.col("text"), F.lit(" <2unk> end"))
     return e.select("line_id", X.strip_tags(tagged).alias("text"))
 
 
 @register("undo_subword", """SELECT line_id, regexp_replace(regexp_replace(text, 'e', 'e@@ ', 'g'), '(@@ )|(@@ ?$)', '', 'g') AS text
-FROM v_en""", ["v_en"])
+FROM v_text""", ["v_text"])
 def q_undo_subword(spark, d):
-    e = _en(spark, d)
+    e = _text(spark, d)
     return e.select("line_id", X.undo_subword(F.regexp_replace("text", "e", "e@@ ")).alias("text"))
 
 
 @register("normalize_all_caps", """SELECT line_id, CASE WHEN upper(t) = t AND lower(t) <> t
   THEN upper(substr(lower(t), 1, 1)) || substr(lower(t), 2) ELSE t END AS text
-FROM (SELECT line_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM v_en)""", ["v_en"])
+FROM (SELECT line_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM v_text)""", ["v_text"])
 def q_normalize_all_caps(spark, d):
-    return _en(spark, d).select("line_id", X.normalize_all_caps("text").alias("text"))
+    return _text(spark, d).select("line_id", X.normalize_all_caps("text").alias("text"))
 
 
-@register("tokens_lower", f"SELECT line_id, lower(text) AS lower_text, {nt('text')} AS n_tokens FROM v_en", ["v_en"])
+@register("tokens_lower", f"SELECT line_id, lower(text) AS lower_text, {nt('text')} AS n_tokens FROM v_text", ["v_text"])
 def q_tokens_lower(spark, d):
-    return _en(spark, d).select("line_id", X.lowercase("text").alias("lower_text"), X.n_tokens("text").alias("n_tokens"))
+    return _text(spark, d).select("line_id", X.lowercase("text").alias("lower_text"), X.n_tokens("text").alias("n_tokens"))
 
 
 @register("strip_nonprinting", "SELECT line_id, regexp_replace(text, '\\p{C}', ' ', 'g') AS text FROM v_lines",
@@ -139,27 +140,27 @@ def q_strip_nonprinting(spark, d):
 
 
 @register("normalize_punctuation",
-          "SELECT line_id, " + R.duckdb_chain("text", R.PUNCT_RULES_COMMON + R.PUNCT_RULES_EN) + " AS text FROM v_en",
-          ["v_en"])
+          "SELECT line_id, " + R.duckdb_chain("text", R.PUNCT_RULES_COMMON + R.PUNCT_RULES_EN) + " AS text FROM v_text",
+          ["v_text"])
 def q_normalize_punctuation(spark, d):
-    return _en(spark, d).select("line_id", X.normalize_punctuation("text", "en").alias("text"))
+    return _text(spark, d).select("line_id", X.normalize_punctuation("text", "en").alias("text"))
 
 
-@register("tokenize", "SELECT line_id, " + R.duckdb_chain("text", R.TOKENIZE_RULES) + " AS text FROM v_en", ["v_en"])
+@register("tokenize", "SELECT line_id, " + R.duckdb_chain("text", R.TOKENIZE_RULES) + " AS text FROM v_text", ["v_text"])
 def q_tokenize(spark, d):
-    return _en(spark, d).select("line_id", X.tokenize("text").alias("text"))
+    return _text(spark, d).select("line_id", X.tokenize("text").alias("text"))
 
 
 @register("detokenize",
-          "SELECT line_id, " + R.duckdb_chain(R.duckdb_chain("text", R.TOKENIZE_RULES), R.DETOKENIZE_RULES) + " AS text FROM v_en",
-          ["v_en"])
+          "SELECT line_id, " + R.duckdb_chain(R.duckdb_chain("text", R.TOKENIZE_RULES), R.DETOKENIZE_RULES) + " AS text FROM v_text",
+          ["v_text"])
 def q_detokenize(spark, d):
-    return _en(spark, d).select("line_id", X.detokenize(X.tokenize("text")).alias("text"))
+    return _text(spark, d).select("line_id", X.detokenize(X.tokenize("text")).alias("text"))
 
 
-@register("detruecase", "SELECT line_id, upper(substr(text, 1, 1)) || substr(text, 2) AS text FROM v_en", ["v_en"])
+@register("detruecase", "SELECT line_id, upper(substr(text, 1, 1)) || substr(text, 2) AS text FROM v_text", ["v_text"])
 def q_detruecase(spark, d):
-    return _en(spark, d).select("line_id", X.detruecase("text").alias("text"))
+    return _text(spark, d).select("line_id", X.detruecase("text").alias("text"))
 
 
 def _post_sql(x: str, detrue: bool) -> str:
@@ -408,9 +409,9 @@ def q_interleave_references(spark, d):
 
 # ---------------------------------------------------------------- positions, sorts, selection
 
-@register("line_number", "SELECT line_id, row_number() OVER (ORDER BY line_id) AS line_no FROM v_en", ["v_en"])
+@register("line_number", "SELECT line_id, row_number() OVER (ORDER BY line_id) AS line_no FROM v_text", ["v_text"])
 def q_line_number(spark, d):
-    return S.with_position(_en(spark, d).select("line_id"), "line_no", order_by=["line_id"])
+    return S.line_number(_text(spark, d).select("line_id").orderBy("line_id"))
 
 
 @register("rank_by_score", "SELECT line_id, ced, row_number() OVER (ORDER BY ced, line_id) AS rank FROM v_score",
@@ -425,15 +426,15 @@ def q_sort_by_score(spark, d):
 
 
 @register("balanced_chunks", """SELECT line_id, CAST(least(7, floor(coalesce(sum(b) OVER (ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 8
-  / (SELECT sum(strlen(text) + 1) FROM v_en))) AS INTEGER) AS chunk
-FROM (SELECT line_id, strlen(text) + 1 AS b FROM v_en)""", ["v_en"])
+  / (SELECT sum(strlen(text) + 1) FROM v_text))) AS INTEGER) AS chunk
+FROM (SELECT line_id, strlen(text) + 1 AS b FROM v_text)""", ["v_text"])
 def q_balanced_chunks(spark, d):
-    return S.balanced_chunks(_en(spark, d).select("line_id", "text"), 8, key="line_id").select("line_id", "chunk")
+    return S.balanced_chunks(_text(spark, d).select("line_id", "text"), 8, key="line_id").select("line_id", "chunk")
 
 
-@register("ordered_concat", "SELECT line_id, row_number() OVER (ORDER BY line_id) AS out_line_no FROM v_en", ["v_en"])
+@register("ordered_concat", "SELECT line_id, row_number() OVER (ORDER BY line_id) AS out_line_no FROM v_text", ["v_text"])
 def q_ordered_concat(spark, d):
-    ch = S.balanced_chunks(_en(spark, d).select("line_id", "text"), 8, key="line_id")
+    ch = S.balanced_chunks(_text(spark, d).select("line_id", "text"), 8, key="line_id")
     return S.ordered_concat(ch, key="line_id").select("line_id", "out_line_no")
 
 
@@ -461,9 +462,9 @@ def q_head_n(spark, d):
 
 
 @register("seeded_shuffle", """SELECT line_id, row_number() OVER (ORDER BY md5('7|' || CAST(line_id AS VARCHAR)), line_id) AS shuffled_no
-FROM v_en""", ["v_en"])
+FROM v_text""", ["v_text"])
 def q_seeded_shuffle(spark, d):
-    return S.seeded_shuffle(_en(spark, d).select("line_id"), 7, key="line_id")
+    return S.seeded_shuffle(_text(spark, d).select("line_id"), 7, key="line_id")
 
 
 @register("row_parity", """SELECT (SELECT count(*) FROM v_pos) AS n_a, (SELECT count(*) FROM v_neg) AS n_b,
@@ -561,98 +562,131 @@ def q_lepod_detail(spark, d):
 from ..operators import lm as LM  # noqa: E402
 
 
-def _kn2_sql(src: str, p: str) -> str:
-    """Order-2 interpolated modified Kneser-Ney in DuckDB: CTEs prefixed `p` over view `src`."""
-    disc = """CASE WHEN {a} = 1 THEN d.d1 WHEN {a} = 2 THEN d.d2 ELSE d.d3 END"""
-    def dsc(t):
-        return f"""{p}cc{t} AS (SELECT count_if(a = 1)::DOUBLE n1, count_if(a = 2)::DOUBLE n2, count_if(a = 3)::DOUBLE n3,
-       count_if(a = 4)::DOUBLE n4 FROM {p}a{t}),
-{p}dr{t} AS (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 AND n3 > 0 AND n4 > 0 THEN n1 / (n1 + 2 * n2) END AS y FROM {p}cc{t}),
-{p}dd{t} AS (SELECT 1 - 2 * y * n2 / n1 AS e1, 2 - 3 * y * n3 / n2 AS e2, 3 - 4 * y * n4 / n3 AS e3 FROM {p}dr{t}),
-{p}d{t} AS (SELECT CASE WHEN coalesce(e1 BETWEEN 0 AND 1 AND e2 BETWEEN 0 AND 2 AND e3 BETWEEN 0 AND 3, false)
-              THEN e1 ELSE 0.5 END AS d1,
-            CASE WHEN coalesce(e1 BETWEEN 0 AND 1 AND e2 BETWEEN 0 AND 2 AND e3 BETWEEN 0 AND 3, false)
-              THEN e2 ELSE 1.0 END AS d2,
-            CASE WHEN coalesce(e1 BETWEEN 0 AND 1 AND e2 BETWEEN 0 AND 2 AND e3 BETWEEN 0 AND 3, false)
-              THEN e3 ELSE 1.5 END AS d3 FROM {p}dd{t})"""
-    return f"""{p}seg AS (SELECT list_concat(['<s>'], {toks('text')}, ['</s>']) AS p FROM {src}),
-{p}u AS (SELECT g AS ngram, count(*) AS c FROM (SELECT unnest(p) AS g FROM {p}seg) GROUP BY g),
-{p}bi AS (SELECT g AS ngram, count(*) AS c FROM (SELECT unnest(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) AS g
-       FROM {p}seg) GROUP BY g),
-{p}ext AS (SELECT split_part(ngram, ' ', 2) AS ngram, count(*) AS ext FROM {p}bi GROUP BY 1),
-{p}a1 AS (SELECT u.ngram, coalesce(e.ext, 0) AS a FROM {p}u u LEFT JOIN {p}ext e ON e.ngram = u.ngram WHERE u.ngram <> '<s>'),
-{p}a2 AS (SELECT ngram, c AS a FROM {p}bi),
-{dsc(1)},
-{dsc(2)},
-{p}g1 AS (SELECT a.ngram, a.a, {disc.format(a='a.a')} AS disc FROM {p}a1 a, {p}d1 d),
-{p}c1 AS (SELECT sum(a) AS S, sum(disc) AS D, sum(disc) / sum(a) AS b, (SELECT count(*) + 1 FROM {p}a1)::DOUBLE AS V FROM {p}g1),
+def _kn_sql(src: str, p: str, order: int = 2) -> str:
+    """Interpolated modified Kneser-Ney in DuckDB: CTEs prefixed `p` over view `src`, model `{p}m`."""
+    out = [f"{p}seg AS (SELECT list_concat(['<s>'], {toks('text')}, ['</s>']) AS p FROM {src})"]
+    for k in range(1, order + 1):
+        out.append(f"""{p}r{k} AS (SELECT g AS ngram, count(*) AS c FROM (
+  SELECT unnest(list_transform(range(1, len(p) - {k} + 2), lambda i: array_to_string(p[i:i + {k - 1}], ' '))) AS g FROM {p}seg) GROUP BY g)""")
+    for k in range(1, order + 1):
+        if k < order:
+            out.append(f"""{p}e{k} AS (SELECT substr(ngram, strpos(ngram, ' ') + 1) AS ngram, count(*) AS ext FROM {p}r{k + 1} GROUP BY 1),
+{p}a{k} AS (SELECT u.ngram, CASE WHEN split_part(u.ngram, ' ', 1) = '<s>' THEN u.c ELSE coalesce(e.ext, 0) END AS a
+  FROM {p}r{k} u LEFT JOIN {p}e{k} e ON e.ngram = u.ngram WHERE u.ngram <> '<s>')""")
+        else:
+            out.append(f"{p}a{k} AS (SELECT ngram, c AS a FROM {p}r{k} WHERE ngram <> '<s>')")
+        ok = "coalesce(e1 BETWEEN 0 AND 1 AND e2 BETWEEN 0 AND 2 AND e3 BETWEEN 0 AND 3, false)"
+        out.append(f"""{p}cc{k} AS (SELECT count_if(a = 1)::DOUBLE n1, count_if(a = 2)::DOUBLE n2, count_if(a = 3)::DOUBLE n3,
+  count_if(a = 4)::DOUBLE n4 FROM {p}a{k}),
+{p}dr{k} AS (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 AND n3 > 0 AND n4 > 0 THEN n1 / (n1 + 2 * n2) END AS y FROM {p}cc{k}),
+{p}dd{k} AS (SELECT 1 - 2 * y * n2 / n1 AS e1, 2 - 3 * y * n3 / n2 AS e2, 3 - 4 * y * n4 / n3 AS e3 FROM {p}dr{k}),
+{p}d{k} AS (SELECT CASE WHEN {ok} THEN e1 ELSE 0.5 END AS d1, CASE WHEN {ok} THEN e2 ELSE 1.0 END AS d2,
+  CASE WHEN {ok} THEN e3 ELSE 1.5 END AS d3 FROM {p}dd{k}),
+{p}g{k} AS (SELECT a.ngram, regexp_replace(a.ngram, ' [^ ]*$', '') AS h, substr(a.ngram, strpos(a.ngram, ' ') + 1) AS tail, a.a,
+  CASE WHEN a.a = 1 THEN d.d1 WHEN a.a = 2 THEN d.d2 ELSE d.d3 END AS disc FROM {p}a{k} a, {p}d{k} d)""")
+        if k == 1:
+            out.append(f"""{p}c1 AS (SELECT sum(a) AS S, sum(disc) / sum(a) AS b, (SELECT count(*) + 1 FROM {p}a1)::DOUBLE AS V FROM {p}g1),
 {p}p1 AS (SELECT g.ngram, greatest(g.a - g.disc, 0) / c.S + c.b / c.V AS p FROM {p}g1 g, {p}c1 c
-        UNION ALL SELECT '<unk>' AS ngram, c.b / c.V AS p FROM {p}c1 c),
-{p}g2 AS (SELECT a.ngram, split_part(a.ngram, ' ', 1) AS h, split_part(a.ngram, ' ', 2) AS tail, a.a,
-        {disc.format(a='a.a')} AS disc FROM {p}a2 a, {p}d2 d),
-{p}c2 AS (SELECT h, sum(a) AS S, sum(disc) / sum(a) AS b FROM {p}g2 GROUP BY h),
-{p}p2 AS (SELECT g.ngram, greatest(g.a - g.disc, 0) / c.S + c.b * l.p AS p FROM {p}g2 g JOIN {p}c2 c ON c.h = g.h
-        JOIN {p}p1 l ON l.ngram = g.tail),
-{p}pt AS (SELECT ngram, log10(p) AS log_p FROM {p}p1 UNION ALL SELECT ngram, log10(p) AS log_p FROM {p}p2),
+  UNION ALL SELECT '<unk>' AS ngram, c.b / c.V AS p FROM {p}c1 c)""")
+        else:
+            out.append(f"""{p}c{k} AS (SELECT h, sum(a) AS S, sum(disc) / sum(a) AS b FROM {p}g{k} GROUP BY h),
+{p}p{k} AS (SELECT g.ngram, greatest(g.a - g.disc, 0) / c.S + c.b * l.p AS p FROM {p}g{k} g JOIN {p}c{k} c ON c.h = g.h
+  JOIN {p}p{k - 1} l ON l.ngram = g.tail)""")
+    pt = " UNION ALL ".join(f"SELECT ngram, log10(p) AS log_p FROM {p}p{k}" for k in range(1, order + 1))
+    bt = " UNION ALL ".join(f"SELECT h, log10(b) AS log_b FROM {p}c{k}" for k in range(2, order + 1))
+    out.append(f"""{p}pt AS ({pt}), {p}bt AS ({bt}),
 {p}m AS (SELECT coalesce(pt.ngram, c.h) AS ngram, CAST(len(string_split(coalesce(pt.ngram, c.h), ' ')) AS INTEGER) AS n,
-        pt.log_p, log10(c.b) AS log_b FROM {p}pt pt FULL OUTER JOIN {p}c2 c ON c.h = pt.ngram)"""
+  pt.log_p, c.log_b FROM {p}pt pt FULL OUTER JOIN {p}bt c ON c.h = pt.ngram)""")
+    return ",\n".join(out)
+
+
+def _score_sql(src: str, p: str, order: int = 2, key: str = "line_id") -> str:
+    """Scoring of `src` with model CTE `{p}m` -> `{p}s(key, logprob, n_words, n_oov)`."""
+    n_grams = ", ".join(f"CASE WHEN i >= {j} THEN array_to_string(raw[i - {j - 1}:i], ' ') END AS g{j}" for j in range(1, order + 1))
+    contexts = "".join(f", CASE WHEN i > {j} THEN array_to_string(raw[i - {j}:i - 1], ' ') END AS h{j}" for j in range(1, order))
+    joins = " ".join(f"LEFT JOIN {p}m m{j} ON m{j}.ngram = t.g{j}" for j in range(1, order + 1))
+    joins += " " + " ".join(f"LEFT JOIN {p}m b{j} ON b{j}.ngram = t.h{j}" for j in range(1, order))
+    rest = lambda m: "".join(f" + coalesce(b{j}.log_b, 0)" for j in range(max(m, 1), order))
+    cases = " ".join(f"WHEN m{m}.log_p IS NOT NULL THEN m{m}.log_p{rest(m)}" for m in range(order, 0, -1))
+    return f"""{p}tk AS (SELECT {key}, list_concat(['<s>'], {toks('text')}, ['</s>']) AS raw FROM {src}),
+{p}tx AS (SELECT {key}, raw, unnest(range(2, len(raw) + 1)) AS i FROM {p}tk),
+{p}tg AS (SELECT {key}, i, {n_grams}{contexts} FROM {p}tx),
+{p}sc AS (SELECT t.{key}, CASE {cases} ELSE (SELECT log_p FROM {p}m WHERE ngram = '<unk>'){rest(0)} END AS lp,
+  m1.log_p IS NULL AS oov FROM {p}tg t {joins}),
+{p}s AS (SELECT {key}, sum(lp) AS logprob, CAST(count(*) - 1 AS INTEGER) AS n_words, CAST(count_if(oov) AS INTEGER) AS n_oov
+  FROM {p}sc GROUP BY {key})"""
 
 
-@register("train_ngram_lm", "WITH " + _kn2_sql("v_pos", "x") + """
-SELECT ngram, n, round(log_p, 6) AS log_p, round(log_b, 6) AS log_b FROM xm""", ["v_pos"])
-def q_train_ngram_lm(spark, d):
-    m = LM.train_ngram_lm(T.v_pos(spark, d), "text", 2)
-    return m.withColumns({"log_p": r6("log_p"), "log_b": r6("log_b")})
+def _lm_rows(order: int, suffix: str = ""):
+    """A10, J8 and C1 at one order."""
+    model = "WITH " + _kn_sql("v_pos", "x", order)
+    scored = model + ",\n" + _score_sql("v_pool_e", "x", order)
 
+    def train(spark, d):
+        m = LM.train_ngram_lm(T.v_pos(spark, d), "text", order)
+        return m.withColumns({"log_p": r6("log_p"), "log_b": r6("log_b")})
+
+    def score(spark, d):
+        m = LM.train_ngram_lm(T.v_pos(spark, d), "text", order)
+        return LM.lm_score(T.v_pool_e(spark, d), m, "text", "line_id", order).withColumn("logprob", r6("logprob"))
+
+    def xent(spark, d):
+        m = LM.train_ngram_lm(T.v_pos(spark, d), "text", order)
+        return LM.cross_entropy(T.v_pool_e(spark, d), m, "text", "line_id", order).withColumn("xent", r6("xent"))
+
+    register("train_ngram_lm" + suffix, model + "\nSELECT ngram, n, round(log_p, 6) AS log_p, round(log_b, 6) AS log_b FROM xm", ["v_pos"])(train)
+    register("lm_score" + suffix, scored + "\nSELECT line_id, round(logprob, 6) AS logprob, n_words, n_oov FROM xs", ["v_pos", "v_pool_e"])(score)
+    register("cross_entropy" + suffix, scored + """
+SELECT line_id, round(CASE WHEN n_words > 0 THEN -logprob / n_words END, 6) AS xent, n_words, n_oov FROM xs""", ["v_pos", "v_pool_e"])(xent)
 
-def _score2_sql(src: str, p: str, key: str = "line_id") -> str:
-    """Order-2 scoring of `src` with model CTE `{p}m` -> `{p}s(key, logprob, n_words, n_oov)`."""
-    return f"""{p}tk AS (SELECT {key}, list_concat(['<s>'], {toks('text')}, ['</s>']) AS raw FROM {src}),
-{p}tx AS (SELECT {key}, unnest(raw) AS w, unnest(range(1, len(raw) + 1)) AS i, len(raw) AS L FROM {p}tk),
-{p}tu AS (SELECT t.{key}, t.i, t.L, t.w, CASE WHEN t.w IN ('<s>') OR m.ngram IS NOT NULL THEN t.w ELSE '<unk>' END AS u,
-        m.ngram IS NULL AND t.w NOT IN ('<s>', '</s>') AS oov
-        FROM {p}tx t LEFT JOIN (SELECT ngram FROM {p}m WHERE n = 1 AND log_p IS NOT NULL) m ON m.ngram = t.w),
-{p}pr AS (SELECT a.{key}, a.i, b.u AS prev, a.u AS w FROM {p}tu a JOIN {p}tu b ON b.{key} = a.{key} AND b.i = a.i - 1),
-{p}sc AS (SELECT r.{key}, r.i, CASE WHEN bg.log_p IS NOT NULL THEN bg.log_p
-          ELSE ug.log_p + coalesce(cx.log_b, 0) END AS lp
-        FROM {p}pr r LEFT JOIN {p}m bg ON bg.ngram = r.prev || ' ' || r.w
-        LEFT JOIN {p}m ug ON ug.ngram = r.w LEFT JOIN {p}m cx ON cx.ngram = r.prev AND cx.log_b IS NOT NULL),
-{p}s AS (SELECT k.{key}, coalesce((SELECT sum(lp) FROM {p}sc s WHERE s.{key} = k.{key}), 0) AS logprob,
-        CAST(len(k.raw) - 2 AS INTEGER) AS n_words,
-        CAST((SELECT count_if(oov) FROM {p}tu t WHERE t.{key} = k.{key}) AS INTEGER) AS n_oov FROM {p}tk k)"""
-
-
-@register("lm_score", "WITH " + _kn2_sql("v_pos", "x") + ",\n" + _score2_sql("v_pool", "x") + """
-SELECT line_id, round(logprob, 6) AS logprob, n_words, n_oov FROM xs""", ["v_pos", "v_pool"])
-def q_lm_score(spark, d):
-    m = LM.train_ngram_lm(T.v_pos(spark, d), "text", 2)
-    s = LM.lm_score(T.v_pool(spark, d), m, "text", "line_id", 2)
-    return s.withColumn("logprob", r6("logprob"))
-
-
-@register("cross_entropy", "WITH " + _kn2_sql("v_pos", "x") + ",\n" + _score2_sql("v_pool", "x") + """
-SELECT line_id, round(CASE WHEN n_words > 0 THEN -logprob / n_words END, 6) AS xent, n_words, n_oov FROM xs""",
-          ["v_pos", "v_pool"])
-def q_cross_entropy(spark, d):
-    m = LM.train_ngram_lm(T.v_pos(spark, d), "text", 2)
-    return LM.cross_entropy(T.v_pool(spark, d), m, "text", "line_id", 2).withColumn("xent", r6("xent"))
 
+_lm_rows(2)
+_lm_rows(3, "_3")
+_lm_rows(5, "_5")
 
-_CED_SQL = ("WITH " + _kn2_sql("v_pos", "x") + ",\n" + _score2_sql("v_pool", "x") + ",\n" + _kn2_sql("v_neg", "y") + ",\n"
-            + _score2_sql("v_pool", "y") + """,
-xp AS (SELECT line_id, -logprob / n_words AS xent, n_words FROM xs WHERE n_words > 0),
-yp AS (SELECT line_id, -logprob / n_words AS xent, n_words FROM ys WHERE n_words > 0),
+
+def _ced_sql(pos: str, neg: str, pool: str, order: int) -> str:
+    """CTEs xp, yp (cross-entropies) and ced."""
+    return (_kn_sql(pos, "x", order) + ",\n" + _score_sql(pool, "x", order) + ",\n" + _kn_sql(neg, "y", order) + ",\n"
+            + _score_sql(pool, "y", order) + """,
+xp AS (SELECT line_id, CASE WHEN n_words > 0 THEN -logprob / n_words END AS xent, n_words, n_oov FROM xs),
+yp AS (SELECT line_id, CASE WHEN n_words > 0 THEN -logprob / n_words END AS xent, n_words, n_oov FROM ys),
 cd AS (SELECT xp.line_id, xp.xent - yp.xent AS ced0, xp.n_words FROM xp JOIN yp ON yp.line_id = xp.line_id AND yp.n_words = xp.n_words),
 ced AS (SELECT line_id, CASE WHEN abs(ced0) < 1e-4 THEN 0.0 ELSE ced0 END AS ced, n_words FROM cd)
 """)
 
 
-@register("ced", _CED_SQL + "SELECT line_id, round(ced, 6) AS ced, n_words FROM ced", ["v_pos", "v_neg", "v_pool"])
+_CED_SQL = "WITH " + _ced_sql("v_pos", "v_neg", "v_pool_e", 2)
+
+
+def _ced(spark, d, order):
+    pos = LM.train_ngram_lm(T.v_pos(spark, d), "text", order)
+    neg = LM.train_ngram_lm(T.v_neg(spark, d), "text", order)
+    return LM.ced(T.v_pool_e(spark, d), pos, neg, "text", "line_id", order).withColumn("ced", r6("ced"))
+
+
+@register("ced", _CED_SQL + "SELECT line_id, round(ced, 6) AS ced, n_words FROM ced", ["v_pos", "v_neg", "v_pool_e"])
 def q_ced(spark, d):
-    pos = LM.train_ngram_lm(T.v_pos(spark, d), "text", 2)
-    neg = LM.train_ngram_lm(T.v_neg(spark, d), "text", 2)
-    c = LM.ced(T.v_pool(spark, d), pos, neg, "text", "line_id", 2)
-    return c.withColumn("ced", r6("ced"))
+    return _ced(spark, d, 2)
+
+
+@register("ced_3", "WITH " + _ced_sql("v_pos", "v_neg", "v_pool_e", 3) + "SELECT line_id, round(ced, 6) AS ced, n_words FROM ced",
+          ["v_pos", "v_neg", "v_pool_e"])
+def q_ced_3(spark, d):
+    return _ced(spark, d, 3)
+
+
+@register("ced_to_tag_of_ced", _CED_SQL + """,
+sc AS (SELECT line_id, round(ced, 6) AS ced FROM ced), m AS (SELECT avg(abs(ced)) AS m FROM sc),
+k AS (SELECT least(count_if(ced < -m), count_if(ced > m)) AS k, count(ced) AS n FROM sc, m),
+r AS (SELECT ced, row_number() OVER (ORDER BY ced) AS rn FROM sc WHERE ced IS NOT NULL),
+th AS (SELECT (SELECT ced FROM r, k WHERE rn = k) AS lo, (SELECT ced FROM r, k WHERE rn = n - k + 1) AS hi)
+SELECT line_id, ced, CASE WHEN ced <= lo THEN '<2formal>' WHEN ced >= hi THEN '<2informal>' ELSE '<2unk>' END AS src_tag,
+  CASE WHEN ced <= lo THEN '<2informal>' WHEN ced >= hi THEN '<2formal>' ELSE '<2unk>' END AS tgt_tag FROM sc, th""",
+          ["v_pos", "v_neg", "v_pool_e"])
+def q_ced_to_tag_of_ced(spark, d):
+    """C1 -> C2 -> C3 over a pool with empty lines, whose score is null."""
+    return C.ced_to_tag(keep(_ced(spark, d, 2).select("line_id", "ced")), pos="formal", neg="informal").select("line_id", "ced", "src_tag", "tgt_tag")
 
 
 # ---------------------------------------------------------------- vocabulary, truecasing
@@ -681,22 +715,27 @@ def q_oov_count(spark, d):
     return V.oov_count(T.v_pool(spark, d), voc, "text", "line_id")
 
 
-_TC_TRAIN = f"""forms AS (SELECT form, count(*) AS n FROM (
-    SELECT unnest(t) AS form, unnest(range(len(t))) AS i FROM (SELECT {toks('text')} AS t FROM v_pos)) WHERE i > 0 GROUP BY form),
-tc AS (SELECT lower(form) AS lower, arg_min(form, (-n, form)) AS best, sum(n) AS count FROM forms GROUP BY lower(form))
-"""
+def _tc_train_sql(src: str) -> str:
+    return f"""forms AS (SELECT form, count(*) AS n FROM (
+    SELECT unnest(t) AS form, unnest(range(len(t))) AS i FROM (SELECT {toks('text')} AS t FROM {src})) WHERE i > 0 GROUP BY form),
+tc AS (SELECT lower(form) AS lower, arg_min(form, (-n, form)) AS best, sum(n) AS count FROM forms GROUP BY lower(form))"""
 
 
-@register("train_truecaser", "WITH " + _TC_TRAIN + "SELECT lower, best, CAST(count AS BIGINT) AS count FROM tc", ["v_pos"])
+def _tc_apply_sql(src: str, out: str) -> str:
+    """`out(line_id, text)`: the lines of `src` truecased by `tc`."""
+    return f"""{out}o AS (SELECT line_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM (SELECT line_id, {toks('text')} AS t FROM {src})),
+{out}c AS (SELECT o.line_id, string_agg(coalesce(tc.best, o.w), ' ' ORDER BY o.i) AS text FROM {out}o o
+          LEFT JOIN tc ON tc.lower = lower(o.w) GROUP BY o.line_id),
+{out} AS (SELECT p.line_id, coalesce(c.text, '') AS text FROM {src} p LEFT JOIN {out}c c ON c.line_id = p.line_id)"""
+
+
+@register("train_truecaser", "WITH " + _tc_train_sql("v_pos") + "\nSELECT lower, best, CAST(count AS BIGINT) AS count FROM tc", ["v_pos"])
 def q_train_truecaser(spark, d):
     return V.train_truecaser(T.v_pos(spark, d), "text")
 
 
-@register("truecase_apply", "WITH " + _TC_TRAIN + f""",
-occ AS (SELECT line_id, unnest(t) AS w, unnest(range(len(t))) AS i FROM (SELECT line_id, {toks('text')} AS t FROM v_pool)),
-cased AS (SELECT o.line_id, string_agg(coalesce(tc.best, o.w), ' ' ORDER BY o.i) AS text FROM occ o
-          LEFT JOIN tc ON tc.lower = lower(o.w) GROUP BY o.line_id)
-SELECT p.line_id, coalesce(c.text, '') AS text FROM v_pool p LEFT JOIN cased c ON c.line_id = p.line_id""", ["v_pos", "v_pool"])
+@register("truecase_apply", "WITH " + _tc_train_sql("v_pos") + ",\n" + _tc_apply_sql("v_pool", "cased") + "\nSELECT line_id, text FROM cased",
+          ["v_pos", "v_pool"])
 def q_truecase_apply(spark, d):
     tc = V.train_truecaser(T.v_pos(spark, d), "text")
     return V.truecase_apply(T.v_pool(spark, d).select("line_id", "text"), tc, "text", "line_id")
@@ -817,33 +856,36 @@ def q_subword_apply(spark, d):
     return SW.subword_apply(T.v_pool(spark, d).select("line_id", "text"), merges, "text", "line_id")
 
 
-@register("guarded_join", _CED_SQL.replace("ced AS (SELECT line_id", "ced_unused AS (SELECT line_id") + """,
+@register("guarded_join", _CED_SQL + """,
 gj AS (SELECT xp.line_id, xp.n_words, xp.xent AS xent_pos, yp.xent AS xent_neg FROM xp JOIN yp
        ON yp.line_id = xp.line_id AND yp.n_words = xp.n_words)
-SELECT line_id, n_words, round(xent_pos, 6) AS xent_pos, round(xent_neg, 6) AS xent_neg FROM gj""", ["v_pos", "v_neg", "v_pool"])
+SELECT line_id, n_words, round(xent_pos, 6) AS xent_pos, round(xent_neg, 6) AS xent_neg FROM gj""", ["v_pos", "v_neg", "v_pool_e"])
 def q_guarded_join(spark, d):
-    pool = T.v_pool(spark, d)
+    pool = T.v_pool_e(spark, d)
     xp = LM.cross_entropy(pool, LM.train_ngram_lm(T.v_pos(spark, d), "text", 2), "text", "line_id", 2)
     xn = LM.cross_entropy(pool, LM.train_ngram_lm(T.v_neg(spark, d), "text", 2), "text", "line_id", 2)
-    xp, xn = xp.filter(F.col("xent").isNotNull()), xn.filter(F.col("xent").isNotNull())
     return J.guarded_join(xp, xn, "line_id", "n_words").select(
         "line_id", "n_words", r6("xent_pos").alias("xent_pos"), r6("xent_neg").alias("xent_neg"))
 
 
 def _ced_sel(spark, d, low: bool):
-    lo, hi = PL.ced_selection(T.v_pool(spark, d).select("line_id", "text"), T.v_pos(spark, d), T.v_neg(spark, d), 50, 2,
-                              "text", "line_id")
+    lo, hi = PL.ced_selection(T.v_pool_e(spark, d), T.v_pos(spark, d), T.v_neg(spark, d), 50, 3, "text", "line_id")
     return (lo if low else hi).select("line_id", r6("ced").alias("ced"))
 
 
-@register("ced_select_low", _CED_SQL + "SELECT line_id, round(ced, 6) AS ced FROM ced ORDER BY ced, line_id LIMIT 50",
-          ["v_pos", "v_neg", "v_pool"])
+# C4: all three corpora truecased by a model of both in-domain corpora, order 3
+_CED_TC_SQL = "WITH " + _tc_train_sql("(SELECT text FROM v_pos UNION ALL SELECT text FROM v_neg)") + ",\n" + ",\n".join(
+    _tc_apply_sql(v, v + "_tc") for v in ("v_pos", "v_neg", "v_pool_e")) + ",\n" + _ced_sql("v_pos_tc", "v_neg_tc", "v_pool_e_tc", 3)
+
+
+@register("ced_select_low", _CED_TC_SQL + "SELECT line_id, round(ced, 6) AS ced FROM ced WHERE ced IS NOT NULL ORDER BY ced.ced, line_id LIMIT 50",
+          ["v_pos", "v_neg", "v_pool_e"])
 def q_ced_select_low(spark, d):
     return _ced_sel(spark, d, True)
 
 
-@register("ced_select_high", _CED_SQL + "SELECT line_id, round(ced, 6) AS ced FROM ced ORDER BY ced DESC, line_id DESC LIMIT 50",
-          ["v_pos", "v_neg", "v_pool"])
+@register("ced_select_high", _CED_TC_SQL + "SELECT line_id, round(ced, 6) AS ced FROM ced WHERE ced IS NOT NULL ORDER BY ced.ced DESC, line_id DESC LIMIT 50",
+          ["v_pos", "v_neg", "v_pool_e"])
 def q_ced_select_high(spark, d):
     return _ced_sel(spark, d, False)
 
@@ -865,11 +907,12 @@ def q_prepare_bitext(spark, d):
     return PL.prepare_bitext(T.v_bitext(spark, d)).select("src", "tgt", "shuffled_no")
 
 
-_EVAL_HYPS = f"""ph AS (SELECT system, seg_id, {_post_sql('hyp', True)} AS hyp FROM v_hyps),
+_EVAL_HYPS = f"""ph AS (SELECT system, seg_id, {R.duckdb_chain(_post_sql('hyp', True), R.TOKENIZE_RULES)} AS hyp FROM v_hyps),
+pr_ AS (SELECT system, seg_id, ref_no, {R.duckdb_chain('ref', R.TOKENIZE_RULES)} AS ref FROM v_refs),
 """
 
 
-@register("evaluate_outputs", "WITH " + _EVAL_HYPS + _bleu_sql(True, "ph", "v_refs", "", head="") + """
+@register("evaluate_outputs", "WITH " + _EVAL_HYPS + _bleu_sql(True, "ph", "pr_", "", head="") + """
 SELECT count(*) AS runs, round(avg(round(bleu, 2)), 6) AS mean, round(stddev_samp(round(bleu, 2)), 6) AS std,
   round(min(round(bleu, 2)), 6) AS min, round(max(round(bleu, 2)), 6) AS max FROM bleu""", ["v_hyps", "v_refs"])
 def q_evaluate_outputs(spark, d):

@@ -24,19 +24,22 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "pa
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="parallax-ckpt-"))  # local: one machine
     ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """The shared checkpoint folder of the session.
 
-    On a cluster `spark.checkpoint.dir` names a shared folder and is used as
-    is.  Only when it is unset (local tests) a scratch folder is created.
+    On a cluster `spark.checkpoint.dir` names it and is used as is.  Where it is unset (local
+    tests), a folder in the session's warehouse is set, which executors share; never a
+    machine-local temporary folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="parallax-ckpt-")
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d

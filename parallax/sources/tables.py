@@ -12,26 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import n_tokens
 
-LINE_ID_STRIDE = 100000  # line_id = doc_id * stride + line_no (max lines per document is far below)
+LINE_ID_STRIDE = 100000  # line_id = doc_id * stride + line_no; a longer document fails the job
+TURN_STRIDE = 1000  # pair_id = conv_id * stride + turn; a longer conversation fails the job
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer splits than the session has cores one round-robin shuffle.
-
-    A table stored as one parquet row group is read by one task, and the per-row text work
-    after it (line splitting, tokens, n-grams) would run there too.  Large inputs have far
-    more splits than cores and are left as they are (planning only, no job is run).
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Connect session without RDD access: leave the scan as is
-        return df
-    return df.repartition(cores) if splits < cores else df
+def _below(value, stride: int, what: str):
+    """`value`, or an error where it would collide with the next key."""
+    return F.when(value < stride, value).otherwise(F.raise_error(F.lit(f"{what}: more than {stride - 1}")).cast("int"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -39,11 +30,11 @@ def lines(docs: DataFrame) -> DataFrame:
     exploded = docs.select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "text")
     )
-    line_no = (F.col("pos") + 1).cast("int")
+    line_no = _below((F.col("pos") + 1).cast("int"), LINE_ID_STRIDE, "lines of a document")
     return exploded.select(
         (F.col("doc_id") * LINE_ID_STRIDE + line_no).alias("line_id"),
         "doc_id",
-        line_no.alias("line_no"),
+        (F.col("pos") + 1).cast("int").alias("line_no"),
         "lang",
         "source",
         "text",
@@ -81,6 +72,13 @@ def v_pool(spark, sf_dir) -> DataFrame:
     return lines(_english_docs(spark, sf_dir).join(lab, "doc_id", "left_anti"))
 
 
+def v_pool_e(spark, sf_dir) -> DataFrame:
+    """v_pool(line_id, text) and one empty line for each of its documents (line_id = -doc_id - 1)."""
+    pool = v_pool(spark, sf_dir)
+    empty = pool.select("doc_id").distinct().select((-F.col("doc_id") - 1).alias("line_id"), F.lit("").alias("text"))
+    return pool.select("line_id", "text").unionByName(empty)
+
+
 def v_bitext(spark, sf_dir) -> DataFrame:
     """v_bitext(pair_id, src, tgt): a user turn and the assistant turn right after it.
 
@@ -92,22 +90,23 @@ def v_bitext(spark, sf_dir) -> DataFrame:
     a = conv.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt")
     )
+    turn = _below(F.col("turn"), TURN_STRIDE, "turns of a conversation").cast("bigint")
     return u.join(a, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "src", "tgt"
+        (F.col("conv_id") * TURN_STRIDE + turn).alias("pair_id"), "src", "tgt"
     )
 
 
-def _english_lines_with_ntok(spark, sf_dir) -> DataFrame:
-    return lines(_english_docs(spark, sf_dir)).withColumn("nt", n_tokens("text"))
+def _lines_with_ntok(spark, sf_dir) -> DataFrame:
+    return v_lines(spark, sf_dir).withColumn("nt", n_tokens("text"))
 
 
 def v_pairs(spark, sf_dir) -> DataFrame:
-    """v_pairs(pair_id, text1, text2): an English line and the next line of its document.
+    """v_pairs(pair_id, text1, text2): a line and the next line of its document, both with tokens.
 
-    Both lines have 1..60 tokens; pair_id is the first line's line_id.  Self equi-join on
-    (doc_id, line_no) - hash partitioned on both keys, so a huge document is not one task.
+    pair_id is the first line's line_id.  Self equi-join on (doc_id, line_no) - hash partitioned
+    on both keys, so a huge document is not one task.
     """
-    ln = _english_lines_with_ntok(spark, sf_dir).filter(F.col("nt").between(1, 60))
+    ln = _lines_with_ntok(spark, sf_dir).filter(F.col("nt") > 0)
     a = ln.select("doc_id", "line_no", "line_id", F.col("text").alias("text1"))
     b = ln.select("doc_id", (F.col("line_no") - 1).alias("line_no"), F.col("text").alias("text2"))
     return a.join(b, ["doc_id", "line_no"]).select(F.col("line_id").alias("pair_id"), "text1", "text2")
@@ -116,10 +115,10 @@ def v_pairs(spark, sf_dir) -> DataFrame:
 def v_hyps_refs(spark, sf_dir):
     """(v_hyps(system, seg_id, hyp), v_refs(system, seg_id, ref_no, ref)).
 
-    hyp = English line k, refs = lines k+1..k+4 of the same document (all four must exist);
+    hyp = line k, refs = lines k+1..k+4 of the same document (all four must exist);
     system = the document source.  Built with equi-joins on (doc_id, line_no).
     """
-    ln = lines(_english_docs(spark, sf_dir)).select("doc_id", "line_no", "line_id", "source", "text")
+    ln = v_lines(spark, sf_dir).select("doc_id", "line_no", "line_id", "source", "text")
     last = ln.select("doc_id", (F.col("line_no") - 4).alias("line_no"))
     hyps = ln.join(last, ["doc_id", "line_no"], "left_semi").select(
         F.col("source").alias("system"), F.col("line_id").alias("seg_id"), F.col("text").alias("hyp"),
@@ -139,11 +138,11 @@ def v_hyps_refs(spark, sf_dir):
 
 def v_score(spark, sf_dir) -> DataFrame:
     """v_score(line_id, ced): a given score column for the CED tagging slice."""
-    ln = _english_lines_with_ntok(spark, sf_dir).filter(F.col("nt") > 0)
+    ln = _lines_with_ntok(spark, sf_dir).filter(F.col("nt") > 0)
     ced = F.round(F.length("text") / F.col("nt") - F.lit(6.0), 6)
     return ln.select("line_id", ced.alias("ced"), "text")
 
 
-def english_lines(spark, sf_dir) -> DataFrame:
-    """v_en(line_id, doc_id, line_no, source, text): lines of English documents."""
-    return lines(_english_docs(spark, sf_dir)).select("line_id", "doc_id", "line_no", "source", "text")
+def v_text(spark, sf_dir) -> DataFrame:
+    """(line_id, doc_id, line_no, source, text): the lines of all documents, in every language."""
+    return v_lines(spark, sf_dir).select("line_id", "doc_id", "line_no", "source", "text")
