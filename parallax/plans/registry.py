@@ -151,6 +151,24 @@ def q_tokenize(spark, d):
     return _text(spark, d).select("line_id", X.tokenize("text").alias("text"))
 
 
+@register("normalize_punctuation_other",
+          "SELECT line_id, " + R.duckdb_chain("text", R.PUNCT_RULES_COMMON + R.PUNCT_RULES_OTHER) + " AS text FROM v_text", ["v_text"])
+def q_normalize_punctuation_other(spark, d):
+    return _text(spark, d).select("line_id", X.normalize_punctuation("text", "fr").alias("text"))
+
+
+def _apostrophes(x: str) -> str:
+    """Lines of the tables with apostrophes in places where languages differ."""
+    return f"regexp_replace(regexp_replace({x}, 'e ', 'e' || chr(39), 'g'), ' (a|o)', ' ' || chr(39) || '\\1', 'g')"
+
+
+@register("tokenize_fr", "SELECT line_id, " + R.duckdb_chain(_apostrophes("text"), R.tokenize_rules("fr")) + " AS fr, "
+          + R.duckdb_chain(_apostrophes("text"), R.tokenize_rules("de")) + " AS de FROM v_text", ["v_text"])
+def q_tokenize_fr(spark, d):
+    t = F.regexp_replace(F.regexp_replace("text", "e ", "e'"), " (a|o)", " '$1")
+    return _text(spark, d).select("line_id", X.tokenize(t, "fr").alias("fr"), X.tokenize(t, "de").alias("de"))
+
+
 @register("detokenize",
           "SELECT line_id, " + R.duckdb_chain(R.duckdb_chain("text", R.TOKENIZE_RULES), R.DETOKENIZE_RULES) + " AS text FROM v_text",
           ["v_text"])
@@ -321,32 +339,34 @@ def q_combine_domains(spark, d):
 
 def _zip_inputs(spark, d):
     b = T.v_bitext(spark, d)
-    a = b.select("pair_id", "src")
-    long_t = b.filter(X.n_tokens("tgt") > 20).select("pair_id", "tgt")
+    a = b.filter(X.n_tokens("src") > 12).select("pair_id", "src")
+    long_t = b.filter(X.n_tokens("tgt") > 20).select("pair_id", "tgt", F.col("pair_id").cast("int").alias("number"))
     return a, long_t
 
 
-_ZIP_B = f"(SELECT pair_id, tgt FROM v_bitext WHERE {nt('tgt')} > 20)"
+_ZIP_A = f"(SELECT pair_id, src FROM v_bitext WHERE {nt('src')} > 12)"
+_ZIP_B = f"(SELECT pair_id, tgt, CAST(pair_id AS INTEGER) AS number FROM v_bitext WHERE {nt('tgt')} > 20)"
 
 
-@register("zip_lines_pad", f"""SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.src, '') AS src, coalesce(b.tgt, '') AS tgt
-FROM (SELECT pair_id, src FROM v_bitext) a FULL OUTER JOIN {_ZIP_B} b ON a.pair_id = b.pair_id""", ["v_bitext"])
+@register("zip_lines_pad", f"""SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.src, '') AS src, coalesce(b.tgt, '') AS tgt, b.number
+FROM {_ZIP_A} a FULL OUTER JOIN {_ZIP_B} b ON a.pair_id = b.pair_id""", ["v_bitext"])
 def q_zip_lines_pad(spark, d):
     a, b = _zip_inputs(spark, d)
     return J.zip_lines(a, b, "pad", key="pair_id")
 
 
-@register("zip_lines_truncate", f"""SELECT a.pair_id, a.src, b.tgt
-FROM (SELECT pair_id, src FROM v_bitext) a JOIN {_ZIP_B} b ON a.pair_id = b.pair_id""", ["v_bitext"])
+@register("zip_lines_truncate", f"""SELECT a.pair_id, a.src, b.tgt, b.number
+FROM {_ZIP_A} a JOIN {_ZIP_B} b ON a.pair_id = b.pair_id""", ["v_bitext"])
 def q_zip_lines_truncate(spark, d):
     a, b = _zip_inputs(spark, d)
     return J.zip_lines(a, b, "truncate", key="pair_id")
 
 
-@register("zip_lines_strict", "SELECT pair_id, src, tgt FROM v_bitext", ["v_bitext"])
+@register("zip_lines_strict", "SELECT doc_id, lang, n_chars, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines FROM documents")
 def q_zip_lines_strict(spark, d):
-    b = T.v_bitext(spark, d)
-    return J.zip_lines(b.select("pair_id", "src"), b.select("pair_id", "tgt"), "strict", key="pair_id")
+    docs = T.table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    n = T.v_lines(spark, d).groupBy("doc_id").agg(F.max("line_no").alias("n_lines"))
+    return J.zip_lines(docs, n, "strict", key="doc_id")
 
 
 @register("attach_references", """SELECT h.system, h.seg_id, h.hyp,
@@ -552,9 +572,150 @@ def q_exact_align(spark, d):
     return L.exact_align(L.prepare_pairs(T.v_pairs(spark, d)))
 
 
-@register("lepod_detail")
+@register("lepod_detail", "WITH " + _LEPOD_SQL + """,
+m1 AS (SELECT a.pair_id, string_agg(a.tok, ' ' ORDER BY a.pos1) FILTER (l.pos1 IS NOT NULL) AS mat1,
+              string_agg(a.tok, ' ' ORDER BY a.pos1) FILTER (l.pos1 IS NULL) AS sub1
+       FROM a LEFT JOIN l ON l.pair_id = a.pair_id AND l.pos1 = a.pos1 GROUP BY a.pair_id),
+m2 AS (SELECT b.pair_id, string_agg(b.tok, ' ' ORDER BY b.pos2) FILTER (l.pos2 IS NOT NULL) AS mat2,
+              string_agg(b.tok, ' ' ORDER BY b.pos2) FILTER (l.pos2 IS NULL) AS sub2
+       FROM b LEFT JOIN l ON l.pair_id = b.pair_id AND l.pos2 = b.pos2 GROUP BY b.pair_id)
+SELECT s.pair_id, round(led, 6) AS led, round(pod, 6) AS pod, valid, skipped, coalesce(mat1, '') AS mat1, coalesce(sub1, '') AS sub1,
+  coalesce(mat2, '') AS mat2, coalesce(sub2, '') AS sub2 FROM scored s JOIN m1 ON m1.pair_id = s.pair_id JOIN m2 ON m2.pair_id = s.pair_id""",
+          ["v_pairs"])
 def q_lepod_detail(spark, d):
-    return L.lepod_detail(T.v_pairs(spark, d))
+    return L.lepod_detail(T.v_pairs(spark, d)).withColumns({"led": r6("led"), "pod": r6("pod")})
+
+
+@register("attach_alignment", "WITH " + _LEPOD_SQL + """, sp AS (
+  SELECT pair_id, string_agg(pos1 || '-' || pos2, ' ' ORDER BY pos1) AS spans FROM l GROUP BY pair_id)
+SELECT p.pair_id, coalesce(spans, '') AS spans FROM p LEFT JOIN sp ON sp.pair_id = p.pair_id""", ["v_pairs"])
+def q_attach_alignment(spark, d):
+    p = L.prepare_pairs(T.v_pairs(spark, d))
+    j = J.attach_alignment(p.select("pair_id"), L.exact_align(p))
+    spans = F.transform(F.array_sort("spans"), lambda x: F.concat_ws("-", x["start1"], x["start2"]))
+    return j.select("pair_id", F.array_join(spans, " ").alias("spans"))
+
+
+@register("expand_spans", "WITH " + _LEPOD_SQL + """
+SELECT a.pair_id, 1 AS side, CAST(a.pos1 AS INTEGER) AS pos, a.tok AS token, CAST(l.pos2 AS INTEGER) AS align, l.pos2 IS NOT NULL AS exact
+FROM a LEFT JOIN l ON l.pair_id = a.pair_id AND l.pos1 = a.pos1
+UNION ALL SELECT b.pair_id, 2, CAST(b.pos2 AS INTEGER), b.tok, CAST(l.pos1 AS INTEGER), l.pos1 IS NOT NULL
+FROM b LEFT JOIN l ON l.pair_id = b.pair_id AND l.pos2 = b.pos2""", ["v_pairs"])
+def q_expand_spans(spark, d):
+    return L.expand_spans(L.align_tokens(T.v_pairs(spark, d)))
+
+
+@register("reindex_aligned", "WITH " + _LEPOD_SQL + """
+SELECT pair_id, 1 AS side, CAST(pos1 AS INTEGER) AS pos, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY pos1) - 1 AS INTEGER) AS idx FROM l
+UNION ALL SELECT pair_id, 2, CAST(pos2 AS INTEGER), CAST(row_number() OVER (PARTITION BY pair_id ORDER BY pos2) - 1 AS INTEGER) FROM l""", ["v_pairs"])
+def q_reindex_aligned(spark, d):
+    t = L.align_tokens(T.v_pairs(spark, d))
+    both = [t.select("pair_id", F.lit(k).alias("side"), F.posexplode(f"x{k}").alias("pos", "idx")) for k in (1, 2)]
+    return both[0].unionByName(both[1]).filter("idx IS NOT NULL")
+
+
+@register("distortion", "WITH " + _LEPOD_SQL + "SELECT pair_id, CAST(c AS INTEGER) AS head, CAST(d AS INTEGER) AS d FROM cs", ["v_pairs"])
+def q_distortion(spark, d):
+    return L.align_tokens(T.v_pairs(spark, d)).select("pair_id", F.posexplode("dist").alias("head", "d"))
+
+
+@register("led_score", "WITH " + _LEPOD_SQL + "SELECT pair_id, round(led, 6) AS led FROM scored", ["v_pairs"])
+def q_led_score(spark, d):
+    return L.align_tokens(T.v_pairs(spark, d)).select("pair_id", r6(L.led_score(F.col("e1"), F.col("e2"))).alias("led"))
+
+
+@register("pod_score", "WITH " + _LEPOD_SQL + "SELECT pair_id, round(pod, 6) AS pod FROM scored", ["v_pairs"])
+def q_pod_score(spark, d):
+    return L.align_tokens(T.v_pairs(spark, d)).select("pair_id", r6(L.pod_score(F.col("dist"))).alias("pod"))
+
+
+# ---------------------------------------------------------------- files: round trips through a shared folder
+
+from ..session import shared_folder  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+
+_PLAIN = "regexp_replace(text, '[\\r\\t]', ' ', 'g')"  # a line break or tab inside a line would be another line or field
+
+
+def _plain_lines(spark, d, *more):
+    return T.v_lines(spark, d).select("line_id", F.regexp_replace("text", "[\r\t]", " ").alias("text"), *more)
+
+
+def _part(df):
+    return df.withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1))
+
+
+@register("read_lines", f"SELECT line_id, {_PLAIN} AS text FROM v_lines", ["v_lines"])
+def q_read_lines(spark, d):
+    """S6 writes two columns, S1 reads both back; they line up by part file and line number."""
+    root = shared_folder(spark, "lines")
+    IO.write_columns(_plain_lines(spark, d), {"line_id": root + "/id", "text": root + "/text"}, ["line_id"], partitions=5)
+    a, b = (_part(IO.read_lines(spark, f"{root}/{x}")) for x in ("id", "text"))
+    j = J.zip_lines(a.select(F.concat_ws("|", "part", "line_no").alias("k"), F.col("text").cast("bigint").alias("line_id")),
+                    b.select(F.concat_ws("|", "part", "line_no").alias("k"), "text"), "strict", key="k")
+    return j.select("line_id", "text")
+
+
+@register("read_layout", f"""SELECT lang, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, {_PLAIN} AS text FROM v_lines""", ["v_lines"])
+def q_read_layout(spark, d):
+    root = shared_folder(spark, "layout")
+    df = _plain_lines(spark, d, "lang", F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test").alias("split"))
+    df.select("lang", "split", "text").write.partitionBy("lang", "split").text(root)
+    return IO.read_layout(spark, root, r"lang=(\w+)/split=(\w+)/", ["lang", "split"]).select("lang", "split", "text")
+
+
+@register("read_bitext_tsv", f"SELECT line_id, {_PLAIN} AS text FROM v_lines", ["v_lines"])
+def q_read_bitext_tsv(spark, d):
+    root = shared_folder(spark, "tsv")
+    _plain_lines(spark, d).select(F.concat_ws("\t", "line_id", "text").alias("value")).write.option("compression", "gzip").text(root)
+    return IO.read_bitext_tsv(spark, root, "line_id", "text").select(F.col("line_id").cast("bigint").alias("line_id"), "text")
+
+
+@register("read_alignments", "WITH " + _LEPOD_SQL + """
+SELECT pair_id, CAST(pos1 AS INTEGER) AS start1, 1 AS len1, CAST(pos2 AS INTEGER) AS start2, 1 AS len2 FROM l""", ["v_pairs"])
+def q_read_alignments(spark, d):
+    root = shared_folder(spark, "alignments")
+    p = L.prepare_pairs(T.v_pairs(spark, d))
+    j = J.attach_alignment(p.select("pair_id"), L.exact_align(p))
+    spans = F.transform("spans", lambda x: F.concat(x["start2"], F.lit(":"), x["len2"], F.lit(" "), x["start1"], F.lit(":"), x["len1"]))
+    block = F.concat(F.array_join(F.concat(F.array(*[F.lit(f"header {k}") for k in range(4)]), spans), "\n"), F.lit("\n"))
+    IO.write_columns(j.select("pair_id", block.alias("block")), {"pair_id": root + "/id", "block": root + "/block"}, ["pair_id"], partitions=3)
+    ids = _part(IO.read_lines(spark, root + "/id")).select("part", F.col("line_no").alias("block_no"), F.col("text").cast("bigint").alias("pair_id"))
+    return _part(IO.read_alignments(spark, root + "/block", "block_no")).join(ids, ["part", "block_no"]).select(
+        "pair_id", "start1", "len1", "start2", "len2")
+
+
+@register("write_scored", "WITH " + _LEPOD_SQL + """
+SELECT printf('%.9f', led) || chr(9) || s.pair_id || chr(9) || trim(v.text1, ' ') || chr(9) || trim(v.text2, ' ') AS row
+FROM scored s JOIN v_pairs v ON v.pair_id = s.pair_id WHERE NOT regexp_matches(v.text1 || v.text2, '[\\r\\n]')""", ["v_pairs"])
+def q_write_scored(spark, d):
+    root = shared_folder(spark, "scored")
+    pairs = T.v_pairs(spark, d).filter(~F.concat("text1", "text2").rlike("[\r\n]"))
+    IO.write_scored(L.lepod(pairs).join(pairs, "pair_id"), root, "led", digits=9)
+    return IO.read_lines(spark, root).select(F.col("text").alias("row"))
+
+
+@register("append_metrics", """SELECT CAST(run AS INTEGER) AS run, source, count(*) AS n FROM documents, range(1, 4) r(run) GROUP BY run, source""")
+def q_append_metrics(spark, d):
+    root = shared_folder(spark, "metrics")
+    counts = T.table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    for run in (1, 2, 3):
+        IO.append_metrics(counts.select(F.lit(run).alias("run"), "source", "n"), root)
+    return spark.read.parquet(root)
+
+
+@register("materialize_once", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def q_materialize_once(spark, d):
+    root = shared_folder(spark, "stage")
+    counts = T.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    IO.materialize_once(spark, lambda: counts, root)
+    return IO.materialize_once(spark, lambda: counts.filter("false"), root)  # is there already: not built again
+
+
+@register("alias_dataset", "SELECT lang, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang")
+def q_alias_dataset(spark, d):
+    IO.alias_dataset(T.table(spark, d, "documents").select("lang", "n_chars"), "corpus_alias")
+    return spark.sql("SELECT lang, sum(n_chars) AS n_chars FROM corpus_alias GROUP BY lang")
 
 
 # ---------------------------------------------------------------- language model, cross-entropy, CED
@@ -756,7 +917,8 @@ def _ng_sql(src: str, keys: str, tcol: str) -> str:
 
 def _bleu_sql(lower: bool, hyps: str = "v_hyps", refs: str = "v_refs", grid: str = "", head: str = "WITH ") -> str:
     lo = (lambda x: f"lower({x})") if lower else (lambda x: x)
-    body = f"""h AS (SELECT system{grid}, seg_id, {toks(lo('hyp'))} AS t FROM {hyps}),
+    body = f"""h AS (SELECT system{grid}, seg_id, {toks(lo('hyp'))} AS t FROM {hyps}
+      JOIN (SELECT DISTINCT system{grid}, seg_id FROM {refs}) USING (system{grid}, seg_id)),
 r AS (SELECT system{grid}, seg_id, ref_no, {toks(lo('ref'))} AS t FROM {refs}),
 hg AS (SELECT system{grid}, seg_id, n, g, count(*) AS ch FROM ({_ng_sql('h', 'system' + grid + ', seg_id', 't')}) GROUP BY ALL),
 rg0 AS (SELECT system{grid}, seg_id, ref_no, n, g, count(*) AS cr FROM ({_ng_sql('r', 'system' + grid + ', seg_id, ref_no', 't')}) GROUP BY ALL),
@@ -806,6 +968,25 @@ def q_corpus_bleu_lc(spark, d):
     return _bleu_q(spark, d, True)
 
 
+# five references numbered from 1 with a gap, and segments without any
+_REFS5 = """r5 AS (SELECT system, seg_id, ref_no + 1 AS ref_no, ref FROM v_refs WHERE seg_id % 7 <> 0
+  UNION ALL SELECT h.system, h.seg_id, 9 AS ref_no, r.ref || ' ' || h.hyp FROM v_hyps h
+  JOIN v_refs r ON r.system = h.system AND r.seg_id = h.seg_id AND r.ref_no = 0 WHERE h.seg_id % 7 <> 0),
+un AS (SELECT system, count(*) AS n_unscored FROM v_hyps WHERE seg_id % 7 = 0 GROUP BY system),
+"""
+
+
+@register("corpus_bleu_refs5", "WITH " + _REFS5 + _bleu_sql(False, "v_hyps", "r5", head="") + """
+SELECT bleu.*, coalesce(n_unscored, 0) AS n_unscored FROM bleu LEFT JOIN un ON un.system = bleu.system""", ["v_hyps", "v_refs"])
+def q_corpus_bleu_refs5(spark, d):
+    h, r = T.v_hyps_refs(spark, d)
+    r = keep(r.filter("seg_id % 7 <> 0"))
+    more = h.join(r.filter("ref_no = 0"), ["system", "seg_id"]).select("system", "seg_id", F.lit(9).alias("ref_no"), F.concat_ws(" ", "ref", "hyp").alias("ref"))
+    b = B.corpus_bleu(h, r.withColumn("ref_no", F.col("ref_no") + 1).unionByName(more), ["system"])
+    return b.select("system", "c", "r", *[f"{p}{n}" for n in range(1, 5) for p in ("num", "den")],
+                    r6("bp").alias("bp"), r6("bleu_raw").alias("bleu"), "n_unscored")
+
+
 # grid: every system x {4 references, first reference only}; one job (A17), then run statistics
 _GRID_CTE = """gh AS (SELECT system, t.test_id, seg_id, hyp FROM v_hyps, (VALUES ('ref4'), ('ref1')) t(test_id)),
 gr AS (SELECT system, 'ref4' AS test_id, seg_id, ref_no, ref FROM v_refs
@@ -890,23 +1071,39 @@ def q_ced_select_high(spark, d):
     return _ced_sel(spark, d, False)
 
 
-def _clean_sql(x: str) -> str:
+def _clean_sql(x: str, lang: str = "en") -> str:
     s = f"regexp_replace({x}, '\\p{{C}}', ' ', 'g')"
-    s = R.duckdb_chain(s, R.PUNCT_RULES_COMMON + R.PUNCT_RULES_EN)
-    return R.duckdb_chain(s, R.TOKENIZE_RULES)
+    s = R.duckdb_chain(s, R.PUNCT_RULES_COMMON + (R.PUNCT_RULES_EN if lang == "en" else R.PUNCT_RULES_OTHER))
+    return R.duckdb_chain(s, R.tokenize_rules(lang))
 
 
-@register("prepare_bitext", f"""WITH c AS (SELECT DISTINCT {_clean_sql('src')} AS src, {_clean_sql('tgt')} AS tgt FROM v_bitext),
+def _prepare_sql(lang: str, tgt_lang: str) -> str:
+    return f"""WITH c AS (SELECT DISTINCT {_clean_sql('src', lang)} AS src, {_clean_sql('tgt', tgt_lang)} AS tgt FROM v_bitext),
 k AS (SELECT src, tgt, md5(src || chr(9) || tgt) AS k FROM c),
 s AS (SELECT src, tgt, row_number() OVER (ORDER BY md5('0|' || k), k) AS shuffled_no FROM k),
 w AS (SELECT *, {_wordset_sql('src')} AS a, {_wordset_sql('tgt')} AS b, {nt('src')} AS n1, {nt('tgt')} AS n2 FROM s)
 SELECT src, tgt, shuffled_no FROM w
 WHERE (least(len(a), len(b)) = 0 OR len(list_intersect(a, b)) / least(len(a), len(b)) < 0.5)
-  AND n1 > 0 AND n2 > 0 AND greatest(n1, n2) <= 2.0 * least(n1, n2)""", ["v_bitext"])
+  AND n1 > 0 AND n2 > 0 AND greatest(n1, n2) <= 2.0 * least(n1, n2)"""
+
+
+@register("prepare_bitext", _prepare_sql("en", "en"), ["v_bitext"])
 def q_prepare_bitext(spark, d):
     return PL.prepare_bitext(T.v_bitext(spark, d)).select("src", "tgt", "shuffled_no")
 
 
+@register("prepare_bitext_fr_de", _prepare_sql("fr", "de"), ["v_bitext"])
+def q_prepare_bitext_fr_de(spark, d):
+    return PL.prepare_bitext(T.v_bitext(spark, d), lang="fr", tgt_lang="de").select("src", "tgt", "shuffled_no")
+
+
+@register("first_clean", f"""WITH k AS (SELECT src, tgt, md5(src || chr(9) || tgt) AS k FROM (SELECT DISTINCT src, tgt FROM v_bitext)),
+s AS (SELECT src, tgt, row_number() OVER (ORDER BY md5('0|' || k), k) AS shuffled_no FROM k)
+SELECT * FROM s WHERE NOT (regexp_matches(src, 'q') OR regexp_matches(tgt, 'q')) AND {nt('src')} > 0 AND {nt('tgt')} > 0""", ["v_bitext"])
+def q_first_clean(spark, d):
+    return PL.first_clean(T.v_bitext(spark, d), "q").select("src", "tgt", "shuffled_no")
+
+
 _EVAL_HYPS = f"""ph AS (SELECT system, seg_id, {R.duckdb_chain(_post_sql('hyp', True), R.TOKENIZE_RULES)} AS hyp FROM v_hyps),
 pr_ AS (SELECT system, seg_id, ref_no, {R.duckdb_chain('ref', R.TOKENIZE_RULES)} AS ref FROM v_refs),
 """

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +31,11 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "pa
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the session's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
