@@ -13,10 +13,10 @@ last (the heaviest FREQUENT of them are known to all tasks; the order never chan
 * The boundary is the size at which enumerating subsets costs more than entering and scanning.
 
 Lists of two are candidate pairs.  In a longer list every member is compared with one centre of
-its size first; components of the verified links follow.  Only where a list's members are still
-in several components, members outside the list's largest component are compared with all others
-in it, so no link is lost, and a group of thousands of near copies costs a few comparisons each,
-not one for each pair.  A candidate whose shingle counts in 64 parts differ too much cannot link;
+its size first; components of the verified links follow.  Members outside their list's largest
+component are compared with other centres of it in further rounds; in the last round those that
+are still outside are compared with all others of the list, so no link is lost, and a group of
+thousands of near copies costs a few comparisons each, not one for each pair.  A candidate whose shingle counts in 256 parts differ too much cannot link;
 all others are verified on the whole texts.
 
 Null and empty texts, and texts without words, are empty sets and link with nothing (component:
@@ -41,8 +41,9 @@ GATHER_BYTES = 1 << 24  # text in which a task counts shingles before it reports
 REPORT_AT = 5
 BUCKET_BYTES = 16 << 20
 HOT_LIST = 100_000  # lists known to be longer are never gathered in one task
-PARTS = 64
+PARTS = 256
 LARGEST_BOUNDARY = 64
+ROUNDS = 4  # rounds of comparisons in lists that are still open; the last one compares all that is open
 NO_ID = -(1 << 63)  # stands for a null doc_id inside
 
 
@@ -73,7 +74,7 @@ def set_keys(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _part_counts(flat: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Shingles of each set in each of PARTS parts, 255 at most."""
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    part = (flat >> np.uint64(58)).astype(np.int64)
+    part = (flat >> np.uint64(56)).astype(np.int64)
     return np.minimum(np.bincount(row * PARTS + part, minlength=(len(offs) - 1) * PARTS), 255).astype(np.uint8).reshape(-1, PARTS)
 
 
@@ -309,19 +310,15 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of set names that link, verified on whole texts."""
     side = lambda x: sets.select(F.col("hi").alias(x), F.col("n").alias(f"n_{x}"), F.col("parts").alias(f"parts_{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "parts_a", "parts_b")
     near = shared_table(near.mapInArrow(_near_parts, "a long, b long").distinct(), "near")
-    wanted = near.select(F.col("a").alias("hi")).union(near.select("b")).distinct().join(sets.select("hi", "rep"), "hi")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").select("hi", "text")
-    texts = shared_table(texts, "texts")
     side = lambda x: texts.select(F.col("hi").alias(x), F.col("text").alias(f"text_{x}"))
     both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     links = shared_table(both.mapInArrow(_verify, "a long, b long").distinct(), "links")
-    drop_shared(docs.sparkSession, texts)
-    drop_shared(docs.sparkSession, near)
+    drop_shared(pairs.sparkSession, near)
     return links
 
 
@@ -360,40 +357,58 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     members = lists.filter("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("owner"), "n").distinct()
     members = shared_table(members, "members")
 
-    links = _links(pairs.union(_star_pairs(members)).distinct(), sets, keyed)
-    if members.limit(1).count():
-        more = _links(_open_pairs(members, components(links)), sets, keyed)
+    owners = pairs.select(F.explode(F.array("a", "b")).alias("hi")).union(members.select("owner")).distinct()
+    wanted = owners.join(sets.select("hi", "rep"), "hi")
+    texts = shared_table(keyed.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").select("hi", "text"), "texts")
+
+    links = _links(pairs.union(_star_pairs(members, members, 0)).distinct(), sets, texts)
+    roots = components(links)
+    for r in range(1, ROUNDS + 1):
+        open_ = _open_members(members, roots)
+        if not open_.limit(1).count():
+            break
+        inside, outside = open_.filter("root = main"), open_.filter("root <> main")
+        pairs = _star_pairs(inside, outside, r).distinct() if r < ROUNDS else _open_pairs(outside, open_)
+        more = _links(pairs, sets, texts)
+        drop_shared(spark, open_)
         links = links.union(more)
-    return _with_components(rows, sets, components(links))
+        roots = components(links)
+    return _with_components(rows, sets, roots)
 
 
 def _pair(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _star_pairs(members: DataFrame) -> DataFrame:
-    """Each member of a list with one centre among the members of about its size, for two ways to
-    cut sizes into classes whose ends have ratio 4 : 3."""
+def _star_pairs(centres: DataFrame, members: DataFrame, seed: int) -> DataFrame:
+    """Each member of a list with one centre of about its size in the list, for two ways to cut sizes
+    into classes whose ends have ratio 4 : 3.  A centre is the least by a seeded hash, so lists of
+    the same sets mostly agree on it."""
     size = F.log(F.col("n").cast("double")) / float(np.log(LINK[1] / LINK[0]))
     out = None
-    for shift in (0.0, 0.5):
-        own = members.withColumn("class", F.floor(size + shift))
-        centre = own.groupBy("list", "class").agg(F.min(F.struct(F.xxhash64("owner", F.lit(shift)), "owner", "n")).alias("c"))
-        pairs = own.join(centre, ["list", "class"]).filter("owner <> c.owner")
+    for k, shift in enumerate((0.0, 0.5)):
+        named = lambda df: df.withColumn("class", F.floor(size + shift))
+        order = F.struct(F.xxhash64("owner", F.lit(2 * seed + k)), "owner", "n")
+        centre = named(centres).groupBy("list", "class").agg(F.min(order).alias("c"))
+        pairs = named(members).join(centre, ["list", "class"]).filter("owner <> c.owner")
         pairs = pairs.filter(LINK[1] * F.least("n", "c.n") >= LINK[0] * F.greatest("n", "c.n")).select(*_pair("owner", "c.owner"))
         out = pairs if out is None else out.union(pairs)
     return out
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs in lists whose members are in several components: each member outside the list's
-    largest component with all members of other components."""
+def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(list, owner, n, root, main) of the lists whose members are in several components; `main` is
+    the list's largest one."""
     own = members.join(roots.withColumnRenamed("node", "owner"), "owner", "left").withColumn("root", F.coalesce("root", "owner"))
     count = own.groupBy("list", "root").agg(F.count("*").alias("size"))
     main = count.groupBy("list").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1")
-    own = own.join(main.select("list", F.col("m.root").alias("main")), "list")
-    few = own.filter("root <> main").select("list", F.col("owner").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    pairs = few.join(own, "list").filter("root <> rx AND (root = main OR x < owner)")
+    return shared_table(own.join(main.select("list", F.col("m.root").alias("main")), "list"), "open")
+
+
+def _open_pairs(outside: DataFrame, every: DataFrame) -> DataFrame:
+    """Each member outside its list's largest component with all members of other components."""
+    few = outside.select("list", F.col("owner").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    pairs = few.join(every, "list").filter("root <> rx AND (root = main OR x < owner)")
     return pairs.filter(LINK[1] * F.least("n", "nx") >= LINK[0] * F.greatest("n", "nx")).select(*_pair("x", "owner")).distinct()
 
 
