@@ -21,7 +21,8 @@ from .common import column_bytes, pack, row_slices, unpack
 
 CHUNK, OVERLAP, WIDTH, STRIDE = 512, 32, 8, 4
 VECTOR, FILTERS, HIDDEN = 4, 32, 16
-SAMPLE, EPOCHS, BATCH, RATE = 2000, 14, 32, 0.006
+SAMPLE, BATCH, RATE = 2000, 32, 0.006
+STEPS, MOST_EPOCHS = 875, 60  # gradient steps in all; fewer where so many passes over the sample are done before
 AT_ONCE = 1024  # chunks computed together
 PLACES = np.arange(0, CHUNK - WIDTH + 1, STRIDE)
 
@@ -115,7 +116,8 @@ class ByteCNN:
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         rate = min(max(float(y.mean()), 0.02), 0.98)
         self.p["c"][:] = np.log(rate / (1 - rate))
-        for epoch in range(EPOCHS):
+        epochs = min(MOST_EPOCHS, max(1, round(STEPS * BATCH / len(texts))))
+        for epoch in range(epochs):
             order = rng.permutation(len(texts))
             for a in range(0, len(order), BATCH):
                 own = order[a : a + BATCH]
@@ -125,7 +127,7 @@ class ByteCNN:
                 for k, g in self.gradients(x, row, weight, y[own]).items():
                     m[k] += 0.1 * (g - m[k])
                     v[k] += 0.001 * (g * g - v[k])
-                    pace = RATE * (1 - epoch / EPOCHS) + 1e-4
+                    pace = RATE * (1 - epoch / epochs) + 1e-4
                     self.p[k] -= (pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
 
 

@@ -371,11 +371,20 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         pairs = _star_pairs(inside, outside, r).distinct() if r < ROUNDS else _open_pairs(outside, open_)
         more = _links(pairs, sets, texts)
         drop_shared(spark, open_)
-        links = links.union(more)
-        roots = components(links)
+        roots = _joined_roots(roots, more)
     return _with_components(rows, sets, roots)
 
 
+def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links: only the roots that these join are connected anew."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    roots = roots.unionByName(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b")
+    new = components(between).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return shared_table(roots.join(new, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
+
+
 def _pair(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
