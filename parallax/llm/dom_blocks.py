@@ -1,7 +1,10 @@
 """DOM leaf blocks of a page: runs of text between block-level tags, with their ancestors.
 
 A small tolerant reader: unclosed and stray tags, unclosed paragraphs, comments, and script or
-style content with tags inside are handled; a tag cut off at the end of the page is dropped.
+style content with tags inside are handled; a tag cut off at the end of the page is dropped.  Skipped
+elements end at their own end tag; of one that has none only the tag is skipped (script, style
+and textarea go on to the end of the page, as in browsers).  A head without end tag ends
+where something stands that a head can't hold.
 """
 from __future__ import annotations
 
@@ -16,6 +19,8 @@ BLOCK = frozenset(
     "thead title tr ul button label select textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe svg textarea title".split())
+TO_THE_END = frozenset("script style textarea".split())  # raw elements that no missing end tag ends
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 SKIPPED = frozenset("head select option button object math canvas audio video".split())
 CLOSED_BY = {"p": BLOCK - {"button", "label", "select"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
              "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
@@ -48,6 +53,13 @@ class _Reader:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     blocks: list[Block] = field(default_factory=list)
+    in_head: bool = False  # a head was opened and not yet left here
+
+    def leave_head(self) -> None:
+        self.in_head = False
+        at = next((k for k, e in enumerate(self.stack) if e.tag == "head"), None)
+        if at is not None:
+            del self.stack[at:]
 
     def flush(self) -> None:
         if self.parts:
@@ -59,6 +71,8 @@ class _Reader:
             self.parts, self.linked = [], 0
 
     def add(self, text: str) -> None:
+        if self.in_head and self.stack and self.stack[-1].tag == "head" and not text.isspace():
+            self.leave_head()
         if any(e.tag in SKIPPED for e in self.stack):
             return
         self.parts.append(text)
@@ -66,6 +80,9 @@ class _Reader:
             self.linked += len(text.strip())
 
     def open(self, tag: str, attributes: str) -> None:
+        if self.in_head and tag not in IN_HEAD:
+            self.leave_head()
+        self.in_head |= tag == "head"
         if tag in BLOCK:
             self.flush()
             for k in range(len(self.stack) - 1, -1, -1):
@@ -97,9 +114,38 @@ class _Reader:
             del self.stack[at]
 
 
+def _closed(tag: str, attributes: str) -> bool:
+    return tag == "svg" and attributes.rstrip().endswith("/")
+
+
+def _raw_end(page: str, tag: str, at: int) -> int | None:
+    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+    return end.end() if end else None
+
+
+def _raw_ends(page: str, tag: str, at: int) -> dict[int, int]:
+    """Where the elements of this tag that open from `at` on end, by the end of their opening tag."""
+    open_, ends = [], {}
+    while m := TAG.search(page, at):
+        at, name = m.end(), (m.group(2) or "").lower()
+        if name == tag:
+            if not m.group(1):
+                if not _closed(tag, m.group(3)):
+                    open_.append(at)
+            elif open_:
+                ends[open_.pop()] = at
+        elif name in TO_THE_END and not m.group(1) and not (tag == "svg" and open_ and m.group(3).rstrip().endswith("/")):
+            end = _raw_end(page, name, at)
+            if end is None:
+                break
+            at = end
+    return ends
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The page's non-empty blocks in page order."""
     reader, at, page = _Reader(), 0, page or ""
+    ends: dict[str, dict[int, int]] = {}  # of raw elements, found in one pass for each tag
     while m := TAG.search(page, at):
         if m.start() > at:
             reader.add(page[at : m.start()])
@@ -110,10 +156,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if m.group(1):
             reader.close(tag)
         elif tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             if tag in BLOCK:
                 reader.flush()
-            at = end.end() if end else len(page)
+            if tag in TO_THE_END:
+                at = _raw_end(page, tag, at) or len(page)
+            elif not _closed(tag, m.group(3)):
+                if tag not in ends:
+                    ends[tag] = _raw_ends(page, tag, m.start())
+                at = ends[tag].get(at, at)
         else:
             reader.open(tag, m.group(3))
             if m.group(3).rstrip().endswith("/") and tag not in VOID and tag not in BLOCK:

@@ -83,3 +83,36 @@ def test_odd_rows(spark, model):
     got = extract_text(pages, model).collect()
     assert len(got) == 5 and sorted(r.n_chars for r in got if r.page_id in (1, 2)) == [0, 0]
     assert extract_text(pages.limit(0), model).count() == 0
+
+
+def texts(page):
+    return [b.text for b in leaf_blocks(page)]
+
+
+def test_raw_elements_without_end_tag():
+    tail = "<p>after</p><p>more</p>"
+    assert texts('<p>before</p><svg viewBox="0 0 1 1" />' + tail) == ["before", "after", "more"]
+    assert texts('<svg/>' + tail + "<svg><text>no</text></svg><p>end</p>") == ["after", "more", "end"]
+    for tag in ("svg", "noscript", "iframe", "template", "title"):
+        assert texts(f"<p>before</p><{tag}>{tail}") == ["before", "after", "more"], tag
+        assert texts(f"<p>before</p><{tag}>{tail}<{tag}>no</{tag}><p>end</p>") == ["before", "after", "more", "end"], tag
+        assert texts(f"<p>before</p><{tag}>no</{tag.upper()} >{tail}") == ["before", "after", "more"], tag
+    for tag in ("script", "style", "textarea"):
+        assert texts(f"<p>before</p><{tag}>{tail}") == ["before"], tag
+
+
+def test_nested_raw_elements():
+    assert texts("<svg><g><svg><text>a</text></svg><text>no</text></g></svg><p>yes</p>") == ["yes"]
+    assert texts('<svg><svg/><style>a{b:"<svg>"}</style><!-- <svg> --><text t="<svg>">no</text></svg><p>yes</p>') == ["yes"]
+    assert texts("<template><template>a</template><p>no</p></template><p>yes</p>") == ["yes"]
+    assert texts("<svg>" * 3000 + "<p>yes</p></svg><p>end</p>")[-1] == "end"
+
+
+def test_head_without_end_tag(model):
+    for head in ("<head><meta charset=utf-8><title>T</title><style>p{}</style>", "<head><title>T</title><noscript><img></noscript><link rel=a href=b>\n"):
+        assert texts(f"<html>{head}<body><p>one</p><div>two</div></body></html>") == ["one", "two"]
+        assert texts(f"<html>{head}<p>one</p>two<p>three") == ["one", "two", "three"]
+        assert texts(f"{head}one <b>two</b>") == ["one two"]
+        assert texts(f"{head}</head>one") == ["one"]
+    text = "<article><p>Long enough sentences are here, and they say things. Another one follows it.</p></article>"
+    assert model.extract(f"<head><title>T</title><body>{text}") == model.extract(f"<head><title>T</title></head><body>{text}") != ""
