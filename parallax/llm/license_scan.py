@@ -3,9 +3,11 @@
 Every rolling word k-gram of every text is hashed and joined in Spark with the positions of the
 license templates (a small fixed table, broadcast).  A hit votes for the diagonal word position -
 template position of its template.  A phrase of exact words is found where its diagonal has a vote
-for each of its k-grams.  For whole notices, votes are counted by diagonal, neighbouring diagonals
-(inserted or missing words) are merged into a span, and a span is verified: the template positions
-that it covers must reach MIN_COVER of the template, and it may not be much longer.
+for each of its k-grams.  For whole notices, the votes of a text and template form groups of
+neighbouring diagonals (inserted or missing words), however their words interleave with other votes,
+and every stretch of a group that isn't much longer than the template is verified: the
+template positions that it covers must reach MIN_COVER of the template.  Of stretches that overlap
+the best is the span: it covers most, or else its length is nearest to the template's.
 
 Null and empty texts have no words and no labels.  Rows that repeat a doc_id and text get the same
 result; rows that share a doc_id only are told apart by a hash of their text.  Columns besides
@@ -69,6 +71,8 @@ def templates(spark: SparkSession, k: int = K) -> DataFrame:
     for number, (label, text, exact) in enumerate(every):
         data, offs = column_bytes(pa.array([" ".join(words_of(text))]))
         _, place, h = _grams(None, 0, 1, data, offs, k)
+        if len(h) > 64:
+            raise ValueError(f"more than 64 k-grams, the bits of a number: {text}")
         rows += [(int(x), number, label, exact, int(p), len(h)) for p, x in zip(place, h)]
     return spark.createDataFrame(rows, "h long, template int, label string, exact boolean, place int, grams int")
 
@@ -93,6 +97,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
 
 
+def _longest(n_words):
+    """Words of the longest span of a notice of n words."""
+    return n_words * MOST_LONG + 2
+
+
 def license_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, label, exact, begin, end, score): places of phrases and verified notices,
     in words from 0; a null doc_id is NO_ID here."""
@@ -100,21 +109,39 @@ def license_spans(docs: DataFrame) -> DataFrame:
     hits = rolling_grams(_keyed(docs)).join(F.broadcast(templates(spark)), "h")
     votes = hits.withColumn("diagonal", F.col("word") - F.col("place")).groupBy(
         "doc_id", "text_key", "template", "label", "exact", "grams", "diagonal").agg(
-        F.collect_set("place").alias("places"), F.min("word").alias("first"), F.max("word").alias("last"))
-    phrases = votes.filter("exact AND size(places) = grams").select(
+        F.expr("bit_or(shiftleft(1L, place))").alias("places"), F.min("word").alias("first"), F.max("word").alias("last"))
+    share = lambda c: F.bit_count(c) / F.col("grams")
+    phrases = votes.filter("exact AND bit_count(places) = grams").select(
         "doc_id", "text_key", "label", "exact", F.col("diagonal").alias("begin"), (F.col("last") + K).alias("end"), F.lit(1.0).alias("score"))
+
     own = ["doc_id", "text_key", "template"]
-    by_place = Window.partitionBy(*own).orderBy("first", "diagonal")  # the votes of one text and template
-    notices = votes.filter("NOT exact")
-    before = F.max("last").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    slide = F.abs(F.col("diagonal") - F.lag("diagonal").over(by_place))
-    notices = notices.withColumn("new", F.coalesce((F.col("first") - before > GAP) | (slide > SLIDE), F.lit(True)).cast("int"))
-    notices = notices.withColumn("span", F.sum("new").over(by_place))
-    spans = notices.groupBy(*own, "label", "exact", "grams", "span").agg(
-        F.min("first").alias("begin"), (F.max("last") + K).alias("end"),
-        (F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first("grams")).alias("score"))
-    fits = (F.col("score") >= MIN_COVER) & (F.col("end") - F.col("begin") <= MOST_LONG * (F.col("grams") + K - 1) + 2)
-    return phrases.union(spans.filter(fits).select("doc_id", "text_key", "label", "exact", "begin", "end", "score"))
+    notices = votes.filter("NOT exact").withColumn("all", F.bit_or("places").over(Window.partitionBy(*own))).filter(share(F.col("all")) >= MIN_COVER)
+    by_word = Window.partitionBy(*own).orderBy("first", "diagonal")  # the votes of one text and template
+    before = F.max("last").over(by_word.rowsBetween(Window.unboundedPreceding, -1))
+    notices = notices.withColumn("new", F.coalesce(F.col("first") - before > GAP, F.lit(True)).cast("int")).withColumn("region", F.sum("new").over(by_word))
+    by_diagonal = Window.partitionBy(*own, "region").orderBy("diagonal")
+    slide = F.col("diagonal") - F.lag("diagonal").over(by_diagonal)
+    notices = notices.withColumn("new", F.coalesce(slide > SLIDE, F.lit(True)).cast("int")).withColumn("group", F.sum("new").over(by_diagonal))
+
+    group = [*own, "region", "group"]
+    place = F.explode(F.expr("filter(sequence(0, grams - 1), p -> getbit(places, p) = 1)"))
+    words = notices.select(*group, "label", "exact", "grams", "diagonal", place.alias("place")).groupBy(
+        *group, "label", "exact", "grams", (F.col("diagonal") + F.col("place")).alias("begin")).agg(F.expr("bit_or(shiftleft(1L, place))").alias("places"))
+    near = Window.partitionBy(*group).orderBy("begin")
+    most = int(max(_longest(len(words_of(t))) for _, t in NOTICES))
+    ahead = F.collect_list(F.struct("begin", "places")).over(near.rangeBetween(0, most))
+    fits = F.filter("ahead", lambda x: x["begin"] + K - F.col("begin") <= _longest(F.col("grams") + K - 1))
+    put = lambda places, end: F.struct(places.alias("places"), end.alias("end"))
+    cover = F.aggregate(fits, put(F.lit(0).cast("long"), F.col("begin") + K), lambda s, x: F.when(
+        x["places"].bitwiseOR(s["places"]) != s["places"], put(x["places"].bitwiseOR(s["places"]), x["begin"] + K)).otherwise(s))
+    spans = words.withColumn("ahead", ahead).withColumn("cover", cover).select(
+        *group, "label", "exact", "grams", "begin", F.col("cover.end").alias("end"), share(F.col("cover.places")).alias("score")).filter(F.col("score") >= MIN_COVER)
+    others = F.collect_list(F.struct("begin", "end", "score")).over(near.rangeBetween(-most, most))
+    rank = lambda begin, end, score: F.struct(score, -F.abs(end - begin - F.col("grams") - K + 1), -begin)
+    beaten = F.exists("others", lambda x: (x["begin"] < F.col("end")) & (x["end"] > F.col("begin")) & (
+        rank(x["begin"], x["end"], x["score"]) > rank(F.col("begin"), F.col("end"), F.col("score"))))
+    spans = spans.withColumn("others", others).filter(~beaten)
+    return phrases.union(spans.select("doc_id", "text_key", "label", "exact", "begin", "end", "score"))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

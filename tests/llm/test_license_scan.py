@@ -72,3 +72,39 @@ def test_repeated_rows_and_empty_table(spark, docs_of):
     got = license_scan(docs_of(rows)).collect()
     assert sorted((r.doc_id or 0, r.n_base, r.base_labels) for r in got) == [(0, 1, "reserved"), (1, 0, ""), (1, 1, "cc-by"), (1, 1, "cc-by")]
     assert license_scan(docs_of(rows).limit(0)).count() == 0
+
+
+def covered(notice, text, begin):
+    """The share of the notice's word pairs that stand in the text, a word or less from their place."""
+    pairs = lambda w: list(zip(w, w[1:]))
+    wanted, there = pairs(words_of(notice)), pairs(words_of(text))
+    return sum(p in there[begin + max(k - 1, -begin) : begin + k + 2] for k, p in enumerate(wanted)) / len(wanted)
+
+
+def test_one_word_more_or_less_at_every_place(spark, docs_of):
+    rows, want = [], {}
+    for label, text in NOTICES:
+        w = text.split()
+        changed = [w[:i] + [x] + w[i:] for i in range(len(w) + 1) for x in ("also", w[0], w[i // 2])] + [w[:i] + w[i + 1 :] for i in range(len(w))]
+        for c in changed:
+            i = len(rows)
+            rows.append((i, f"aa bb {' '.join(c)} cc dd"))
+            want[i] = (label, covered(text, rows[-1][1], 2))
+    assert sum(share >= 0.75 for _, share in want.values()) > 500
+    got = {r.doc_id: r for r in license_scan(docs_of(rows)).collect()}
+    lost = [rows[i][1] for i, (label, share) in want.items() if share >= 0.75 and label not in got[i].labels.split(",")]
+    assert not lost, (len(lost), lost[:3])
+    assert all(got[i].score >= share - 1e-9 for i, (_, share) in want.items() if share >= 0.75)
+
+
+def test_copies_close_together(spark, docs_of):
+    label, text = NOTICES[1]
+    n = len(words_of(text))
+    rows = [(0, " ".join([text] * 3)), (1, f"{text} x y {text}"), (2, f"the license you may {text} you may the license the license"), (3, f"{text} " * 2000)]
+    spans = {}
+    for s in license_spans(docs_of(rows)).filter(f"label = '{label}' AND score = 1").collect():
+        spans.setdefault(s.doc_id, []).append((s.begin, s.end))
+    assert sorted(spans[0]) == [(k * n, (k + 1) * n) for k in range(3)]
+    assert sorted(spans[1]) == [(0, n), (n + 2, 2 * n + 2)]
+    assert spans[2] == [(4, n + 4)]
+    assert len(spans[3]) == 2000
