@@ -1,15 +1,11 @@
 """Subword merges: learning and applying a pair-merge table.
 
 Learning (Sennrich et al. 2016).  The corpus is touched once: `groupBy(word).count()`
-gives the word table; every later pass runs on that table only.  A word is its symbols
-joined by a separator, the last symbol carrying `</w>`.  A pass counts weighted adjacent
-pairs (`explode` + `groupBy`, partial aggregation first), takes the top of the ranking
-(a bounded TakeOrdered: count desc, then left, right ascending), and merges a batch of
-pairs that provably gives the same merge sequence as one-at-a-time learning
-(SURVEY §7.3): pairs with disjoint symbols, stopping at a count tie with a lower pair
-that touches a used symbol, and at a self-pair.  Merging is a `regexp_replace` on the
-joined symbols.  The word table is checkpointed to the session's checkpoint folder every
-few passes, so lineage stays short and lost executors do not replay the whole loop.
+gives the word table, which one task reads: merges depend on each other, and the reference asks
+for tens of thousands.  The task keeps the words, the weighted counts of adjacent pairs and
+the words of each pair; a merge (count desc, then left, right ascending) updates the counts
+of the words that hold it, so its work does not depend on the other words.  The memory of the task
+grows with the distinct words, not with the corpus.
 
 Applying.  Only the distinct words of a corpus are segmented (`mapInPandas` with the
 merge table broadcast: it has as many rows as requested merges); occurrences are joined
@@ -17,99 +13,107 @@ back by word and re-assembled in order with `@@ ` between pieces.
 """
 from __future__ import annotations
 
+from collections import defaultdict
+from heapq import heapify, heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import materialize, tokens
+from ..functions.text import tokens
 
 EOW = "</w>"
-SEP = "\u0001"  # symbol separator inside the word table (never part of a token)
-TOP_K = 2000  # pairs of the ranking read per pass
-CHECKPOINT_EVERY = 10
 
 
 def word_table(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Distinct words with counts, both sides jointly, as symbol strings."""
+    """Distinct words with counts, both sides jointly."""
     words = None
     for c in cols:
         w = df.select(F.explode(tokens(c)).alias("word"))
         words = w if words is None else words.unionByName(w)
-    wt = words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
-    chars = F.regexp_extract_all(F.col("word"), F.lit("(?s)(.)"), 1)  # one entry per code point
-    syms = F.concat(F.slice(chars, 1, F.size(chars) - 1),
-                    F.array(F.concat(F.element_at(chars, -1), F.lit(EOW))))
-    return wt.select("word", "cnt", F.array_join(syms, SEP).alias("syms"))
-
-
-def _pair_counts(wt: DataFrame) -> DataFrame:
-    wt = materialize(wt.select("cnt", "syms"), {"_a": F.split(F.col("syms"), SEP)})
-    arr = F.col("_a")
-    idx = F.slice(F.sequence(F.lit(1), F.greatest(F.size(arr) - 1, F.lit(1))), 1, F.greatest(F.size(arr) - 1, F.lit(0)))
-    pairs = wt.select("cnt", F.explode(F.transform(idx, lambda i: F.struct(F.element_at(arr, i).alias("l"),
-                                                                          F.element_at(arr, i + 1).alias("r")))).alias("p"))
-    return pairs.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("cnt").alias("n"))
-
-
-def choose_batch(ranking: list[tuple[str, str, int]], complete: bool) -> list[tuple[str, str, int]]:
-    """Longest prefix of the ranking that one-at-a-time learning would merge in the same order.
-
-    `complete` says the ranking holds every pair (no pair beyond the list)."""
-    batch: list[tuple[str, str, int]] = []
-    used: set[str] = set()
-    for k, (l, r, n) in enumerate(ranking):
-        if l in used or r in used:
-            break
-        if l == r and batch:
-            break
-        rest = ranking[k + 1:]
-        if not complete and all(x[2] == n for x in rest):
-            break  # the list may end inside a run of equal counts: not safe to decide
-        new_used = used | {l, r}
-        if batch and any(x[2] == n and (x[0] in new_used or x[1] in new_used) for x in rest):
-            break
-        batch.append((l, r, n))
-        used = new_used
-        if l == r:
-            break
-    if not batch and ranking:
-        batch = [ranking[0]]
-    return batch
-
-
-def _merge_expr(col, l: str, r: str):
-    """Replace adjacent symbols l, r by lr (leftmost, non-overlapping)."""
-    import re
-
-    lq, rq = re.escape(l), re.escape(r)
-    pat = f"(?<=^|{SEP}){lq}{SEP}{rq}(?={SEP}|$)"
-    return F.regexp_replace(col, pat, (l + r).replace("\\", "\\\\").replace("$", "\\$"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def learn_merges(words, n_merges: int) -> list[tuple[str, str]]:
+    """Merges of (word, count) rows, one at a time."""
+    names: list[str] = []
+    number: dict[str, int] = {}
+
+    def symbol(name: str) -> int:
+        if name not in number:
+            number[name] = len(names)
+            names.append(name)
+        return number[name]
+
+    table, weights = [], []
+    count: dict[tuple[int, int], int] = defaultdict(int)
+    holders: dict[tuple[int, int], list[int]] = defaultdict(list)  # words that hold, or held, a pair
+    for word, n in words:
+        if len(word) < 2:
+            continue
+        syms = (*map(symbol, word[:-1]), symbol(word[-1] + EOW))
+        for pair in zip(syms, syms[1:]):
+            count[pair] += n
+            holders[pair].append(len(table))
+        table.append(syms)
+        weights.append(n)
+    # an entry is never lower than its pair's count; it is put back where the count has fallen
+    heap = [(-n, names[a], names[b], (a, b)) for (a, b), n in count.items()]
+    heapify(heap)
+    merges: list[tuple[str, str]] = []
+    while heap and len(merges) < n_merges:
+        n, left, right, pair = heappop(heap)
+        now = count.get(pair, 0)
+        if now != -n:
+            if 0 < now < -n:
+                heappush(heap, (-now, left, right, pair))
+            continue
+        merges.append((left, right))
+        a, b = pair
+        new = symbol(left + right)
+        change: dict[tuple[int, int], int] = defaultdict(int)
+        for w in holders.pop(pair):
+            syms, out, i = table[w], [], 0
+            while i < len(syms):  # every occurrence, left to right
+                if syms[i] == a and i + 1 < len(syms) and syms[i + 1] == b:
+                    out.append(new)
+                    i += 2
+                else:
+                    out.append(syms[i])
+                    i += 1
+            if len(out) == len(syms):
+                continue
+            for x in zip(syms, syms[1:]):
+                change[x] -= weights[w]
+            table[w] = tuple(out)
+            for x in zip(out, out[1:]):
+                change[x] += weights[w]
+                if new in x:
+                    holders[x].append(w)
+        for x, d in change.items():
+            if d:
+                count[x] += d
+                if count[x] == 0:
+                    del count[x]
+                    holders.pop(x, None)
+                elif d > 0:
+                    heappush(heap, (-count[x], names[x[0]], names[x[1]], x))
+    return merges
 
 
 def learn_subwords(df: DataFrame, cols: list[str], n_merges: int) -> DataFrame:
     """Merge table (rank INT, left STRING, right STRING) of up to `n_merges` merges."""
-    spark = df.sparkSession
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    wt = word_table(df, cols).checkpoint()
-    merges: list[tuple[int, str, str]] = []
-    passes = 0
-    while len(merges) < n_merges:
-        top = _pair_counts(wt).orderBy(F.col("n").desc(), F.col("l"), F.col("r")).limit(TOP_K + 1).collect()
-        if not top:
-            break
-        ranking = [(t["l"], t["r"], int(t["n"])) for t in top[:TOP_K]]
-        batch = choose_batch(ranking, complete=len(top) <= TOP_K)
-        batch = batch[: n_merges - len(merges)]
-        syms = F.col("syms")
-        for l, r, _ in batch:
-            merges.append((len(merges) + 1, l, r))
-            syms = _merge_expr(syms, l, r)
-        wt = wt.withColumn("syms", syms)
-        passes += 1
-        if passes % CHECKPOINT_EVERY == 0:
-            wt = wt.checkpoint()
-    return spark.createDataFrame(merges, "rank int, left string, right string")
+
+    def run(batches):
+        rows = ((w, n) for b in batches for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        merges = learn_merges(rows, n_merges)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(1, len(merges) + 1), pa.int32()), pa.array([m[0] for m in merges], pa.string()), pa.array([m[1] for m in merges], pa.string())],
+            names=["rank", "left", "right"])
+
+    schema = "rank int, left string, right string"
+    merges = word_table(df, cols).select("word", "cnt").repartition(1).mapInArrow(run, schema).collect()  # bounded by n_merges
+    return df.sparkSession.createDataFrame(merges, schema)
 
 
 def _segment_words(merge_list: list[tuple[int, str, str]]):

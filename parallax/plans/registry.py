@@ -1025,15 +1025,17 @@ def q_run_statistics(spark, d):
 from ..operators import subword as SW  # noqa: E402
 from . import pipelines as PL  # noqa: E402
 
+N_MERGES = 32_000  # the reference's merge count (SURVEY A11)
+
 
 @register("learn_subwords")
 def q_learn_subwords(spark, d):
-    return SW.learn_subwords(T.v_bitext(spark, d), ["src", "tgt"], 40)
+    return SW.learn_subwords(T.v_bitext(spark, d), ["src", "tgt"], N_MERGES)
 
 
 @register("subword_apply")
 def q_subword_apply(spark, d):
-    merges = SW.learn_subwords(T.v_pos(spark, d), ["text"], 40)
+    merges = SW.learn_subwords(T.v_pos(spark, d), ["text"], N_MERGES)
     return SW.subword_apply(T.v_pool(spark, d).select("line_id", "text"), merges, "text", "line_id")
 
 
@@ -1121,4 +1123,4 @@ def q_evaluate_outputs(spark, d):
 @register("prepare_training")
 def q_prepare_training(spark, d):
     b = T.v_bitext(spark, d)
-    return PL.prepare_training(b, T.v_pos(spark, d), 30, "formal", "informal", "tag", a="src", b="tgt", key="pair_id")
+    return PL.prepare_training(b, T.v_pos(spark, d), N_MERGES, "formal", "informal", "tag", a="src", b="tgt", key="pair_id")

@@ -1,4 +1,5 @@
 """Subword learning against one-at-a-time learning on a fixture; apply/undo round trip."""
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -55,3 +56,22 @@ def test_apply_then_undo_is_identity(spark):
     back = {r["line_no"]: r["t"] for r in seg.select("line_no", undo_subword("text").alias("t")).collect()}
     assert back == {i: " ".join(t.split()) for i, t in enumerate(TEXT)}
     assert any("@@ " in r["text"] for r in seg.collect())
+
+
+def test_thousands_of_merges_equal_sequential(spark):
+    rng = random.Random(5)
+    lines = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(8)) for _ in range(60)] + ["aaaaaaa aaaa abababab </w> a</w>"] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "line_no long, text string")
+    got = [(r["left"], r["right"]) for r in SW.learn_subwords(df, ["text"], 100_000).orderBy("rank").collect()]
+    assert len(got) > 500 and got == one_at_a_time(lines, 100_000)
+    letters = [chr(0x3B1 + i) for i in range(60)]
+    words = ["".join(rng.choice(letters) for _ in range(9)) for _ in range(600)]
+    assert len({p for w in words for p in zip(w, w[1:])}) > 2000  # different pairs of one pass
+    assert SW.learn_merges([(w, 1) for w in words], 300) == one_at_a_time([" ".join(words)], 300)
+    assert len(SW.learn_merges([(w, 1) for w in words], 100_000)) > 2000
+
+
+def test_registered_merge_count():
+    from parallax.plans import registry
+
+    assert registry.N_MERGES == 32_000  # scripts/preprocess-transfer.sh, SURVEY A11
