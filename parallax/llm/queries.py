@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_cnn import fold, score_quality, train_quality
+from .conversation_repair import damaged, repaired_digest
 from .decontaminate import decontaminate
 from .html_crf import extract_text
 from .jaccard_join import jaccard_join
@@ -188,3 +189,64 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+#: crc32 by its eight shifts a byte; a forward program with the least (cost, audit) for each of the four states.
+OP13_SQL = r"""
+WITH RECURSIVE src AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(k) + 1),
+                 lambda i: list_concat([ascii(k[i])::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+               lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 20 AS kind FROM src),
+bad AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM crc, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos FROM bad),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth,
+                regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail FROM placed),
+f AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS px FROM seen),
+r AS (SELECT *, fault IN ('blank', 'duplicate') AS gone, (fault = 'truncated')::INT AS extra FROM f),
+ends AS (SELECT conv_id, max(pos) AS n FROM r GROUP BY conv_id),
+-- a state's value is [cost, audit, lines] as a struct; null if it can't be reached
+dp(conv_id, pos, o, s, u, a) AS (
+    SELECT conv_id, 0::BIGINT, {'c': 0, 'e': '', 'l': []::VARCHAR[]}, NULL::STRUCT(c INT, e VARCHAR, l VARCHAR[]),
+           {'c': 2, 'e': 'I', 'l': ['user:']}, {'c': 4, 'e': 'II', 'l': ['user:', 'assistant:']} FROM ends
+    UNION ALL
+    SELECT conv_id, pos, o1, s1, u2, CASE WHEN u2 IS NULL THEN a1 ELSE least(coalesce(a1, {'c': u2.c + 2, 'e': u2.e || 'I', 'l': list_append(u2.l, 'assistant:')}),
+                                                                           {'c': u2.c + 2, 'e': u2.e || 'I', 'l': list_append(u2.l, 'assistant:')}) END
+    FROM (SELECT *, list_min(list_filter([u1, CASE WHEN o1 IS NOT NULL THEN {'c': o1.c + 2, 'e': o1.e || 'I', 'l': list_append(o1.l, 'user:')} END,
+                                          CASE WHEN s1 IS NOT NULL THEN {'c': s1.c + 2, 'e': s1.e || 'I', 'l': list_append(s1.l, 'user:')} END,
+                                          CASE WHEN a1 IS NOT NULL THEN {'c': a1.c + 2, 'e': a1.e || 'I', 'l': list_append(a1.l, 'user:')} END], lambda z: z IS NOT NULL)) AS u2
+          FROM (SELECT dp.conv_id, r.pos, {'c': o.c + 3, 'e': o.e || 'D', 'l': o.l} AS o1,
+                       list_min(list_filter([CASE WHEN s IS NOT NULL THEN {'c': s.c + 3, 'e': s.e || 'D', 'l': s.l} END,
+                                CASE WHEN NOT gone AND x = 's' THEN {'c': o.c + extra, 'e': o.e || 'K', 'l': list_append(o.l, role || ':' || text)} END], lambda z: z IS NOT NULL)) AS s1,
+                       list_min(list_filter([{'c': u.c + 3, 'e': u.e || 'D', 'l': u.l},
+                                CASE WHEN NOT gone AND x = 'u' THEN {'c': o.c + extra, 'e': o.e || 'K', 'l': list_append(o.l, role || ':' || text)} END,
+                                CASE WHEN NOT gone AND x = 'u' AND s IS NOT NULL THEN {'c': s.c + extra, 'e': s.e || 'K', 'l': list_append(s.l, role || ':' || text)} END,
+                                CASE WHEN NOT gone AND x = 'u' THEN {'c': a.c + extra, 'e': a.e || 'K', 'l': list_append(a.l, role || ':' || text)} END,
+                                CASE WHEN NOT gone THEN {'c': o.c + 2 + extra, 'e': o.e || 'R', 'l': list_append(o.l, 'user:' || text)} END,
+                                CASE WHEN NOT gone AND s IS NOT NULL THEN {'c': s.c + 2 + extra, 'e': s.e || 'R', 'l': list_append(s.l, 'user:' || text)} END,
+                                CASE WHEN NOT gone THEN {'c': a.c + 2 + extra, 'e': a.e || 'R', 'l': list_append(a.l, 'user:' || text)} END], lambda z: z IS NOT NULL)) AS u1,
+                       list_min(list_filter([{'c': a.c + 3, 'e': a.e || 'D', 'l': a.l},
+                                CASE WHEN NOT gone AND x = 'a' THEN {'c': u.c + extra, 'e': u.e || 'K', 'l': list_append(u.l, role || ':' || text)} END,
+                                CASE WHEN NOT gone THEN {'c': u.c + 2 + extra, 'e': u.e || 'R', 'l': list_append(u.l, 'assistant:' || text)} END], lambda z: z IS NOT NULL)) AS a1
+                FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.pos = dp.pos + 1) step1) step2),
+best AS (SELECT dp.conv_id, least(o, a) AS b FROM dp JOIN ends ON ends.conv_id IS NOT DISTINCT FROM dp.conv_id AND pos = n),
+per AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+               count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+               count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (px IS NOT NULL AND px || x NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost,
+       coalesce(b.e, '') AS audit, sha256(coalesce(array_to_string(b.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN per ON per.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op13_conversation_repair", OP13_SQL)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repaired_digest(rows, damaged(rows))
