@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline, with DuckDB SQL where it can say them.
+"""The registered queries of the operators and of the pipeline, with DuckDB SQL where it can say them.
 
 Each query applies its operator, with production parameters, to the whole table and derives the
 columns of the result from the operator's own output.
@@ -18,7 +18,9 @@ from .maxent_lm import lm_scores
 from .mix_sources import mix_sources
 from .prefix_tokens import token_counts
 from .quality_rules import quality_rules
+from .ranked_search import ranked_search
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -250,3 +252,45 @@ LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return repaired_digest(rows, damaged(rows))
+
+
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+OP11_SQL = f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, {_TERMS})) AS term FROM documents),
+q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWERED}, {_TERMS})) AS term FROM benchmark) GROUP BY ALL),
+len AS (SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY doc_id),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM len),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, g GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN len USING (doc_id), g GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
+#: On the hex digits of the bytes, two for each.
+OP12_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+win AS (SELECT doc_id, s, md5(substr(x, (2 * s + 1)::INT, 800)) AS h FROM d, unnest(range(n - 399)) AS t(s) WHERE n >= 400),
+rep AS (SELECT doc_id, s FROM win QUALIFY count(*) OVER (PARTITION BY h) > 1),
+run AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER w + 400 THEN 0 ELSE 1 END AS new FROM rep WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+span AS (SELECT doc_id, min(s) AS b, max(s) + 400 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM run) GROUP BY doc_id, g),
+per AS (SELECT doc_id, count(*) AS spans, sum(e - b)::BIGINT AS gone, list(e ORDER BY b) AS es, list(b ORDER BY b) AS bs FROM span GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN spans IS NULL THEN x ELSE array_to_string(list_transform(range(0, spans + 1),
+           lambda i: substr(x, (CASE WHEN i = 0 THEN 1 ELSE 2 * es[i] + 1 END)::INT,
+                            (2 * (CASE WHEN i = spans THEN n ELSE bs[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE es[i] END))::INT)), '') END)) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)
+"""
+
+
+@query("op12_suffix_dedup", OP12_SQL)
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
