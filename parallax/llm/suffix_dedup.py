@@ -34,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, bucket_count, column, column_bytes, mix, pack, rolling, row_slices, text_bytes, unpack, windows
+from .common import bucket_count, column, column_bytes, mix, pack, rolling, row_slices, text_bytes, unpack, windows
 
 BUCKET_BYTES = 12 << 20  # text whose windows make up one bucket
-BLOCK_ANCHORS = 1 << 19  # anchors whose repeats are found before the shuffle
+PIECE_BYTES = 1 << 19  # text whose windows are looked at together
+BLOCK_ANCHORS = 1 << 18  # anchors whose repeats are found before the shuffle
 SAMPLE_EACH = 16  # sampled suffixes for each bucket
 SAMPLE_MOST = 1 << 18  # of these at most; they are collected, `length` bytes each
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -88,7 +89,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int):
     return row[begin], h[anchor[begin]], anchor[begin], at[begin], at[last]
 
 
-def pieces(offs: np.ndarray, length: int, limit: int = CHUNK_BYTES):
+def pieces(offs: np.ndarray, length: int, limit: int = PIECE_BYTES):
     """(first row, row offsets of the piece) in bytes; a very long text comes in several pieces that share length - 1 bytes."""
     for lo, hi in row_slices(offs, limit):
         if offs[hi] - offs[lo] <= 2 * limit or hi - lo > 1:
