@@ -1,15 +1,20 @@
-"""Frames that operators keep because one plan reads them several times.
+"""Frames that operators keep because they are read several times.
 
 `keep` persists a frame (memory, then disk; lost blocks are computed again from lineage) and
-remembers it; `release` drops every frame kept so far in the session.  A caller that has written
-its result calls `release`; nothing here runs a job.
+remembers it; nothing runs.  `stage` writes a frame to the shared folder at once and returns
+the written table: its plan is one scan whatever the depth of the frame's own plan, and a lost
+executor loses nothing.  `release` drops what both have kept so far in the session; a caller that
+has written its result calls it.
 """
 from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import shared_folder
+
 _KEPT: list[DataFrame] = []
+_STAGED: list[tuple[SparkSession, str, str | None]] = []  # session, path, table
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -18,10 +23,37 @@ def keep(df: DataFrame) -> DataFrame:
     return kept
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to a new path below the shared folder, and read from there."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    _STAGED.append((spark, path, None))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_bucketed(df: DataFrame, name: str, buckets: int, *cols: str) -> DataFrame:
+    """df as a table bucketed by `cols`: joins on them do not shuffle it again."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    table = "parallax_" + path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
+    df.repartition(buckets, *cols).write.bucketBy(buckets, *cols).sortBy(*cols).option("path", path).saveAsTable(table)
+    _STAGED.append((spark, path, table))
+    return spark.table(table)
+
+
 def release(spark: SparkSession | None = None) -> int:
-    """Unpersist the frames kept so far (of one session, or all); returns how many."""
+    """Unpersist or delete what was kept so far (of one session, or all); returns how many frames."""
     own = [d for d in _KEPT if spark is None or d.sparkSession is spark]
     for d in own:
         d.unpersist()
         _KEPT.remove(d)
-    return len(own)
+    written = [x for x in _STAGED if spark is None or x[0] is spark]
+    for x in written:
+        session, path, table = x
+        if table:
+            session.sql(f"DROP TABLE IF EXISTS {table}")
+        place = session._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(session._jsc.hadoopConfiguration()).delete(place, True)
+        _STAGED.remove(x)
+    return len(own) + len(written)

@@ -847,7 +847,7 @@ SELECT line_id, ced, CASE WHEN ced <= lo THEN '<2formal>' WHEN ced >= hi THEN '<
           ["v_pos", "v_neg", "v_pool_e"])
 def q_ced_to_tag_of_ced(spark, d):
     """C1 -> C2 -> C3 over a pool with empty lines, whose score is null."""
-    return C.ced_to_tag(keep(_ced(spark, d, 2).select("line_id", "ced")), pos="formal", neg="informal").select("line_id", "ced", "src_tag", "tgt_tag")
+    return C.ced_to_tag(_ced(spark, d, 2).select("line_id", "ced"), pos="formal", neg="informal").select("line_id", "ced", "src_tag", "tgt_tag")
 
 
 # ---------------------------------------------------------------- vocabulary, truecasing

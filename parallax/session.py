@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -20,13 +19,13 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "pa
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", os.environ.get("PARALLAX_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("PARALLAX_DRIVER_MEMORY", "6g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if warehouse := os.environ.get("PARALLAX_WAREHOUSE"):
+        spark = spark.config("spark.sql.warehouse.dir", warehouse)
+    spark = spark.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="parallax-ckpt-"))  # local: one machine
     ensure_checkpoint_dir(spark)
     return spark
 

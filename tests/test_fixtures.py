@@ -33,7 +33,7 @@ def test_ced_thresholds_independent_of_partitioning(spark):
     df = _scores(spark, xs)
     ref = sorted(xs)
     for parts in (1, 3, 50):
-        th = C.kth_thresholds(df.repartition(parts), 123, partitions=parts).first()
+        th = C.kth_thresholds(df.repartition(parts), 123).first()
         assert th["low_threshold"] == ref[122] and th["high_threshold"] == ref[-123]
 
 

@@ -61,10 +61,10 @@ def test_both_selection_plans_agree(spark, n):
 @pytest.mark.parametrize("partitions", [1, 4])
 def test_thresholds_leave_null_scores_out(spark, partitions):
     rows = [(i, float(i - 50)) for i in range(101)] + [(1000 + i, None) for i in range(30)]
-    df = spark.createDataFrame(rows, "line_no long, ced double").repartition(3)
-    r = C.kth_thresholds(df, 40, partitions=partitions).first()
+    df = spark.createDataFrame(rows, "line_no long, ced double").repartition(partitions)
+    r = C.kth_thresholds(df, 40).first()
     assert (r.low_threshold, r.high_threshold) == (-11.0, 11.0)
-    tagged = {x.line_no: x.src_tag for x in C.ced_to_tag(df, "formal", "informal", partitions=partitions).collect()}
+    tagged = {x.line_no: x.src_tag for x in C.ced_to_tag(df, "formal", "informal").collect()}
     assert all(tagged[1000 + i] == "<2unk>" for i in range(30)) and tagged[0] == "<2formal>" and tagged[100] == "<2informal>"
     assert C.kth_thresholds(df, 0).first().low_threshold is None
     assert C.kth_thresholds(df.filter("ced IS NULL"), 3).first().low_threshold is None

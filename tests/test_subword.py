@@ -67,8 +67,54 @@ def test_thousands_of_merges_equal_sequential(spark):
     letters = [chr(0x3B1 + i) for i in range(60)]
     words = ["".join(rng.choice(letters) for _ in range(9)) for _ in range(600)]
     assert len({p for w in words for p in zip(w, w[1:])}) > 2000  # different pairs of one pass
-    assert SW.learn_merges([(w, 1) for w in words], 300) == one_at_a_time([" ".join(words)], 300)
-    assert len(SW.learn_merges([(w, 1) for w in words], 100_000)) > 2000
+    pieces = [([*w[:-1], w[-1] + SW.EOW], 1) for w in words]
+    assert SW.learn_merges(pieces, 300) == one_at_a_time([" ".join(words)], 300)
+    assert len(SW.learn_merges(pieces, 100_000)) > 2000
+
+
+def test_rounds_equal_sequential(spark, monkeypatch):
+    """Tables far smaller than the words, so that merges come from many rounds of cut words."""
+    rng = random.Random(6)
+    rounds = []
+    learn = SW._learn
+    monkeypatch.setattr(SW, "_learn", lambda *a: rounds.append(a[1]) or learn(*a))
+    for letters, longest, most, first in (("ab", 12, 40, 3), ("abc", 9, 60, 6), ("abcdefghij", 7, 150, 40)):
+        lines = []
+        for _ in range(80):
+            stem = "".join(rng.choice(letters) for _ in range(3))
+            lines.append(" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, longest))) + rng.choice(("", stem)) for _ in range(7)))
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "line_no long, text string")
+        rounds.clear()
+        got = SW.learn_subwords(df, ["text"], 120, most_pieces=most, first_open=first).orderBy("rank").collect()
+        assert [(r["left"], r["right"]) for r in got] == one_at_a_time(lines, 120)
+        assert len(rounds) > 2 and rounds[0] > 1
+
+
+def test_names_that_two_merges_make():
+    """(ab, c) and (a, bc) both make abc: pairs across cuts may add up, so the round ends earlier."""
+    ends = SW._Ends({"abc"})
+    ends.merged("ab", "c")
+    assert ends.product > 1
+    ends = SW._Ends(frozenset())
+    ends.merged("a", "b")
+    ends.merged("ab", "c")
+    assert ends.product == 1
+    ends.merged("x", "</w>")
+    assert ends.product > 1
+
+
+def test_coded_rows(spark):
+    """Nulls, empty texts, every white space, long rows and clashing columns come through the packs."""
+    rows = [(1, None, 5, "k"), (2, "", 6, "k"), (3, " a\tb \n c\x0bA ", 7, "k"), (4, "b " * 200_000, 8, "k"), (5, "a\u00a0b", 9, "k"), (5, "c", 9, None)]
+    df = spark.createDataFrame(rows, "line_no long, text string, _codes int, word string").repartition(2)
+    table = spark.createDataFrame([("a", "X"), ("b", "YY"), ("nothing", "Z")], "lower string, best string")
+    from parallax.operators import vocab as V
+
+    got = {(r.line_no, r.text if len(r.text or "") < 50 else len(r.text), r._codes, r.word) for r in V.truecase_apply(df, table).collect()}
+    assert got == {(1, "", 5, "k"), (2, "", 6, "k"), (3, "X YY c X", 7, "k"), (4, 599_999, 8, "k"), (5, "a\u00a0b", 9, "k"), (5, "c", 9, None)}
+    counts = {(r.line_no, r.n_tokens, r.n_oov) for r in V.oov_count(df.filter("line_no < 5"), table.withColumnRenamed("lower", "token")).collect()}
+    assert counts == {(1, 0, 0), (2, 0, 0), (3, 4, 2), (4, 200_000, 0)}
+    assert V.truecase_apply(df.limit(0), table).count() == 0 and V.truecase_apply(df, table.limit(0)).count() == 6
 
 
 def test_registered_merge_count():
