@@ -4,19 +4,21 @@
 Model: interpolated modified Kneser-Ney (Chen & Goodman 1998), the estimate KenLM's
 `lmplz` produces, as DataFrames.  A segment is `<s> t1 ... tn </s>`.
 
-* Counting: every window of every order is a generator row; `groupBy(ngram).count()`
-  aggregates map-side first, so frequent n-grams are combined before the shuffle.
-* Adjusted counts: for orders below the highest, the number of distinct left extensions
-  = `groupBy(suffix).count()` of the next order's distinct table, joined on the n-gram.
-* Discounts: one small aggregate per order (scalar subqueries).
-* Interpolation: order k joins the probabilities of order k-1 on the n-gram's tail.
+* Counting: a task codes its words as numbers and counts the n-grams of a block of segments in
+  arrays; an n-gram goes into the shuffle once per block, whatever its frequency.
+* Adjusted counts, contexts and discounts of all orders are made together: one `groupBy` on the
+  tail, one join on the n-gram, one aggregate with a row per order.
+* Interpolation: order k joins the probabilities of order k-1 on the n-gram's tail.  Each
+  order's table is written, so a plan is never longer than one order's.
 
 The model is one table `(ngram STRING, n INT, log_p DOUBLE, log_b DOUBLE)` over all orders
-(log10; `log_b` set for n-grams seen as a context).  Scoring explodes, per token, the n-grams that
-end at it; their model rows give the token's probabilities and, one token later, the back-off
-weights of its contexts.  Several models are looked up in one join.  Single words are hot keys of
-that join (`<s>`, `</s>`, function words): their few model rows are copied SALTS times and their
-occurrences spread over the copies by segment.
+(log10; `log_b` set for n-grams seen as a context), written once, bucketed by n-gram.  Train it
+once and score any number of pools: the lookup does not shuffle it again.
+
+Scoring: segments are coded in packs.  A pack's distinct n-grams of all orders meet the models in
+one join (several models: one shuffle, as all are bucketed alike), so a frequent word or word
+pair costs one row a pack and is no hot key; the found rows come back to the pack as an array, and
+the segments read their probabilities and back-off weights by place.
 
 `<s>`, `</s>` and `<unk>` are reserved: a token of a text that looks like one of them is marked,
 so it is an ordinary (normally unknown) word.
@@ -25,175 +27,257 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..caches import keep
-from ..functions.text import explode_ngrams, materialize, tokens
+from ..caches import keep, stage, stage_bucketed
 
 BOS, EOS, UNK = "<s>", "</s>", "<unk>"
 SEP = " "
 FALLBACK_D = (0.5, 1.0, 1.5)  # discounts when the count-of-counts give no valid estimate
-
-
-SALTS = 16  # copies of a single word's model row
 MARK = "\u2060"  # stands before a token that looks like a reserved one
+BLOCK_TOKENS = 1 << 18  # of one block of counts
+PACK_TOKENS = 1 << 16  # of one pack of segments; a longer segment is a pack of its own
+_MARKED = {x.encode(): (MARK + x).encode() for x in (BOS, EOS, UNK)}
+
+
+class Coded:
+    """Segments as word numbers, and the distinct n-grams of each order up to `order`."""
+
+    def __init__(self):
+        self.words: dict[bytes, int] = {BOS.encode(): 0, EOS.encode(): 1}
+        self.codes: list[int] = []
+        self.first: list[int] = [0]  # where each segment begins
+
+    def add(self, text: str | None) -> None:
+        words = self.words
+        self.codes.append(0)
+        # bytes.split cuts at the six ASCII white-space characters, as `tokens` does
+        self.codes += [words.setdefault(_MARKED.get(w, w), len(words)) for w in (text or "").encode().split()]
+        self.codes.append(1)
+        self.first.append(len(self.codes))
+
+    def grams(self, order: int):
+        """For each order: (the gram that ends at each position, -1 where there is none; the distinct grams; counts)."""
+        word = np.array(self.codes, np.int64)
+        first = np.array(self.first)
+        place = np.arange(len(word)) - np.repeat(first[:-1], np.diff(first))  # in its segment
+        names = list(self.words)
+        code, texts = word, names
+        # every word is some gram of order 1: both reserved ones stand in every segment
+        out = [(code, texts, np.bincount(code, minlength=len(names)))] if len(word) else [(code, [], np.zeros(0, np.int64))]
+        for k in range(2, order + 1):
+            at = np.flatnonzero(place >= k - 1)
+            pair = code[at - 1] * len(names) + word[at]
+            distinct, which, count = np.unique(pair, return_inverse=True, return_counts=True)
+            code = np.full(len(word), -1, np.int64)
+            code[at] = which
+            heads, tails = (distinct // len(names)).tolist(), (distinct % len(names)).tolist()
+            texts = [texts[a] + b" " + names[b] for a, b in zip(heads, tails)]
+            out.append((code, texts, count))
+        return out
+
+
+def _count(order: int):
+    def emit(block: Coded):
+        grams = block.grams(order)
+        text = pa.array([g for _, texts, _ in grams for g in texts], pa.binary()).cast(pa.string())
+        n = np.repeat(np.arange(1, order + 1, dtype=np.int32), [len(texts) for _, texts, _ in grams])
+        c = np.concatenate([count for *_, count in grams]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([text, pa.array(n), pa.array(c)], names=["ngram", "n", "c"])
+
+    def run(batches):
+        block = Coded()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                block.add(text)
+                if len(block.codes) >= BLOCK_TOKENS:
+                    yield emit(block)
+                    block = Coded()
+        if block.codes:
+            yield emit(block)
+
+    return run
+
+
+def ngram_counts(corpus: DataFrame, col: str, order: int) -> DataFrame:
+    """Raw counts of all orders: (ngram, n, c)."""
+    blocks = corpus.select(F.col(col).cast("string")).mapInArrow(_count(order), "ngram string, n int, c long")
+    return blocks.groupBy("ngram").agg(F.max("n").alias("n"), F.sum("c").alias("c"))
+
+
+def _tail() -> Column:
+    """n-gram without its first token (n >= 2)."""
+    return F.expr("substring(ngram, instr(ngram, ' ') + 1)")
+
+
+def _context() -> Column:
+    """n-gram without its last token (n >= 2)."""
+    return F.expr("substring_index(ngram, ' ', n - 1)")
+
+
+def adjusted_counts(raw: DataFrame, order: int) -> DataFrame:
+    """(ngram, n, a): raw count at the highest order or for n-grams starting with <s>; else the
+    number of distinct left extensions.  The unigram <s> is dropped."""
+    ext = raw.filter("n > 1").select(_tail().alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("ext"))
+    own = (F.col("n") == order) | (F.substring_index("ngram", SEP, 1) == BOS)
+    df = raw.filter(F.col("ngram") != BOS).join(ext, "ngram", "left")
+    return df.select("ngram", "n", F.when(own, F.col("c")).otherwise(F.coalesce("ext", F.lit(0))).cast("bigint").alias("a"))
 
 
-def padded(col) -> Column:
-    own = F.transform(tokens(col), lambda t: F.when(t.isin(BOS, EOS, UNK), F.concat(F.lit(MARK), t)).otherwise(t))
-    return F.concat(F.array(F.lit(BOS)), own, F.array(F.lit(EOS)))
-
-
-def ngram_counts(corpus: DataFrame, col: str, order: int) -> list[DataFrame]:
-    """Raw counts per order: [df_1, ..., df_order] each (ngram, c)."""
-    seg = materialize(corpus.select(col), {"_p": padded(col)}).select("_p")
-    return [
-        explode_ngrams(seg, "_p", [k], []).select(F.col("_g.g").alias("ngram")).groupBy("ngram").agg(
-            F.count(F.lit(1)).alias("c"))
-        for k in range(1, order + 1)
-    ]
-
-
-def _first(g: Column) -> Column:
-    return F.substring_index(g, SEP, 1)
-
-
-def _drop_first(g: Column) -> Column:
-    """n-gram without its first token ('' for a unigram)."""
-    return F.when(F.instr(g, SEP) > 0, F.expr("substring(ngram, instr(ngram, ' ') + 1)")).otherwise(F.lit(""))
+def _discount(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """(D1, D2, D3+) of one order from its counts of counts, with the fallback of SURVEY §7.3."""
+    if not (n1 and n2 and n3 and n4):
+        return FALLBACK_D
+    y = n1 / (n1 + 2.0 * n2)
+    d = tuple(j - (j + 1.0) * y * after / here for j, here, after in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+    return d if all(0.0 <= x <= j for j, x in enumerate(d, 1)) else FALLBACK_D
 
 
-def _drop_last(g: Column) -> Column:
-    """Context: n-gram without its last token ('' for a unigram)."""
-    return F.when(F.instr(g, SEP) > 0, F.regexp_replace(g, " [^ ]*$", "")).otherwise(F.lit(""))
+def discounts(adj: DataFrame) -> dict[int, dict]:
+    """By order: its discounts `d`, and how many n-grams count 1, 2, 3, 4 and more, and in all (a row per order)."""
+    a = F.col("a")
+    rows = adj.groupBy("n").agg(
+        *[F.count_if(a == j).alias(f"n{j}") for j in (1, 2, 3, 4)], F.count_if(a > 2).alias("more"), F.sum("a").alias("S"), F.count(F.lit(1)).alias("V"))
+    return {r["n"]: r.asDict() | {"d": _discount(r["n1"], r["n2"], r["n3"], r["n4"])} for r in rows.collect()}
 
 
-def adjusted_counts(raw: list[DataFrame]) -> list[DataFrame]:
-    """a(g): raw count at the highest order or for n-grams starting with <s>; else the
-    number of distinct left extensions.  The unigram <s> is dropped."""
-    order = len(raw)
-    out = []
-    for k in range(1, order + 1):
-        df = raw[k - 1]
-        if k < order:
-            ext = raw[k].select(_drop_first(F.col("ngram")).alias("ngram")).groupBy("ngram").agg(
-                F.count(F.lit(1)).alias("ext")
-            )
-            df = df.join(ext, "ngram", "left").withColumn(
-                "a", F.when(_first(F.col("ngram")) == BOS, F.col("c")).otherwise(F.coalesce("ext", F.lit(0)))
-            ).drop("ext")
-        else:
-            df = df.withColumn("a", F.col("c"))
-        if k == 1:
-            df = df.filter(F.col("ngram") != BOS)
-        out.append(df.select("ngram", F.col("a").cast("bigint").alias("a")))
-    return out
-
-
-def discounts(adj: DataFrame) -> tuple[Column, Column, Column]:
-    """(D1, D2, D3+) of one order as scalar subqueries, with the fallback of SURVEY §7.3."""
-    a = F.col("a")
-    cc = adj.agg(*[F.count_if(a == j).cast("double").alias(f"n{j}") for j in (1, 2, 3, 4)])
-    n1, n2, n3, n4 = F.col("n1"), F.col("n2"), F.col("n3"), F.col("n4")
-    y = F.try_divide(n1, n1 + F.lit(2.0) * n2)
-    d = cc.select(
-        (F.lit(1.0) - F.lit(2.0) * y * F.try_divide(n2, n1)).alias("d1"),
-        (F.lit(2.0) - F.lit(3.0) * y * F.try_divide(n3, n2)).alias("d2"),
-        (F.lit(3.0) - F.lit(4.0) * y * F.try_divide(n4, n3)).alias("d3"),
-        ((n1 > 0) & (n2 > 0) & (n3 > 0) & (n4 > 0)).alias("ok0"),
-    )
-    ok = F.coalesce(F.col("ok0") & F.col("d1").between(0.0, 1.0) & F.col("d2").between(0.0, 2.0) & F.col("d3").between(0.0, 3.0), F.lit(False))
-    d = d.select(
-        F.when(ok, F.col("d1")).otherwise(F.lit(FALLBACK_D[0])).alias("d1"),
-        F.when(ok, F.col("d2")).otherwise(F.lit(FALLBACK_D[1])).alias("d2"),
-        F.when(ok, F.col("d3")).otherwise(F.lit(FALLBACK_D[2])).alias("d3"),
-    )
-    s = d.select(F.struct("d1", "d2", "d3").alias("d")).scalar()
-    return s["d1"], s["d2"], s["d3"]
+def buckets_of(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def train_ngram_lm(corpus: DataFrame, col: str = "text", order: int = 5) -> DataFrame:
-    """A10: the model table (ngram, n, log_p, log_b), log10.
+    """A10: the model table (ngram, n, log_p, log_b), log10, bucketed by ngram.
 
     Includes `<unk>` (n = 1) and `<s>` (n = 1, context only: log_p null).
     """
-    # each order's table is read by its discount, context and interpolation steps and by
-    # the next order: keep them (computed again from lineage if an executor is lost)
-    adj = [keep(a) for a in adjusted_counts(ngram_counts(corpus, col, order))]
-    probs: list[DataFrame] = []
-    ctx_tables: list[DataFrame] = []
-    for k in range(1, order + 1):
-        a_k = adj[k - 1]
-        d1, d2, d3 = discounts(a_k)
-        a = F.col("a")
-        disc = F.when(a == 1, d1).when(a == 2, d2).otherwise(d3)
-        if k == 1:
-            # the empty context: its sums are scalars, not a key that every word is joined on
-            one = a_k.agg(F.sum("a").cast("double").alias("S"), F.sum(disc).alias("D"), (F.count(F.lit(1)) + 1).cast("double").alias("V"))
-            one = one.select(F.struct("S", (F.col("D") / F.col("S") / F.col("V")).alias("u")).alias("x")).scalar()
-            p = a_k.select("ngram", (F.greatest(a - disc, F.lit(0.0)) / one["S"] + one["u"]).alias("p"))
-            p = p.unionByName(corpus.sparkSession.range(1).select(F.lit(UNK).alias("ngram"), one["u"].alias("p")))
-        else:
-            g = a_k.withColumns({"h": _drop_last(F.col("ngram")), "disc": disc})
-            ctx = g.groupBy("h").agg(F.sum("a").alias("S"), F.sum("disc").alias("D"))
-            ctx = keep(ctx.withColumn("b", F.col("D") / F.col("S")))
-            own = F.greatest(a - F.col("disc"), F.lit(0.0)) / F.col("S")
-            lower = probs[-1].select(F.col("ngram").alias("tail"), F.col("p").alias("p_low"))
-            g = g.join(ctx.select("h", "S", "b"), "h").withColumn("tail", _drop_first(F.col("ngram")))
-            p = g.join(lower, "tail").select("ngram", (own + F.col("b") * F.col("p_low")).alias("p"))
-            ctx_tables.append(ctx.select(F.col("h").alias("ngram"), F.log10("b").alias("log_b")))
-        probs.append(keep(p))
-    ptab = reduce(lambda x, y: x.unionByName(y), [
-        p.select("ngram", F.log10("p").alias("log_p")) for p in probs
-    ])
-    btab = reduce(lambda x, y: x.unionByName(y), ctx_tables) if ctx_tables else None
-    model = ptab.join(btab, "ngram", "full_outer") if btab is not None else ptab.withColumn("log_b", F.lit(None).cast("double"))
-    n = (F.size(F.split("ngram", SEP))).cast("int")
-    return model.select("ngram", n.alias("n"), "log_p", "log_b")
-
-
-def _model_table(models: list[DataFrame]) -> DataFrame:
-    """(k, lp0, lb0, lp1, ...): all models by n-gram."""
-    parts = [m.select("ngram", *[F.col(c).alias(f"{x}{i}") if i == j else F.lit(None).cast("double").alias(f"{x}{j}")
-                                 for j in range(len(models)) for x, c in (("lp", "log_p"), ("lb", "log_b"))]) for i, m in enumerate(models)]
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("ngram", "k")
-    rows = reduce(lambda x, y: x.unionByName(y), parts)
-    return rows.groupBy(F.col("ngram").alias("k")).agg(*[F.max(c).alias(c) for c in rows.columns if c != "ngram"])
+    spark = corpus.sparkSession
+    buckets = buckets_of(spark)
+    raw = stage_bucketed(ngram_counts(corpus, col, order), "lm-counts", buckets, "ngram")
+    adj = stage(adjusted_counts(raw, order), "lm-adjusted")
+    by_order = discounts(adj)
+    a, disc = F.col("a"), F.lit(0.0)
+    for k, x in by_order.items():
+        d1, d2, d3 = x["d"]
+        disc = F.when(F.col("n") == k, F.when(F.col("a") == 1, d1).when(F.col("a") == 2, d2).otherwise(d3)).otherwise(disc)
+    # the empty context: its sums are known, not a key that every word is joined on
+    one = by_order.get(1)
+    total = float(one["S"]) if one else 1.0
+    d = one["d"] if one else FALLBACK_D
+    unk = ((d[0] * one["n1"] + d[1] * one["n2"] + d[2] * (one["V"] - one["n1"] - one["n2"])) / total / (one["V"] + 1.0)) if one else 1.0
+    low = adj.filter("n = 1").withColumn("disc", disc)
+    p = low.select("ngram", (F.greatest(a - F.col("disc"), F.lit(0.0)) / F.lit(total) + F.lit(unk)).alias("p"))
+    tables = [p, spark.range(1).select(F.lit(UNK).alias("ngram"), F.lit(unk).alias("p"))]
+    longer = adj.filter("n > 1").withColumns({"h": _context(), "disc": disc})
+    ctx = keep(longer.groupBy("h").agg(F.sum("a").alias("S"), F.sum("disc").alias("D")).select("h", "S", (F.col("D") / F.col("S")).alias("b")))
+    own = longer.join(ctx, "h").select("ngram", "n", _tail().alias("tail"), (F.greatest(a - F.col("disc"), F.lit(0.0)) / F.col("S")).alias("own"), "b")
+    own = stage(own, "lm-own") if order > 2 else own
+    for k in range(2, order + 1):
+        lower = p.select(F.col("ngram").alias("tail"), F.col("p").alias("p_low"))
+        p = own.filter(F.col("n") == k).join(lower, "tail").select("ngram", (F.col("own") + F.col("b") * F.col("p_low")).alias("p"))
+        p = stage(p, f"lm-order-{k}") if k < order else p
+        tables.append(p)
+    rows = reduce(lambda x, y: x.unionByName(y), [t.select("ngram", F.log10("p").alias("log_p")) for t in tables])
+    backoff = ctx.select(F.col("h").alias("ngram"), F.log10("b").alias("log_b"))
+    model = rows.join(backoff, "ngram", "full_outer")
+    n = F.size(F.split("ngram", SEP)).cast("int")
+    return stage_bucketed(model.select("ngram", n.alias("n"), "log_p", "log_b"), "lm-model", buckets, "ngram")
+
+
+def _packed(order: int, key_type: pa.DataType):
+    """(key, text) -> packs: distinct n-grams, and for each segment and order the places of its n-grams."""
+
+    def emit(keys: list, block: Coded):
+        grams = block.grams(order)
+        base = np.cumsum([0, *[len(texts) for _, texts, _ in grams]])
+        text = pa.array([g for _, texts, _ in grams for g in texts], pa.binary()).cast(pa.string())
+        codes = [np.where(code < 0, -1, code + b).astype(np.int32) for (code, *_), b in zip(grams, base)]
+        lists = (text, pa.array(keys, key_type), pa.array(block.first, pa.int32()), pa.array(np.concatenate(codes)))
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists],
+                                          names=["grams", "keys", "first", "codes"])
+
+    def run(batches):
+        keys, block = [], Coded()
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys.append(key)
+                block.add(text)
+                if len(block.codes) >= PACK_TOKENS:
+                    yield emit(keys, block)
+                    keys, block = [], Coded()
+        if keys:
+            yield emit(keys, block)
+
+    return run
+
+
+def _scores(order: int, unk: list[float]):
+    """Packs with the model rows of their n-grams -> (key, n_words, logprob0, n_oov0, ...)."""
+    models = len(unk)
+
+    def score(pack: dict):
+        first = np.asarray(pack["first"])
+        codes = np.asarray(pack["codes"], np.int64).reshape(order, -1)
+        n_grams = pack["n_grams"]
+        found = pack["found"]
+        table = np.full((2 * models, n_grams + 1), np.nan)  # a last column for places without an n-gram
+        if found is not None:
+            i = found.field("i").to_numpy()
+            for m in range(models):
+                table[2 * m, i] = found.field(f"lp{m}").to_numpy(zero_copy_only=False)
+                table[2 * m + 1, i] = found.field(f"lb{m}").to_numpy(zero_copy_only=False)
+        scored = np.ones(codes.shape[1], bool)
+        scored[first[:-1]] = False  # <s>
+        out = [np.diff(first) - 2]
+        for m in range(models):
+            longest, lp = np.zeros(codes.shape[1], np.int64), np.full(codes.shape[1], unk[m])
+            for j in range(1, order + 1):  # the longest n-gram that the model has
+                own = table[2 * m, codes[j - 1]]
+                hit = ~np.isnan(own)
+                longest[hit], lp[hit] = j, own[hit]
+            for j in range(1, order):  # contexts of that length or more that the model has
+                before = np.concatenate([[-1], codes[j - 1][:-1]])
+                weight = table[2 * m + 1, before]
+                lp += np.where((longest <= j) & ~np.isnan(weight), weight, 0.0)
+            lp[~scored] = 0.0
+            out += [np.add.reduceat(lp, first[:-1]), np.add.reduceat(((longest == 0) & scored).astype(np.int64), first[:-1])]
+        return out
+
+    def run(batches):
+        names = ["n_words"] + [f"{c}{m}" for m in range(models) for c in ("logprob", "n_oov")]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = batch.column("keys")[i].values
+                out = score({"first": batch.column("first")[i].values.to_numpy(), "codes": batch.column("codes")[i].values.to_numpy(),
+                             "n_grams": batch.column("n_grams")[i].as_py(), "found": batch.column("found")[i].values})
+                kinds = [pa.int32()] + [pa.float64(), pa.int32()] * models
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array(x).cast(t) for x, t in zip(out, kinds)]], names=["key", *names])
+
+    return run
 
 
 def score_segments(df: DataFrame, models: list[DataFrame], col: str = "text", key: str = "line_no", order: int = 5) -> DataFrame:
-    """(key, n_words, logprob0, n_oov0, logprob1, ...) under several models, with one lookup join."""
-    table = _model_table(models)
-    copies = F.when(F.instr("k", SEP) == 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    table = table.withColumn("_salt", F.explode(copies))
-    seg = materialize(df.select(key, col), {"_p": padded(col)}).select(key, "_p")
-    pos = seg.select(key, "_p", F.posexplode("_p").alias("_i", "_w"))
-    grams = F.array(*[F.when(F.col("_i") + 1 >= j, F.struct(F.lit(j).alias("j"), F.array_join(F.slice("_p", F.col("_i") + 2 - j, j), SEP).alias("k")))
-                      for j in range(1, order + 1)])
-    look = pos.select(key, "_i", F.explode(grams).alias("_l")).filter("_l IS NOT NULL").select(key, "_i", "_l.j", "_l.k")
-    salt = F.when(F.col("j") == 1, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(SALTS)).cast("int")).otherwise(0)
-    found = look.withColumn("_salt", salt).join(table, ["k", "_salt"], "left")
-    # from here on everything is grouped by segment: one shuffle
-    found = found.repartition(key)
-    at = lambda c, j: F.max(F.when(F.col("j") == j, F.col(c))).alias(f"{c}_{j}")
-    cols = [(f"lp{i}", j) for i in range(len(models)) for j in range(1, order + 1)] + [(f"lb{i}", j) for i in range(len(models)) for j in range(1, order)]
-    per = found.groupBy(key, "_i").agg(*[at(c, j) for c, j in cols])
-    w = Window.partitionBy(key).orderBy("_i")  # the tokens of one segment
-    before = [F.lag(f"lb{i}_{j}").over(w).alias(f"b{i}_{j}") for i in range(len(models)) for j in range(1, order)]
-    per = per.select("*", *before).filter(F.col("_i") > 0)
-    out = []
-    for i, m in enumerate(models):
-        unk = m.filter(F.col("ngram") == UNK).select("log_p").scalar()
-        longest, lp = F.lit(0), unk
-        for j in range(1, order + 1):  # the longest n-gram that the model has
-            hit = F.col(f"lp{i}_{j}").isNotNull()
-            longest, lp = F.when(hit, F.lit(j)).otherwise(longest), F.when(hit, F.col(f"lp{i}_{j}")).otherwise(lp)
-        for j in range(1, order):  # contexts of that length or more that the model has
-            lp = lp + F.when((F.lit(j) >= longest), F.coalesce(F.col(f"b{i}_{j}"), F.lit(0.0))).otherwise(0.0)
-        out += [F.sum(lp).alias(f"logprob{i}"), F.count_if(longest == 0).cast("int").alias(f"n_oov{i}")]
-    return per.groupBy(key).agg((F.max("_i") - 1).cast("int").alias("n_words"), *out)
+    """(key, n_words, logprob0, n_oov0, logprob1, ...) under several models."""
+    kind = df.schema[key].dataType
+    key_type = kind.simpleString()
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(key_type)
+    if arrow is None:
+        raise ValueError(f"a key is a bigint, an int or a string, not {key_type}")
+    segments = df.select(F.col(key), F.col(col).cast("string").alias("text"))
+    schema = f"grams array<string>, keys array<{key_type}>, first array<int>, codes array<int>"
+    packs = keep(segments.mapInArrow(_packed(order, arrow), schema).withColumn("pack", F.monotonically_increasing_id()))
+    found = packs.select("pack", F.posexplode("grams").alias("i", "ngram"))
+    for m, model in enumerate(models):
+        found = found.join(model.select("ngram", F.col("log_p").alias(f"lp{m}"), F.col("log_b").alias(f"lb{m}")), "ngram", "left")
+    values = [f"{c}{m}" for m in range(len(models)) for c in ("lp", "lb")]
+    found = found.filter(F.coalesce(*values).isNotNull()).groupBy("pack").agg(F.collect_list(F.struct("i", *values)).alias("found"))
+    both = packs.select("pack", "keys", "first", "codes", F.size("grams").alias("n_grams")).join(found, "pack", "left")
+    unk = [m.filter(F.col("ngram") == UNK).select("log_p").first()[0] for m in models]  # one row a model
+    out = ", ".join([f"key {key_type}, n_words int"] + [f"logprob{m} double, n_oov{m} int" for m in range(len(models))])
+    scored = both.select("keys", "first", "codes", "n_grams", "found").mapInArrow(_scores(order, unk), out)
+    return scored.withColumnRenamed("key", key)
 
 
 def lm_score(df: DataFrame, model: DataFrame, col: str = "text", key: str = "line_no", order: int = 5) -> DataFrame:
