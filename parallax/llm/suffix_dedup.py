@@ -219,10 +219,12 @@ def _pack_texts(n: int):
 
 def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
     """data[begin : begin + size] for each pair, as a binary column."""
-    end = np.cumsum(size)
-    place = np.arange(int(size.sum())) - np.repeat(end - size - begin, size)
-    offsets = np.concatenate([[0], end])
-    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[place]))])
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    out = np.empty(int(offsets[-1]), np.uint8)
+    for lo, hi in row_slices(offsets, PIECE_BYTES):
+        place = np.arange(offsets[lo], offsets[hi]) + np.repeat(begin[lo:hi] - offsets[lo:hi], size[lo:hi])
+        out[offsets[lo] : offsets[hi]] = data[place]
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
 
 
 def _binary_bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
