@@ -6,82 +6,158 @@ den = sum of hypothesis n-grams; c = hypothesis length, r = sum over segments of
 closest reference length (ties -> shorter); BP = 1 if c >= r else exp(1 - r/c);
 BLEU = 100 * BP * exp(mean log(num/den)), 0 when any num is 0.
 
-The grid loops of the reference become group keys: one job scores every
-(system, test, ...) group.  N-gram counts are exploded per segment and aggregated by
-(group, segment, n-gram): segments are small, so every group is spread over many tasks.
+Outputs and references are read once: a segment's hypothesis and references meet in one row (one
+shuffle of segment rows), and a task counts the n-grams of a block of segments in integer arrays.
+That gives the segment table: for every test variant (all or some references, cased or lower-cased)
+the clipped counts and lengths of each segment.  The grid, whose loops are group keys, and the
+run statistics are sums over it.
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import explode_ngrams, materialize, tokens
-
 MAX_N = 4
+BLOCK_TOKENS = 1 << 18  # tokens that are counted together; a segment with more is a block of its own
+COUNTS = [f"{x}{n}" for n in range(1, MAX_N + 1) for x in ("num", "den")]
 
 
-def corpus_bleu(hyps: DataFrame, refs: DataFrame, keys: list[str], seg: str = "seg_id", hyp: str = "hyp",
-                ref: str = "ref", ref_no: str = "ref_no", lower: bool = False) -> DataFrame:
-    """One row per group `keys`: c, r, num1..4, den1..4, bp, bleu (2 decimals), bleu_raw, and
-    n_unscored (hypotheses without a reference).
+class _Texts:
+    """Texts as word numbers: `unit` text t has the words first[t] .. first[t + 1]."""
+
+    def __init__(self):
+        self.words: dict[bytes, int] = {}
+        self.codes: list[int] = []
+        self.first: list[int] = [0]
+
+    def add(self, text: str) -> int:
+        """The number of words of a text."""
+        known = self.words
+        own = [known.setdefault(w, len(known)) for w in text.encode().split()]  # the white space of `tokens`
+        self.codes += own
+        self.first.append(len(self.codes))
+        return len(own)
+
+    def grams(self):
+        """For n = 1..4: (text, gram, count) of each text's distinct n-grams, and the number of distinct grams."""
+        word, first = np.array(self.codes, np.int64), np.array(self.first)
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        place = np.arange(len(word)) - first[text]
+        code = word
+        for n in range(1, MAX_N + 1):
+            at = np.flatnonzero(place >= n - 1)
+            if n > 1:
+                distinct, which = np.unique(code[at - 1] * max(len(self.words), 1) + word[at], return_inverse=True)
+                code = np.zeros(len(word), np.int64)
+                code[at] = which
+                size = len(distinct)
+            else:
+                size = len(self.words)
+            key, count = np.unique(text[at] * max(size, 1) + code[at], return_counts=True)
+            yield key // max(size, 1), key % max(size, 1), count, max(size, 1)
+
+
+def _statistics(hyp_row: np.ndarray, hyp_text: list, ref_row: np.ndarray, ref_text: list, wanted: np.ndarray) -> dict:
+    """Counts of each hypothesis against the references of its row that are wanted."""
+    texts = _Texts()
+    hl = np.array([texts.add(t) for t in hyp_text], np.int64)
+    rl = np.array([texts.add(t) for t in ref_text], np.int64)
+    n = len(hyp_text)
+    out = {}
+    for k, (text, gram, count, size) in enumerate(texts.grams(), 1):
+        mine = text < n
+        ref = ~mine
+        ref[ref] = wanted[text[ref] - n]
+        # the most that any one reference of the row has of a gram
+        key, which = np.unique(ref_row[text[ref] - n] * size + gram[ref], return_inverse=True)
+        most = np.zeros(len(key) + 1, np.int64)
+        np.maximum.at(most, which, count[ref])
+        own = hyp_row[text[mine]] * size + gram[mine]
+        at = np.searchsorted(key, own)
+        found = at < len(key)
+        found[found] = key[at[found]] == own[found]
+        clipped = np.minimum(count[mine], np.where(found, most[at], 0))
+        out[f"num{k}"] = np.bincount(text[mine], clipped, n).astype(np.int64)
+        out[f"den{k}"] = np.bincount(text[mine], count[mine], n).astype(np.int64)
+    # the closest reference length, the shorter of two
+    first, last = np.searchsorted(ref_row, hyp_row, "left"), np.searchsorted(ref_row, hyp_row, "right")
+    hyp = np.repeat(np.arange(n), last - first)
+    ref = np.arange(len(hyp)) - np.repeat(np.cumsum(last - first) - last, last - first)
+    hyp, ref = hyp[wanted[ref]], ref[wanted[ref]]
+    order = np.lexsort((rl[ref], np.abs(rl[ref] - hl[hyp]), hyp))
+    best, at = np.unique(hyp[order], return_index=True)
+    closest = np.zeros(n, np.int64)
+    closest[best] = rl[ref[order[at]]]
+    scored = np.zeros(n, bool)
+    scored[best] = True
+    return out | {"hl": hl, "rl": closest, "scored": scored}
+
+
+def _segments(names: list[str], tests: list[tuple]):
+    def block(batch: pa.RecordBatch, lo: int, hi: int):
+        part = pa.Table.from_batches([batch.slice(lo, hi - lo)])
+        rows = part.select(["_hyps", "_refs"]).to_pylist()
+        hyps = [(i, h) for i, r in enumerate(rows) for h in r["_hyps"]]
+        refs = [(i, x) for i, r in enumerate(rows) for x in r["_refs"]]
+        hyp_row, ref_row = (np.array([i for i, _ in side], np.int64) for side in (hyps, refs))
+        empty = np.array([h["x"] is None for _, h in hyps], bool)
+        for name, numbers, lower in tests:
+            text = "l" if lower else "x"
+            wanted = np.array([numbers is None or x["no"] in numbers for _, x in refs], bool)
+            out = _statistics(hyp_row, [h[text] or "" for _, h in hyps], ref_row, [x[text] for _, x in refs], wanted)
+            out["scored"] &= ~empty
+            own = part.select(names).take(pa.array(hyp_row))
+            columns = [c.combine_chunks() for c in own.columns]
+            kinds = {"scored": pa.bool_()}
+            columns += [pa.array([name] * len(hyps), pa.string())] + [pa.array(out[c]).cast(kinds.get(c, pa.int64())) for c in ("scored", "hl", "rl", *COUNTS)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "test_id", "scored", "hl", "rl", *COUNTS])
+
+    def run(batches):
+        for batch in batches:
+            size = np.cumsum([0, *batch.column("_size").to_pylist()])
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(size, size[lo] + 4 * BLOCK_TOKENS, "right")) - 1)  # four bytes a token, about
+                yield from block(batch, lo, hi)
+                lo = hi
+
+    return run
 
-    Every reference counts, whatever its number (`ref_no` only tells references apart; a null is a
-    number of its own).  A hypothesis without a reference, and a null hypothesis, is left out of
-    lengths and n-grams alike and counted in `n_unscored`; a group of such hypotheses keeps its
-    row, with c = 0 and bleu = 0.
 
-    Hypothesis and reference rows are put in one frame and hash partitioned by segment once; the
-    n-gram explode and all aggregates up to the segment then run inside those partitions (an
-    aggregate keyed by a superset of the partitioning keys needs no new shuffle), so only segment
-    rows cross the network, never n-grams.
+def segment_statistics(hyps: DataFrame, refs: DataFrame, keys: list[str], tests: dict[str, tuple], seg: str = "seg_id",
+                       hyp: str = "hyp", ref: str = "ref", ref_no: str = "ref_no") -> DataFrame:
+    """One row for each hypothesis and test: keys, seg, test_id, scored, hl, rl, num1..4, den1..4.
+
+    `tests` has for each test_id (reference numbers or None for all, lower-cased or not).  Every reference
+    counts, whatever its number.  A hypothesis that is null or has no reference is not `scored`; each of
+    several hypotheses of a segment is scored by itself.
     """
-    hcol, rcol = F.col(hyp), F.col(ref)
-    if lower:
-        hcol, rcol = F.lower(hcol), F.lower(rcol)
     sk = [*keys, seg]
-    rows = hyps.select(*sk, F.lit(True).alias("_h"), F.lit(None).cast("string").alias("_r"), hcol.alias("_x")).unionByName(
-        refs.select(*sk, F.lit(False).alias("_h"), F.col(ref_no).cast("string").alias("_r"), rcol.alias("_x")).filter(F.col("_x").isNotNull()))
-    rows = rows.repartition(*sk)
-    # token arrays are stored once per row: the n-gram slices below read them per position
-    rows = materialize(rows, {"_t": tokens(F.col("_x"))}).drop("_x")
-    is_hyp = F.col("_h")
-    # lengths of a segment: the hypothesis and its references (one entry for each reference)
-    seg_len = rows.groupBy(*sk).agg(
-        F.count_if(is_hyp).alias("_nh"), F.max(F.when(is_hyp, F.size("_t"))).alias("hl"),
-        F.collect_list(F.when(~is_hyp, F.size("_t"))).alias("_rls"),
-    ).filter(F.col("_nh") > 0)
-    scored = (F.size("_rls") > 0) & F.col("hl").isNotNull()
-    grams = explode_ngrams(rows, "_t", range(1, MAX_N + 1), [*sk, "_h", "_r"])
-    per_side = grams.groupBy(*sk, "_g", "_h", "_r").agg(F.count(F.lit(1)).alias("_c"))
-    per_gram = per_side.groupBy(*sk, "_g").agg(
-        F.sum(F.when(is_hyp, F.col("_c"))).alias("ch"), F.max(F.when(~is_hyp, F.col("_c"))).alias("cr"),
-    ).filter(F.col("ch").isNotNull())
-    clip = per_gram.select(*sk, F.col("_g.n").alias("n"), "ch", F.least("ch", F.coalesce("cr", F.lit(0))).alias("m"))
-    prec = clip.groupBy(*sk).agg(*[
-        x for n in range(1, MAX_N + 1) for x in (
-            F.sum(F.when(F.col("n") == n, F.col("m")).otherwise(0)).alias(f"_num{n}"),
-            F.sum(F.when(F.col("n") == n, F.col("ch")).otherwise(0)).alias(f"_den{n}"),
-        )
-    ])
-    for k in sk:  # null keys are segments too
-        prec = prec.withColumnRenamed(k, f"_k_{k}")
-    same = F.lit(True)
-    for k in sk:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    closest = F.aggregate(
-        "_rls", F.struct(F.lit(1 << 30).alias("d"), F.lit(0).alias("rl")),
-        lambda acc, x: F.when(
-            (F.abs(x - F.col("hl")) < acc["d"]) | ((F.abs(x - F.col("hl")) == acc["d"]) & (x < acc["rl"])),
-            F.struct(F.abs(x - F.col("hl")).alias("d"), x.alias("rl")),
-        ).otherwise(acc),
-    )["rl"]
-    out = seg_len.join(prec, same, "left").groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(scored, F.col("hl"))), F.lit(0)).cast("bigint").alias("c"),
-        F.coalesce(F.sum(F.when(scored, closest)), F.lit(0)).cast("bigint").alias("r"),
-        F.count_if(~scored).alias("n_unscored"),
-        *[F.coalesce(F.sum(F.when(scored, F.col(f"_{x}{n}"))), F.lit(0)).cast("bigint").alias(f"{x}{n}")
-          for n in range(1, MAX_N + 1) for x in ("num", "den")],
-    )
+    lower = any(low for _, low in tests.values())
+    texts = lambda c: [F.col(c).cast("string").alias("x"), *([F.lower(F.col(c)).alias("l")] if lower else [])]
+    no = F.col(ref_no).cast("string")
+    one = refs.filter(F.col(ref).isNotNull()).select(*sk, F.struct(no.alias("no"), *texts(ref)).alias("_ref"))
+    one = one.withColumn("_hyp", F.lit(None).cast("struct<x:string" + (",l:string" if lower else "") + ">"))
+    rows = hyps.select(*sk, F.lit(None).cast(one.schema["_ref"].dataType).alias("_ref"), F.struct(*texts(hyp)).alias("_hyp"))
+    rows = rows.unionByName(one)
+    size = F.coalesce(F.length(F.coalesce("_ref.x", "_hyp.x")), F.lit(0)) + 8
+    # collect_list leaves out the side that a row does not have
+    met = rows.groupBy(*sk).agg(F.collect_list("_hyp").alias("_hyps"), F.collect_list("_ref").alias("_refs"), F.sum(size).alias("_size"))
+    met = met.filter(F.size("_hyps") > 0)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema if f.name in sk)
+    schema += ", test_id string, scored boolean, hl long, rl long, " + ", ".join(f"{c} long" for c in COUNTS)
+    given = [(name, None if numbers is None else {str(x) for x in numbers}, low) for name, (numbers, low) in tests.items()]
+    order = [f.name for f in met.schema if f.name in sk]
+    return met.mapInArrow(_segments(order, given), schema)
+
+
+def _bleu_of(segments: DataFrame, keys: list[str]) -> DataFrame:
+    scored = F.col("scored")
+    total = lambda x: F.coalesce(F.sum(F.when(scored, F.col(x))), F.lit(0)).cast("bigint")
+    out = segments.groupBy(*keys).agg(total("hl").alias("c"), total("rl").alias("r"), F.count_if(~scored).alias("n_unscored"),
+                                      *[total(x).alias(x) for x in COUNTS])
     c, rr = F.col("c"), F.col("r")
     bp = F.when(c >= rr, F.lit(1.0)).when(c > 0, F.exp(F.lit(1.0) - F.try_divide(rr, c))).otherwise(F.lit(0.0))
     logs = [F.log(F.try_divide(F.col(f"num{n}"), F.col(f"den{n}"))) for n in range(1, MAX_N + 1)]
@@ -90,9 +166,26 @@ def corpus_bleu(hyps: DataFrame, refs: DataFrame, keys: list[str], seg: str = "s
     return out.withColumns({"bp": bp, "bleu": F.round(score, 2), "bleu_raw": score})
 
 
-def evaluation_grid(outputs: DataFrame, refs: DataFrame, keys: list[str], **kw) -> DataFrame:
-    """BLEU for every group of the grid (e.g. ckpt metric x test x model) in one job."""
-    return corpus_bleu(outputs, refs, keys, **kw)
+def corpus_bleu(hyps: DataFrame, refs: DataFrame, keys: list[str], seg: str = "seg_id", hyp: str = "hyp",
+                ref: str = "ref", ref_no: str = "ref_no", lower: bool = False) -> DataFrame:
+    """One row per group `keys`: c, r, num1..4, den1..4, bp, bleu (2 decimals), bleu_raw, and
+    n_unscored (null hypotheses and those without a reference).
+
+    What is not scored is left out of lengths and n-grams alike; a group of such hypotheses keeps its
+    row, with c = 0 and bleu = 0.
+    """
+    return _bleu_of(segment_statistics(hyps, refs, keys, {"all": (None, lower)}, seg, hyp, ref, ref_no), keys)
+
+
+def evaluation_grid(outputs: DataFrame, refs: DataFrame, keys: list[str], tests: dict[str, tuple] | None = None, seg: str = "seg_id",
+                    hyp: str = "hyp", ref: str = "ref", ref_no: str = "ref_no", lower: bool = False) -> DataFrame:
+    """BLEU for every group of the grid (e.g. ckpt metric x test x model) in one job.
+
+    With `tests` every group is scored under each test variant too (a key `test_id`), from one pass
+    over outputs and references.
+    """
+    segments = segment_statistics(outputs, refs, keys, tests or {"all": (None, lower)}, seg, hyp, ref, ref_no)
+    return _bleu_of(segments, [*keys, "test_id"] if tests else keys)
 
 
 def run_statistics(metrics: DataFrame, keys: list[str], value: str = "bleu") -> DataFrame:

@@ -77,13 +77,19 @@ def evaluate_outputs(hyps: DataFrame, refs: DataFrame, keys: list[str], tag: str
     BLEU is lower-cased for translation and cased for transfer, as in the reference.
     Returns (bleu per group, statistics)."""
     post = hyps.withColumn(hyp, X.tokenize(X.postprocess(hyp, tag, is_transfer), lang))
-    split = refs.withColumn(ref, X.tokenize(ref, lang))
+    split = over_distinct(refs, ref, lambda c: X.tokenize(c, lang))  # a line is a reference of several segments
     lc = (not is_transfer) if lower is None else lower
     scores = B.evaluation_grid(post, split, keys, hyp=hyp, ref=ref, lower=lc)
     stats = B.run_statistics(scores, stat_keys or [], "bleu") if stat_keys is not None else None
     return scores, stats
 
 
+def over_distinct(df: DataFrame, col: str, f) -> DataFrame:
+    """df with `col` replaced by f(col), which runs once for each distinct text."""
+    out = df.select(col).distinct().select(F.col(col).alias("_given"), f(F.col(col)).alias("_made"))
+    return df.join(out, F.col(col).eqNullSafe(F.col("_given")), "left").withColumn(col, F.col("_made")).drop("_given", "_made")
+
+
 def prepare_training(bitext: DataFrame, casing_corpus: DataFrame, n_merges: int, tag1: str, tag2: str,
                      mode: str = "tag", a: str = "a", b: str = "b", key: str = "line_no") -> DataFrame:
     """C11: truecase (model from `casing_corpus`) -> learn and apply subwords on both sides

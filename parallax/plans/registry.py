@@ -968,21 +968,24 @@ def q_corpus_bleu_lc(spark, d):
     return _bleu_q(spark, d, True)
 
 
-# five references numbered from 1 with a gap, and segments without any
-_REFS5 = """r5 AS (SELECT system, seg_id, ref_no + 1 AS ref_no, ref FROM v_refs WHERE seg_id % 7 <> 0
-  UNION ALL SELECT h.system, h.seg_id, 9 AS ref_no, r.ref || ' ' || h.hyp FROM v_hyps h
-  JOIN v_refs r ON r.system = h.system AND r.seg_id = h.seg_id AND r.ref_no = 0 WHERE h.seg_id % 7 <> 0),
-un AS (SELECT system, count(*) AS n_unscored FROM v_hyps WHERE seg_id % 7 = 0 GROUP BY system),
+# a hypothesis for every line: those near the end of a document have fewer references, the last has none;
+# references numbered from 1 with a gap, and a fifth one made of two lines
+_REFS5 = """h5 AS (SELECT source AS system, line_id AS seg_id, text AS hyp, doc_id, line_no FROM v_text),
+l5 AS (SELECT h.system, h.seg_id, CAST(b.line_no - h.line_no AS INTEGER) AS ref_no, b.text AS ref, h.hyp
+  FROM h5 h JOIN v_text b ON b.doc_id = h.doc_id AND b.line_no BETWEEN h.line_no + 1 AND h.line_no + 4),
+r5 AS (SELECT system, seg_id, ref_no, ref FROM l5 UNION ALL SELECT system, seg_id, 9, ref || ' ' || hyp FROM l5 WHERE ref_no = 1),
+un AS (SELECT system, count(*) AS n_unscored FROM h5 WHERE seg_id NOT IN (SELECT seg_id FROM r5) GROUP BY system),
 """
 
 
-@register("corpus_bleu_refs5", "WITH " + _REFS5 + _bleu_sql(False, "v_hyps", "r5", head="") + """
-SELECT bleu.*, coalesce(n_unscored, 0) AS n_unscored FROM bleu LEFT JOIN un ON un.system = bleu.system""", ["v_hyps", "v_refs"])
+@register("corpus_bleu_refs5", "WITH " + _REFS5 + _bleu_sql(False, "h5", "r5", head="") + """
+SELECT bleu.*, coalesce(n_unscored, 0) AS n_unscored FROM bleu LEFT JOIN un ON un.system = bleu.system""", ["v_text"])
 def q_corpus_bleu_refs5(spark, d):
-    h, r = T.v_hyps_refs(spark, d)
-    r = keep(r.filter("seg_id % 7 <> 0"))
-    more = h.join(r.filter("ref_no = 0"), ["system", "seg_id"]).select("system", "seg_id", F.lit(9).alias("ref_no"), F.concat_ws(" ", "ref", "hyp").alias("ref"))
-    b = B.corpus_bleu(h, r.withColumn("ref_no", F.col("ref_no") + 1).unionByName(more), ["system"])
+    ln = T.v_text(spark, d).select("doc_id", "line_no", F.col("source").alias("system"), F.col("line_id").alias("seg_id"), F.col("text").alias("hyp"))
+    near = ln.withColumn("ref_no", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("line_no", F.col("line_no") + F.col("ref_no"))
+    refs = near.join(ln.select("doc_id", "line_no", F.col("hyp").alias("ref")), ["doc_id", "line_no"])
+    fifth = refs.filter("ref_no = 1").select("system", "seg_id", F.lit(9).alias("ref_no"), F.concat_ws(" ", "ref", "hyp").alias("ref"))
+    b = B.corpus_bleu(ln, refs.select("system", "seg_id", "ref_no", "ref").unionByName(fifth), ["system"])
     return b.select("system", "c", "r", *[f"{p}{n}" for n in range(1, 5) for p in ("num", "den")],
                     r6("bp").alias("bp"), r6("bleu_raw").alias("bleu"), "n_unscored")
 
@@ -994,20 +997,19 @@ gr AS (SELECT system, 'ref4' AS test_id, seg_id, ref_no, ref FROM v_refs
 """
 
 
-def _grid_inputs(spark, d):
+_GRID_TESTS = {"ref4": (None, False), "ref1": ([0], False)}  # both test variants
+
+
+def _grid(spark, d):
     h, r = T.v_hyps_refs(spark, d)
-    gh = h.withColumn("test_id", F.explode(F.array(F.lit("ref4"), F.lit("ref1"))))  # both test variants
-    gr = r.withColumn("test_id", F.lit("ref4")).unionByName(r.filter(F.col("ref_no") == 0).withColumn("test_id", F.lit("ref1")))
-    return gh, gr
+    return B.evaluation_grid(h, r, ["system"], _GRID_TESTS)
 
 
 @register("evaluation_grid", "WITH " + _GRID_CTE + _bleu_sql(False, "gh", "gr", ", test_id", head="") + "SELECT * FROM bleu",
           ["v_hyps", "v_refs"])
 def q_evaluation_grid(spark, d):
-    gh, gr = _grid_inputs(spark, d)
-    b = B.evaluation_grid(gh, gr, ["system", "test_id"])
-    return b.select("system", "test_id", "c", "r", *[f"{p}{n}" for n in range(1, 5) for p in ("num", "den")],
-                    r6("bp").alias("bp"), r6("bleu_raw").alias("bleu"))
+    return _grid(spark, d).select("system", "test_id", "c", "r", *[f"{p}{n}" for n in range(1, 5) for p in ("num", "den")],
+                                  r6("bp").alias("bp"), r6("bleu_raw").alias("bleu"))
 
 
 @register("run_statistics", "WITH " + _GRID_CTE + _bleu_sql(False, "gh", "gr", ", test_id", head="") + """
@@ -1015,8 +1017,7 @@ SELECT test_id, round(avg(round(bleu, 2)), 6) AS mean, round(stddev_samp(round(b
   round(min(round(bleu, 2)), 6) AS min, round(max(round(bleu, 2)), 6) AS max, count(*) AS runs FROM bleu GROUP BY test_id""",
           ["v_hyps", "v_refs"])
 def q_run_statistics(spark, d):
-    gh, gr = _grid_inputs(spark, d)
-    st = B.run_statistics(B.evaluation_grid(gh, gr, ["system", "test_id"]), ["test_id"], "bleu")
+    st = B.run_statistics(_grid(spark, d), ["test_id"], "bleu")
     return st.select("test_id", *[r6(c).alias(c) for c in ("mean", "std", "min", "max")], "runs")
 
 
