@@ -1,16 +1,18 @@
 """Lexical and positional differences between paired outputs (SURVEY §2.3 J5-J6, §2.4 A16,
 §2.5 W2-W4, §2.8 C6-C8).
 
-A pair, its two token arrays and its alignment block are one row, so every per-pair step
-(span expansion, exactness, re-indexing, distortion, the PoD running sum) is a
-higher-order array expression evaluated inside that row: no shuffle and no window after
-the alignment is attached.  Work per row is bounded by the sentence lengths.  The only
-shuffles are building the exact alignment (J6: keyed by pair and token) and attaching it.
+A pair, its two texts and its alignment block are one row.  A task codes the tokens of a block of
+pairs as integers, and alignment, span expansion, exactness, re-indexing and distortion are array
+operations over all tokens of the block at once: sorts, running counts and look-ups by place, with
+the pair as part of the key.  Without an alignment file nothing is shuffled; with one, the only
+shuffle attaches it (J4).  The scores are expressions over the arrays of a pair.
 
 Alignment spans are 0-based, `start1:len1` on side 1 and `start2:len2` on side 2.
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,30 +20,264 @@ from ..functions.text import materialize, tokens
 from .joins import attach_alignment
 
 SPAN_TYPE = "array<struct<start1:int,len1:int,start2:int,len2:int>>"
+BLOCK_CHARS = 1 << 20  # of the pairs that are looked at together; a longer pair is a block of its own
+
+
+class _Side:
+    """The tokens of one side of some pairs: `code`, `pair` and `place` of each, `n` of each pair."""
+
+    def __init__(self, token_lists: list[list], known: dict):
+        self.n = np.array([len(t) for t in token_lists], np.int64)
+        self.code = np.fromiter((known.setdefault(w, len(known)) for t in token_lists for w in t), np.int64, int(self.n.sum()))
+        self.first = np.concatenate([[0], np.cumsum(self.n)])
+        self.pair = np.repeat(np.arange(len(self.n)), self.n)
+        self.place = np.arange(len(self.code)) - self.first[self.pair]
+
+    def occurrence(self) -> np.ndarray:
+        """How often the token stands in its pair before."""
+        order = np.lexsort((self.place, self.code, self.pair))
+        code, pair = self.code[order], self.pair[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (code[1:] != code[:-1]) | (pair[1:] != pair[:-1])
+        start = np.flatnonzero(new)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+        return out
 
 
 # ------------------------------------------------------------------ J6 exact alignment
 
-def exact_align(pairs: DataFrame, key: str = "pair_id", t1: str = "t1", t2: str = "t2") -> DataFrame:
-    """J6 [H]: link the n-th occurrence of a token on side 1 to its n-th occurrence on side 2.
+def _by_occurrence(one: _Side, two: _Side, n_codes: int):
+    """(flat place on side 1, on side 2): the n-th occurrence of a token to its n-th on the other side."""
+    longest = int(max(one.n.max(initial=1), two.n.max(initial=1)))
+    names = [(s.pair * n_codes + s.code) * longest + s.occurrence() for s in (one, two)]
+    _, at1, at2 = np.intersect1d(*names, assume_unique=True, return_indices=True)
+    order = np.argsort(at1, kind="stable")
+    return at1[order], at2[order]
+
+
+BEAM = 256  # states that are followed
+CANDIDATES = 8  # places that a state tries for a token; all of them, if it has no more
 
-    Both sides are exploded once and grouped by (pair, token) inside the partitions of the pair
-    key: the two sorted position lists of a token are zipped.  One shuffle (of pair rows, by the
-    key).  Output: one span row (key, start1, len1=1, start2, len2=1) per link.
+
+def fewest_chunks(left: list, right: list) -> list[tuple[int, int]]:
+    """A matching of equal tokens with as many links as there can be, in as few chunks as can be (runs that
+    are neighbours on both sides), then with as few crossings.
+
+    Dynamic programming from left to right over (places used, place of the link just before); of more than
+    BEAM states the best are followed, and a state tries CANDIDATES places of a token at most.  Up to sides
+    of seven tokens nothing is cut, and the result is exact.
     """
-    sides = F.array(F.struct(F.lit(1).alias("side"), F.col(t1).alias("t")), F.struct(F.lit(2).alias("side"), F.col(t2).alias("t")))
-    rows = pairs.repartition(key).select(key, F.explode(sides).alias("_x"))
-    rows = rows.select(key, F.col("_x.side").alias("_side"), F.posexplode("_x.t").alias("_pos", "_tok"))
-    at = lambda s: F.sort_array(F.collect_list(F.when(F.col("_side") == s, F.col("_pos"))))
-    per = rows.groupBy(key, "_tok").agg(at(1).alias("_p1"), at(2).alias("_p2"))
-    links = per.select(key, F.explode(F.arrays_zip("_p1", "_p2")).alias("_z")).filter("_z._p1 IS NOT NULL AND _z._p2 IS NOT NULL")
-    return links.select(
-        key, F.col("_z._p1").cast("int").alias("start1"), F.lit(1).alias("len1"),
-        F.col("_z._p2").cast("int").alias("start2"), F.lit(1).alias("len2"),
-    )
+    places: dict = {}
+    for j, w in enumerate(right):
+        places.setdefault(w, []).append(j)
+    ahead: dict = {}  # occurrences on the left that are still to come
+    for w in left:
+        ahead[w] = ahead.get(w, 0) + 1
+    # (used, place of the link of the token just before or -1) -> (chunks, crossings, links so far)
+    states: dict = {(0, -1): (0, 0, None)}
+    for i, w in enumerate(left):
+        ahead[w] -= 1
+        if len(states) > BEAM:
+            states = dict(sorted(states.items(), key=lambda kv: kv[1][:2])[:BEAM])
+        nxt: dict = {}
+        for (used, last), (chunks, crossings, links) in states.items():
+            free = [j for j in places.get(w, ()) if not used >> j & 1]
+            wanted = len(free)  # that many links of the token are still to be made
+            if len(free) > CANDIDATES:
+                behind = [j for j in free if j > last]
+                free = sorted({*free[: CANDIDATES // 2], *behind[: CANDIDATES // 2]})
+            options = [((used | 1 << j, j), (chunks + (last < 0 or j != last + 1), crossings + (used >> (j + 1)).bit_count(), (links, i, j))) for j in free]
+            if wanted <= ahead[w]:  # the token may go without: enough others follow
+                options.append(((used, -1), (chunks, crossings, links)))
+            for state, value in options:
+                if state not in nxt or value[:2] < nxt[state][:2]:
+                    nxt[state] = value
+        states = nxt
+    links = min(states.values(), key=lambda v: v[:2])[2]
+    out = []
+    while links:
+        links, i, j = links
+        out.append((i, j))
+    return out[::-1]
+
+
+def _by_chunks(one: _Side, two: _Side, n_codes: int):
+    at1, at2 = [], []
+    for k in range(len(one.n)):
+        a, b = (s.code[s.first[k] : s.first[k + 1]].tolist() for s in (one, two))
+        for i, j in fewest_chunks(a, b):
+            at1.append(one.first[k] + i)
+            at2.append(two.first[k] + j)
+    return np.array(at1, np.int64), np.array(at2, np.int64)
+
+
+LINKS = {"occurrence": _by_occurrence, "chunks": _by_chunks}
+
+
+def exact_align(pairs: DataFrame, key: str = "pair_id", t1: str = "t1", t2: str = "t2", method: str = "occurrence") -> DataFrame:
+    """J6 [H]: links between equal tokens of two token arrays, as many as there can be.
+
+    `occurrence` links the n-th occurrence of a token on side 1 to its n-th occurrence on side 2;
+    `chunks` chooses among the occurrences by `fewest_chunks`.  Output: one span row
+    (key, start1, len1=1, start2, len2=1) per link.  No shuffle.
+    """
+    kind = pairs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            known: dict = {}
+            one, two = (_Side([x or [] for x in batch.column(c).to_pylist()], known) for c in (1, 2))
+            at1, at2 = LINKS[method](one, two, max(len(known), 1))
+            ones = np.ones(len(at1), np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(one.pair[at1])), pa.array(one.place[at1].astype(np.int32)), pa.array(ones),
+                 pa.array(two.place[at2].astype(np.int32)), pa.array(ones)], names=["key", "start1", "len1", "start2", "len2"])
+
+    links = pairs.select(key, t1, t2).mapInArrow(run, f"key {kind}, start1 int, len1 int, start2 int, len2 int")
+    return links.withColumnRenamed("key", key)
+
+
+# ------------------------------------------------------------------ J5 span expansion, W2, W3 over a block
+
+class _Spans:
+    """Spans of some pairs, in the order of each pair's block."""
+
+    def __init__(self, lists: list):
+        self.pair = np.repeat(np.arange(len(lists)), [len(x or ()) for x in lists])
+        flat = [s for x in lists for s in x or ()]
+        self.start = [np.array([s[f"start{k}"] for s in flat], np.int64) for k in (1, 2)]
+        self.size = [np.array([s[f"len{k}"] for s in flat], np.int64) for k in (1, 2)]
+
+    def covered(self, side: _Side, k: int):
+        """(span, flat place) for each place of side k that a span covers."""
+        size = np.maximum(self.size[k], 0)
+        span = np.repeat(np.arange(len(size)), size)
+        place = self.start[k][span] + np.arange(len(span)) - np.repeat(np.cumsum(size) - size, size)
+        inside = (place >= 0) & (place < side.n[self.pair[span]])
+        return span[inside], (side.first[self.pair[span]] + place)[inside]
+
+
+def _identical(spans: _Spans, one: _Side, two: _Side) -> np.ndarray:
+    """If the tokens of a span are the same on both sides."""
+    (s1, at1), (s2, at2) = spans.covered(one, 0), spans.covered(two, 1)
+    n = len(spans.pair)
+    n1, n2 = np.bincount(s1, minlength=n), np.bincount(s2, minlength=n)
+    same = n1 == n2
+    keep1, keep2 = same[s1], same[s2]
+    differ = one.code[at1[keep1]] != two.code[at2[keep2]]  # span by span, place by place
+    return same & (np.bincount(s1[keep1], differ, n) == 0)
+
+
+def _align(side: _Side, spans: _Spans, k: int, ident: np.ndarray, punct: set):
+    """(align, exact) by flat place: `align` is the place on the other side for the head token of a span, -1
+    inside a phrase, -2 where there is none (or for a head in the punctuation set); `exact` says that the
+    whole span equals the other side's.  A later span goes over an earlier one."""
+    align, exact = np.full(len(side.code), -2, np.int64), np.zeros(len(side.code), bool)
+    span, at = spans.covered(side, k)
+    of = np.full(len(side.code), -1, np.int64)
+    of[at] = span  # of several spans the last stays
+    mine = np.flatnonzero(of >= 0)
+    span = of[mine]
+    head = side.place[mine] == spans.start[k][span]
+    align[mine] = np.where(head, spans.start[1 - k][span], -1)
+    if punct:
+        align[mine[head & np.isin(side.code[mine], list(punct))]] = -2
+    exact[mine] = ident[span]
+    return align, exact
+
+
+def _dense(side: _Side, align: np.ndarray) -> np.ndarray:
+    """The number of an aligned head token among those of its pair, -1 for the others."""
+    head = align >= 0
+    total = np.concatenate([[0], np.cumsum(head)])
+    return np.where(head, total[:-1] - total[side.first[side.pair]], -1)
+
+
+def _lists(side_first: np.ndarray, values: np.ndarray, kind, null=None) -> pa.Array:
+    flat = pa.array(values).cast(kind) if null is None else pa.array(values, mask=null).cast(kind)
+    return pa.ListArray.from_arrays(pa.array(side_first.astype(np.int32)), flat)
+
+
+_ARRAYS = "a1 array<int>, e1 array<boolean>, a2 array<int>, e2 array<boolean>, x1 array<int>, x2 array<int>, dist array<int>"
+
+
+def _arrays(texts1: list, texts2: list, blocks: list | None, punct: str, method: str, with_tokens: bool) -> dict:
+    known: dict = {}
+    lists = [[t.encode().split() for t in texts] for texts in (texts1, texts2)]  # the white space of `tokens`
+    one, two = (_Side(x, known) for x in lists)
+    if blocks is None:
+        at1, at2 = LINKS[method](one, two, max(len(known), 1))
+        a1, a2 = np.full(len(one.code), -2, np.int64), np.full(len(two.code), -2, np.int64)
+        a1[at1], a2[at2] = two.place[at2], one.place[at1]
+        e1, e2 = a1 >= 0, a2 >= 0
+        if punct:  # out of the alignment, but still matched
+            of = [known[c.encode()] for c in set(punct) if c.encode() in known]
+            a1[np.isin(one.code, of)] = -2
+            a2[np.isin(two.code, of)] = -2
+    else:
+        spans = _Spans(blocks)
+        ident = _identical(spans, one, two)
+        of = {known[c.encode()] for c in set(punct) if c.encode() in known}
+        (a1, e1), (a2, e2) = _align(one, spans, 0, ident, of), _align(two, spans, 1, ident, of)
+    x1, x2 = _dense(one, a1), _dense(two, a2)
+    heads = np.flatnonzero(a1 >= 0)  # W3: index on side 2 less index on side 1, for each head of side 1
+    pair, to = one.pair[heads], a1[heads]
+    inside = to < two.n[pair]
+    other = np.where(inside, x2[np.where(inside, two.first[pair] + to, 0)] if len(x2) else -1, -1)
+    first = np.searchsorted(pair, np.arange(len(texts1) + 1))
+    out = {}
+    if with_tokens:
+        names = pa.array(list(known), pa.binary()).cast(pa.string())
+        for c, s in (("t1", one), ("t2", two)):
+            out[c] = pa.ListArray.from_arrays(pa.array(s.first.astype(np.int32)), names.take(pa.array(s.code)))
+    for c, s, a, e in ((1, one, a1, e1), (2, two, a2, e2)):
+        out[f"a{c}"] = _lists(s.first, a, pa.int32(), a == -2)
+        out[f"e{c}"] = _lists(s.first, e, pa.bool_())
+    out["x1"], out["x2"] = _lists(one.first, x1, pa.int32(), x1 < 0), _lists(two.first, x2, pa.int32(), x2 < 0)
+    out["dist"] = _lists(first, other - x1[heads], pa.int32(), other < 0)
+    return out
+
+
+def align_tokens(
+    pairs: DataFrame, alignments: DataFrame | None = None, key: str = "pair_id", text1: str = "text1",
+    text2: str = "text2", punct: str = "", lower: bool = False, method: str = "occurrence", with_tokens: bool = True,
+) -> DataFrame:
+    """(key, t1, t2, a1, e1, a2, e2, x1, x2, dist): tokens, alignment and exactness by position (J5),
+    dense index over aligned heads (W2) and distortion (W3) of each pair; the token arrays are left
+    out without `with_tokens`.
+
+    align[i] = aligned position on the other side for the head token of a span, -1 for a
+    token inside a phrase, null when unaligned (or a head that is in the punctuation set);
+    exact[i] = the whole span equals the other side's span.  A head whose target is no head on
+    side 2 has a null distortion (the pair is invalid).  A null text has no tokens.
+    """
+    text = lambda c: F.coalesce(F.lower(F.col(c)) if lower else F.col(c), F.lit(""))
+    kind = pairs.schema[key].dataType.simpleString()
+    rows = pairs.select(F.col(key), text(text1).alias("_a"), text(text2).alias("_b"))
+    if alignments is not None:
+        rows = attach_alignment(rows, alignments, key)
+    else:
+        rows = rows.withColumn("spans", F.lit(None).cast(SPAN_TYPE))
+    given = alignments is not None
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            size = np.cumsum([0, *[len(x) + len(y) for x, y in zip(a, b)]])
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(size, size[lo] + BLOCK_CHARS, "right")) - 1)
+                blocks = batch.column(3).slice(lo, hi - lo).to_pylist() if given else None
+                out = _arrays(a[lo:hi], b[lo:hi], blocks, punct, method, with_tokens)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *out.values()], names=["key", *out])
+                lo = hi
+
+    schema = f"key {kind}, " + "t1 array<string>, t2 array<string>, " * with_tokens + _ARRAYS
+    return rows.select(key, "_a", "_b", "spans").mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-# ------------------------------------------------------------------ J5 span expansion (array form)
+# ------------------------------------------------------------------ A16, W2-W4
 
 def _idx(n: Column) -> Column:
     """0..n-1 (empty for n = 0; a bare sequence(0, -1) would count down)."""
@@ -69,48 +305,6 @@ def by_position(df: DataFrame, entries: dict[str, tuple[Column, Column]]) -> Dat
     return df.drop(*[f"_{c}" for c in entries])
 
 
-def enriched_spans(mine: Column, other: Column, spans: Column, side: int = 1) -> Column:
-    """Spans seen from `side`: (s = own start, l = own length, o = other start, ident)."""
-    s_me, l_me, s_ot, l_ot = ("start1", "len1", "start2", "len2") if side == 1 else ("start2", "len2", "start1", "len1")
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s[s_me].alias("s"), s[l_me].alias("l"), s[s_ot].alias("o"),
-            (F.slice(mine, s[s_me] + 1, s[l_me]) == F.slice(other, s[s_ot] + 1, s[l_ot])).alias("ident"),
-        ),
-    )
-
-
-def span_positions(spans: Column, side: int = 1) -> Column:
-    """(pos, k): the positions of a side that span k covers; a later span goes over an earlier one."""
-    s, n = ("start1", "len1") if side == 1 else ("start2", "len2")
-    return F.flatten(F.transform(spans, lambda x, k: F.transform(_idx(x[n]), lambda j: F.struct((x[s] + j).cast("int").alias("pos"), k.alias("k")))))
-
-
-def span_links(mine: Column, cover: Column, enriched: Column, punct: str = ""):
-    """(align, exact) arrays of one side from its cover (the number of the covering span by
-    position) and its enriched spans.
-
-    align[i] = aligned position on the other side for the head token of a span, -1 for a
-    token inside a phrase, null when unaligned (or a head that is in the punctuation set);
-    exact[i] = the whole span equals the other side's span.
-    """
-    punct_arr = F.array(*[F.lit(c) for c in sorted(set(punct))]) if punct else None
-
-    def head_align(k, i):
-        c = F.try_element_at(enriched, k + 1)
-        is_p = F.array_contains(punct_arr, F.try_element_at(mine, i + 1)) if punct_arr is not None else F.lit(False)
-        return F.when(k.isNull(), F.lit(None).cast("int")).when(
-            i == c["s"], F.when(is_p, F.lit(None).cast("int")).otherwise(c["o"])
-        ).otherwise(F.lit(-1))
-
-    align = F.transform(cover, head_align)
-    exact = F.transform(cover, lambda k: F.coalesce(F.try_element_at(enriched, k + 1)["ident"], F.lit(False)))
-    return align, exact
-
-
-# ------------------------------------------------------------------ A16, W2-W4
-
 def led_side(exact: Column) -> Column:
     """Share of tokens of one side that are not exactly matched (null for an empty side)."""
     n = F.size(exact)
@@ -173,28 +367,9 @@ def prepare_pairs(pairs: DataFrame, text1: str = "text1", text2: str = "text2",
     return materialize(pairs, {"t1": tokens(a), "t2": tokens(b)})  # read per span / index below
 
 
-def align_tokens(
-    pairs: DataFrame, alignments: DataFrame | None = None, key: str = "pair_id", text1: str = "text1",
-    text2: str = "text2", punct: str = "", lower: bool = False,
-) -> DataFrame:
-    """(key, t1, t2, a1, e1, a2, e2, x1, x2, dist): tokens, alignment and exactness by position (J5),
-    dense index over aligned heads (W2) and distortion (W3) of each pair."""
-    p = prepare_pairs(pairs, text1, text2, lower)
-    spans = alignments if alignments is not None else exact_align(p, key)
-    p = attach_alignment(p.select(key, "t1", "t2").repartition(key), spans, key)
-    t1, t2 = F.col("t1"), F.col("t2")
-    p = materialize(p, {"en1": enriched_spans(t1, t2, F.col("spans"), 1), "en2": enriched_spans(t2, t1, F.col("spans"), 2)})
-    p = by_position(p, {"cov1": (F.size(t1), span_positions(F.col("spans"), 1)), "cov2": (F.size(t2), span_positions(F.col("spans"), 2))})
-    a1, e1 = span_links(t1, F.col("cov1"), F.col("en1"), punct)
-    a2, e2 = span_links(t2, F.col("cov2"), F.col("en2"), punct)
-    p = materialize(p, {"a1": a1, "e1": e1, "a2": a2, "e2": e2}).select(key, "t1", "t2", "a1", "e1", "a2", "e2")
-    p = reindex_aligned(p, {"x1": "a1", "x2": "a2"})
-    return materialize(p, {"dist": distortion(F.col("a1"), F.col("x1"), F.col("x2"))})
-
-
 def lepod(
     pairs: DataFrame, alignments: DataFrame | None = None, key: str = "pair_id", text1: str = "text1",
-    text2: str = "text2", punct: str = "", lower: bool = False, detail: bool = False,
+    text2: str = "text2", punct: str = "", lower: bool = False, detail: bool = False, method: str = "occurrence",
 ) -> DataFrame:
     """Per-pair LeD and PoD.
 
@@ -202,11 +377,10 @@ def lepod(
     it the exact alignment (J6) is built.  Output: key, led, pod, valid, skipped (+ the
     detail columns of C7 when `detail`).  Invalid pairs (unequal aligned lengths, a head
     pointing at a non-head) get null scores and valid = false; a pair with an empty side
-    is skipped (null scores), as SURVEY §7.2 decides.  Each stage is stored once per row
-    (`materialize`), so the array work is n log n in the token and span counts.
+    is skipped (null scores), as SURVEY §7.2 decides.  `method` is J6's.
     """
-    p = align_tokens(pairs, alignments, key, text1, text2, punct, lower)
-    skipped = (F.size("t1") == 0) | (F.size("t2") == 0)
+    p = align_tokens(pairs, alignments, key, text1, text2, punct, lower, method, with_tokens=detail)
+    skipped = (F.size("e1") == 0) | (F.size("e2") == 0)
     n_heads = lambda c: F.size(F.filter(c, lambda r: r.isNotNull()))
     valid = (n_heads("x1") == n_heads("x2")) & ~F.exists("dist", lambda x: x.isNull())
     led = F.when(~skipped & valid, led_score(F.col("e1"), F.col("e2")))

@@ -572,6 +572,17 @@ def q_exact_align(spark, d):
     return L.exact_align(L.prepare_pairs(T.v_pairs(spark, d)))
 
 
+@register("exact_align_chunks")
+def q_exact_align_chunks(spark, d):
+    return L.exact_align(L.prepare_pairs(T.v_pairs(spark, d)), method="chunks")
+
+
+@register("lepod_report_chunks")
+def q_lepod_report_chunks(spark, d):
+    r = L.lepod_report(L.lepod(T.v_pairs(spark, d), method="chunks"))
+    return r.withColumns({c: r6(c) for c in ["led_mean", "led_min", "led_max", "pod_mean", "pod_min", "pod_max"]})
+
+
 @register("lepod_detail", "WITH " + _LEPOD_SQL + """,
 m1 AS (SELECT a.pair_id, string_agg(a.tok, ' ' ORDER BY a.pos1) FILTER (l.pos1 IS NOT NULL) AS mat1,
               string_agg(a.tok, ' ' ORDER BY a.pos1) FILTER (l.pos1 IS NULL) AS sub1
@@ -609,24 +620,26 @@ def q_expand_spans(spark, d):
 SELECT pair_id, 1 AS side, CAST(pos1 AS INTEGER) AS pos, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY pos1) - 1 AS INTEGER) AS idx FROM l
 UNION ALL SELECT pair_id, 2, CAST(pos2 AS INTEGER), CAST(row_number() OVER (PARTITION BY pair_id ORDER BY pos2) - 1 AS INTEGER) FROM l""", ["v_pairs"])
 def q_reindex_aligned(spark, d):
-    t = L.align_tokens(T.v_pairs(spark, d))
-    both = [t.select("pair_id", F.lit(k).alias("side"), F.posexplode(f"x{k}").alias("pos", "idx")) for k in (1, 2)]
+    t = L.align_tokens(T.v_pairs(spark, d), with_tokens=False)
+    t = L.reindex_aligned(t.select("pair_id", "a1", "a2"), {"i1": "a1", "i2": "a2"})
+    both = [t.select("pair_id", F.lit(k).alias("side"), F.posexplode(f"i{k}").alias("pos", "idx")) for k in (1, 2)]
     return both[0].unionByName(both[1]).filter("idx IS NOT NULL")
 
 
 @register("distortion", "WITH " + _LEPOD_SQL + "SELECT pair_id, CAST(c AS INTEGER) AS head, CAST(d AS INTEGER) AS d FROM cs", ["v_pairs"])
 def q_distortion(spark, d):
-    return L.align_tokens(T.v_pairs(spark, d)).select("pair_id", F.posexplode("dist").alias("head", "d"))
+    t = L.align_tokens(T.v_pairs(spark, d), with_tokens=False)
+    return t.select("pair_id", F.posexplode(L.distortion(F.col("a1"), F.col("x1"), F.col("x2"))).alias("head", "d"))
 
 
 @register("led_score", "WITH " + _LEPOD_SQL + "SELECT pair_id, round(led, 6) AS led FROM scored", ["v_pairs"])
 def q_led_score(spark, d):
-    return L.align_tokens(T.v_pairs(spark, d)).select("pair_id", r6(L.led_score(F.col("e1"), F.col("e2"))).alias("led"))
+    return L.align_tokens(T.v_pairs(spark, d), with_tokens=False).select("pair_id", r6(L.led_score(F.col("e1"), F.col("e2"))).alias("led"))
 
 
 @register("pod_score", "WITH " + _LEPOD_SQL + "SELECT pair_id, round(pod, 6) AS pod FROM scored", ["v_pairs"])
 def q_pod_score(spark, d):
-    return L.align_tokens(T.v_pairs(spark, d)).select("pair_id", r6(L.pod_score(F.col("dist"))).alias("pod"))
+    return L.align_tokens(T.v_pairs(spark, d), with_tokens=False).select("pair_id", r6(L.pod_score(F.col("dist"))).alias("pod"))
 
 
 # ---------------------------------------------------------------- files: round trips through a shared folder

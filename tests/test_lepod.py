@@ -1,4 +1,7 @@
 """LeD / PoD against the hand fixtures of FIXTURES.md §4."""
+import random
+from itertools import permutations, product
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +90,98 @@ def test_exact_alignment_distortions_sum_to_zero(spark):
     assert spans == {(0, 1), (1, 2), (2, 0), (3, 3)}
     r = L.lepod(pairs).first()
     assert r["valid"] and r["led"] == pytest.approx((0 / 4 + 1 / 5) / 2)
+
+
+def chunks_and_crossings(links):
+    links = sorted(links)
+    chunks = sum(k == 0 or links[k][0] != links[k - 1][0] + 1 or links[k][1] != links[k - 1][1] + 1 for k in range(len(links)))
+    return chunks, sum(a[1] > b[1] for k, a in enumerate(links) for b in links[k + 1 :])
+
+
+def maximal_matchings(left, right):
+    """Every matching of equal tokens that links as many of each token as there can be."""
+    per = []
+    for w in sorted(set(left) & set(right)):
+        a, b = ([i for i, x in enumerate(side) if x == w] for side in (left, right))
+        n = min(len(a), len(b))
+        per.append([list(zip(x, y)) for x in permutations(a, n) if list(x) == sorted(x) for y in permutations(b, n)])
+    for combo in product(*per):
+        yield [link for links in combo for link in links]
+
+
+def test_fewest_chunks_equals_brute_force():
+    rng = random.Random(11)
+    for k in range(400):
+        letters = "ab" if k % 4 == 0 else "abc" if k % 2 else "abcde"
+        left, right = ([rng.choice(letters) for _ in range(rng.randrange(0, 8 if letters != "ab" else 7))] for _ in range(2))
+        got = L.fewest_chunks(left, right)
+        assert all(left[i] == right[j] for i, j in got) and len({j for _, j in got}) == len(got) == len({i for i, _ in got})
+        best = min((chunks_and_crossings(m) for m in maximal_matchings(left, right)), default=(0, 0))
+        assert len(got) == sum(min(left.count(w), right.count(w)) for w in set(left)) and chunks_and_crossings(got) == best
+
+
+def test_fewest_chunks_of_long_sides():
+    words = [f"w{i % 50}" for i in range(2000)]
+    got = L.fewest_chunks(words, words[1000:] + words[:1000])
+    assert len(got) == 2000 and chunks_and_crossings(got)[0] <= 2
+    got = L.fewest_chunks(["a"] * 300, ["a"] * 200 + ["b"])
+    assert len(got) == 200 and chunks_and_crossings(got) == (1, 0)
+
+
+def test_chunk_alignment_lowers_pod(spark):
+    pairs = spark.createDataFrame([(1, "the dog saw the cat", "the cat saw the dog"), (2, "x the cat", "the the cat"), (3, "", "a"), (4, None, None)],
+                                  "pair_id long, text1 string, text2 string")
+    old = {r.pair_id: r for r in L.lepod(pairs).collect()}
+    new = {r.pair_id: r for r in L.lepod(pairs, method="chunks").collect()}
+    assert (old[2].pod, new[2].pod) == (0, 0) and old[2].led == new[2].led and new[1].led == 0
+    assert new[3].skipped and new[4].skipped and new[1].valid
+    spans = {(r.pair_id, r.start1, r.start2) for r in L.exact_align(L.prepare_pairs(pairs), method="chunks").collect()}
+    assert {(2, 1, 1), (2, 2, 2)} <= spans and (2, 1, 0) not in spans
+
+
+def slow_arrays(t1, t2, spans, punct):
+    """J5, W2 and W3 of one pair, token by token."""
+    a, e = [[None] * len(t) for t in (t1, t2)], [[False] * len(t) for t in (t1, t2)]
+    for s1, l1, s2, l2 in spans:
+        same = t1[s1 : s1 + l1] == t2[s2 : s2 + l2]
+        for k, (t, s, n, o) in enumerate(((t1, s1, l1, s2), (t2, s2, l2, s1))):
+            for p in range(s, min(s + n, len(t))):
+                a[k][p] = (None if t[p] in punct else o) if p == s else -1
+                e[k][p] = same
+    x = []
+    for k in range(2):
+        n, own = 0, []
+        for v in a[k]:
+            own.append(n if v is not None and v >= 0 else None)
+            n += own[-1] is not None
+        x.append(own)
+    dist = []
+    for i, v in zip(x[0], a[0]):
+        if i is not None:
+            other = x[1][v] if v < len(x[1]) else None
+            dist.append(None if other is None else other - i)
+    return a[0], e[0], a[1], e[1], x[0], x[1], dist
+
+
+def test_arrays_of_any_spans(spark):
+    """Overlapping, crossing and too long spans, with and without a punctuation set, many pairs in a block."""
+    rng = random.Random(12)
+    rows, spans = [], []
+    for i in range(150):
+        t1, t2 = ([rng.choice("ab,c") for _ in range(rng.randrange(0, 9))] for _ in range(2))
+        rows.append((i, " ".join(t1), "  ".join(t2)))
+        if t1 and t2:
+            for _ in range(rng.randrange(0, 5)):
+                spans.append((i, rng.randrange(len(t1)), rng.randrange(1, 4), rng.randrange(len(t2)), rng.randrange(1, 4)))
+    pairs = spark.createDataFrame(rows, "pair_id long, text1 string, text2 string").coalesce(1)
+    al = spark.createDataFrame(spans, "pair_id long, start1 int, len1 int, start2 int, len2 int").coalesce(1)
+    # the order of a pair's spans is the order of its block: read it back
+    from parallax.operators.joins import attach_alignment
+
+    order = {r.pair_id: [tuple(s) for s in r.spans] for r in attach_alignment(pairs, al).collect()}
+    for punct in ("", ",", ",a"):
+        for r in L.align_tokens(pairs, al, punct=punct).collect():
+            t1, t2 = rows[r.pair_id][1].split(), rows[r.pair_id][2].split()
+            want = slow_arrays(t1, t2, [(a, b, c, d) for a, b, c, d in order[r.pair_id]], set(punct))
+            assert (r.t1, r.t2) == (t1, t2)
+            assert (r.a1, r.e1, r.a2, r.e2, r.x1, r.x2, r.dist) == want, r.pair_id
