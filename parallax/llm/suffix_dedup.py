@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import bucket_count, column, column_bytes, mix, pack, rolling, row_slices, text_bytes, unpack, windows
 
-BUCKET_BYTES = 12 << 20  # text whose windows make up one bucket
+BUCKET_BYTES = 6 << 20  # text whose windows make up one bucket
 PIECE_BYTES = 1 << 19  # text whose windows are looked at together
 BLOCK_ANCHORS = 1 << 18  # anchors whose repeats are found before the shuffle
 SAMPLE_EACH = 16  # sampled suffixes for each bucket
