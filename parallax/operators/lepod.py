@@ -56,7 +56,7 @@ def _by_occurrence(one: _Side, two: _Side, n_codes: int):
     return at1[order], at2[order]
 
 
-BEAM = 256  # states that are followed
+SHORT, BEAM_SHORT, BEAM = 16, 256, 32  # states that are followed, for sides of up to SHORT tokens and beyond
 CANDIDATES = 8  # places that a state tries for a token; all of them, if it has no more
 
 
@@ -64,10 +64,11 @@ def fewest_chunks(left: list, right: list) -> list[tuple[int, int]]:
     """A matching of equal tokens with as many links as there can be, in as few chunks as can be (runs that
     are neighbours on both sides), then with as few crossings.
 
-    Dynamic programming from left to right over (places used, place of the link just before); of more than
-    BEAM states the best are followed, and a state tries CANDIDATES places of a token at most.  Up to sides
-    of seven tokens nothing is cut, and the result is exact.
+    Dynamic programming from left to right over (places used, place of the link just before); of too many
+    states the best are followed (a beam), and a state tries CANDIDATES places of a token at most.  Up to
+    sides of seven tokens nothing is cut, and the result is exact.
     """
+    beam = BEAM_SHORT if max(len(left), len(right)) <= SHORT else BEAM
     places: dict = {}
     for j, w in enumerate(right):
         places.setdefault(w, []).append(j)
@@ -78,8 +79,8 @@ def fewest_chunks(left: list, right: list) -> list[tuple[int, int]]:
     states: dict = {(0, -1): (0, 0, None)}
     for i, w in enumerate(left):
         ahead[w] -= 1
-        if len(states) > BEAM:
-            states = dict(sorted(states.items(), key=lambda kv: kv[1][:2])[:BEAM])
+        if len(states) > beam:
+            states = dict(sorted(states.items(), key=lambda kv: kv[1][:2])[:beam])
         nxt: dict = {}
         for (used, last), (chunks, crossings, links) in states.items():
             free = [j for j in places.get(w, ()) if not used >> j & 1]
