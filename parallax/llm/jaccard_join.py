@@ -10,14 +10,17 @@ last (the heaviest FREQUENT of them are known to all tasks; the order never chan
   them are candidates when they share a subset.
 * Heavy sets scan the inverted lists of their prefix shingles, in which light sets of fitting
   size are entered too.
+* An entry knows how many shingles its set can share if the key's are the first that it shares;
+  members that no size in their list fits leave it, so a passage that many documents hold, but that
+  is too short to link them, makes no candidates.
 * The boundary is the size at which enumerating subsets costs more than entering and scanning.
 
 Lists of two are candidate pairs.  In a longer list every member is compared with one centre of
 its size first; components of the verified links follow.  Members outside their list's largest
 component are compared with other centres of it in further rounds; in the last round those that
 are still outside are compared with all others of the list, so no link is lost, and a group of
-thousands of near copies costs a few comparisons each, not one for each pair.  A candidate whose shingle counts in 256 parts differ too much cannot link;
-all others are verified on the whole texts.
+thousands of near copies costs a few comparisons each, not one for each pair.  A candidate whose shingle counts by part differ too much cannot link; all
+others are verified on the whole texts.
 
 Null and empty texts, and texts without words, are empty sets and link with nothing (component:
 the document itself).  Repeated rows are equal sets.  A null doc_id never names a component unless
@@ -41,7 +44,7 @@ GATHER_BYTES = 1 << 24  # text in which a task counts shingles before it reports
 REPORT_AT = 5
 BUCKET_BYTES = 16 << 20
 HOT_LIST = 100_000  # lists known to be longer are never gathered in one task
-PARTS = 256
+PART_BITS, MOST_PART_BITS = 8, 13  # counts by 256 to 8 192 parts, by the size of a set
 LARGEST_BOUNDARY = 64
 ROUNDS = 4  # rounds of comparisons in lists that are still open; the last one compares all that is open
 NO_ID = -(1 << 63)  # stands for a null doc_id inside
@@ -71,11 +74,21 @@ def set_keys(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return mix(_sums(mix(flat + np.uint64(1)), offs)).astype(np.int64), mix(_sums(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), offs)).astype(np.int64)
 
 
-def _part_counts(flat: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Shingles of each set in each of PARTS parts, 255 at most."""
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    part = (flat >> np.uint64(56)).astype(np.int64)
-    return np.minimum(np.bincount(row * PARTS + part, minlength=(len(offs) - 1) * PARTS), 255).astype(np.uint8).reshape(-1, PARTS)
+def _part_counts(flat: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """Shingles of each set by part, 255 at most: 2**PART_BITS parts, more for larger sets: one for two to four shingles."""
+    out = []
+    for a, b in zip(offs[:-1], offs[1:]):
+        bits = min(max(int(b - a - 1).bit_length() - 1, PART_BITS), MOST_PART_BITS)
+        count = np.bincount((flat[a:b] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        out.append(np.minimum(count, 255).astype(np.uint8).tobytes())
+    return out
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """At least so many shingles are in one of two sets only: the difference of their counts by part."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int32) for v in (x, y))
+    n = min(len(a), len(b))  # parts are by leading bits, so neighbours make the parts of fewer bits
+    return int(np.abs(a.reshape(n, -1).sum(axis=1) - b.reshape(n, -1).sum(axis=1)).sum())
 
 
 def _chunks(batch):
@@ -110,7 +123,7 @@ def _facts(batches):
             parts = _part_counts(flat, offs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(hi - lo, np.int32)), batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offs)),
-                 pa.array(a), pa.array(b), pa.array([x.tobytes() for x in parts], pa.binary())],
+                 pa.array(a), pa.array(b), pa.array(parts, pa.binary())],
                 names=["kind", "doc_id", "n", "hi", "lo", "parts"])
             if len(flat):
                 first = np.unique(a, return_index=True)[1]  # equal sets count once
@@ -149,10 +162,14 @@ def choose_boundary(sizes: dict[int, int], list_length: float) -> int:
 
 
 def _enter(frequent, boundary: int, n_buckets: int):
-    """Texts -> packed list entries (key, set, n) by key bucket; bucket -1: entries of hot lists."""
+    """Texts -> packed list entries (key, set, n, most) by key bucket; bucket -1: entries of hot lists.
+
+    most: the largest size of a set that can link if the key holds the first shingles that both share.  Of a
+    set of n whose key ends at place p (from 0) at most n - p - 1 shingles follow, and a link with a set of
+    m needs 3 (n + m) / 7 shared ones."""
 
     def prefixes(flat, offs, rows, known):
-        """(row, keys) of every set; even keys are single shingles, odd keys 2-subsets."""
+        """(row, keys, shingles that can be shared) of every set; even keys are single shingles, odd keys 2-subsets."""
         names, ranks, seen = known
         heavy = seen[(flat & np.uint64(len(seen) - 1)).astype(np.int64)]
         at = np.flatnonzero(heavy)
@@ -174,12 +191,12 @@ def _enter(frequent, boundary: int, n_buckets: int):
             else:
                 s = flat[a : a + p + 1]
             if not small or LINK[1] * n >= LINK[0] * (boundary + 1):
-                yield r, mix(s[:p]) & ~np.uint64(1)
+                yield r, mix(s[:p]) & ~np.uint64(1), n - np.arange(len(s[:p]))
             if small:
-                s = np.sort(s[: p + 1])
+                s = s[: p + 1]
                 i, j = np.triu_indices(len(s), 1)
                 with np.errstate(over="ignore"):
-                    yield r, mix(s[i] * np.uint64(0x9E3779B97F4A7C15) + s[j]) | np.uint64(1)
+                    yield r, mix(s[i] * np.uint64(0x9E3779B97F4A7C15) + s[j]) | np.uint64(1), n - j + 1
 
     def run(batches):
         names, ranks, hot = frequent.value
@@ -188,7 +205,7 @@ def _enter(frequent, boundary: int, n_buckets: int):
         waiting, size = [], 0
 
         def sent():
-            key, owner, n = (np.concatenate([w[k] for w in waiting]) for k in range(3))
+            key, owner, n, most = (np.concatenate([w[k] for w in waiting]) for k in range(4))
             bucket = ((key >> np.uint64(1)) % np.uint64(n_buckets)).astype(np.int32)
             if len(hot):
                 place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
@@ -198,7 +215,7 @@ def _enter(frequent, boundary: int, n_buckets: int):
             rows = []
             for a, b in zip(cut[:-1], cut[1:]):
                 i = order[a:b]
-                rows.append((int(bucket[i[0]]), pack(key=key[i], owner=owner[i], n=n[i])))
+                rows.append((int(bucket[i[0]]), pack(key=key[i], owner=owner[i], n=n[i], most=most[i])))
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "payload"])
 
         for batch in batches:
@@ -207,8 +224,10 @@ def _enter(frequent, boundary: int, n_buckets: int):
                 a, _ = set_keys(flat, offs)
                 first = np.unique(a, return_index=True)[1]
                 rows = first[np.diff(offs)[first] > 2]  # sets of one or two link with equal sets only
-                for r, keys in prefixes(flat, offs, rows, (names, ranks, seen)):
-                    waiting.append((keys, np.full(len(keys), a[r]), np.full(len(keys), offs[r + 1] - offs[r], np.int32)))
+                for r, keys, shared in prefixes(flat, offs, rows, (names, ranks, seen)):
+                    n = int(offs[r + 1] - offs[r])
+                    most = (shared * (LINK[0] + LINK[1]) // LINK[0] - n).astype(np.int32)
+                    waiting.append((keys, np.full(len(keys), a[r]), np.full(len(keys), n, np.int32), most))
                     size += len(keys)
                 if size >= 1 << 20:
                     yield sent()
@@ -224,7 +243,17 @@ def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return LINK[1] * np.minimum(a, b) >= LINK[0] * np.maximum(a, b)
 
 
-LISTS = "kind int, a long, b long, n int"
+LISTS = "kind int, a long, b long, n int, most int"
+
+
+def can_link(begin: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of lists that begin at `begin`: the members that the sizes allow a partner in their list."""
+    if not len(begin):
+        return np.zeros(0, bool)
+    size = np.diff(np.append(begin, len(n)))
+    lowest = np.repeat(np.minimum.reduceat(n, begin), size)
+    highest = np.repeat(np.maximum.reduceat(most, begin), size)
+    return (lowest <= most) & (n <= highest)
 
 
 def _lists(boundary: int):
@@ -233,19 +262,23 @@ def _lists(boundary: int):
 
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(p) for p in table.column("payload")]
-        key, owner, n = (np.concatenate([column(p, c) for p in parts]) for c in ("key", "owner", "n"))
+        key, owner, n, most = (np.concatenate([column(p, c) for p in parts]) for c in ("key", "owner", "n", "most"))
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         order = order[np.append(same, False) | np.concatenate([[False], same])] if len(order) else order
         order = order[np.lexsort((owner[order], n[order], key[order]))]
-        key, owner, n = key[order], owner[order], n[order]
+        key, owner, n, most = key[order], owner[order], n[order], most[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])[: len(key)]
-        key, owner, n = key[new], owner[new], n[new]
+        key, owner, n, most = key[new], owner[new], n[new], most[new]
+        for _ in range(3):  # who leaves may leave others without a partner
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+            stay = can_link(begin, n, most)
+            key, owner, n, most = key[stay], owner[stay], n[stay], most[stay]
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
         size = np.diff(np.append(begin, len(key)))
         two = begin[size == 2]
         other = (n[two + 1] > boundary) | (key[two] & np.uint64(1) == 1)  # light pairs come from subsets
-        two = two[fits(n[two], n[two + 1]) & other]
+        two = two[fits(n[two], n[two + 1]) & other & (n[two] <= most[two + 1]) & (n[two + 1] <= most[two])]
         x, y = owner[two], owner[two + 1]
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
         many = size > 2
@@ -259,6 +292,7 @@ def _lists(boundary: int):
             "a": pa.array(np.concatenate([pairs[:, 0], np.repeat(name, s).astype(np.int64)])),
             "b": pa.array(np.concatenate([pairs[:, 1], owner[at]])),
             "n": pa.array(np.concatenate([np.zeros(len(pairs), np.int32), n[at]]), pa.int32()),
+            "most": pa.nulls(len(pairs) + len(at), pa.int32()),
         })
 
     return run
@@ -271,8 +305,9 @@ def _hot_entries(batches):
             p = unpack(payload)
             n = p.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(n, np.int32)), pa.array(column(p, "key").astype(np.int64)), pa.array(column(p, "owner")), pa.array(column(p, "n"), pa.int32())],
-                names=["kind", "a", "b", "n"])
+                [pa.array(np.ones(n, np.int32)), pa.array(column(p, "key").astype(np.int64)), pa.array(column(p, "owner")), pa.array(column(p, "n"), pa.int32()),
+                 pa.array(column(p, "most"), pa.int32())],
+                names=["kind", "a", "b", "n", "most"])
 
 
 def _near_parts(batches):
@@ -280,9 +315,8 @@ def _near_parts(batches):
     for batch in batches:
         if not len(batch):
             continue
-        parts = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for i in (4, 5)]
         n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-        apart = np.abs(parts[0] - parts[1]).sum(axis=1)
+        apart = np.array([_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())])
         keep = (n - apart) * (LINK[0] + LINK[1]) >= 2 * LINK[0] * n  # shared <= (n - apart) / 2
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
 
@@ -351,7 +385,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         entries = shared_table(entries, "entries")
     lists = entries.filter("bucket >= 0").repartition(n, "bucket").groupBy("bucket").applyInArrow(_lists(boundary), LISTS)
     if len(hot):
-        lists = lists.unionByName(entries.filter("bucket = -1").select("payload").mapInArrow(_hot_entries, LISTS))
+        hot_rows = entries.filter("bucket = -1").select("payload").mapInArrow(_hot_entries, LISTS)
+        range_ = hot_rows.groupBy("a").agg(F.min("n").alias("lowest"), F.max("most").alias("highest"))  # `can_link` for rows
+        hot_rows = hot_rows.join(F.broadcast(range_), "a").filter("lowest <= most AND n <= highest")  # a row for each hot list
+        lists = lists.unionByName(hot_rows.select("kind", "a", "b", "n", "most"))
     lists = shared_table(lists, "lists")
     pairs = lists.filter("kind = 0").select("a", "b").distinct()
     members = lists.filter("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("owner"), "n").distinct()
@@ -372,6 +409,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         more = _links(pairs, sets, texts)
         drop_shared(spark, open_)
         roots = _joined_roots(roots, more)
+        drop_shared(spark, more)
+    for table in (lists, members, texts, links, *([entries] if len(hot) else [])):
+        drop_shared(spark, table)
     return _with_components(rows, sets, roots)
 
 
