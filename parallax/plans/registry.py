@@ -338,25 +338,26 @@ def q_combine_domains(spark, d):
 # ---------------------------------------------------------------- joins
 
 def _zip_inputs(spark, d):
-    b = T.v_bitext(spark, d)
-    a = b.filter(X.n_tokens("src") > 12).select("pair_id", "src")
-    long_t = b.filter(X.n_tokens("tgt") > 20).select("pair_id", "tgt", F.col("pair_id").cast("int").alias("number"))
-    return a, long_t
+    """User turns and assistant turns, keyed by the assistant's place: some of each have no partner."""
+    c = T.table(spark, d, "conversations")
+    key = lambda more: (F.col("conv_id") * 2 * T.TURN_STRIDE + T._below(F.col("turn"), T.TURN_STRIDE, "turns of a conversation") + more).alias("pair_id")
+    a = c.filter("role = 'user'").select(key(1), F.col("text").alias("src"))
+    return a, c.filter("role = 'assistant'").select(key(0), F.col("text").alias("tgt"), F.col("turn").cast("int").alias("number"))
 
 
-_ZIP_A = f"(SELECT pair_id, src FROM v_bitext WHERE {nt('src')} > 12)"
-_ZIP_B = f"(SELECT pair_id, tgt, CAST(pair_id AS INTEGER) AS number FROM v_bitext WHERE {nt('tgt')} > 20)"
+_ZIP_A = "(SELECT conv_id * 2000 + turn + 1 AS pair_id, text AS src FROM conversations WHERE role = 'user')"
+_ZIP_B = "(SELECT conv_id * 2000 + turn AS pair_id, text AS tgt, CAST(turn AS INTEGER) AS number FROM conversations WHERE role = 'assistant')"
 
 
 @register("zip_lines_pad", f"""SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.src, '') AS src, coalesce(b.tgt, '') AS tgt, b.number
-FROM {_ZIP_A} a FULL OUTER JOIN {_ZIP_B} b ON a.pair_id = b.pair_id""", ["v_bitext"])
+FROM {_ZIP_A} a FULL OUTER JOIN {_ZIP_B} b ON a.pair_id = b.pair_id""")
 def q_zip_lines_pad(spark, d):
     a, b = _zip_inputs(spark, d)
     return J.zip_lines(a, b, "pad", key="pair_id")
 
 
 @register("zip_lines_truncate", f"""SELECT a.pair_id, a.src, b.tgt, b.number
-FROM {_ZIP_A} a JOIN {_ZIP_B} b ON a.pair_id = b.pair_id""", ["v_bitext"])
+FROM {_ZIP_A} a JOIN {_ZIP_B} b ON a.pair_id = b.pair_id""")
 def q_zip_lines_truncate(spark, d):
     a, b = _zip_inputs(spark, d)
     return J.zip_lines(a, b, "truncate", key="pair_id")
@@ -379,13 +380,13 @@ def q_attach_references(spark, d):
     return j.select("system", "seg_id", "hyp", F.array_join("refs", " ||| ").alias("refs"))
 
 
-@register("pair_outputs", """SELECT pair_id, src AS text1, tgt AS text2 FROM v_bitext""", ["v_bitext"])
+@register("pair_outputs", """SELECT a.system, a.seg_id, a.ref AS text1, b.ref AS text2 FROM v_refs a
+JOIN v_refs b ON b.system = a.system AND b.seg_id = a.seg_id AND b.ref_no = 1 WHERE a.ref_no = 0""", ["v_refs"])
 def q_pair_outputs(spark, d):
-    b = T.v_bitext(spark, d)
-    outputs = b.select("pair_id", F.lit("formal").alias("style"), F.col("src").alias("text")).unionByName(
-        b.select("pair_id", F.lit("informal").alias("style"), F.col("tgt").alias("text"))
-    )
-    return J.pair_outputs(outputs, ["pair_id"])
+    """Four texts for each segment, of which two styles are put side by side."""
+    _, refs = T.v_hyps_refs(spark, d)
+    style = F.element_at(F.array(*[F.lit(x) for x in ("formal", "informal", "other", "other")]), F.col("ref_no") + 1)
+    return J.pair_outputs(refs.select("system", "seg_id", style.alias("style"), F.col("ref").alias("text")), ["system", "seg_id"])
 
 
 @register("overlay_merge", """SELECT coalesce(l.doc_id, d.doc_id) AS doc_id,
@@ -699,11 +700,13 @@ def q_read_alignments(spark, d):
 
 
 @register("write_scored", "WITH " + _LEPOD_SQL + """
-SELECT printf('%.9f', led) || chr(9) || s.pair_id || chr(9) || trim(v.text1, ' ') || chr(9) || trim(v.text2, ' ') AS row
-FROM scored s JOIN v_pairs v ON v.pair_id = s.pair_id WHERE NOT regexp_matches(v.text1 || v.text2, '[\\r\\n]')""", ["v_pairs"])
+SELECT printf('%.9f', led) || chr(9) || s.pair_id || chr(9) || trim(regexp_replace(v.text1, '[\\r\\t]', ' ', 'g'), ' ') || chr(9)
+  || trim(regexp_replace(v.text2, '[\\r\\t]', ' ', 'g'), ' ') AS row
+FROM scored s JOIN v_pairs v ON v.pair_id = s.pair_id""", ["v_pairs"])
 def q_write_scored(spark, d):
     root = shared_folder(spark, "scored")
-    pairs = T.v_pairs(spark, d).filter(~F.concat("text1", "text2").rlike("[\r\n]"))
+    plain = {c: F.regexp_replace(c, "[\r\t]", " ") for c in ("text1", "text2")}  # as in _PLAIN
+    pairs = T.v_pairs(spark, d).withColumns(plain)
     IO.write_scored(L.lepod(pairs).join(pairs, "pair_id"), root, "led", digits=9)
     return IO.read_lines(spark, root).select(F.col("text").alias("row"))
 
@@ -712,17 +715,18 @@ def q_write_scored(spark, d):
 def q_append_metrics(spark, d):
     root = shared_folder(spark, "metrics")
     counts = T.table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    for run in (1, 2, 3):
-        IO.append_metrics(counts.select(F.lit(run).alias("run"), "source", "n"), root)
+    for run in (1, 2, 3, 2):  # the second run is made again
+        IO.append_metrics(counts.select(F.lit(run).alias("run"), "source", "n"), root, ["run"])
     return spark.read.parquet(root)
 
 
 @register("materialize_once", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def q_materialize_once(spark, d):
     root = shared_folder(spark, "stage")
-    counts = T.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    IO.materialize_once(spark, lambda: counts, root)
-    return IO.materialize_once(spark, lambda: counts.filter("false"), root)  # is there already: not built again
+    docs = T.table(spark, d, "documents")
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    IO.materialize_once(spark, lambda: counts, root, [docs])
+    return IO.materialize_once(spark, lambda: counts.filter("false"), root, [docs])  # is there already: not built again
 
 
 @register("alias_dataset", "SELECT lang, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang")
@@ -1053,6 +1057,28 @@ def q_subword_apply(spark, d):
     return SW.subword_apply(T.v_pool(spark, d).select("line_id", "text"), merges, "text", "line_id")
 
 
+_FIXED_MERGES = [("t", "h"), ("th", "e</w>"), ("i", "n"), ("e", "r"), ("o", "n"), ("er", "e"), ("t", "i"), ("ti", "on"), ("i", "on"), ("th", "in"), ("in", "g</w>"),
+                 ("d", "e</w>"), ("e", "n"), ("en", "t"), ("a", "n"), ("an", "d</w>"), ("q", "u"), ("qu", "e</w>"), ("s", "s"), ("u", "e"), ("l", "l"), ("re", "s")]
+
+
+def _fixed_sql(word: str) -> str:
+    """A word's symbols, each between two marks, with the merges applied one after the other."""
+    x = f"list_concat(list_transform(range(1, length({word})), lambda i: {word}[i]), [{word}[length({word})] || '</w>'])"
+    x = f"chr(1) || array_to_string({x}, chr(2) || chr(1)) || chr(2)"
+    for a, b in _FIXED_MERGES:
+        x = f"replace({x}, chr(1) || '{a}' || chr(2) || chr(1) || '{b}' || chr(2), chr(1) || '{a + b}' || chr(2))"
+    return f"replace(replace(replace(left({x}, length({x}) - 5), chr(2) || chr(1), '@@ '), chr(1), ''), chr(2), '')"
+
+
+@register("subword_apply_fixed", f"""WITH o AS (SELECT line_id, unnest({toks('text')}) AS w, unnest(range(len({toks('text')}))) AS i FROM v_pool),
+s AS (SELECT w, {_fixed_sql('w')} AS seg FROM (SELECT DISTINCT w FROM o)),
+j AS (SELECT line_id, string_agg(seg, ' ' ORDER BY i) AS text FROM o JOIN s USING (w) GROUP BY line_id)
+SELECT p.line_id, coalesce(j.text, '') AS text FROM v_pool p LEFT JOIN j USING (line_id)""", ["v_pool"])
+def q_subword_apply_fixed(spark, d):
+    merges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(_FIXED_MERGES, 1)], "rank int, left string, right string")
+    return SW.subword_apply(T.v_pool(spark, d).select("line_id", "text"), merges, "text", "line_id")
+
+
 @register("guarded_join", _CED_SQL + """,
 gj AS (SELECT xp.line_id, xp.n_words, xp.xent AS xent_pos, yp.xent AS xent_neg FROM xp JOIN yp
        ON yp.line_id = xp.line_id AND yp.n_words = xp.n_words)
