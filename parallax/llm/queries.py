@@ -277,7 +277,7 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: On the hex digits of the bytes, two for each.
 OP12_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
-win AS (SELECT doc_id, s, md5(substr(x, (2 * s + 1)::INT, 800)) AS h FROM d, unnest(range(n - 399)) AS t(s) WHERE n >= 400),
+win AS (SELECT doc_id, s, hash(substr(x, (2 * s + 1)::INT, 800)) AS h FROM d, unnest(range(n - 399)) AS t(s) WHERE n >= 400),
 rep AS (SELECT doc_id, s FROM win QUALIFY count(*) OVER (PARTITION BY h) > 1),
 run AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER w + 400 THEN 0 ELSE 1 END AS new FROM rep WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
 span AS (SELECT doc_id, min(s) AS b, max(s) + 400 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM run) GROUP BY doc_id, g),
