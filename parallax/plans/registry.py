@@ -919,6 +919,49 @@ def q_truecase_apply(spark, d):
     return V.truecase_apply(T.v_pool(spark, d).select("line_id", "text"), tc, "text", "line_id")
 
 
+# ---------------------------------------------------------------- abbreviations
+
+from ..operators import abbreviations as AB  # noqa: E402
+
+_ABBR_SQL = f"""o AS (SELECT lang, unnest(t[1:len(t) - 1]) AS w FROM (SELECT lang, {toks('text')} AS t FROM v_lines)),
+w AS (SELECT lang, lower(regexp_replace(w, '\\.$', '')) AS word, w LIKE '%.' AND w NOT LIKE '%..' AS p FROM o),
+c AS (SELECT lang, word, count_if(p) AS n_period, count_if(NOT p) AS n_plain FROM w WHERE regexp_matches(word, '^\\p{{L}}[\\p{{L}}.''\\-]*$') GROUP BY ALL),
+z AS (SELECT lang, sum(n_period) / sum(n_period + n_plain) AS p0 FROM c GROUP BY lang),
+l AS (SELECT c.*, length(replace(word, '.', ''))::DOUBLE AS letters, length(word)::DOUBLE AS size,
+  2 * (n_period * ln(0.99) + CASE WHEN n_plain = 0 THEN 0 ELSE n_plain * ln(1 - 0.99) END
+       - n_period * ln(p0) - CASE WHEN n_plain = 0 THEN 0 ELSE n_plain * ln(1 - p0) END) AS ratio FROM c JOIN z USING (lang) WHERE n_period >= 2),
+ab AS (SELECT lang, word, n_period, n_plain, ratio * exp(-letters) * (size - letters + 1) * pow(letters, -n_plain) AS score FROM l),
+abbr AS (SELECT * FROM ab WHERE score >= 0.3)
+"""
+
+
+@register("learn_abbreviations", "WITH " + _ABBR_SQL + "SELECT lang, word, n_period, n_plain, round(score, 6) AS score FROM abbr", ["v_lines"])
+def q_learn_abbreviations(spark, d):
+    return AB.learn_abbreviations(T.v_lines(spark, d)).withColumn("score", r6("score"))
+
+
+def _tokenized_sql(lang: str) -> str:
+    return "WITH " + _ABBR_SQL + f""", tk AS (SELECT line_id, {R.duckdb_chain('text', R.tokenize_rules(lang))} AS text FROM v_lines WHERE lang = '{lang}'),
+tw AS (SELECT line_id, unnest({toks('text')}) AS w, unnest(range(len({toks('text')}))) AS i FROM tk),
+ts AS (SELECT *, lower(regexp_replace(w, '\\.$', '')) AS stem FROM tw),
+tx AS (SELECT line_id, i, CASE WHEN w LIKE '%.' AND w NOT LIKE '%..' AND regexp_matches(stem, '^\\p{{L}}[\\p{{L}}.''\\-]*$') AND length(stem) > 1
+  AND stem NOT IN (SELECT word FROM abbr WHERE lang = '{lang}') THEN regexp_replace(w, '\\.$', '') || ' .' ELSE w END AS x FROM ts),
+ty AS (SELECT line_id, string_agg(x, ' ' ORDER BY i) AS text FROM tx GROUP BY line_id)
+SELECT tk.line_id, coalesce(ty.text, '') AS text FROM tk LEFT JOIN ty USING (line_id)"""
+
+
+def _tokenized(lang: str):
+    def q(spark, d):
+        ln = T.v_lines(spark, d)
+        return AB.tokenize_corpus(ln.filter(F.col("lang") == lang).select("line_id", "text"), AB.learn_abbreviations(ln), "text", lang)
+
+    return q
+
+
+for _lang in ("en", "de"):
+    register(f"tokenize_corpus_{_lang}", _tokenized_sql(_lang), ["v_lines"])(_tokenized(_lang))
+
+
 # ---------------------------------------------------------------- BLEU (A6, A7, A17), C9
 
 from ..operators import bleu as B  # noqa: E402
