@@ -15,8 +15,8 @@ last (the heaviest FREQUENT of them are known to all tasks; the order never chan
   is too short to link them, makes no candidates.
 * The boundary is the size at which enumerating subsets costs more than entering and scanning.
 
-Lists of two are candidate pairs.  In a longer list every member is compared with one centre of
-its size first; components of the verified links follow.  Members outside their list's largest
+Lists of two are candidate pairs.  A member of longer lists is compared with one centre of about its
+size first, the least by a hash of all that its lists have; components of the verified links follow.  Members outside their list's largest
 component are compared with other centres of it in further rounds; in the last round those that
 are still outside are compared with all others of the list, so no link is lost, and a group of
 thousands of near copies costs a few comparisons each, not one for each pair.  A candidate whose shingle counts by part differ too much cannot link; all
@@ -243,7 +243,34 @@ def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return LINK[1] * np.minimum(a, b) >= LINK[0] * np.maximum(a, b)
 
 
-LISTS = "kind int, a long, b long, n int, most int"
+LISTS = "kind int, a long, b long, n int, h long"
+WAYS = (0.0, 0.5)  # shifts of the two ways to cut sizes into classes whose ends have ratio 4 : 3
+
+
+def size_class(n: np.ndarray, shift: float) -> np.ndarray:
+    return np.floor(np.log(n.astype(float)) / np.log(LINK[1] / LINK[0]) + shift).astype(np.int64)
+
+
+def stars(where: np.ndarray, owner: np.ndarray, n: np.ndarray):
+    """(owner, centre, way, order) of the members of lists `where`: each member with one centre of about its size.  A
+    centre is the least of its list and size class by a hash, so lists mostly agree on it; of all the centres
+    that a member has in its lists it keeps the least, for each way."""
+    out = []
+    for way, shift in enumerate(WAYS):
+        order = mix(owner.astype(np.uint64) ^ mix(np.uint64(way + 1))) >> np.uint64(1)
+        cls = size_class(n, shift)
+        by = np.lexsort((order, cls, where))
+        new = np.ones(len(by), bool)
+        new[1:] = (where[by][1:] != where[by][:-1]) | (cls[by][1:] != cls[by][:-1])
+        centre = by[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(by) else by
+        keep = (owner[by] != owner[centre]) & fits(n[by], n[centre])
+        member, centre = by[keep], centre[keep]
+        least = np.lexsort((order[centre], owner[member]))
+        member, centre = member[least], centre[least]
+        first = np.ones(len(member), bool)
+        first[1:] = owner[member][1:] != owner[member][:-1]
+        out.append((owner[member[first]], owner[centre[first]], np.full(int(first.sum()), way, np.int32), order[centre[first]].astype(np.int64)))
+    return [np.concatenate(x) for x in zip(*out)]
 
 
 def can_link(begin: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -258,7 +285,8 @@ def can_link(begin: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
 
 def _lists(boundary: int):
     """A bucket of entries -> kind 0: candidate pairs (a, b) of lists of two; kind 1: the members b,
-    of n shingles, of the longer lists a, each list of the same members once."""
+    of n shingles, of the longer lists a, each list of the same members once; kind 2: a member a of
+    longer lists with its centre b by way n, whose order is h."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(p) for p in table.column("payload")]
@@ -287,12 +315,14 @@ def _lists(boundary: int):
         name, first = np.unique(name, return_index=True)
         b, s = begin[many][first], size[many][first]
         at = np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s) + np.repeat(b, s)
+        member, centre, way, rank = stars(np.repeat(np.arange(len(s)), s), owner[at], n[at])
+        none = np.zeros(len(pairs) + len(at), np.int64)
         return pa.table({
-            "kind": pa.array(np.repeat([0, 1], [len(pairs), len(at)]), pa.int32()),
-            "a": pa.array(np.concatenate([pairs[:, 0], np.repeat(name, s).astype(np.int64)])),
-            "b": pa.array(np.concatenate([pairs[:, 1], owner[at]])),
-            "n": pa.array(np.concatenate([np.zeros(len(pairs), np.int32), n[at]]), pa.int32()),
-            "most": pa.nulls(len(pairs) + len(at), pa.int32()),
+            "kind": pa.array(np.repeat([0, 1, 2], [len(pairs), len(at), len(member)]), pa.int32()),
+            "a": pa.array(np.concatenate([pairs[:, 0], np.repeat(name, s).astype(np.int64), member])),
+            "b": pa.array(np.concatenate([pairs[:, 1], owner[at], centre])),
+            "n": pa.array(np.concatenate([np.zeros(len(pairs), np.int32), n[at], way]), pa.int32()),
+            "h": pa.array(np.concatenate([none, rank])),
         })
 
     return run
@@ -306,8 +336,8 @@ def _hot_entries(batches):
             n = p.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.ones(n, np.int32)), pa.array(column(p, "key").astype(np.int64)), pa.array(column(p, "owner")), pa.array(column(p, "n"), pa.int32()),
-                 pa.array(column(p, "most"), pa.int32())],
-                names=["kind", "a", "b", "n", "most"])
+                 pa.array(column(p, "most"), pa.int64())],
+                names=["kind", "a", "b", "n", "h"])
 
 
 def _near_parts(batches):
@@ -386,11 +416,17 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     lists = entries.filter("bucket >= 0").repartition(n, "bucket").groupBy("bucket").applyInArrow(_lists(boundary), LISTS)
     if len(hot):
         hot_rows = entries.filter("bucket = -1").select("payload").mapInArrow(_hot_entries, LISTS)
-        range_ = hot_rows.groupBy("a").agg(F.min("n").alias("lowest"), F.max("most").alias("highest"))  # `can_link` for rows
-        hot_rows = hot_rows.join(F.broadcast(range_), "a").filter("lowest <= most AND n <= highest")  # a row for each hot list
-        lists = lists.unionByName(hot_rows.select("kind", "a", "b", "n", "most"))
+        range_ = hot_rows.groupBy("a").agg(F.min("n").alias("lowest"), F.max("h").alias("highest"))  # `can_link` for rows
+        hot_rows = hot_rows.join(F.broadcast(range_), "a").filter("lowest <= h AND n <= highest")  # a row for each hot list
+        hot_rows = shared_table(hot_rows.select("kind", "a", "b", "n", "h"), "hot")
+        lists = lists.unionByName(hot_rows)
     lists = shared_table(lists, "lists")
-    pairs = lists.filter("kind = 0").select("a", "b").distinct()
+    starred = lists.filter("kind = 2").groupBy("a", "n").agg(F.min(F.struct("h", "b")).alias("c")).select(*_pair("a", "c.b"))
+    pairs = lists.filter("kind = 0").select("a", "b").union(starred)
+    if len(hot):
+        hot_members = hot_rows.select(F.col("a").alias("list"), F.col("b").alias("owner"), "n").distinct()
+        pairs = pairs.union(_star_pairs(hot_members, hot_members, 0))
+    pairs = pairs.distinct()
     members = lists.filter("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("owner"), "n").distinct()
     members = shared_table(members, "members")
 
@@ -398,7 +434,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     wanted = owners.join(sets.select("hi", "rep"), "hi")
     texts = shared_table(keyed.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").select("hi", "text"), "texts")
 
-    links = _links(pairs.union(_star_pairs(members, members, 0)).distinct(), sets, texts)
+    links = _links(pairs, sets, texts)
     roots = components(links)
     for r in range(1, ROUNDS + 1):
         open_ = _open_members(members, roots)
@@ -410,7 +446,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         drop_shared(spark, open_)
         roots = _joined_roots(roots, more)
         drop_shared(spark, more)
-    for table in (lists, members, texts, links, *([entries] if len(hot) else [])):
+    for table in (lists, members, texts, links, *([entries, hot_rows] if len(hot) else [])):
         drop_shared(spark, table)
     return _with_components(rows, sets, roots)
 
@@ -426,6 +462,7 @@ def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _pair(x, y):
+    """The pair (a, b) of two columns, the smaller first."""
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
@@ -435,7 +472,7 @@ def _star_pairs(centres: DataFrame, members: DataFrame, seed: int) -> DataFrame:
     the same sets mostly agree on it."""
     size = F.log(F.col("n").cast("double")) / float(np.log(LINK[1] / LINK[0]))
     out = None
-    for k, shift in enumerate((0.0, 0.5)):
+    for k, shift in enumerate(WAYS):
         named = lambda df: df.withColumn("class", F.floor(size + shift))
         order = F.struct(F.xxhash64("owner", F.lit(2 * seed + k)), "owner", "n")
         centre = named(centres).groupBy("list", "class").agg(F.min(order).alias("c"))
