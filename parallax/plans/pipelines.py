@@ -9,15 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..caches import keep
+from ..caches import keep, stage
 from ..functions import text as X
 from ..operators import bleu as B
 from ..operators import filters as FL
+from ..operators import lepod as L
 from ..operators import lm as LM
 from ..operators import mix as M
 from ..operators import sequence as S
 from ..operators import subword as SW
 from ..operators import vocab as V
+from ..sources import io as IO
 
 
 def truecased(df: DataFrame, casing: DataFrame, col: str = "text", key: str = "line_no") -> DataFrame:
@@ -68,6 +70,27 @@ def prepare_bitext(bitext: DataFrame, seed: int = 0, lang: str = "en", src: str
     return FL.bitext_clean(t, ratio, unique=False, src=src, tgt=tgt)
 
 
+def write_ced(scored: DataFrame, path: str, score: str = "ced", tgt: str = "tgt", src: str = "src", key: str = "line_no", digits: int = 6) -> None:
+    """The selection pool in score order, as lines `score<TAB>target<TAB>source` (ties by `key`; rows without a
+    score are left out): what `ced_to_tag` reads in the reference.  Part files follow each other."""
+    text = lambda c: F.regexp_replace(F.col(c), "[\\r\\n\\t]", " ")
+    row = F.concat_ws("\t", F.format_string(f"%.{digits}f", F.col(score)), text(tgt), text(src))
+    IO.write_columns(scored.filter(F.col(score).isNotNull()).withColumn("_row", row), {"_row": path}, [score, key])
+
+
+def lepod_files(pairs: DataFrame, prefix: str, alignments: DataFrame | None = None, key: str = "pair_id", text1: str = "text1",
+                text2: str = "text2", digits: int = 3, **kw) -> DataFrame:
+    """C7 and S7 in one run: `<prefix>.led` and `<prefix>.pod` (score, key and both texts of each valid pair) and
+    `<prefix>.txt` (MAT and SUB tokens of both sides), written by one job in key order; returns the report (C8)."""
+    scored = stage(L.lepod(pairs, alignments, key, text1, text2, detail=True, **kw).join(pairs.select(key, text1, text2), key), "lepod")
+    raw = [F.trim(F.regexp_replace(F.col(c), "[\\r\\n\\t]", " ")) for c in (text1, text2)]
+    line = lambda c: F.format_string(f"%.{digits}f\t%s\t%s\t%s", F.col(c), F.col(key).cast("string"), *raw)
+    detail = F.concat_ws("\t", F.col(key).cast("string"), *[F.concat(f"mat{k}", F.lit(" | "), f"sub{k}") for k in (1, 2)])
+    rows = scored.filter("valid").select(key, line("led").alias("_led"), line("pod").alias("_pod"), detail.alias("_detail"))
+    IO.write_columns(rows, {"_led": f"{prefix}.led", "_pod": f"{prefix}.pod", "_detail": f"{prefix}.txt"}, [key])
+    return L.lepod_report(scored)
+
+
 def evaluate_outputs(hyps: DataFrame, refs: DataFrame, keys: list[str], tag: str, is_transfer: bool,
                      stat_keys: list[str] | None = None, hyp: str = "hyp", lower: bool | None = None,
                      ref: str = "ref", lang: str = "en"):

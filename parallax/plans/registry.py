@@ -1207,3 +1207,27 @@ def q_evaluate_outputs(spark, d):
 def q_prepare_training(spark, d):
     b = T.v_bitext(spark, d)
     return PL.prepare_training(b, T.v_pos(spark, d), N_MERGES, "formal", "informal", "tag", a="src", b="tgt", key="pair_id")
+
+
+@register("write_ced", "SELECT line_id, ced, position, row FROM (SELECT line_id, ced, CAST(row_number() OVER (ORDER BY ced, line_id) AS BIGINT) AS position, "
+          "printf('%.6f', ced) || chr(9) || regexp_replace(text, '[\\r\\t]', ' ', 'g') || chr(9) || line_id AS row FROM v_score)", ["v_score"])
+def q_write_ced(spark, d):
+    """Written in score order, and read back: the position of a line is its rank."""
+    root = shared_folder(spark, "ced")
+    PL.write_ced(T.v_score(spark, d).withColumn("src", F.col("line_id").cast("string")), root, tgt="text", key="line_id")
+    part = _part(IO.read_lines(spark, root)).select("part", "line_no", F.col("text").alias("row"))
+    fields = F.split("row", "\t")
+    out = S.with_position(part, "position", ["part", "line_no"])
+    return out.select(fields[2].cast("bigint").alias("line_id"), fields[0].cast("double").alias("ced"), "position", "row")
+
+
+@register("lepod_files", "WITH " + _LEPOD_SQL + """
+SELECT printf('%.9f', led) || chr(9) || s.pair_id AS led, printf('%.9f', pod) || chr(9) || s.pair_id AS pod, s.pair_id AS detail FROM scored s""", ["v_pairs"])
+def q_lepod_files(spark, d):
+    """The three files of one run, line by line beside each other."""
+    root = shared_folder(spark, "lepod-files")
+    PL.lepod_files(T.v_pairs(spark, d), f"{root}/score", digits=9)
+    files = [_part(IO.read_lines(spark, f"{root}/score.{x}")).select(F.concat_ws("|", "part", "line_no").alias("k"), F.col("text").alias(x)) for x in ("led", "pod", "txt")]
+    both = J.zip_lines(J.zip_lines(files[0], files[1], "strict", key="k"), files[2], "strict", key="k")
+    first = lambda c: F.array_join(F.slice(F.split(c, "\t"), 1, 2), "\t").alias(c)
+    return both.select(first("led"), first("pod"), F.split("txt", "\t")[0].cast("bigint").alias("detail"))
