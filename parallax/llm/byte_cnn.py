@@ -69,7 +69,10 @@ class ByteCNN:
         return np.lib.stride_tricks.as_strided(e, (len(x), len(PLACES), WIDTH * VECTOR), (s[0], s[1] * STRIDE, s[2]))
 
     def chunk_logits(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        p, out = self.p, []
+        p, out, n = self.p, [], len(x)
+        if keep is None and n % AT_ONCE:
+            # products of one shape only: their rounding depends on the shape, and a score must not depend on its batch
+            x = np.concatenate([x, np.zeros((AT_ONCE - n % AT_ONCE, x.shape[1]), x.dtype)])
         for a in range(0, len(x), AT_ONCE):
             win = np.ascontiguousarray(self.windows(x[a : a + AT_ONCE]))
             act = (win.reshape(-1, WIDTH * VECTOR) @ p["W"]).reshape(len(win), len(PLACES), FILTERS)
@@ -79,7 +82,7 @@ class ByteCNN:
             out.append(hidden @ p["v"] + p["c"])
             if keep is not None:
                 keep.setdefault("parts", []).append((x[a : a + AT_ONCE], win, act.argmax(axis=1), top, pooled, hidden))
-        return np.concatenate(out)
+        return np.concatenate(out)[:n] if out else np.zeros(0, np.float32)
 
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         x, row, weight = chunks_of(data, offs)
