@@ -257,7 +257,7 @@ def stars(where: np.ndarray, owner: np.ndarray, n: np.ndarray):
     that a member has in its lists it keeps the least, for each way."""
     out = []
     for way, shift in enumerate(WAYS):
-        order = mix(owner.astype(np.uint64) ^ mix(np.uint64(way + 1))) >> np.uint64(1)
+        order = mix(owner.astype(np.uint64) ^ mix(np.full(1, way + 1, np.uint64))) >> np.uint64(1)
         cls = size_class(n, shift)
         by = np.lexsort((order, cls, where))
         new = np.ones(len(by), bool)
