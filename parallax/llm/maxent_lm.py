@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from .common import LOWER, SPACE_WORDS, Words, bucket_count, column, column_bytes, mix, pack, row_slices, shared_table, text_bytes, unpack
 
 CLASSES, SLOTS, OWN = 32, 32, 512
-ROWS = 1 << 13  # rows of each weight table
+ROW_BITS = 13
+ROWS = 1 << ROW_BITS  # rows of each weight table
 PACK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
-ROUNDS, STEP, RATE = 1, 8192, 0.15
+ROUNDS, STEP, RATE = 1, 32768, 0.15
 BLOCKS = 64  # parts of the weight tables, averaged apart
 SMOOTH = 0.1
 END = np.uint64(0x0E4D5EED0E4D5EED)
@@ -186,16 +187,16 @@ class MaxEnt:
         """Weight rows of the features, for the class table or, by class, for the slot table."""
         mask = np.uint64(ROWS - 1)
         if group is None:
-            return [(f & mask).astype(np.uint16) for f in features]
+            return [(f & mask).astype(np.intp) for f in features]
         with np.errstate(over="ignore"):
             own = mix(group.astype(np.uint64) + np.uint64(77))
-            return [(((f >> np.uint64(20)) + own) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 13) & mask).astype(np.uint16) for f in features]
+            return [(((f >> np.uint64(20)) + own) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - ROW_BITS) & mask).astype(np.intp) for f in features]
 
     @staticmethod
     def softmax(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        z = table[rows[0]]
+        z = np.take(table, rows[0], axis=0)
         for r in rows[1:]:
-            z += table[r]
+            z += np.take(table, r, axis=0)
         z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
@@ -227,16 +228,13 @@ class MaxEnt:
                 table, rows = self.tables[k], self.rows(part, None if k == 0 else own // SLOTS)
                 g = self.softmax(table, rows)
                 g[at, target] -= 1
-                step = np.zeros_like(table)
-                for r in rows:
-                    order = np.argsort(r, kind="stable")
-                    sorted_rows = r[order]
-                    begin = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-                    row = sorted_rows[begin]
-                    step[row] += np.add.reduceat(g[order], begin, axis=0)
-                    used[k][row] += np.diff(np.append(begin, len(r))).astype(np.float32)
-                squares[k] += step * step
-                table -= RATE * step / np.sqrt(squares[k] + 1e-6)
+                every = np.concatenate(rows).astype(np.uint16)  # the rows of all features, below 2 ** 16
+                order = np.argsort(every, kind="stable")
+                row, begin = np.unique(every[order], return_index=True)
+                step = np.add.reduceat(np.take(g, order % len(own), axis=0), begin, axis=0)
+                used[k][row] += np.diff(np.append(begin, len(every))).astype(np.float32)
+                squares[k][row] += step * step
+                table[row] -= RATE * step / np.sqrt(squares[k][row] + 1e-6)
 
 
 def _learn(model, round_: int, rounds: int):
