@@ -1,16 +1,23 @@
 """Operator 4: language-model scoring with a hashed maximum-entropy model.
 
 Output words lie in CLASSES classes of SLOTS slots: the OWN most frequent words have a slot each,
-all other words are hashed to the remaining slots and share them by their counts.  So
-    P(w | h) = P(class | h) * P(slot | class, h) * P(w | slot),
-a class-factored softmax whose weights are hashed features of the history h: the word before, the
-two words before, and the word two places before (a skip).  The weight tables have a
-fixed size.
+all other words are hashed to the remaining slots and share them.  So
+    P(w | h) = P(class | h) * P(slot | class, h) * P(w | slot, word before),
+a class-factored softmax.  The weights of the first two factors are hashed features of the history
+h: the word before, the two words before, and the word two places before (a skip); their tables
+have a fixed size, as every task reads them.  The last factor has one weight for every pair of
+neighbouring words of the training part whose second word shares its slot, so it grows with the
+corpus:  P(w | s, v) = q(w) exp(x[v, w]) / Z(v, s), where q is the smoothed share of w in the slot
+by counts, x is 0 for pairs that training does not hold, and Z sums over all words of the slot.
 
 Texts become packs of word numbers in the shared folder.  Word counts are gathered over the whole
 training part and go back to the packs that hold the word.  Training runs in rounds: every task
 takes gradient steps on its packs from the same weights, and the changes are averaged by how
-often a task used a weight row; scoring works on sparse numpy batches of one pack.
+often a task used a weight row.  Pairs are counted in the packs and summed by the hash of (v, s),
+where their weights take scaled gradient steps on the penalised likelihood; what a pair adds to a
+score goes back to the packs that hold it.  The weight table of the pairs is never in one place.
+Pairs are named by 64 bits (36 of (v, s) beside its bucket, 28 of w): pairs of one name share a
+weight.  Scoring works on sparse numpy batches of one pack.
 
 Null and empty texts are one token, the end.  Repeated rows train and are scored one by one; a
 null doc_id is never held out.  An empty table, or one without training rows, gives scores of the
@@ -33,6 +40,9 @@ ROW_BITS = 13
 ROWS = 1 << ROW_BITS  # rows of each weight table
 PACK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
+PAIR_BUCKET_BYTES = 32 << 20
+WORD_BITS = 28  # of the name of a pair
+PENALTY, PAIR_STEPS = 0.25, 12  # of the squared weights of pairs; gradient steps
 ROUNDS, STEP, RATE = 1, 32768, 0.15
 BLOCKS = 64  # parts of the weight tables, averaged apart
 SMOOTH = 0.1
@@ -159,7 +169,7 @@ class MaxEnt:
     def __init__(self, own: np.ndarray, tables: list[np.ndarray] | None = None):
         self.order = np.argsort(own)
         self.own = own[self.order]
-        self.tables = tables or [np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, SLOTS), np.float32)]
+        self.tables = tables if tables is not None else [np.zeros((ROWS, CLASSES), np.float32), np.zeros((ROWS, SLOTS), np.float32)]
 
     def outputs(self, known: np.ndarray) -> np.ndarray:
         out = shared_slot(known)
@@ -290,26 +300,145 @@ def train(packs: DataFrame, own: np.ndarray, rounds: int = ROUNDS) -> MaxEnt:
     return net
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+class Slots:
+    """Tokens and words of the training part by shared output."""
+
+    def __init__(self, n: np.ndarray, words: np.ndarray):
+        self.n, self.words = n, words
+
+    def share(self, count: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Share of a word of `count` tokens; the words that training does not hold share one more."""
+        return (count + SMOOTH) / (self.n[slot] + SMOOTH * (self.words[slot] + 1))
+
+
+class Pairs:
+    """Distinct pairs (word before, word) of a pack whose word shares its slot, by bucket and name.
+
+    `at`: tokens of the pack that end a pair; `which`: the pair of each; `cut`: bounds of the buckets.
+    """
+
+    def __init__(self, p: Pack, slot: np.ndarray, n_buckets: int):
+        k = len(p.known)
+        before = np.zeros(len(p.token), np.int64)
+        before[1:] = p.token[:-1] + 1
+        before[np.cumsum(p.length) - p.length] = 0  # a document begins
+        self.at = np.flatnonzero(slot[p.token] >= OWN)
+        code, which = np.unique(before[self.at] * k + p.token[self.at], return_inverse=True)
+        word = code % k
+        with np.errstate(over="ignore"):
+            group = mix(mix(np.concatenate([[np.uint64(1)], p.known]))[code // k] * np.uint64(3) + slot[word].astype(np.uint64))
+            bucket = (mix(group + np.uint64(5)) % np.uint64(n_buckets)).astype(np.int64)
+        name = group >> np.uint64(WORD_BITS) << np.uint64(WORD_BITS) | mix(p.known[word]) >> np.uint64(64 - WORD_BITS)
+        order = np.lexsort((name, bucket))
+        self.name, self.word = name[order], word[order]
+        self.cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.which = place[which]
+
+    def parts(self):
+        return [(b, slice(x, y)) for b, (x, y) in enumerate(zip(self.cut[:-1], self.cut[1:])) if x < y]
+
+
+def _pack_counts(p: Pack, by_bucket: dict, n_buckets: int) -> np.ndarray:
+    """Training count of each known word of a pack, from the parts that came back."""
+    bucket = (p.known % np.uint64(n_buckets)).astype(np.int64)
+    count = np.zeros(len(p.known), np.int64)
+    count[np.argsort(bucket, kind="stable")] = np.concatenate([column(unpack(by_bucket[b]), "count") for b in np.unique(bucket)])
+    return count
+
 
+def _ask_pairs(own: np.ndarray, n_buckets: int, n_pairs: int):
+    """A pack and its counts -> (bucket, pack, payload): names of pairs, their training counts, and
+    count and slot of their words."""
 
-def _score(model, n_buckets: int):
     def run(packs: pa.Table, counts: pa.Table) -> pa.Table:
-        own, tables, total, distinct, slot_n, slot_words = model.value
-        net, out = MaxEnt(own, tables), []
+        net, rows = MaxEnt(own, []), []
         by_bucket = dict(zip(counts.column("bucket").to_pylist(), counts.column("payload")))
+        for number, payload, docs, known in zip(*(packs.column(c).to_pylist() for c in ("pack", "payload", "rows", "known"))):
+            p = Pack(payload, docs, known)
+            count, slot = _pack_counts(p, by_bucket, n_buckets), net.outputs(p.known)
+            pairs = Pairs(p, slot, n_pairs)
+            n = np.bincount(pairs.which, np.repeat(~p.held, p.length)[pairs.at], len(pairs.name)).astype(np.int64)
+            for b, x in pairs.parts():
+                name, word = pairs.name[x], pairs.word[x]
+                rows.append((b, number, pack(high=(name >> np.uint64(48)).astype(np.uint16), middle=(name >> np.uint64(32)).astype(np.uint16),
+                                             low=name.astype(np.uint32), n=n[x], count=count[word], slot=slot[word].astype(np.uint16))))
+        bucket, number, payload = zip(*rows) if rows else ((), (), ())
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "pack": pa.array(number, pa.int64()), "payload": pa.array(payload, pa.binary())})
+
+    return run
+
+
+def fit_pairs(begin: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """log P(w | s, v) - log q(w) of each pair; `begin` is the first pair of each group (v, s).
+
+    The weights x of pairs with n > 0 climb sum(n * log P) - PENALTY / 2 * sum(x * x): the gradient is
+    n - N * P - PENALTY * x, N the tokens of the group.  Its derivative is a diagonal D less N * P P',
+    so each step solves for the whole group with two sums.
+    """
+    if not len(n):
+        return np.zeros(0)
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(n))))
+    seen = np.flatnonzero(n)
+    own, count, share = group[seen], n[seen], q[seen]
+    total = np.bincount(own, count, len(begin))[own]
+    x = np.zeros(len(seen))
+    z = lambda: 1 + np.bincount(own, share * np.expm1(x), len(begin))
+    for _ in range(PAIR_STEPS):
+        p = share * np.exp(x) / z()[own]
+        d = total * p + PENALTY
+        slope = (count - total * p - PENALTY * x) / d
+        along, left = np.bincount(own, p * slope, len(begin)), 1 - np.bincount(own, total * p * p / d, len(begin))
+        x += np.clip(slope + total * p / d * (along / np.maximum(left, 1e-9))[own], -2, 2)
+    gain = -np.log(z())[group]
+    gain[seen] += x
+    return gain
+
+
+def _sum_pairs(slots):
+    """The parts of a bucket -> gains (log10) of their pairs, for each pack."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [unpack(p) for p in table.column("payload")]
+        get = lambda c: np.concatenate([column(p, c) for p in parts])
+        name = get("high").astype(np.uint64) << np.uint64(48) | get("middle").astype(np.uint64) << np.uint64(32) | get("low").astype(np.uint64)
+        name, first, which = np.unique(name, return_index=True, return_inverse=True)
+        n = np.bincount(which, get("n"), len(name))
+        q = slots.value.share(get("count")[first], get("slot")[first])
+        group = name >> np.uint64(WORD_BITS)
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        gain = (fit_pairs(begin, n, q) / np.log(10)).astype(np.float32)
+        cut = np.cumsum([0] + [p.num_rows for p in parts])
+        return pa.table({"kind": pa.array([3] * len(parts), pa.int32()), "pack": table.column("pack"), "bucket": table.column("bucket"),
+                         "payload": pa.array([pack(gain=gain[which[a:b]]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+
+    return run
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(model, slots, n_buckets: int, n_pairs: int):
+    def run(packs: pa.Table, back: pa.Table) -> pa.Table:
+        own, tables, total, distinct = model.value
+        net, out = MaxEnt(own, tables), []
+        counts, gains = {}, {}
+        for kind, bucket, payload in zip(back.column("kind").to_pylist(), back.column("bucket").to_pylist(), back.column("payload")):
+            (gains if kind else counts)[bucket] = payload
         for payload, rows, known in zip(*(packs.column(c).to_pylist() for c in ("payload", "rows", "known"))):
             p = Pack(payload, rows, known)
-            bucket = (p.known % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            count = np.zeros(len(p.known), np.int64)
-            count[order] = np.concatenate([column(unpack(by_bucket[b]), "count") for b in np.unique(bucket)])
+            count = _pack_counts(p, counts, n_buckets)
             base = np.log10((count + SMOOTH) / (total + SMOOTH * (distinct + 1)))
             slot = net.outputs(p.known)
-            share = np.where(slot < OWN, 0.0, np.log10((count + SMOOTH) / (slot_n[slot] + SMOOTH * (slot_words[slot] + 1))))
+            share = np.where(slot < OWN, 0.0, np.log10(slots.value.share(count, slot)))
             begin = np.cumsum(p.length) - p.length
             sums = lambda x: np.add.reduceat(x, begin)
             score = net.log10(p.token, p.length, p.known) + share[p.token]
+            pairs = Pairs(p, slot, n_pairs)
+            if len(pairs.name):
+                gain = np.concatenate([column(unpack(gains[b]), "gain") for b, _ in pairs.parts()])
+                score[pairs.at] += gain[pairs.which]
             out.append(pa.table({
                 "doc_id": pa.array(p.ids, pa.int64()), "held_out": pa.array(p.held), "n_tokens": pa.array(p.length),
                 "n_known": pa.array(sums((count > 0).astype(np.int64)[p.token])), "train_tokens": pa.array(np.full(len(p.ids), total, np.int64)),
@@ -341,6 +470,11 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         slot_words[h] -= 1
 
     net = train(packs, own, rounds)
-    model = spark.sparkContext.broadcast((own, net.tables, total, distinct, slot_n, slot_words))
-    back = counts.filter("kind = 0").select("pack", "bucket", "payload")
-    return packs.groupBy("pack").cogroup(back.groupBy("pack")).applyInArrow(_score(model, n), SCORES)
+    model = spark.sparkContext.broadcast((own, net.tables, total, distinct))
+    slots = spark.sparkContext.broadcast(Slots(slot_n, slot_words))
+    n_pairs = bucket_count(spark, text_bytes(docs), PAIR_BUCKET_BYTES)
+    back = counts.filter("kind = 0").select("kind", "pack", "bucket", "payload")
+    asked = packs.groupBy("pack").cogroup(back.groupBy("pack")).applyInArrow(_ask_pairs(own, n, n_pairs), "bucket int, pack long, payload binary")
+    gains = asked.repartition(n_pairs, "bucket").groupBy("bucket").applyInArrow(_sum_pairs(slots), "kind int, pack long, bucket int, payload binary")
+    back = back.unionByName(gains)
+    return packs.groupBy("pack").cogroup(back.groupBy("pack")).applyInArrow(_score(model, slots, n, n_pairs), SCORES)
