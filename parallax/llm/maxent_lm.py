@@ -16,8 +16,8 @@ takes gradient steps on its packs from the same weights, and the changes are ave
 often a task used a weight row.  Pairs are counted in the packs and summed by the hash of (v, s),
 where their weights take scaled gradient steps on the penalised likelihood; what a pair adds to a
 score goes back to the packs that hold it.  The weight table of the pairs is never in one place.
-Pairs are named by 64 bits (36 of (v, s) beside its bucket, 28 of w): pairs of one name share a
-weight.  Scoring works on sparse numpy batches of one pack.
+Pairs are named by 64 bits (s, 27 bits of v and s beside their bucket, 28 of w): pairs of one name
+share a weight.  Scoring works on sparse numpy batches of one pack.
 
 Null and empty texts are one token, the end.  Repeated rows train and are scored one by one; a
 null doc_id is never held out.  An empty table, or one without training rows, gives scores of the
@@ -41,7 +41,7 @@ ROWS = 1 << ROW_BITS  # rows of each weight table
 PACK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
 PAIR_BUCKET_BYTES = 32 << 20
-WORD_BITS = 28  # of the name of a pair
+SLOT_BITS, WORD_BITS = 55, 28  # places of the slot, and bits of the word, in the name of a pair
 PENALTY, PAIR_STEPS = 0.25, 12  # of the squared weights of pairs; gradient steps
 ROUNDS, STEP, RATE = 1, 32768, 0.15
 BLOCKS = 64  # parts of the weight tables, averaged apart
@@ -328,7 +328,8 @@ class Pairs:
         with np.errstate(over="ignore"):
             group = mix(mix(np.concatenate([[np.uint64(1)], p.known]))[code // k] * np.uint64(3) + slot[word].astype(np.uint64))
             bucket = (mix(group + np.uint64(5)) % np.uint64(n_buckets)).astype(np.int64)
-        name = group >> np.uint64(WORD_BITS) << np.uint64(WORD_BITS) | mix(p.known[word]) >> np.uint64(64 - WORD_BITS)
+        name = (slot[word] - OWN).astype(np.uint64) << np.uint64(SLOT_BITS)
+        name |= group >> np.uint64(64 - SLOT_BITS + WORD_BITS) << np.uint64(WORD_BITS) | mix(p.known[word]) >> np.uint64(64 - WORD_BITS)
         order = np.lexsort((name, bucket))
         self.name, self.word = name[order], word[order]
         self.cut = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -350,7 +351,7 @@ def _pack_counts(p: Pack, by_bucket: dict, n_buckets: int) -> np.ndarray:
 
 def _ask_pairs(own: np.ndarray, n_buckets: int, n_pairs: int):
     """A pack and its counts -> (bucket, pack, payload): names of pairs, their training counts, and
-    count and slot of their words."""
+    the counts of their words."""
 
     def run(packs: pa.Table, counts: pa.Table) -> pa.Table:
         net, rows = MaxEnt(own, []), []
@@ -363,13 +364,18 @@ def _ask_pairs(own: np.ndarray, n_buckets: int, n_pairs: int):
             for b, x in pairs.parts():
                 name, word = pairs.name[x], pairs.word[x]
                 rows.append((b, number, pack(high=(name >> np.uint64(48)).astype(np.uint16), middle=(name >> np.uint64(32)).astype(np.uint16),
-                                             low=name.astype(np.uint32), n=n[x], count=count[word], slot=slot[word].astype(np.uint16))))
+                                             low=name.astype(np.uint32), n=narrow(n[x]), count=narrow(count[word]))))
         bucket, number, payload = zip(*rows) if rows else ((), (), ())
         return pa.table({"bucket": pa.array(bucket, pa.int32()), "pack": pa.array(number, pa.int64()), "payload": pa.array(payload, pa.binary())})
 
     return run
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest type that holds them all."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def fit_pairs(begin: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
     """log P(w | s, v) - log q(w) of each pair; `begin` is the first pair of each group (v, s).
 
@@ -405,7 +411,7 @@ def _sum_pairs(slots):
         name = get("high").astype(np.uint64) << np.uint64(48) | get("middle").astype(np.uint64) << np.uint64(32) | get("low").astype(np.uint64)
         name, first, which = np.unique(name, return_index=True, return_inverse=True)
         n = np.bincount(which, get("n"), len(name))
-        q = slots.value.share(get("count")[first], get("slot")[first])
+        q = slots.value.share(get("count")[first], OWN + (name >> np.uint64(SLOT_BITS)).astype(np.int64))
         group = name >> np.uint64(WORD_BITS)
         begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         gain = (fit_pairs(begin, n, q) / np.log(10)).astype(np.float32)
