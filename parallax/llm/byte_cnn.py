@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, pack, row_slices, unpack
+from .common import apart, column_bytes, pack, row_slices, unpack
 
 CHUNK, OVERLAP, WIDTH, STRIDE = 512, 32, 8, 4
 VECTOR, FILTERS, HIDDEN = 4, 32, 16
@@ -160,9 +160,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: in
 
 
 def score_quality(docs: DataFrame, model: ByteCNN | None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, carry..., score) of each row."""
+    """(doc_id, carry..., score) of each row; a carried column that is named doc_id or score comes
+    back as <name>_carried."""
+    docs, carry = apart(docs, carry, ("doc_id", "score"))
     given = docs.sparkSession.sparkContext.broadcast(model.to_bytes() if model else None)
-    own = docs.select(*dict.fromkeys(["doc_id", "text", *carry]))
+    own = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(["doc_id", "text", *carry])])
     names = ["doc_id", *carry]
 
     def run(batches):

@@ -193,3 +193,21 @@ def drop_shared(spark: SparkSession, df: DataFrame) -> None:
 def with_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns of docs; extra columns, whatever their names, are left out."""
     return docs.select(*[F.col(f"`{n}`") for n in names])
+
+
+def apart(docs: DataFrame, carry: tuple[str, ...], taken: tuple[str, ...]) -> tuple[DataFrame, tuple[str, ...]]:
+    """(docs, names) with every column of `carry` once; one that is named like a column in `taken`,
+    whatever the case of its letters, is called <name>_carried."""
+    used = {t.lower() for t in taken} | {c.lower() for c in carry}
+    names: dict[str, str] = {}
+    for c in dict.fromkeys(carry):
+        new = c
+        if c.lower() in {t.lower() for t in taken}:
+            while new.lower() in used:
+                new += "_carried"
+            used.add(new.lower())
+        names[c] = new
+    if all(c == new for c, new in names.items()):
+        return docs, tuple(names)
+    own = {n: F.col(f"`{n}`") for n in ("doc_id", "text")}
+    return docs.select(*[c.alias(n) for n, c in (own | {new: F.col(f"`{c}`") for c, new in names.items()}).items()]), tuple(names.values())

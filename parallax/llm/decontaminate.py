@@ -13,7 +13,8 @@ benchmark takes several passes, whose spans are put together for each document.
 Null and empty texts have no words and hold nothing; an item without words has no window; an item
 shorter than a window is one window.  Items that share an item_id count as one, a null item_id as
 the empty string.  Repeated documents are searched one by one.  Only doc_id, text, the columns in
-`carry`, item_id and the items' text are read.
+`carry`, item_id and the items' text are read; a carried column that is named like one of the
+result or of HELPERS comes back as <name>_carried.
 """
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, LOWER, Words, column_bytes, rolling, row_slices, text_bytes, windows
+from .common import ALNUM_WORDS, LOWER, Words, apart, column_bytes, rolling, row_slices, text_bytes, windows
 
 SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 4 << 20
@@ -235,6 +236,7 @@ def _search(bench, names: list[str], only_hits: bool, clean: bool):
     return run
 
 
+HELPERS = ("text", "text_key", "found_id", "found_key")
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<begin: long, end: long>>"
 
 
@@ -243,7 +245,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 10, carry: tup
     """(doc_id, carry..., n_words, n_hit, items, spans[, kept]): `items` are the item_ids, sorted as
     strings, of which a window occurs; `kept` (with `clean`) is the text without the spans."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    docs, carry = apart(docs, carry, ("doc_id", "n_words", "n_hit", "items", "spans", "kept", *HELPERS))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`") for c in carry])
     names = ["doc_id", *carry]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()

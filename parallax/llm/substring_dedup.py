@@ -13,7 +13,8 @@ A null text has no words, like an empty one; a text shorter than a window is kep
 doc_id counts as the smallest id.  doc_id is the key: rows that repeat a doc_id and text get the
 same result, and do not count as earlier than each other; where rows share a doc_id but not the
 text, an interval found in one of them is cut in each.  Only doc_id, text and the columns named in
-`carry` are read.
+`carry` are read; a carried column that is named like one of the result, or text, comes back as
+<name>_carried.
 """
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (SPACE_WORDS, Words, bucket_count, column, column_bytes, mix, pack, rolling, row_slices,
+from .common import (SPACE_WORDS, Words, apart, bucket_count, column, column_bytes, mix, pack, rolling, row_slices,
                      text_bytes, unpack, windows)
 
 BLOCK_WINDOWS = 1 << 20  # windows whose repeats are found before the shuffle
@@ -239,8 +240,9 @@ def substring_dedup(docs: DataFrame, k: int = 20, carry: tuple[str, ...] = (), j
     a repeated window of k words covers; with `joined` its words stand one space apart, else the
     white space between kept words is as it was."""
     spark = docs.sparkSession
+    docs, carry = apart(docs, carry, ("doc_id", "text", "n_words", "n_removed", "spans", "kept"))
     names = ["doc_id", "text", *carry]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`") for c in carry])
     n = bucket_count(spark, text_bytes(docs), BUCKET_BYTES)
     candidates = docs.select("doc_id", "text").mapInArrow(_hash_windows(k, n), "bucket int, doc_bucket int, payload binary")
     reports = candidates.repartition(n, "bucket").groupBy("bucket").applyInArrow(_find_repeats(n), "bucket int, payload binary")
