@@ -14,6 +14,10 @@ last (the heaviest FREQUENT of them are known to all tasks; the order never chan
   members that no size in their list fits leave it, so a passage that many documents hold, but that
   is too short to link them, makes no candidates.
 * The boundary is the size at which enumerating subsets costs more than entering and scanning.
+* A shingle whose list has more than LONG members is a repeated one.  The members of such lists enter
+  once more by an order that has repeated shingles (a bitmap of fixed size) behind all others but the
+  FREQUENT ones; lists of passages that do not make up most of a set are gone then, and what is left
+  are short lists and groups of sets that consist of repeated text.
 
 Lists of two are candidate pairs.  A member of longer lists is compared with one centre of about its
 size first, the least by a hash of all that its lists have; components of the verified links follow.  Members outside their list's largest
@@ -43,9 +47,13 @@ FREQUENT = 1 << 16  # shingles known as frequent; a bounded table, sent to all t
 GATHER_BYTES = 1 << 24  # text in which a task counts shingles before it reports the frequent ones
 REPORT_AT = 5
 BUCKET_BYTES = 16 << 20
+LONG = 16  # members of longer lists enter again, with the shingle of the list behind others
+BITMAP_BITS = 25  # repeated shingles are known by a bitmap of so many bits (log2); others with the same bit count as repeated
 HOT_LIST = 100_000  # lists known to be longer are never gathered in one task
 PART_BITS, MOST_PART_BITS = 8, 13  # counts by 256 to 8 192 parts, by the size of a set
 LARGEST_BOUNDARY = 64
+CENTRES = 4  # centres of a list's size class in each of these rounds
+BLOCK = 64  # members of a list that are compared with as many others in one task
 ROUNDS = 4  # rounds of comparisons in lists that are still open; the last one compares all that is open
 NO_ID = -(1 << 63)  # stands for a null doc_id inside
 
@@ -170,14 +178,17 @@ def _enter(frequent, boundary: int, n_buckets: int):
 
     def prefixes(flat, offs, rows, known):
         """(row, keys, shingles that can be shared) of every set; even keys are single shingles, odd keys 2-subsets."""
-        names, ranks, seen = known
+        names, ranks, seen, repeated = known
         heavy = seen[(flat & np.uint64(len(seen) - 1)).astype(np.int64)]
         at = np.flatnonzero(heavy)
         place = np.minimum(np.searchsorted(names, flat[at]), max(len(names) - 1, 0))
         rank = np.full(len(flat), -1, np.int64)
+        if repeated is not None:
+            bit = (mix(flat) >> np.uint64(1)) & np.uint64((1 << BITMAP_BITS) - 1)
+            rank[(repeated[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1] = 0
         if len(names):
             true = names[place] == flat[at]
-            rank[at[true]] = ranks[place[true]]
+            rank[at[true]] = ranks[place[true]] + 1
         heavy = rank >= 0
         has_heavy = np.add.reduceat(np.append(heavy, False).astype(np.int64), np.minimum(offs[:-1], len(flat))) * (np.diff(offs) > 0)
         for r in rows:
@@ -199,7 +210,7 @@ def _enter(frequent, boundary: int, n_buckets: int):
                     yield r, mix(s[i] * np.uint64(0x9E3779B97F4A7C15) + s[j]) | np.uint64(1), n - j + 1
 
     def run(batches):
-        names, ranks, hot = frequent.value
+        names, ranks, hot, repeated = frequent.value
         seen = np.zeros(1 << 20, bool)
         seen[(names & np.uint64(len(seen) - 1)).astype(np.int64)] = True
         waiting, size = [], 0
@@ -224,7 +235,7 @@ def _enter(frequent, boundary: int, n_buckets: int):
                 a, _ = set_keys(flat, offs)
                 first = np.unique(a, return_index=True)[1]
                 rows = first[np.diff(offs)[first] > 2]  # sets of one or two link with equal sets only
-                for r, keys, shared in prefixes(flat, offs, rows, (names, ranks, seen)):
+                for r, keys, shared in prefixes(flat, offs, rows, (names, ranks, seen, repeated)):
                     n = int(offs[r + 1] - offs[r])
                     most = (shared * (LINK[0] + LINK[1]) // LINK[0] - n).astype(np.int32)
                     waiting.append((keys, np.full(len(keys), a[r]), np.full(len(keys), n, np.int32), most))
@@ -243,6 +254,12 @@ def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return LINK[1] * np.minimum(a, b) >= LINK[0] * np.maximum(a, b)
 
 
+ENTRIES = "bucket int, payload binary"
+def may_link(n: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sets of n shingles together, `apart` or more of them in one set only, can link."""
+    return (n - apart) * (LINK[0] + LINK[1]) >= 2 * LINK[0] * n  # shared <= (n - apart) / 2
+
+
 LISTS = "kind int, a long, b long, n int, h long"
 WAYS = (0.0, 0.5)  # shifts of the two ways to cut sizes into classes whose ends have ratio 4 : 3
 
@@ -283,10 +300,11 @@ def can_link(begin: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
     return (lowest <= most) & (n <= highest)
 
 
-def _lists(boundary: int):
+def _lists(boundary: int, longest: int | None = None):
     """A bucket of entries -> kind 0: candidate pairs (a, b) of lists of two; kind 1: the members b,
     of n shingles, of the longer lists a, each list of the same members once; kind 2: a member a of
-    longer lists with its centre b by way n, whose order is h."""
+    longer lists with its centre b by way n, whose order is h.  Lists of one shingle with more than
+    `longest` members come as kind 3: their key a; kind 4: a member a of any of them."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(p) for p in table.column("payload")]
@@ -310,19 +328,25 @@ def _lists(boundary: int):
         x, y = owner[two], owner[two + 1]
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
         many = size > 2
+        single = key[begin] & np.uint64(1) == 0
+        long = single & (size > longest) if longest else np.zeros(len(size), bool)
         with np.errstate(over="ignore"):
             name = _sums(mix(owner.astype(np.uint64)), np.append(begin, len(key)))[many]
+        keys = key[begin][long].astype(np.int64)
         name, first = np.unique(name, return_index=True)
-        b, s = begin[many][first], size[many][first]
+        b, s, again = begin[many][first], size[many][first], long[many][first]
         at = np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s) + np.repeat(b, s)
         member, centre, way, rank = stars(np.repeat(np.arange(len(s)), s), owner[at], n[at])
-        none = np.zeros(len(pairs) + len(at), np.int64)
+        again, name = np.repeat(again, s), np.repeat(name, s)
+        more = np.unique(owner[at][again])
+        at, name = at[~again], name[~again]
+        none = lambda *parts: np.zeros(sum(map(len, parts)), np.int64)
         return pa.table({
-            "kind": pa.array(np.repeat([0, 1, 2], [len(pairs), len(at), len(member)]), pa.int32()),
-            "a": pa.array(np.concatenate([pairs[:, 0], np.repeat(name, s).astype(np.int64), member])),
-            "b": pa.array(np.concatenate([pairs[:, 1], owner[at], centre])),
-            "n": pa.array(np.concatenate([np.zeros(len(pairs), np.int32), n[at], way]), pa.int32()),
-            "h": pa.array(np.concatenate([none, rank])),
+            "kind": pa.array(np.repeat(np.arange(5), [len(pairs), len(at), len(member), len(keys), len(more)]), pa.int32()),
+            "a": pa.array(np.concatenate([pairs[:, 0], name.astype(np.int64), member, keys, more])),
+            "b": pa.array(np.concatenate([pairs[:, 1], owner[at], centre, none(keys, more)])),
+            "n": pa.array(np.concatenate([none(pairs), n[at], way, none(keys, more)]), pa.int32()),
+            "h": pa.array(np.concatenate([none(pairs, at), rank, none(keys, more)])),
         })
 
     return run
@@ -347,7 +371,7 @@ def _near_parts(batches):
             continue
         n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
         apart = np.array([_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())])
-        keep = (n - apart) * (LINK[0] + LINK[1]) >= 2 * LINK[0] * n  # shared <= (n - apart) / 2
+        keep = may_link(n, apart)
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
 
 
@@ -407,13 +431,13 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     order = np.argsort(name)
     rank = np.argsort(np.argsort(count, kind="stable"), kind="stable")
     hot = np.sort(mix(name[count > HOT_LIST]) & ~np.uint64(1))
-    frequent = spark.sparkContext.broadcast((name[order], rank[order], hot))
+    known = (name[order], rank[order], hot)
 
     n = bucket_count(spark, int(total or 0) * 7, BUCKET_BYTES)
-    entries = keyed.select("doc_id", "text").mapInArrow(_enter(frequent, boundary, n), "bucket int, payload binary")
+    entries = keyed.select("doc_id", "text").mapInArrow(_enter(spark.sparkContext.broadcast((*known, None)), boundary, n), ENTRIES)
     if len(hot):
         entries = shared_table(entries, "entries")
-    lists = entries.filter("bucket >= 0").repartition(n, "bucket").groupBy("bucket").applyInArrow(_lists(boundary), LISTS)
+    lists = entries.filter("bucket >= 0").repartition(n, "bucket").groupBy("bucket").applyInArrow(_lists(boundary, LONG), LISTS)
     if len(hot):
         hot_rows = entries.filter("bucket = -1").select("payload").mapInArrow(_hot_entries, LISTS)
         range_ = hot_rows.groupBy("a").agg(F.min("n").alias("lowest"), F.max("h").alias("highest"))  # `can_link` for rows
@@ -421,6 +445,18 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         hot_rows = shared_table(hot_rows.select("kind", "a", "b", "n", "h"), "hot")
         lists = lists.unionByName(hot_rows)
     lists = shared_table(lists, "lists")
+    again = lists.filter("kind = 4").select(F.col("a").alias("hi"))
+    found = [lists]
+    owners = lists.filter("kind IN (0, 2)").select(F.explode(F.array("a", "b")).alias("hi")).union(lists.filter("kind = 1").select("b"))
+    owners = owners.withColumn("again", F.lit(False)).union(again.withColumn("again", F.lit(True))).groupBy("hi").agg(F.max("again").alias("again"))
+    wanted = owners.join(sets.select("hi", "rep"), "hi")
+    texts = shared_table(keyed.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").select("hi", "text", "again"), "texts")
+    if again.limit(1).count():
+        # hot lists have the same members in both orders, as the FREQUENT shingles are last in both
+        enter = _enter(spark.sparkContext.broadcast((*known, _repeated(lists))), boundary, n)
+        entries_2 = texts.filter("again").select("hi", "text").mapInArrow(enter, ENTRIES).filter("bucket >= 0")
+        found.append(shared_table(entries_2.repartition(n, "bucket").groupBy("bucket").applyInArrow(_lists(boundary), LISTS), "lists"))
+        lists = lists.union(found[1])
     starred = lists.filter("kind = 2").groupBy("a", "n").agg(F.min(F.struct("h", "b")).alias("c")).select(*_pair("a", "c.b"))
     pairs = lists.filter("kind = 0").select("a", "b").union(starred)
     if len(hot):
@@ -430,10 +466,6 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     members = lists.filter("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("owner"), "n").distinct()
     members = shared_table(members, "members")
 
-    owners = pairs.select(F.explode(F.array("a", "b")).alias("hi")).union(members.select("owner")).distinct()
-    wanted = owners.join(sets.select("hi", "rep"), "hi")
-    texts = shared_table(keyed.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").select("hi", "text"), "texts")
-
     links = _links(pairs, sets, texts)
     roots = components(links)
     for r in range(1, ROUNDS + 1):
@@ -441,16 +473,26 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         if not open_.limit(1).count():
             break
         inside, outside = open_.filter("root = main"), open_.filter("root <> main")
-        pairs = _star_pairs(inside, outside, r).distinct() if r < ROUNDS else _open_pairs(outside, open_)
+        pairs = _star_pairs(inside, outside, r).distinct() if r < ROUNDS else _open_pairs(open_, sets)
         more = _links(pairs, sets, texts)
         drop_shared(spark, open_)
         roots = _joined_roots(roots, more)
         drop_shared(spark, more)
-    for table in (lists, members, texts, links, *([entries, hot_rows] if len(hot) else [])):
+    for table in (*found, members, texts, links, *([entries, hot_rows] if len(hot) else [])):
         drop_shared(spark, table)
     return _with_components(rows, sets, roots)
 
 
+def _repeated(lists: DataFrame) -> np.ndarray:
+    """The bitmap of the shingles of long lists, in words of 64 bits."""
+    bit = F.shiftrightunsigned("a", 1).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    words = lists.filter("kind = 3").select(bit.alias("bit")).distinct()
+    words = words.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    out[column(words, "word")] = column(words, "bits").astype(np.uint64)
+    return out
+
+
 def _joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) after further links: only the roots that these join are connected anew."""
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -467,15 +509,16 @@ def _pair(x, y):
 
 
 def _star_pairs(centres: DataFrame, members: DataFrame, seed: int) -> DataFrame:
-    """Each member of a list with one centre of about its size in the list, for two ways to cut sizes
-    into classes whose ends have ratio 4 : 3.  A centre is the least by a seeded hash, so lists of
-    the same sets mostly agree on it."""
+    """Each member of a list with centres of about its size in the list, for two ways to cut sizes
+    into classes whose ends have ratio 4 : 3.  Centres are the least by seeded hashes, others in each
+    list, so that a member of many lists meets many; seed 0 is for hot lists, which have one."""
     size = F.log(F.col("n").cast("double")) / float(np.log(LINK[1] / LINK[0]))
     out = None
     for k, shift in enumerate(WAYS):
         named = lambda df: df.withColumn("class", F.floor(size + shift))
-        order = F.struct(F.xxhash64("owner", F.lit(2 * seed + k)), "owner", "n")
-        centre = named(centres).groupBy("list", "class").agg(F.min(order).alias("c"))
+        orders = [F.struct(F.xxhash64("owner", "list", F.lit((2 * seed + k) * CENTRES + i)).alias("order"), "owner", "n") for i in range(CENTRES if seed else 1)]
+        centre = named(centres).groupBy("list", "class").agg(*[F.min(o).alias(f"c{i}") for i, o in enumerate(orders)])
+        centre = centre.select("list", "class", F.explode(F.array(*[f"c{i}" for i in range(len(orders))])).alias("c"))
         pairs = named(members).join(centre, ["list", "class"]).filter("owner <> c.owner")
         pairs = pairs.filter(LINK[1] * F.least("n", "c.n") >= LINK[0] * F.greatest("n", "c.n")).select(*_pair("owner", "c.owner"))
         out = pairs if out is None else out.union(pairs)
@@ -483,19 +526,57 @@ def _star_pairs(centres: DataFrame, members: DataFrame, seed: int) -> DataFrame:
 
 
 def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(list, owner, n, root, main) of the lists whose members are in several components; `main` is
-    the list's largest one."""
+    """(list, owner, n, root, main, size, out) of the lists whose members are in several components; `main` is
+    the list's largest one, `out` of the list's `size` members are outside of it."""
     own = members.join(roots.withColumnRenamed("node", "owner"), "owner", "left").withColumn("root", F.coalesce("root", "owner"))
     count = own.groupBy("list", "root").agg(F.count("*").alias("size"))
-    main = count.groupBy("list").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1")
-    return shared_table(own.join(main.select("list", F.col("m.root").alias("main")), "list"), "open")
-
-
-def _open_pairs(outside: DataFrame, every: DataFrame) -> DataFrame:
-    """Each member outside its list's largest component with all members of other components."""
-    few = outside.select("list", F.col("owner").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    pairs = few.join(every, "list").filter("root <> rx AND (root = main OR x < owner)")
-    return pairs.filter(LINK[1] * F.least("n", "nx") >= LINK[0] * F.greatest("n", "nx")).select(*_pair("x", "owner")).distinct()
+    main = count.groupBy("list").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots"), F.sum("size").alias("size")).filter("roots > 1")
+    main = main.select("list", F.col("m.root").alias("main"), "size", (F.col("size") - F.col("m.size")).alias("out"))
+    return shared_table(own.join(main, "list"), "open")
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """A block of members outside their list's largest component (side 0) and a block of all its members (side 1)
+    -> the pairs of different components whose sizes and counts by part allow a link."""
+    side, owner, n, root, main = (column(table, c) for c in ("side", "owner", "n", "root", "main"))
+    parts = [np.frombuffer(p, np.uint8) for p in table.column("parts").to_pylist()]
+    size = np.array([len(p) for p in parts])
+    every, folded, out = np.flatnonzero(side == 1), {}, []
+    for bits in np.unique(size):
+        rows = every[size[every] == bits]
+        if not len(rows):
+            continue
+        counts = np.stack([parts[r] for r in rows]).astype(np.int32)
+        for x in np.flatnonzero(side == 0):
+            k = min(len(parts[x]), int(bits))
+            if (bits, k) not in folded:
+                folded[bits, k] = counts.reshape(len(rows), k, -1).sum(axis=2)
+            fit = np.flatnonzero((root[rows] != root[x]) & ((root[rows] == main[x]) | (owner[x] < owner[rows])) & fits(n[rows], n[x]))
+            apart = np.abs(folded[bits, k][fit] - parts[x].reshape(k, -1).sum(axis=1, dtype=np.int32)).sum(axis=1)
+            near = rows[fit[may_link(n[rows[fit]] + n[x], apart)]]
+            out.append(np.stack([np.minimum(owner[near], owner[x]), np.maximum(owner[near], owner[x])], axis=1))
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *out])
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def _open_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each member outside its list's largest component with all members of other components.
+
+    Lists of more than BLOCK members are compared in blocks of about BLOCK x BLOCK by their counts by part,
+    so that only pairs that may link become rows."""
+    short = open_.filter(F.col("size") <= BLOCK)
+    few = short.filter("root <> main").select("list", F.col("owner").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    pairs = few.join(short, "list").filter("root <> rx AND (root = main OR x < owner)")
+    pairs = pairs.filter(LINK[1] * F.least("n", "nx") >= LINK[0] * F.greatest("n", "nx")).select(*_pair("x", "owner"))
+    long = open_.filter(F.col("size") > BLOCK).join(sets.select(F.col("hi").alias("owner"), "parts"), "owner")
+    blocks = {x: F.ceil(F.col(x) / BLOCK).cast("int") for x in ("out", "size")}
+    own = lambda x: F.pmod(F.xxhash64("owner"), blocks[x]).cast("int").alias(f"b_{x}")
+    each = lambda x: F.explode(F.sequence(F.lit(0), blocks[x] - 1)).alias(f"b_{x}")
+    rows = ["list", "owner", "n", "root", "main", "parts"]
+    outside = long.filter("root <> main").select(F.lit(0).alias("side"), *rows, own("out"), each("size"))
+    every = long.select(F.lit(1).alias("side"), *rows, each("out"), own("size"))
+    near = outside.union(every).groupBy("list", "b_out", "b_size").applyInArrow(_compare, "a long, b long")
+    return pairs.union(near).distinct()
 
 
 def _with_components(rows: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from parallax.llm import jaccard_join as join
 from parallax.llm.components import components
 from parallax.llm.jaccard_join import choose_boundary, jaccard_join
 
@@ -83,6 +84,30 @@ def test_group_of_near_copies_and_shared_passage(spark, docs_of):
     check(jaccard_join(docs_of(rows, 6)), rows)
 
 
+@pytest.mark.parametrize("kind,n,parts", [("passage", 120, 60), ("copies", 300, 4)])
+def test_long_lists_without_links_make_few_pairs(spark, docs_of, monkeypatch, kind, n, parts):
+    """Sets that share a passage (two in a task, so that no task sees how frequent it is), or most of a
+    base text with eight words changed in each; next to none of them link."""
+    made, links = [], join._links
+
+    def counted(pairs, *tables):
+        made.append(pairs.count())
+        return links(pairs, *tables)
+
+    monkeypatch.setattr(join, "_links", counted)
+    rng, rows = random.Random(4), []
+    for i in range(n):
+        if kind == "passage":
+            w = [f"o{i}x{j}" for j in range(20)] + [f"p{j}" for j in range(60)] + [f"e{i}x{j}" for j in range(40)]
+        else:
+            w = [f"b{j}" for j in range(300)]
+            for j in rng.sample(range(300), 8):
+                w[j] = f"n{i}x{j}"
+        rows.append((i, " ".join(w)))
+    check(jaccard_join(docs_of(rows, parts)), rows)
+    assert sum(made) < n * n / 4, made
+
+
 def test_sf_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     check(jaccard_join(docs), [(r.doc_id, r.text) for r in docs.collect()])
