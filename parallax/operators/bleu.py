@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,67 +25,77 @@ BLOCK_TOKENS = 1 << 18  # tokens that are counted together; a segment with more
 COUNTS = [f"{x}{n}" for n in range(1, MAX_N + 1) for x in ("num", "den")]
 
 
-class _Texts:
-    """Texts as word numbers: `unit` text t has the words first[t] .. first[t + 1]."""
-
-    def __init__(self):
-        self.words: dict[bytes, int] = {}
-        self.codes: list[int] = []
-        self.first: list[int] = [0]
-
-    def add(self, text: str) -> int:
-        """The number of words of a text."""
-        known = self.words
-        own = [known.setdefault(w, len(known)) for w in text.encode().split()]  # the white space of `tokens`
-        self.codes += own
-        self.first.append(len(self.codes))
-        return len(own)
-
-    def grams(self):
-        """For n = 1..4: (text, gram, count) of each text's distinct n-grams, and the number of distinct grams."""
-        word, first = np.array(self.codes, np.int64), np.array(self.first)
-        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        place = np.arange(len(word)) - first[text]
-        code = word
-        for n in range(1, MAX_N + 1):
-            at = np.flatnonzero(place >= n - 1)
-            if n > 1:
-                distinct, which = np.unique(code[at - 1] * max(len(self.words), 1) + word[at], return_inverse=True)
-                code = np.zeros(len(word), np.int64)
-                code[at] = which
-                size = len(distinct)
-            else:
-                size = len(self.words)
-            key, count = np.unique(text[at] * max(size, 1) + code[at], return_counts=True)
-            yield key // max(size, 1), key % max(size, 1), count, max(size, 1)
-
-
-def _statistics(hyp_row: np.ndarray, hyp_text: list, ref_row: np.ndarray, ref_text: list, wanted: np.ndarray) -> dict:
-    """Counts of each hypothesis against the references of its row that are wanted."""
-    texts = _Texts()
-    hl = np.array([texts.add(t) for t in hyp_text], np.int64)
-    rl = np.array([texts.add(t) for t in ref_text], np.int64)
-    n = len(hyp_text)
+_B = np.arange(256)
+_INSIDE = ~((_B == 0x20) | ((_B >= 0x09) & (_B <= 0x0D)))  # bytes of words: the white space of `tokens` is left out
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as word numbers: text t has the words first[t] .. first[t + 1]."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]] if len(texts) else np.zeros(0, np.uint8)
+    offs = offs - offs[0]
+    inside = _INSIDE[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    edge = offs[offs < len(data)]
+    begin[edge] = inside[edge]  # a word ends with its text
+    at = np.flatnonzero(begin)
+    letters = np.concatenate([[0], np.cumsum(inside)])
+    cut = np.append(letters[at], letters[-1]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+    return _codes(words), np.searchsorted(at, offs)
+
+
+def _codes(values: pa.Array) -> np.ndarray:
+    return values.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def _among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return pc.is_in(pa.array(x), value_set=pa.array(y)).to_numpy(zero_copy_only=False)
+
+
+def _statistics(hyp_row: np.ndarray, ref_row: np.ndarray, word: np.ndarray, first: np.ndarray, wanted: np.ndarray) -> dict:
+    """Counts of each hypothesis against the references of its row that are wanted; the texts of the
+    hypotheses stand before those of the references.
+
+    An n-gram is looked at only where both (n - 1)-grams in it stand in a hypothesis and in a reference of the row."""
+    n, length = len(hyp_row), np.diff(first)
+    hl, rl = length[:n], length[n:]
+    text = np.repeat(np.arange(len(length)), length)
+    row, ref = np.concatenate([hyp_row, ref_row])[text], text >= n
+    place = np.arange(len(word)) - first[text]
+    alive = np.concatenate([np.ones(n, bool), wanted])[text]
+    size = max(len(word), 1)  # codes are smaller
+    code = word
     out = {}
-    for k, (text, gram, count, size) in enumerate(texts.grams(), 1):
-        mine = text < n
-        ref = ~mine
-        ref[ref] = wanted[text[ref] - n]
+    for k in range(1, MAX_N + 1):
+        at = np.flatnonzero(alive & (place >= k - 1))
+        if k > 1:
+            at = at[alive[at - 1]]
+            longer = np.zeros(len(word), np.int64)
+            longer[at] = _codes(pa.array(code[at - 1] * size + word[at]))
+            code = longer
+        gram = row[at] * size + code[at]
+        mine = ~ref[at]
+        both = np.zeros(len(at), bool)
+        both[mine], both[~mine] = _among(gram[mine], gram[~mine]), _among(gram[~mine], gram[mine])
+        at, gram, mine = at[both], gram[both], mine[both]
+        alive = np.zeros(len(word), bool)
+        alive[at] = True
         # the most that any one reference of the row has of a gram
-        key, which = np.unique(ref_row[text[ref] - n] * size + gram[ref], return_inverse=True)
-        most = np.zeros(len(key) + 1, np.int64)
-        np.maximum.at(most, which, count[ref])
-        own = hyp_row[text[mine]] * size + gram[mine]
-        at = np.searchsorted(key, own)
-        found = at < len(key)
-        found[found] = key[at[found]] == own[found]
-        clipped = np.minimum(count[mine], np.where(found, most[at], 0))
-        out[f"num{k}"] = np.bincount(text[mine], clipped, n).astype(np.int64)
-        out[f"den{k}"] = np.bincount(text[mine], count[mine], n).astype(np.int64)
+        key, count = np.unique(text[at[~mine]] * size + code[at[~mine]], return_counts=True)
+        key, which = np.unique(ref_row[key // size - n] * size + key % size, return_inverse=True)
+        most = np.zeros(len(key), np.int64)
+        np.maximum.at(most, which, count)
+        own, count = np.unique(text[at[mine]] * size + code[at[mine]], return_counts=True)
+        clipped = np.minimum(count, most[np.searchsorted(key, hyp_row[own // size] * size + own % size)])
+        out[f"num{k}"] = np.bincount(own // size, clipped, n).astype(np.int64)
+        out[f"den{k}"] = np.maximum(hl - k + 1, 0)
     # the closest reference length, the shorter of two
-    first, last = np.searchsorted(ref_row, hyp_row, "left"), np.searchsorted(ref_row, hyp_row, "right")
-    hyp = np.repeat(np.arange(n), last - first)
-    ref = np.arange(len(hyp)) - np.repeat(np.cumsum(last - first) - last, last - first)
+    left, right = np.searchsorted(ref_row, hyp_row, "left"), np.searchsorted(ref_row, hyp_row, "right")
+    hyp = np.repeat(np.arange(n), right - left)
+    ref = np.arange(len(hyp)) - np.repeat(np.cumsum(right - left) - right, right - left)
     hyp, ref = hyp[wanted[ref]], ref[wanted[ref]]
     order = np.lexsort((rl[ref], np.abs(rl[ref] - hl[hyp]), hyp))
     best, at = np.unique(hyp[order], return_index=True)
@@ -95,19 +106,25 @@ def _statistics(hyp_row: np.ndarray, hyp_text: list, ref_row: np.ndarray, ref_te
     return out | {"hl": hl, "rl": closest, "scored": scored}
 
 
+def _side(rows: pa.Table, name: str) -> tuple[np.ndarray, pa.StructArray]:
+    """(row, value) of all values of a list column."""
+    lists = rows.column(name).combine_chunks()
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()), lists.flatten()
+
+
 def _segments(names: list[str], tests: list[tuple]):
     def block(batch: pa.RecordBatch, lo: int, hi: int):
         part = pa.Table.from_batches([batch.slice(lo, hi - lo)])
-        rows = part.select(["_hyps", "_refs"]).to_pylist()
-        hyps = [(i, h) for i, r in enumerate(rows) for h in r["_hyps"]]
-        refs = [(i, x) for i, r in enumerate(rows) for x in r["_refs"]]
-        hyp_row, ref_row = (np.array([i for i, _ in side], np.int64) for side in (hyps, refs))
-        empty = np.array([h["x"] is None for _, h in hyps], bool)
+        (hyp_row, hyps), (ref_row, refs) = _side(part, "_hyps"), _side(part, "_refs")
+        no = refs.field("no")
+        coded = {}
         for name, numbers, lower in tests:
             text = "l" if lower else "x"
-            wanted = np.array([numbers is None or x["no"] in numbers for _, x in refs], bool)
-            out = _statistics(hyp_row, [h[text] or "" for _, h in hyps], ref_row, [x[text] for _, x in refs], wanted)
-            out["scored"] &= ~empty
+            if text not in coded:
+                coded[text] = _words(pa.concat_arrays([hyps.field(text), refs.field(text)]))
+            wanted = np.ones(len(refs), bool) if numbers is None else pc.is_in(no, value_set=pa.array(sorted(numbers), no.type)).to_numpy(zero_copy_only=False)
+            out = _statistics(hyp_row, ref_row, *coded[text], wanted)
+            out["scored"] &= hyps.field(text).is_valid().to_numpy(zero_copy_only=False)
             own = part.select(names).take(pa.array(hyp_row))
             columns = [c.combine_chunks() for c in own.columns]
             kinds = {"scored": pa.bool_()}
@@ -135,14 +152,14 @@ def segment_statistics(hyps: DataFrame, refs: DataFrame, keys: list[str], tests:
     several hypotheses of a segment is scored by itself.
     """
     sk = [*keys, seg]
-    lower = any(low for _, low in tests.values())
-    texts = lambda c: [F.col(c).cast("string").alias("x"), *([F.lower(F.col(c)).alias("l")] if lower else [])]
+    kinds = sorted({"l" if low else "x" for _, low in tests.values()})  # only the texts that a test needs are moved
+    texts = lambda c: [(F.col(c).cast("string") if x == "x" else F.lower(F.col(c))).alias(x) for x in kinds]
     no = F.col(ref_no).cast("string")
     one = refs.filter(F.col(ref).isNotNull()).select(*sk, F.struct(no.alias("no"), *texts(ref)).alias("_ref"))
-    one = one.withColumn("_hyp", F.lit(None).cast("struct<x:string" + (",l:string" if lower else "") + ">"))
+    one = one.withColumn("_hyp", F.lit(None).cast(f"struct<{','.join(f'{x}:string' for x in kinds)}>"))
     rows = hyps.select(*sk, F.lit(None).cast(one.schema["_ref"].dataType).alias("_ref"), F.struct(*texts(hyp)).alias("_hyp"))
     rows = rows.unionByName(one)
-    size = F.coalesce(F.length(F.coalesce("_ref.x", "_hyp.x")), F.lit(0)) + 8
+    size = F.coalesce(F.length(F.coalesce(f"_ref.{kinds[0]}", f"_hyp.{kinds[0]}")), F.lit(0)) + 8
     # collect_list leaves out the side that a row does not have
     met = rows.groupBy(*sk).agg(F.collect_list("_hyp").alias("_hyps"), F.collect_list("_ref").alias("_refs"), F.sum(size).alias("_size"))
     met = met.filter(F.size("_hyps") > 0)
