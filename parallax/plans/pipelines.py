@@ -116,11 +116,13 @@ def over_distinct(df: DataFrame, col: str, f) -> DataFrame:
 def prepare_training(bitext: DataFrame, casing_corpus: DataFrame, n_merges: int, tag1: str, tag2: str,
                      mode: str = "tag", a: str = "a", b: str = "b", key: str = "line_no") -> DataFrame:
     """C11: truecase (model from `casing_corpus`) -> learn and apply subwords on both sides
-    jointly -> tagged bidirectional training rows."""
-    cased_model = V.train_truecaser(casing_corpus, "text")
+    jointly -> tagged bidirectional training rows.
+
+    What several later steps read is staged: the casing model, the truecased and the segmented rows."""
+    cased_model = stage(V.train_truecaser(casing_corpus, "text"), "casing")
     t = V.truecase_apply(bitext, cased_model, a, key)
-    t = V.truecase_apply(t, cased_model, b, key)
+    t = stage(V.truecase_apply(t, cased_model, b, key), "truecased")
     merges = SW.learn_subwords(t, [a, b], n_merges)
     t = SW.subword_apply(t, merges, a, key)
-    t = SW.subword_apply(t, merges, b, key)
+    t = stage(SW.subword_apply(t, merges, b, key), "subwords")
     return M.bidirectional(t, tag1, tag2, mode, a, b, key)
