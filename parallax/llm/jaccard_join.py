@@ -447,8 +447,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     lists = shared_table(lists, "lists")
     again = lists.filter("kind = 4").select(F.col("a").alias("hi"))
     found = [lists]
-    owners = lists.filter("kind IN (0, 2)").select(F.explode(F.array("a", "b")).alias("hi")).union(lists.filter("kind = 1").select("b"))
-    owners = owners.withColumn("again", F.lit(False)).union(again.withColumn("again", F.lit(True))).groupBy("hi").agg(F.max("again").alias("again"))
+    owners = _listed(lists).withColumn("again", F.lit(False)).union(again.withColumn("again", F.lit(True))).groupBy("hi").agg(F.max("again").alias("again"))
     wanted = owners.join(sets.select("hi", "rep"), "hi")
     texts = shared_table(keyed.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").select("hi", "text", "again"), "texts")
     if again.limit(1).count():
@@ -483,6 +482,13 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     return _with_components(rows, sets, roots)
 
 
+def _listed(lists: DataFrame) -> DataFrame:
+    """(hi) of lists of two and of longer ones.  Members and centres of kind 2 are of kind 1 or 4 too; a pair comes
+    from each bucket in which it is a list."""
+    two = lists.filter("kind = 0").select("a", "b").distinct()
+    return two.select(F.explode(F.array("a", "b")).alias("hi")).union(lists.filter("kind = 1").select("b"))
+
+
 def _repeated(lists: DataFrame) -> np.ndarray:
     """The bitmap of the shingles of long lists, in words of 64 bits."""
     bit = F.shiftrightunsigned("a", 1).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))

@@ -108,6 +108,12 @@ def test_long_lists_without_links_make_few_pairs(spark, docs_of, monkeypatch, ki
     assert sum(made) < n * n / 4, made
 
 
+def test_texts_are_looked_up_once_for_a_pair_and_not_for_centres(spark):
+    """Pairs of lists of two come from several buckets; a member of longer lists has its centres in each bucket."""
+    rows = [(0, 1, 2, 0, 0)] * 3 + [(1, 9, 3, 8, 0), (1, 9, 4, 8, 0), (1, 9, 5, 8, 0)] + [(2, 4, 3, 0, 1), (2, 5, 3, 0, 1)] * 4
+    assert sorted(r.hi for r in join._listed(spark.createDataFrame(rows, join.LISTS)).collect()) == [1, 2, 3, 4, 5]
+
+
 def test_sf_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     check(jaccard_join(docs), [(r.doc_id, r.text) for r in docs.collect()])
