@@ -23,8 +23,10 @@ Lists of two are candidate pairs.  A member of longer lists is compared with one
 size first, the least by a hash of all that its lists have; components of the verified links follow.  Members outside their list's largest
 component are compared with other centres of it in further rounds; in the last round those that
 are still outside are compared with all others of the list, so no link is lost, and a group of
-thousands of near copies costs a few comparisons each, not one for each pair.  A candidate whose shingle counts by part differ too much cannot link; all
-others are verified on the whole texts.
+thousands of near copies costs a few comparisons each, not one for each pair.  The lists of a passage
+have nearly the same members, so open lists whose member of least hash is the same are compared as one
+bundle: each pair once, however many lists hold it, and only pairs that may link become rows.  A candidate
+whose shingle counts by part differ too much cannot link; all others are verified on the whole texts.
 
 Null and empty texts, and texts without words, are empty sets and link with nothing (component:
 the document itself).  Repeated rows are equal sets.  A null doc_id never names a component unless
@@ -53,7 +55,9 @@ HOT_LIST = 100_000  # lists known to be longer are never gathered in one task
 PART_BITS, MOST_PART_BITS = 8, 13  # counts by 256 to 8 192 parts, by the size of a set
 LARGEST_BOUNDARY = 64
 CENTRES = 4  # centres of a list's size class in each of these rounds
-BLOCK = 64  # members of a list that are compared with as many others in one task
+BLOCK = 256  # members of a bundle of lists that are compared with as many others in one task
+GATHER_ROWS = 4096  # members of small bundles that go to one task
+COUNTS_AT_ONCE = 1 << 20  # counts by part that are compared at once
 ROUNDS = 4  # rounds of comparisons in lists that are still open; the last one compares all that is open
 NO_ID = -(1 << 63)  # stands for a null doc_id inside
 
@@ -532,57 +536,83 @@ def _star_pairs(centres: DataFrame, members: DataFrame, seed: int) -> DataFrame:
 
 
 def _open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(list, owner, n, root, main, size, out) of the lists whose members are in several components; `main` is
-    the list's largest one, `out` of the list's `size` members are outside of it."""
+    """(list, owner, n, root, main, bundle) of the lists whose members are in several components; `main` is
+    the list's largest one, `bundle` the least hash of its members."""
     own = members.join(roots.withColumnRenamed("node", "owner"), "owner", "left").withColumn("root", F.coalesce("root", "owner"))
-    count = own.groupBy("list", "root").agg(F.count("*").alias("size"))
-    main = count.groupBy("list").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots"), F.sum("size").alias("size")).filter("roots > 1")
-    main = main.select("list", F.col("m.root").alias("main"), "size", (F.col("size") - F.col("m.size")).alias("out"))
-    return shared_table(own.join(main, "list"), "open")
+    count = own.groupBy("list", "root").agg(F.count("*").alias("size"), F.min(F.xxhash64("owner")).alias("least"))
+    main = count.groupBy("list").agg(F.max(F.struct("size", "root")).alias("m"), F.count("*").alias("roots"), F.min("least").alias("bundle")).filter("roots > 1")
+    return shared_table(own.join(main.select("list", F.col("m.root").alias("main"), "bundle"), "list"), "open")
+
+
+def _together(owner: np.ndarray, side: np.ndarray, out_of: list, main_of: list) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y): the rows x of side 0 and y of side 1 that meet in a list of which x is `out_of`, each pair once."""
+    lists = [(name, r, True) for r, names in enumerate(out_of) for name in names]
+    lists += [(name, r, False) for r, names in enumerate(main_of) for name in names]
+    name, row, outside = (np.array(x, t) for x, t in zip(zip(*lists), (np.int64, np.int64, bool)))
+    order = np.argsort(name, kind="stable")
+    name, row, outside = name[order], row[order], outside[order]
+    place = np.where(side == 0, np.cumsum(side == 0), np.cumsum(side == 1)) - 1
+    few, every = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    meet = np.zeros((len(few), len(every)), bool)
+    cut = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1], [True]]))
+    for a, b in zip(cut[:-1], cut[1:]):
+        r, out = row[a:b], outside[a:b]
+        x, y = r[out & (side[r] == 0)], r[side[r] == 1]
+        meet[np.ix_(place[x], place[y])] |= ~out[side[r] == 1] | (owner[x][:, None] < owner[y])
+    x, y = np.nonzero(meet)
+    return few[x], every[y]
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """A block of members outside their list's largest component (side 0) and a block of all its members (side 1)
-    -> the pairs of different components whose sizes and counts by part allow a link."""
-    side, owner, n, root, main = (column(table, c) for c in ("side", "owner", "n", "root", "main"))
-    parts = [np.frombuffer(p, np.uint8) for p in table.column("parts").to_pylist()]
-    size = np.array([len(p) for p in parts])
-    every, folded, out = np.flatnonzero(side == 1), {}, []
-    for bits in np.unique(size):
-        rows = every[size[every] == bits]
-        if not len(rows):
-            continue
-        counts = np.stack([parts[r] for r in rows]).astype(np.int32)
-        for x in np.flatnonzero(side == 0):
-            k = min(len(parts[x]), int(bits))
-            if (bits, k) not in folded:
-                folded[bits, k] = counts.reshape(len(rows), k, -1).sum(axis=2)
-            fit = np.flatnonzero((root[rows] != root[x]) & ((root[rows] == main[x]) | (owner[x] < owner[rows])) & fits(n[rows], n[x]))
-            apart = np.abs(folded[bits, k][fit] - parts[x].reshape(k, -1).sum(axis=1, dtype=np.int32)).sum(axis=1)
-            near = rows[fit[may_link(n[rows[fit]] + n[x], apart)]]
-            out.append(np.stack([np.minimum(owner[near], owner[x]), np.maximum(owner[near], owner[x])], axis=1))
-    pairs = np.concatenate([np.zeros((0, 2), np.int64), *out])
+    """Of some bundles, the members outside the largest component of one of their lists (side 0) and all members
+    (side 1), or a block of either of one bundle -> the pairs of different components in a list whose sizes and
+    counts by part allow a link."""
+    bundle, side, owner, n, root = (column(table, c) for c in ("bundle", "side", "owner", "n", "root"))
+    parts, out_of, main_of = (table.column(c).to_pylist() for c in ("parts", "out_of", "main_of"))
+    order, out = np.argsort(bundle, kind="stable"), [np.zeros((0, 2), np.int64)]
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(bundle[order]) != 0, [True]]))
+    for a, b in zip(cut[:-1], cut[1:]):
+        rows = order[a:b]
+        x, y = _together(owner[rows], side[rows], [out_of[r] for r in rows], [main_of[r] for r in rows])
+        fit = (root[rows[x]] != root[rows[y]]) & fits(n[rows[x]], n[rows[y]])
+        x, y = x[fit], y[fit]
+        size = np.array([len(parts[r]) for r in rows])
+        least = np.minimum(size[x], size[y])
+        for k in np.unique(least):
+            i, j = x[least == k], y[least == k]
+            used = np.unique(np.concatenate([i, j]))
+            counts = np.stack([np.frombuffer(parts[r], np.uint8).reshape(k, -1).sum(axis=1, dtype=np.int32) for r in rows[used]])
+            for at in range(0, len(i), max(1, COUNTS_AT_ONCE // int(k))):
+                u, v = (p[at : at + max(1, COUNTS_AT_ONCE // int(k))] for p in (i, j))
+                apart = np.abs(counts[np.searchsorted(used, u)] - counts[np.searchsorted(used, v)]).sum(axis=1)
+                near = may_link(n[rows[u]] + n[rows[v]], apart)
+                u, v = owner[rows[u[near]]], owner[rows[v[near]]]
+                out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
+    pairs = np.unique(np.concatenate(out), axis=0)
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
 def _open_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """Each member outside its list's largest component with all members of other components.
-
-    Lists of more than BLOCK members are compared in blocks of about BLOCK x BLOCK by their counts by part,
-    so that only pairs that may link become rows."""
-    short = open_.filter(F.col("size") <= BLOCK)
-    few = short.filter("root <> main").select("list", F.col("owner").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    pairs = few.join(short, "list").filter("root <> rx AND (root = main OR x < owner)")
-    pairs = pairs.filter(LINK[1] * F.least("n", "nx") >= LINK[0] * F.greatest("n", "nx")).select(*_pair("x", "owner"))
-    long = open_.filter(F.col("size") > BLOCK).join(sets.select(F.col("hi").alias("owner"), "parts"), "owner")
-    blocks = {x: F.ceil(F.col(x) / BLOCK).cast("int") for x in ("out", "size")}
-    own = lambda x: F.pmod(F.xxhash64("owner"), blocks[x]).cast("int").alias(f"b_{x}")
-    each = lambda x: F.explode(F.sequence(F.lit(0), blocks[x] - 1)).alias(f"b_{x}")
-    rows = ["list", "owner", "n", "root", "main", "parts"]
-    outside = long.filter("root <> main").select(F.lit(0).alias("side"), *rows, own("out"), each("size"))
-    every = long.select(F.lit(1).alias("side"), *rows, each("out"), own("size"))
-    near = outside.union(every).groupBy("list", "b_out", "b_size").applyInArrow(_compare, "a long, b long")
-    return pairs.union(near).distinct()
+    """Each member outside its list's largest component with all members of other components: the pairs that may link.
+
+    A bundle of lists with more than BLOCK members is compared in blocks of about BLOCK x BLOCK, smaller ones
+    go several to a task."""
+    out = F.col("root") != F.col("main")
+    own = open_.groupBy("bundle", "owner", "n", "root").agg(
+        F.collect_list(F.when(out, F.col("list"))).alias("out_of"), F.collect_list(F.when(~out, F.col("list"))).alias("main_of"))
+    own = own.withColumn("outside", F.size("out_of") > 0)
+    blocks = lambda x: F.ceil(F.sum(x) / BLOCK).cast("int")
+    count = own.groupBy("bundle").agg(blocks(F.col("outside").cast("int")).alias("n_out"), blocks(F.lit(1)).alias("n_every"))
+    own = own.join(count, "bundle").join(sets.select(F.col("hi").alias("owner"), "parts"), "owner")
+    block = lambda x: F.pmod(F.xxhash64("owner"), F.col(f"n_{x}")).cast("int").alias(x)
+    each = lambda x: F.explode(F.sequence(F.lit(0), F.col(f"n_{x}") - 1)).alias(x)
+    small = (F.col("n_out") == 1) & (F.col("n_every") == 1)
+    groups = max(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), open_.count() // GATHER_ROWS)
+    rows = ["bundle", "owner", "n", "root", "out_of", "main_of", "parts", F.when(small, F.pmod("bundle", F.lit(groups))).otherwise(F.col("bundle")).alias("group"), small.alias("small")]
+    outside = own.filter("outside").select(F.lit(0).alias("side"), *rows, block("out"), each("every"))
+    every = own.select(F.lit(1).alias("side"), *rows, each("out"), block("every"))
+    near = outside.unionByName(every).groupBy("group", "small", "out", "every").applyInArrow(_compare, "a long, b long")
+    return near.distinct()
 
 
 def _with_components(rows: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:

@@ -108,6 +108,52 @@ def test_long_lists_without_links_make_few_pairs(spark, docs_of, monkeypatch, ki
     assert sum(made) < n * n / 4, made
 
 
+def passages(seed, groups, members):
+    """Sets of two passages of their group and words of their own: two of a group share most of their prefixes and never link."""
+    rng, rows = random.Random(seed), []
+    for g in range(groups):
+        for i in range(members):
+            a, b = [f"p{g}x{j}" for j in range(34)], [f"q{g}x{j}" for j in range(34)]
+            own = [f"o{g}x{i}x{j}" for j in range(rng.randrange(38, 46))]
+            rows.append((1000 * g + i, " ".join(a + own[:19] + b + own[19:])))
+    return rows
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_open_lists_make_rows_of_near_pairs_only(spark, docs_of, monkeypatch, block):
+    """Every two members of an open list are in some component apart: only pairs near by their counts become rows."""
+    made, links = [], join._links
+
+    def counted(pairs, *tables):
+        made.append(pairs.count())
+        return links(pairs, *tables)
+
+    monkeypatch.setattr(join, "_links", counted)
+    monkeypatch.setattr(join, "BLOCK", block)
+    monkeypatch.setattr(join, "ROUNDS", 1)
+    rng = random.Random(5)
+    rows = passages(3, 4, 14)
+    base = [f"b{i}" for i in range(80)]
+    for i in range(40):  # a chain of near copies, at the edge of the threshold
+        base[rng.randrange(80)] = f"n{i}"
+        rows.append((9000 + i, " ".join(base)))
+    check(jaccard_join(docs_of(rows, 4)), rows)
+    assert made[-1] < 4 * 14 * 13 / 4, made
+
+
+def test_bundle_of_lists_compares_each_pair_once():
+    """Two lists of one bundle; 1 and 2 are in the largest component, 3 and 4 apart, 5 in the second list only."""
+    def row(side, owner, root, out_of, main_of, part):
+        return {"bundle": 7, "side": side, "owner": owner, "n": 8, "root": root, "parts": bytes([part] * 8), "out_of": out_of, "main_of": main_of}
+
+    members = [(1, 1, [], [10, 11], 1), (2, 1, [], [10], 1), (3, 3, [10, 11], [], 1), (4, 4, [10], [], 9), (5, 1, [], [11], 1)]
+    table = join.pa.Table.from_pylist(
+        [row(1, *m) for m in members] + [row(0, *m) for m in members if m[2]],
+        join.pa.schema([("bundle", join.pa.int64()), ("side", join.pa.int32()), ("owner", join.pa.int64()), ("n", join.pa.int32()), ("root", join.pa.int64()),
+                        ("parts", join.pa.binary()), ("out_of", join.pa.list_(join.pa.int64())), ("main_of", join.pa.list_(join.pa.int64()))]))
+    assert [tuple(r.values()) for r in join._compare(table).to_pylist()] == [(1, 3), (2, 3), (3, 5)]
+
+
 def test_texts_are_looked_up_once_for_a_pair_and_not_for_centres(spark):
     """Pairs of lists of two come from several buckets; a member of longer lists has its centres in each bucket."""
     rows = [(0, 1, 2, 0, 0)] * 3 + [(1, 9, 3, 8, 0), (1, 9, 4, 8, 0), (1, 9, 5, 8, 0)] + [(2, 4, 3, 0, 1), (2, 5, 3, 0, 1)] * 4
