@@ -5,7 +5,9 @@ from itertools import permutations, product
 import pytest
 from pyspark.sql import functions as F
 
+from parallax.operators import chunks
 from parallax.operators import lepod as L
+from parallax.operators.chunks import improved
 
 ROWS = [
     # s1, s2, spans as "start2:len2 start1:len1", punct, led, pod, mat1, sub1, mat2, sub2
@@ -128,6 +130,34 @@ def test_fewest_chunks_of_long_sides():
     assert len(got) == 200 and chunks_and_crossings(got) == (1, 0)
 
 
+def test_fewest_chunks_is_exact_beyond_the_beam():
+    """More states than a beam follows and more places than it tries: the best is among the last ones."""
+    rng = random.Random(31)
+    worse = 0
+    for k in range(60):
+        left, right = ([rng.choice("aaaabbc") for _ in range(n)] for n in (rng.randrange(4, 8), rng.randrange(8, 11)))
+        shared = set(left) & set(right)
+        sides = [[(i, w) for i, w in enumerate(side) if w in shared] for side in (left, right)]
+        best = min((chunks_and_crossings(m) for m in maximal_matchings(left, right)), default=(0, 0))
+        some = sorted(next(iter(maximal_matchings(left, right)), []))
+        assert chunks_and_crossings(improved(*sides, some)) == best
+        assert chunks_and_crossings(L.fewest_chunks(left, right)) == best
+    for k in range(40):  # one long side
+        left, right = (["x"] * a + [f"u{i}" for i in rng.sample(range(6), 6)] + ["x"] * b for a, b in ((2, 1), (7, 7)))
+        rng.shuffle(left), rng.shuffle(right)
+        shared = [[(i, w) for i, w in enumerate(side)] for side in (left, right)]
+        best = min(chunks_and_crossings(m) for m in maximal_matchings(left, right))
+        worse += chunks_and_crossings(L._first_matching(*shared, max(len(left), len(right)), len(left))) != best
+        assert chunks_and_crossings(L.fewest_chunks(left, right)) == best
+    assert worse  # the beam alone does not find them all
+
+
+def test_search_in_narrow_blocks(monkeypatch):
+    """States that do not fit a block wait: the result is the same."""
+    monkeypatch.setattr(chunks, "WIDE", 2)
+    test_fewest_chunks_equals_brute_force()
+
+
 def test_chunk_alignment_lowers_pod(spark):
     pairs = spark.createDataFrame([(1, "the dog saw the cat", "the cat saw the dog"), (2, "x the cat", "the the cat"), (3, "", "a"), (4, None, None)],
                                   "pair_id long, text1 string, text2 string")
