@@ -1,7 +1,11 @@
 """Stored language models: trained once, scored by joins that do not move them."""
 import math
 
+import numpy as np
+import pyarrow as pa
+
 from parallax.operators import lm as LM
+from parallax.operators import parcels as PA
 
 
 def corpus(spark, n=40, step=3):
@@ -46,3 +50,50 @@ def test_odd_corpora(spark):
     got = {r.line_no: (r.n_words, r.n_oov) for r in LM.lm_score(spark.createDataFrame([(1, None), (2, " a\u00a0b a "), (3, "a " * 70_000)], "line_no long, text string"), model, order=3).collect()}
     assert got == {1: (0, 0), 2: (2, 1), 3: (70_000, 0)}
     assert LM.lm_score(empty, model, order=3).count() == 0
+
+
+def test_scoring_keeps_nothing_in_memory_and_gathers_no_lists(spark):
+    """A pack's rows come back one pack at a time; packs are staged."""
+    from parallax import caches
+
+    model = LM.train_ngram_lm(corpus(spark), "text", 2)
+    kept = len(caches._KEPT)
+    plan = LM.lm_score(corpus(spark), model, order=2)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapCoGroupsInArrow" in plan and len(caches._KEPT) == kept
+
+
+def test_training_stages_only_the_model(spark):
+    from parallax import caches
+
+    before = len(caches._STAGED)
+    LM.train_ngram_lm(corpus(spark), "text", 3)
+    assert [table is not None for _, _, table in caches._STAGED[before:]] == [True]
+
+
+def test_only_ngrams_of_known_pairs_are_looked_up(spark):
+    """`a b c` goes on as both of its pairs are known, `b c d` does not."""
+    keys, first = pa.array([7], pa.int64()), [0, 6]
+    block = LM.Coded()
+    block.add("a b c d")
+    (words, names, _), (pairs, two, _) = block.grams(2)
+    codes = np.concatenate([words, np.where(pairs < 0, -1, pairs + len(names))])
+    grams = [*names, *two]
+    pack = pa.table({"pack": pa.array([1], pa.int64()), "keys": pa.array([keys.to_pylist()], pa.list_(pa.int64())), "first": pa.array([first], pa.list_(pa.int32())),
+                     "codes": pa.array([codes.tolist()], pa.list_(pa.int32())), "words": [[w.decode() for w in names]]})
+    hits = [grams.index(g) for g in (b"a", b"b", b"c", b"a b", b"b c", b"<s> a")]
+    out = LM._pruned(4)(pack, pa.table({"of": pa.array([1] * len(hits), pa.int64()), "i": pa.array(hits, pa.int32())}))
+    assert out.column("grams")[0].as_py() == ["a", "b", "c", "<s> a", "a b", "b c", "<s> a b", "a b c", "<s> a b c"]
+    table = np.array(out.column("codes")[0].as_py()).reshape(4, -1)
+    assert table[0].tolist() == [-1, 0, 1, 2, -1, -1] and (table[1:, 4:] == -1).all() and table[3].tolist() == [-1, -1, -1, 8, -1, -1]
+
+
+def test_parcels_and_buckets(spark):
+    words = ["a", "ab", "abc", "abcd", "", "é x", "<s> the longer word é", "x" * 1001]
+    want = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("pmod(hash(w), 17)").collect()]
+    assert PA.bucket_of(pa.array(words), 17).tolist() == want == PA.bucket_of(pa.array(["zz", *words]).slice(1), 17).tolist()
+    part = np.array([3, 1, 3, 1, 3, 1, 3, 1])
+    rows = {}
+    for p, parcel in PA.packed(part, pa.array(words), np.arange(8), np.arange(8) / 3):
+        names, i, x = PA.unpacked(parcel, np.int64, np.float64)
+        rows |= {(p, name): (k, y) for name, k, y in zip(names.to_pylist(), i, x)}
+    assert rows == {(p, w): (k, k / 3) for k, (p, w) in enumerate(zip(part, words))}
